@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, packing, sharding, token_counts, topk, url_filter
+from tidemark.llm import bpe, chat, common, neardup, packing, quality, sharding, token_counts, topk, toxicity, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -16,6 +16,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.learn(docs, common.table(spark, sf_dir, "labels")))
+    score = F.col("toxicity")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -24,6 +31,28 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), common.table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(common.table(spark, sf_dir, "conversations"))
+
+
+#: Without quotes a conversation stays in the order of its turns.
+OP6_SQL = """
+select conv_id, turn, role, text, trim(coalesce(text, ''), ' ') as body, cast(null as bigint) as reply_to, turn as thread_turn,
+       cast(0 as integer) as reply_depth, row_number() over (partition by conv_id order by turn, role, sha256(coalesce(text, ''))) - 1 as position,
+       '<|' || coalesce(role, '') || '|>' || chr(10) || trim(coalesce(text, ''), ' ') as rendered
+from conversations
+"""
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.materialize(topk.quantized(common.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64), "vectors")
     return topk.top_k(vectors.filter(F.col("id") % 20 == 0), vectors, 20)
@@ -81,10 +110,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_chat": op6_chat,
     "op7_top_k": op7_top_k,
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL = {"op7_top_k": OP7_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL = {"op6_chat": OP6_SQL, "op7_top_k": OP7_SQL, "op9_url_filter": OP9_SQL}
