@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 from tidemark.llm import common
 
 #: A worker keeps the ids of so many pre-tokens, then starts anew.
-CACHE = 300_000
+CACHE = 400_000
 _MASK = (1 << 64) - 1
 
 
@@ -76,28 +77,35 @@ class PerfectHash:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a pre-token: the adjacent pair of least rank, leftmost first, merges until none is left."""
+    """Ids of a pre-token: the adjacent pair of least rank, leftmost first, merges until none is left.
+
+    A heap entry holds rank, start and end of a pair in one integer; end[i] links a token to the next one.
+    """
     n, rank = len(piece), ranks.get
     if n < 2:
         return [ranks[piece]] if n else []
-    end, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\x01") * n
-    heap = [(r << 40) | i for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+    bits = n.bit_length()
+    low, twice = (1 << bits) - 1, 2 * bits
+    end, before = list(range(1, n + 2)), list(range(-1, n))
+    heap = [(r << twice) | (i << bits) | (i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
     heapify(heap)
     while heap:
         top = heappop(heap)
-        i = top & 0xFFFFFFFFFF
-        if not live[i] or (j := end[i]) >= n:
-            continue
-        k = end[j]
-        if rank(piece[i:k]) != top >> 40:
+        k = top & low
+        i = (top >> bits) & low
+        j = end[i]
+        if j <= i or j >= k or end[j] != k:
             continue  # one side has merged meanwhile
-        end[i], live[j] = k, 0
+        end[i] = k
+        end[j] = 0
         if k < n:
             before[k] = i
-            if (r := rank(piece[i : end[k]])) is not None:
-                heappush(heap, (r << 40) | i)
-        if (p := before[i]) >= 0 and (r := rank(piece[p:k])) is not None:
-            heappush(heap, (r << 40) | p)
+            z = end[k]
+            if (r := rank(piece[i:z])) is not None:
+                heappush(heap, (r << twice) | (i << bits) | z)
+        p = before[i]
+        if p >= 0 and (r := rank(piece[p:k])) is not None:
+            heappush(heap, (r << twice) | (p << bits) | k)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -111,7 +119,8 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = {r: b for b, r in self.ranks.items()}
+        self.by_id = np.full(max(self.ranks.values(), default=-1) + 1, None, object)
+        self.by_id[list(self.ranks.values())] = list(self.ranks)
         self.whole = PerfectHash(list(self.ranks))
         self.rank_of = [self.ranks[k] for k in self.whole.keys]
         self.split = regex.compile(pattern).findall
@@ -125,20 +134,28 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         known = self.known
         if len(known) > CACHE:
-            known.clear()
+            known.age()
         return list(chain.from_iterable(map(known.__getitem__, self.split(text))))
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of each run of ids."""
+        tokens = self.by_id[flat].tolist()
+        return [b"".join(tokens[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 class _Known(dict):
+    """Ids of the pre-tokens seen lately: what was not asked for during a whole generation is forgotten."""
+
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, {}
+
+    def age(self) -> None:
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, pre_token: str) -> tuple[int, ...]:
-        ids = self.codec.ids(pre_token)
+        ids = self.old.get(pre_token) or self.codec.ids(pre_token)
         if len(pre_token) <= 64:
             self[pre_token] = ids
         return ids
@@ -181,7 +198,10 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(path, pattern)
         for batch in batches:
-            rows = [None if x is None else of.decode(x) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(rows, pa.binary())], names=[*columns, out])
+            lists = batch.column(ids)
+            sizes = np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)])
+            raw = of.decode(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes))
+            rows = pa.array(raw, pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), rows], names=[*columns, out])
 
     return df.select(*columns).mapInArrow(run, schema)
