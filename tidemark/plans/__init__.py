@@ -1,3 +1,3 @@
 """Queries by area; importing this package fills the registry."""
 
-from tidemark.plans import indicators, store  # noqa: F401
+from tidemark.plans import indicators, market, store, strategies  # noqa: F401
