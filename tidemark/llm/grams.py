@@ -13,7 +13,7 @@ SHINGLE = 5
 #: Odd multipliers of the rolling hashes.
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 UPPER, LETTER, ALNUM = 1, 2, 4
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 
 
 @lru_cache(maxsize=1)
