@@ -1,3 +1,3 @@
 """Queries by area; importing this package fills the registry."""
 
-from tidemark.plans import analysis, indicators, market, store, strategies, trading  # noqa: F401
+from tidemark.plans import analysis, indicators, market, store, strategies, streams, text, trading  # noqa: F401
