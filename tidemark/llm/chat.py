@@ -69,7 +69,7 @@ def link(messages: DataFrame) -> DataFrame:
     best = votes.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct(-F.col("depth"), "n", "origin")).alias("reply_to"))
     roots = _roots(common.materialize(best, "replies"))
     linked = keyed.join(roots, ["conv_id", "turn"], "left")
-    body = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^[ \t]*>.*(?:\n|\z)", ""))
+    body = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^[ \t]*>.*(?:\n|\z)", ""), F.lit(" \t\r\n"))
     full = linked.withColumns({"body": body, "thread_turn": F.coalesce("thread_turn", "turn"), "reply_depth": F.coalesce("reply_depth", F.lit(0)).cast("int")})
     placed = _positions(full)
     return placed.withColumn("rendered", F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("body"))).select(*df.columns, *new)

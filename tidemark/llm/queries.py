@@ -46,9 +46,9 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Without quotes a conversation stays in the order of its turns.
 OP6_SQL = """
-select conv_id, turn, role, text, trim(coalesce(text, ''), ' ') as body, cast(null as bigint) as reply_to, turn as thread_turn,
+select conv_id, turn, role, text, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) as body, cast(null as bigint) as reply_to, turn as thread_turn,
        cast(0 as integer) as reply_depth, row_number() over (partition by conv_id order by turn, role, sha256(coalesce(text, ''))) - 1 as position,
-       '<|' || coalesce(role, '') || '|>' || chr(10) || trim(coalesce(text, ''), ' ') as rendered
+       '<|' || coalesce(role, '') || '|>' || chr(10) || trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) as rendered
 from conversations
 """
 
