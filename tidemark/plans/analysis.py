@@ -18,6 +18,8 @@ from tidemark.plans.store import resampled
 from tidemark.sources import driver as d
 
 KEYS = ["symbol", "bar_date"]
+#: Prices lie on half steps of the sixth decimal at times; off them, both engines round alike.
+OFF = 0.00000013
 
 PIVOTS = """, pv0 as (select *, count(high) over c as k, max(high) over c as mh, min(low) over c as ml, min(low) over a as fl, max(high) over a as fh from n
    window c as (partition by symbol order by bar_date rows between 5 preceding and 5 following), a as (partition by symbol order by bar_date rows between current row and 5 following)),
@@ -71,14 +73,14 @@ def _levels(spark, sf):
     return lv.levels(lv.clustered(lv.pivots(bars)), ends, _weekly(spark, sf).select("symbol", "price"))
 
 
-@query("level_strength", with_bars() + LEVELS + " select symbol, origin, round(price, 6) as price, touches, age, round(strength, 6) as strength, kind, confirmed from lvls")
+@query("level_strength", with_bars() + LEVELS + " select symbol, origin, round(price + 0.00000013::double, 6) as price, touches, age, round(strength, 6) as strength, kind, confirmed from lvls")
 def level_strength(spark, sf):
-    return _levels(spark, sf).select("symbol", "origin", F.round("price", 6).alias("price"), "touches", F.col("age").cast("long").alias("age"), F.round("strength", 6).alias("strength"), "kind", "confirmed")
+    return _levels(spark, sf).select("symbol", "origin", F.round(F.col("price") + OFF, 6).alias("price"), "touches", F.col("age").cast("long").alias("age"), F.round("strength", 6).alias("strength"), "kind", "confirmed")
 
 
-@query("find_support_resistance", with_bars() + LEVELS + ", nr as (select *, row_number() over (partition by symbol, kind order by round(strength, 9) desc, price) as place from lvls where abs(distance_pct) <= 25 and strength >= 0.10) select symbol, kind, cast(place as integer) as place, round(price, 6) as price, round(strength, 6) as strength, (origin = 'high') = (kind = 'support') as flipped from nr where place <= 3")
+@query("find_support_resistance", with_bars() + LEVELS + ", nr as (select *, row_number() over (partition by symbol, kind order by round(strength, 9) desc, price) as place from lvls where abs(distance_pct) <= 25 and strength >= 0.10) select symbol, kind, cast(place as integer) as place, round(price + 0.00000013::double, 6) as price, round(strength, 6) as strength, (origin = 'high') = (kind = 'support') as flipped from nr where place <= 3")
 def find_support_resistance(spark, sf):
-    return lv.nearest(_levels(spark, sf)).select("symbol", "kind", "place", F.round("price", 6).alias("price"), F.round("strength", 6).alias("strength"), "flipped")
+    return lv.nearest(_levels(spark, sf)).select("symbol", "kind", "place", F.round(F.col("price") + OFF, 6).alias("price"), F.round("strength", 6).alias("strength"), "flipped")
 
 
 TREND = f""", tr0 as (select *, case when rn >= 20 then avg(close) over {frame(20)} end as s20, case when rn >= 50 then avg(close) over {frame(50)} end as s50, case when rn >= 200 then avg(close) over {frame(200)} end as s200,
@@ -215,7 +217,7 @@ def strike_confluences(spark, sf):
 
 @query("options_context", with_bars("earnings") + LEVELS + """, oc as (select en.symbol, last_close, max(price) filter (where price < last_close and strength >= 0.1) as support, min(price) filter (where price >= last_close and strength >= 0.1) as resistance from en left join lvls using (symbol) group by 1, 2),
 ea as (select symbol, min(report_date) as next_report from earnings where report_date >= date '2000-06-01' group by 1)
-select symbol, round(support, 6) as support, round(resistance, 6) as resistance, cast(next_report - date '2000-06-01' as integer) as days_to_earnings, coalesce(next_report - date '2000-06-01' <= 7, false) as earnings_soon from oc left join ea using (symbol)""")
+select symbol, round(support + 0.00000013::double, 6) as support, round(resistance + 0.00000013::double, 6) as resistance, cast(next_report - date '2000-06-01' as integer) as days_to_earnings, coalesce(next_report - date '2000-06-01' <= 7, false) as earnings_soon from oc left join ea using (symbol)""")
 def options_context(spark, sf):
     found = _levels(spark, sf).filter("strength >= 0.1")
     per = found.groupBy("symbol").agg(F.max(F.when(F.col("kind") == "support", F.col("price"))).alias("support"), F.min(F.when(F.col("kind") == "resistance", F.col("price"))).alias("resistance"))
@@ -223,7 +225,7 @@ def options_context(spark, sf):
     soon = d.earnings(spark, sf).filter(F.col("report_date") >= day).groupBy("symbol").agg(F.min("report_date").alias("next"))
     df = d.bars(spark, sf).select("symbol").distinct().join(per, "symbol", "left").join(soon, "symbol", "left")
     days = F.datediff("next", day)
-    return df.select("symbol", F.round("support", 6).alias("support"), F.round("resistance", 6).alias("resistance"), days.alias("days_to_earnings"), F.coalesce(days <= 7, F.lit(False)).alias("earnings_soon"))
+    return df.select("symbol", F.round(F.col("support") + OFF, 6).alias("support"), F.round(F.col("resistance") + OFF, 6).alias("resistance"), days.alias("days_to_earnings"), F.coalesce(days <= 7, F.lit(False)).alias("earnings_soon"))
 
 
 @query("observations", None)
