@@ -113,12 +113,12 @@ def fibonacci(spark, sf):
 
 
 def regime_frame(spark, sf):
-    """series, bar_date, close (market), vix, oas, equal (a second series), with the components of the composite."""
+    """series, bar_date, close (equal weights), vix, oas, weighted (by volume), with the components of the composite."""
     mkt = d.market(spark, sf).select(F.lit("MKT").alias("series"), "bar_date", "close")
     macro = d.macro(spark, sf).groupBy(F.col("as_of_date").alias("bar_date")).agg(F.max(F.when(F.col("series_code") == "VIX", F.col("value"))).alias("vix"), F.max(F.when(F.col("series_code") == "OAS", F.col("value"))).alias("oas"))
-    equal = d.bars(spark, sf).filter("symbol in ('S1', 'S2', 'S3')").groupBy("bar_date").agg(F.avg("close").alias("equal"))
-    df = mkt.join(macro, "bar_date").join(equal, "bar_date").select("series", "bar_date", "close", "vix", "oas", "equal")
-    df = m.breadth_score(m.trend_score(df), "equal", "close")
+    weighted = d.bars(spark, sf).groupBy("bar_date").agg((F.sum(F.col("close") * F.col("volume")) / F.sum("volume")).alias("weighted"))
+    df = mkt.join(macro, "bar_date").join(weighted, "bar_date").select("series", "bar_date", "close", "vix", "oas", "weighted")
+    df = m.breadth_score(m.trend_score(df), "close", "weighted")
     df = m.credit_stress(df.withColumns({"vol_score": m.calm_score("vix"), "credit_score": m.calm_score("oas"), "oas_z": m.zscore("oas")}), "oas")
     return df.withColumn("composite", m.composite())
 
@@ -128,8 +128,8 @@ def _rank(c: str) -> str:
 
 
 REGIME = with_views("bars", "market", "macro") + f""", mp as (select as_of_date as bar_date, max(value) filter (where series_code = 'VIX') as vix, max(value) filter (where series_code = 'OAS') as oas from macro group by 1),
-eq as (select bar_date, avg(close) as equal from bars where symbol in ('S1', 'S2', 'S3') group by 1),
-g0 as (select 'MKT' as series, bar_date, close, vix, oas, equal, equal / close as r, row_number() over (order by bar_date) as rn from market join mp using (bar_date) join eq using (bar_date)),
+eq as (select bar_date, sum(close * volume) / cast(sum(volume) as double) as weighted from bars group by 1),
+g0 as (select 'MKT' as series, bar_date, close, vix, oas, weighted, close / weighted as r, row_number() over (order by bar_date) as rn from market join mp using (bar_date) join eq using (bar_date)),
 g1 as (select *, case when rn >= 200 then avg(close) over {frame(200, 'series')} end as s, case when rn >= 20 then avg(r) over {frame(20, 'series')} end as a, case when rn >= 200 then avg(r) over {frame(200, 'series')} end as b,
    {_rank('vix')} as vr, {_rank('oas')} as cr, avg(oas) over {frame(252, 'series')} as om, stddev_pop(oas) over {frame(252, 'series')} as od from g0),
 g2 as (select *, lag(s, 20) over (order by bar_date) as s0, lag(oas, 5) over (order by bar_date) as o5 from g1),
@@ -290,12 +290,10 @@ def correction_gap(spark, sf):
     return gaps.groupBy("series").agg(F.count("gap").alias("n"), F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.max("gap").alias("longest"))
 
 
-@query("adx_state", with_tech() + " select symbol, bar_date, case when adx14 < 18 then 'weak' when adx14 < 25 then 'emerging' when adx14 < 40 then 'strong' when adx14 < 60 then 'very_strong' else 'extreme' end as bucket from tech where adx14 is not null and abs(adx14 - 18) > 1e-9 and abs(adx14 - 25) > 1e-9 and abs(adx14 - 40) > 1e-9 and abs(adx14 - 60) > 1e-9")
+@query("adx_state", with_tech() + " select symbol, bar_date, case when round(adx14, 9) < 18 then 'weak' when round(adx14, 9) < 25 then 'emerging' when round(adx14, 9) < 40 then 'strong' when round(adx14, 9) < 60 then 'very_strong' else 'extreme' end as bucket from tech where adx14 is not null")
 def adx_state(spark, sf):
-    a = F.col("adx14")
+    a = F.round("adx14", 9)
     df = ta.with_recursive(d.bars(spark, sf), ["adx14"]).filter(a.isNotNull())
-    for edge in (18, 25, 40, 60):
-        df = df.filter(F.abs(a - edge) > 1e-9)  # on an edge the last bit of the recursion would decide
     return df.select(*KEYS, F.when(a < 18, "weak").when(a < 25, "emerging").when(a < 40, "strong").when(a < 60, "very_strong").otherwise("extreme").alias("bucket"))
 
 

@@ -10,8 +10,6 @@ from tidemark.plans.registry import query
 from tidemark.sources import driver as d
 from tidemark.sources.driver import with_views
 
-DAY = F.to_date
-
 
 def date(text: str):
     return F.lit(text).cast("date")
@@ -82,9 +80,14 @@ def delete_orphans(spark, sf):
 # Provider documents: landed JSON and CSV lines
 
 
-@query("provider_eod", with_views("bars") + " select symbol, bar_date, close, volume, cast(bar_date as timestamp) + to_hours(case when bar_date >= date '1995-01-01' and month(bar_date) between 5 and 9 then 20 else 21 end) as bar_ts from bars where (month(bar_date) in (1, 2, 12) or month(bar_date) between 5 and 9) and volume % 13000 <> 0")
+#: Summer time of the years in the tables: from the first Sunday of April to the last one of October.
+_EOD = with_views("bars") + """, dst as (select *, make_date(year(bar_date), 4, 1) + cast((7 - isodow(make_date(year(bar_date), 4, 1))) % 7 as integer) as a, make_date(year(bar_date), 10, 31) - cast(isodow(make_date(year(bar_date), 10, 31)) % 7 as integer) as b from bars)
+select symbol, bar_date, close, volume, cast(bar_date as timestamp) + to_hours(case when bar_date >= a and bar_date < b then 20 else 21 end) as bar_ts from dst where volume % 13000 <> 0"""
+
+
+@query("provider_eod", _EOD)
 def provider_eod(spark, sf):
-    b = d.bars(spark, sf).filter("month(bar_date) in (1, 2, 12) or month(bar_date) between 5 and 9")
+    b = d.bars(spark, sf)
     landed = b.select(F.to_json(F.struct(F.when(F.col("volume") % 13000 != 0, F.col("symbol")).alias("code"), F.col("bar_date").cast("string").alias("date"), "close", "volume")).alias("line"))
     return _eod(landed)
 
@@ -121,9 +124,9 @@ def provider_macro(spark, sf):
     return row.select("series_code", F.col("r.date").cast("date").alias("as_of_date"), F.col("r.value").try_cast("double").alias("value")).filter("value is not null")
 
 
-@query("source_csv", with_views("bars") + " select symbol, bar_date, close, volume from bars where symbol in ('S1', 'S2')")
+@query("source_csv", with_views("bars") + " select symbol, bar_date, close, volume from bars")
 def source_csv(spark, sf):
-    lines = d.bars(spark, sf).filter(F.col("symbol").isin("S1", "S2")).select(F.concat_ws(",", "bar_date", "symbol", "close", "volume").alias("line"))
+    lines = d.bars(spark, sf).select(F.concat_ws(",", "bar_date", "symbol", "close", "volume").alias("line"))
     return lines.select(F.from_csv("line", "bar_date date, symbol string, close double, volume long").alias("r")).select("r.symbol", "r.bar_date", "r.close", "r.volume")
 
 
@@ -162,9 +165,9 @@ def sink_export_json(spark, sf):
     return per.select("symbol", F.to_json(F.struct("symbol", "n", "qty")).alias("doc"))
 
 
-@query("sink_export_csv", with_views("bars") + " select bar_date, string_agg(symbol || ',' || cast(volume as varchar), ';' order by symbol) as line from bars where bar_date between date '1998-01-01' and date '1998-01-31' group by 1")
+@query("sink_export_csv", with_views("bars") + " select bar_date, string_agg(symbol || ',' || cast(volume as varchar), ';' order by symbol) as line from bars group by 1")
 def sink_export_csv(spark, sf):
-    b = d.bars(spark, sf).filter(F.col("bar_date").between(date("1998-01-01"), date("1998-01-31")))
+    b = d.bars(spark, sf)
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol", "volume"))), lambda x: F.concat_ws(",", x["symbol"], x["volume"].cast("string"))), ";")
     return b.groupBy("bar_date").agg(line.alias("line"))
 

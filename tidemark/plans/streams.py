@@ -20,36 +20,36 @@ def _shared(spark: SparkSession) -> str:
     return f"{base}/tidemark/stream-{uuid.uuid4().hex}"
 
 
-def _landed(df: DataFrame, folder: str) -> DataFrame:
+def _landed(df: DataFrame, folder: str, files: int = 8) -> DataFrame:
     df.write.parquet(f"{folder}/in")
-    return st.landed(df.sparkSession, f"{folder}/in", df.schema)
+    return st.landed(df.sparkSession, f"{folder}/in", df.schema, files)
 
 
 def _bars(spark, sf) -> DataFrame:
-    b = d.bars(spark, sf).filter("symbol in ('S1', 'S2', 'S3')")
+    b = d.bars(spark, sf)
     return b.withColumn("bar_ts", F.col("bar_date").cast("timestamp")).drop("bar_date", "adj_close")
 
 
-@query("stream_weekly_bars", with_views("bars") + " select symbol, cast(date_trunc('week', bar_date) as date) as week, arg_min(open, bar_date) as open, max(high) as high, min(low) as low, arg_max(close, bar_date) as close, cast(sum(volume) as bigint) as volume from bars where symbol in ('S1', 'S2', 'S3') group by 1, 2")
+@query("stream_weekly_bars", with_views("bars") + " select symbol, cast(date_trunc('week', bar_date) as date) as week, arg_min(open, bar_date) as open, max(high) as high, min(low) as low, arg_max(close, bar_date) as close, cast(sum(volume) as bigint) as volume from bars group by 1, 2")
 def stream_weekly_bars(spark, sf):
     folder = _shared(spark)
     return st.run_to_end(st.weekly(_landed(_bars(spark, sf), folder)), f"{folder}/state", f"{folder}/out", "complete")
 
 
-@query("stream_dedupe", with_views("bars") + " select symbol, bar_date, close from bars where symbol in ('S1', 'S2', 'S3')")
+@query("stream_dedupe", with_views("bars") + " select symbol, bar_date, close from bars")
 def stream_dedupe(spark, sf):
     folder = _shared(spark)
     b = _bars(spark, sf)
-    out = st.run_to_end(st.deduplicated(_landed(b.unionAll(b).coalesce(1), folder), "3000 days"), f"{folder}/state", f"{folder}/out")
+    out = st.run_to_end(st.deduplicated(_landed(b.unionAll(b), folder), "3000 days"), f"{folder}/state", f"{folder}/out")
     return out.select("symbol", F.col("bar_ts").cast("date").alias("bar_date"), "close")
 
 
-@query("stream_alerts", with_views("bars", "watchlist") + ", m as (select w.item_id, b.bar_date, b.close from watchlist w join bars b using (symbol) where w.symbol in ('S1', 'S2', 'S3') and w.alert_enabled and case w.direction when 'above' then b.close >= w.target_price when 'below' then b.close <= w.target_price else false end) select item_id, cast(min(bar_date) as timestamp) as fired_at, arg_min(close, bar_date) as close from m group by 1")
+@query("stream_alerts", with_views("bars", "watchlist") + ", m as (select w.item_id, b.bar_date, b.close from watchlist w join bars b using (symbol) where w.alert_enabled and case w.direction when 'above' then b.close >= w.target_price when 'below' then b.close <= w.target_price else false end) select item_id, cast(min(bar_date) as timestamp) as fired_at, arg_min(close, bar_date) as close from m group by 1")
 def stream_alerts(spark, sf):
     folder = _shared(spark)
     items = d.watchlist(spark, sf).filter("alert_enabled").select("item_id", "symbol", "target_price", "direction")
     hit = F.when(F.col("direction") == "above", F.col("close") >= F.col("target_price")).when(F.col("direction") == "below", F.col("close") <= F.col("target_price")).otherwise(False)
     ticks = _bars(spark, sf).join(items, "symbol").select("item_id", F.col("target_price").alias("target"), "bar_ts", "close", F.coalesce(hit, F.lit(False)).alias("met"))
-    # One file: all ticks of an item come in one trigger, so the first one is the earliest.
-    out = st.run_to_end(st.alerts(_landed(ticks.filter("target is not null").coalesce(1), folder)), f"{folder}/state", f"{folder}/out")
+    # All files in one trigger: the first tick of an item is then the earliest.
+    out = st.run_to_end(st.alerts(_landed(ticks.filter("target is not null"), folder, 100_000)), f"{folder}/state", f"{folder}/out")
     return out.select("item_id", F.col("fired_at").cast("timestamp_ntz").alias("fired_at"), "close")

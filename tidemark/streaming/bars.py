@@ -57,6 +57,6 @@ def run_to_end(df: DataFrame, checkpoint: str, out: str, mode: str = "append") -
     return df.sparkSession.read.parquet(out)
 
 
-def landed(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """A stream of the parquet files that land in a folder, one file a trigger at most."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(folder)
+def landed(spark: SparkSession, folder: str, schema, files: int = 8) -> DataFrame:
+    """A stream of the parquet files that land in a folder, so many of them in a trigger at most."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
