@@ -16,17 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, bar_date, open, high, low, close, adj_close, volume: one row for each supplier and ship date."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("bar_date"), F.col("l_quantity").cast("long").alias("q"), "l_linenumber", "l_partkey")
+    # The symbol is there before the first shuffle, so that later groups and windows by symbol can share one.
+    symbol = F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol")
+    lines = table(spark, sf_dir, "lineitem").select(symbol, F.col("l_shipdate").cast("date").alias("bar_date"), F.col("l_quantity").cast("long").alias("q"), "l_linenumber", "l_partkey")
     z = F.sum(F.col("q") * (F.col("l_linenumber") + 1) + F.col("l_partkey")).alias("z")
-    daily = lines.groupBy("l_suppkey", "bar_date").agg(z, F.sum("q").alias("q"))
-    by_day = Window.partitionBy("l_suppkey").orderBy("bar_date")
+    daily = lines.groupBy("symbol", "bar_date").agg(z, F.sum("q").alias("q"))
+    by_day = Window.partitionBy("symbol").orderBy("bar_date")
     ret = (((F.col("z") * 7919) % 41 - 20) * F.lit("0.001").cast("decimal(4,3)")).cast("decimal(9,6)")
     path = F.sum("ret").over(by_day.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
     priced = daily.withColumn("ret", ret).withColumn("close", F.floor(100 * F.exp(path) * 1024) / F.lit(1024.0))
     gap = ((F.col("z") % 11) - 5) * F.lit(0.0005)
     opened = priced.withColumn("open", F.coalesce(F.lag("close").over(by_day), F.lit(100.0)) * (1 + gap))
     return opened.select(
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
+        "symbol",
         "bar_date",
         "open",
         (F.greatest("open", "close") * (1 + (F.col("z") % 7) * F.lit(0.001))).alias("high"),
