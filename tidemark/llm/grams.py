@@ -12,7 +12,7 @@ import numpy as np
 SHINGLE = 5
 #: Odd multipliers of the rolling hashes.
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-UPPER, LETTER, ALNUM = 1, 2, 4
+UPPER, LETTER, ALNUM, SPACE = 1, 2, 4, 8
 _CHUNK = 1_000_000
 
 
@@ -25,6 +25,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         c = chr(i)
         if c.isalnum():
             flags[i] = ALNUM | (LETTER if c.isalpha() else 0) | (UPPER if c.isupper() else 0)
+        elif c.isspace():
+            flags[i] = SPACE
     with np.errstate(over="ignore"):
         return flags, mixed(np.arange(1, n + 1, dtype=np.uint64))
 
@@ -81,6 +83,14 @@ class Texts:
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the runs without white space, less signs on both sides; runs of signs stay whole."""
+        starts, ends = self.spans((self.flags & SPACE) == 0)
+        plain = np.append(np.flatnonzero(self.flags & ALNUM), len(self.flags))
+        first, behind = np.searchsorted(plain, starts), np.searchsorted(plain, ends)
+        has = behind > first
+        return np.where(has, plain[first], starts), np.where(has, plain[behind - 1] + 1, ends)
+
     def text_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, positions, "right")
 
