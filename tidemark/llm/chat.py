@@ -53,7 +53,8 @@ def link(messages: DataFrame) -> DataFrame:
     """
     new = ["body", "reply_to", "thread_turn", "reply_depth", "position", "rendered"]
     df = messages.drop(*new)
-    keyed = common.materialize(df.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256)), "messages")
+    # Written once, with a number for each row: what follows moves keys, and the texts come back at the end.
+    keyed = common.materialize(df.withColumns({"__key": F.sha2(F.coalesce("text", F.lit("")), 256), "__id": F.monotonically_increasing_id()}), "messages")
     quoting = F.coalesce(F.col("text"), F.lit("")).rlike(r"(?m)^[ \t]*>")
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     # Only conversations in which someone quotes are looked into; equal texts are parsed once.
@@ -68,11 +69,12 @@ def link(messages: DataFrame) -> DataFrame:
     votes = found.groupBy("conv_id", "turn", "depth", "origin").agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("conv_id", "turn").agg(F.max_by("origin", F.struct(-F.col("depth"), "n", "origin")).alias("reply_to"))
     roots = _roots(common.materialize(best, "replies"))
-    linked = keyed.join(roots, ["conv_id", "turn"], "left")
+    thin = keyed.select("__id", "conv_id", "turn", "role", "__key").join(roots, ["conv_id", "turn"], "left")
+    thin = thin.withColumns({"thread_turn": F.coalesce("thread_turn", "turn"), "reply_depth": F.coalesce("reply_depth", F.lit(0)).cast("int")})
+    placed = _positions(thin).select("__id", "reply_to", "thread_turn", "reply_depth", "position")
     body = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^[ \t]*>.*(?:\n|\z)", ""), F.lit(" \t\r\n"))
-    full = linked.withColumns({"body": body, "thread_turn": F.coalesce("thread_turn", "turn"), "reply_depth": F.coalesce("reply_depth", F.lit(0)).cast("int")})
-    placed = _positions(full)
-    return placed.withColumn("rendered", F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("body"))).select(*df.columns, *new)
+    full = keyed.join(placed, "__id").withColumn("body", body)
+    return full.withColumn("rendered", F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("body"))).select(*df.columns, *new)
 
 
 def _roots(replies: DataFrame) -> DataFrame:

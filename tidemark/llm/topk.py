@@ -43,7 +43,8 @@ def _packed(df: DataFrame, rows: int, block: str) -> DataFrame:
         kind = next(k for k in ("int8", "int16", "int32", "int64") if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
         return pa.table({"dim": group.column("dim")[:1], block: group.column(block)[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "kind": pa.array([kind]), "values": pa.array([values.astype(kind).tobytes()], pa.binary())})
 
-    dealt = df.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id", F.lit(block)), F.lit(n)).cast("int").alias(block), "id", "v")
+    # Dealt by the number of the row, not its id: rows that repeat an id go to different blocks.
+    dealt = df.select(F.size("v").alias("dim"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias(block), "id", "v")
     return dealt.groupBy("dim", block).applyInArrow(pack, f"dim int, {block} int, ids binary, kind string, values binary")
 
 
