@@ -183,6 +183,21 @@ def test_packing_of_nothing_and_many_lengths(spark, monkeypatch):
     assert packing.pack(df, "n", "doc_id", buckets=4).filter("n > bucket_length").count() == 0
 
 
+def test_one_long_text_leaves_the_borders_of_least_padding(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_BINS", 50)
+    lengths = [*range(1, 301), 5_000_000]
+    counts = [1 + (7 * x) % 5 for x in lengths]
+    df = spark.createDataFrame([(i, x) for i, (x, c) in enumerate((x, c) for x, c in zip(lengths, counts) for _ in range(c))], "doc_id long, n long")
+    got = packing.pack(df, "n", "doc_id", buckets=4).agg(F.sum(F.col("bucket_length") - F.col("n"))).first()[0]
+    c, t = [0], [0]
+    for x, k in zip(lengths, counts):
+        c.append(c[-1] + k), t.append(t[-1] + x * k)
+    best = [0] + [math.inf] * len(lengths)
+    for _ in range(4):
+        best = [0] + [min(best[i] + lengths[j - 1] * (c[j] - c[i]) - (t[j] - t[i]) for i in range(j)) for j in range(1, len(best))]
+    assert got == best[-1]
+
+
 def test_word_tokens(spark):
     df = spark.createDataFrame([("Hello, world!",), ("",), (None,), ("naïve  2 b's",)], "t string")
     assert [r[0] for r in df.select(packing.word_tokens(F.col("t"))).collect()] == [4, 0, 0, 5]
