@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from datetime import date
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,47 +148,63 @@ def base_rates(bars: DataFrame, hold: int = 10) -> DataFrame:
 FILLS = "run string, symbol string, entry_date date, entry double, exit_date date, exit double, qty long, pnl double, reason string"
 
 
+ORDERS = "run string, symbol string, bps double, signal_date date, score double, qty long, entry_date date, entry double, exit_date date, exit double, reason string"
+
+
+def _orders(hold: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_date", ignore_index=True)
+        day, after, open_, close, low = (pdf[c].tolist() for c in ("bar_date", "next", "open", "close", "low"))
+        signal, leave, stop, qty, score = (pdf[c].tolist() for c in ("signal", "leave", "stop", "qty", "score"))
+        n, out = len(pdf), []
+        # An order fills on the run's next day or never, also where the symbol has later bars.
+        fills = [i + 1 < n and day[i + 1] == after[i] for i in range(n)]
+        for i in range(n):
+            if not signal[i] or not fills[i]:
+                continue
+            at, price, why = day[-1], close[-1], "end"
+            for j in range(i + 1, n):
+                reason = "stop" if low[j] <= stop[i] else "rule" if leave[j] else "time" if j - i >= hold else ""
+                if reason and fills[j]:
+                    at, price, why = day[j + 1], open_[j + 1], reason
+                    break
+            out.append((pdf["run"].iloc[0], pdf["symbol"].iloc[0], pdf["bps"].iloc[0], day[i], score[i], int(qty[i]), day[i + 1], open_[i + 1], at, price, why))
+        return pd.DataFrame(out, columns=["run", "symbol", "bps", "signal_date", "score", "qty", "entry_date", "entry", "exit_date", "exit", "reason"])
+
+    return run
+
+
 def backtest(days: DataFrame, cash: float = 1_000_000.0, bps: float = 5.0, hold: int = 10, most: int = 15) -> DataFrame:
     """Fills of portfolio runs over days: run, symbol, bar_date, open, close, low, signal, leave, stop, qty, score.
 
-    A portfolio is one sequential state, so a run is one group; runs (strategies, parameters) are the
-    parallel part. Orders fill at the next day's open with slippage, exits before entries, entries in
-    order of score; an order without a bar or without cash is dropped. A low at or under the stop sells at
-    the next open. What is open at the end is closed at the last close. Only rows that a run may trade or
-    hold need to be in days.
+    A column bps of days, one value a run, takes the place of the argument. Each signal's exit depends on
+    its symbol's bars only, so exits are found by run and symbol; a portfolio is one sequential state, so a
+    run is then one group, of one row for each signal. Orders fill at the next day's open with slippage,
+    exits before entries, entries in order of score; an order without a bar or without cash is dropped. A
+    low at or under the stop sells at the next open. What is open at the end is closed at the last close.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["bar_date", "score", "symbol"], ascending=[True, False, True], na_position="last")
-        money, held, sells, buys, out = cash, {}, {}, [], []
-        last_close: dict = {}
-        for day, rows in pdf.groupby("bar_date", sort=True):
-            today = {r.symbol: r for r in rows.itertuples()}
-            for s, reason in sells.items():
-                if s in today and s in held:
-                    e = held.pop(s)
-                    price = today[s].open * (1 - bps / 1e4)
-                    money += price * e[2]
-                    out.append((pdf["run"].iloc[0], s, e[0], e[1], day, price, e[2], (price - e[1]) * e[2], reason))
-            for s, stop, qty in buys:
-                if s in today and s not in held and len(held) < most:
-                    price = today[s].open * (1 + bps / 1e4)
-                    if price * qty <= money:
-                        money -= price * qty
-                        held[s] = [day, price, qty, stop, 0]
-            sells, buys = {}, []
-            for s, r in today.items():
-                last_close[s] = (day, r.close)
-                if s in held:
-                    held[s][4] += 1
-                    reason = "stop" if r.low <= held[s][3] else "rule" if r.leave else "time" if held[s][4] >= hold else ""
-                    if reason:
-                        sells[s] = reason
-                elif r.signal:
-                    buys.append((s, r.stop, int(r.qty)))
-        for s, e in held.items():
-            day, price = last_close[s]
-            out.append((pdf["run"].iloc[0], s, e[0], e[1], day, price, e[2], (price - e[1]) * e[2], "end"))
+        pdf = pdf.sort_values(["entry_date", "score", "symbol"], ascending=[True, False, True], na_position="last")
+        money, open_until, exits, held, out = cash, {}, [], 0, []
+        for k, r in enumerate(pdf.itertuples(index=False)):
+            while exits and exits[0][0] <= r.entry_date:
+                money += heapq.heappop(exits)[2]
+                held -= 1
+            paid = r.entry * (1 + r.bps / 1e4)
+            # A signal counts only on days on which its symbol isn't held.
+            if (r.symbol in open_until and r.signal_date < open_until[r.symbol]) or held >= most or not paid * r.qty <= money:
+                continue
+            ended = r.reason == "end"
+            price = r.exit if ended else r.exit * (1 - r.bps / 1e4)
+            money, held = money - paid * r.qty, held + 1
+            open_until[r.symbol] = date.max if ended else r.exit_date
+            if not ended:
+                heapq.heappush(exits, (r.exit_date, k, price * r.qty))
+            out.append((r.run, r.symbol, r.entry_date, paid, r.exit_date, price, r.qty, (price - paid) * r.qty, r.reason))
         return pd.DataFrame(out, columns=["run", "symbol", "entry_date", "entry", "exit_date", "exit", "qty", "pnl", "reason"])
 
-    return days.groupBy("run").applyInPandas(run, FILLS)
+    if "bps" not in days.columns:
+        days = days.withColumn("bps", F.lit(float(bps)))
+    calendar = days.select("run", "bar_date").distinct().withColumn("next", F.lead("bar_date").over(Window.partitionBy("run").orderBy("bar_date")))
+    return days.join(calendar, ["run", "bar_date"]).groupBy("run", "symbol").applyInPandas(_orders(hold), ORDERS).groupBy("run").applyInPandas(run, FILLS)

@@ -204,8 +204,8 @@ def backtest_run(spark, sf):
     # Bars that can't be traded or held add nothing: those of symbols that never signal.
     traded = days.filter("signal").select("symbol").distinct()
     thin = days.join(traded, "symbol", "left_semi").select("symbol", "bar_date", "open", "close", "low", "signal", "leave", "stop", "qty", "score")
-    runs = thin.withColumn("run", F.explode(F.array(F.lit("bps=5"), F.lit("bps=0"))))
-    return t.backtest(runs.filter("run = 'bps=5'")).unionByName(t.backtest(runs.filter("run = 'bps=0'"), bps=0.0))
+    runs = F.explode(F.array(*[F.struct(F.lit(f"bps={b}").alias("run"), F.lit(float(b)).alias("bps")) for b in (5, 0)]))
+    return t.backtest(thin.withColumn("__run", runs).select("*", "__run.*").drop("__run"))
 
 
 @query("per_day_scores", with_tech() + " select symbol, bar_date, case when rn < 220 then 'warmup' when rsi2 is null then 'abstained' else 'scored' end as phase, case when rn >= 220 then round(1 - rsi2 / 10, 6) end as score from tech")
