@@ -10,7 +10,7 @@ import numpy as np
 
 #: Words in a shingle or window.
 SHINGLE = 5
-#: Odd multipliers of the rolling hashes.
+#: Odd multipliers of the hashes.
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 UPPER, LETTER, ALNUM, SPACE = 1, 2, 4, 8
 _CHUNK = 1_000_000
@@ -37,14 +37,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    up, down = np.full(n, BASE), np.full(n, inverse)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
 def chunks(texts: list[str], most: int = 4096) -> Iterator[tuple[int, list[str]]]:
     """(first index, texts) in pieces of some _CHUNK characters; a longer text is a piece of its own."""
     start, size = 0, 0
@@ -68,15 +60,30 @@ class Texts:
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
         self.flags = _tables()[0][self.codes]
-        need = 1 << max(16, int(len(self.codes) + 1).bit_length())
-        up, self._down = _powers(need)
-        with np.errstate(over="ignore"):
-            self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_tables()[1][self.codes] * up[: len(self.codes)], dtype=np.uint64)])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each span of characters; equal spans have equal hashes wherever they stand."""
-        with np.errstate(over="ignore"):
-            return mixed((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+        """A 64-bit hash of each span, none empty; equal spans have equal hashes wherever they stand.
+
+        Each character is mixed with its place in the span and the results are summed. (A polynomial in
+        the place, modulo a power of two, gives long texts of a regular kind equal hashes.)
+        """
+        out = np.zeros(len(starts), np.uint64)
+        sizes = ends - starts
+        upto = np.cumsum(sizes)
+        first = 0
+        while first < len(starts):
+            # Pieces of some _CHUNK characters; a longer span is a piece of its own.
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + _CHUNK, "right")))
+            n = sizes[first:last]
+            heads = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(heads, n)
+            with np.errstate(over="ignore"):
+                x = _tables()[1][self.codes[np.repeat(starts[first:last], n) + place]] + place.astype(np.uint64) * STEP
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                x ^= x >> np.uint64(32)
+                out[first:last] = mixed(np.add.reduceat(x, heads) + n.astype(np.uint64))
+            first = last
+        return out
 
     def spans(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the maximal runs of True."""
