@@ -4,13 +4,13 @@ Base rules reject outright. For all other texts a score in [0, 1] is learned on
 rows; on the other half, exact binomial bounds decide which cutoffs reject at most a stated share of good
 texts, in each stratum by itself, corrected for all cutoffs and strata that are tried. Among the certified
 cutoffs of a stratum the one that errs least on the holdout is used; a stratum without a certified cutoff
-rejects nothing beyond the base rules.
+rejects nothing beyond the base rules. The bound takes the texts of the holdout as drawn independently of
+those of the other half: equal texts share a half, but near copies of a text may be in both.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +24,10 @@ from tidemark.llm import common, grams
 
 #: Share of good texts that a stratum may lose, and the chance that any stratum loses more.
 RISK, DELTA = 0.02, 0.05
-#: Bins of a signal, cutoffs of the score, strata at most (those with most labelled rows).
-BINS, CUTOFFS, MOST_STRATA = 16, 64, 256
+#: Bins of a signal, cutoffs of the score.
+BINS, CUTOFFS = 16, 64
+#: So many cutoffs are broadcast at most; more are joined by a shuffle.
+BROADCAST = 65_536
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bangs", "n_distinct")
 _SPACE = np.array([0x20, 9, 10, 11, 12, 13], np.uint32)
 _SYMBOLS = np.array([ord(c) for c in "#*$%&|<>"], np.uint32)
@@ -142,39 +144,49 @@ def upper_bound(failures: int, trials: int, alpha: float) -> float:
     return high
 
 
-def cutoffs(histogram: dict[str, tuple[np.ndarray, np.ndarray]], risk: float = RISK, delta: float = DELTA) -> dict[str, int]:
-    """stratum -> cutoff (a bin of the score: texts in it or above are rejected), from (good, bad) counts by bin."""
-    alpha = delta / max(1, len(histogram) * (CUTOFFS - 1))
-    out = {}
-    for stratum, (good, bad) in histogram.items():
-        lost, caught, n = np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1], int(good.sum())
-        sure = [c for c in range(1, CUTOFFS) if caught[c] > 0 and lost[c] <= risk * n and upper_bound(int(lost[c]), n, alpha) <= risk]
-        if sure:
-            gain = {c: int(caught[c]) - 2 * int(lost[c]) for c in sure}
-            best = [c for c in sure if gain[c] == max(gain.values())]
-            out[stratum] = best[len(best) // 2]
-    return out
+def cutoff(good: np.ndarray, bad: np.ndarray, strata: int, risk: float = RISK, delta: float = DELTA) -> int | None:
+    """The cutoff of one of `strata` strata (a bin of the score: texts in it or above go), from its counts by bin, or None."""
+    alpha = delta / max(1, strata * (CUTOFFS - 1))
+    lost, caught, n = np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1], int(good.sum())
+    sure = [c for c in range(1, CUTOFFS) if caught[c] > 0 and lost[c] <= risk * n and upper_bound(int(lost[c]), n, alpha) <= risk]
+    if not sure:
+        return None
+    gain = {c: int(caught[c]) - 2 * int(lost[c]) for c in sure}
+    best = [c for c in sure if gain[c] == max(gain.values())]
+    return best[len(best) // 2]
+
+
+def _cutoffs(strata: int, risk: float, delta: float):
+    """For the histogram of one stratum (stratum, good, at, n): its stratum and cutoff, if it has one."""
+
+    def run(group: pa.Table) -> pa.Table:
+        counts = np.zeros((2, CUTOFFS), np.int64)
+        np.add.at(counts, (np.asarray(group.column("good")), np.asarray(group.column("at"))), np.asarray(group.column("n")))
+        found = cutoff(counts[1], counts[0], strata, risk, delta)
+        return pa.table({"stratum": group.column("stratum").slice(0, found is not None), "at": pa.array([found][: found is not None], pa.int32())})
+
+    return run
 
 
 @dataclass(frozen=True)
 class Rules:
-    """What fit() learned: counts of (signal, bin, good), of all good and bad texts, and cutoffs by stratum."""
+    """What fit() learned: counts of (signal, bin, good), of all good and bad texts, and cutoffs by stratum (stratum, at)."""
 
     table: dict
     total: dict
-    chosen: dict
+    chosen: DataFrame
 
     def apply(self, measured: DataFrame, stratum: str = "lang") -> DataFrame:
         """measured with badness (double, 0 to 1), cutoff (double or null), base_failed, kept."""
         named = signals()
-        limit = F.lit(None).cast("double")
-        if self.chosen:
-            pairs = [v for s, c in sorted(self.chosen.items()) for v in (F.lit(s), F.lit(c / CUTOFFS))]
-            limit = F.try_element_at(F.create_map(*pairs), _level(stratum))
         binned = measured.withColumns({f"__{s}": _bin(x, BINS) for s, x in named.items()}).withColumn("badness", _badness(self.table, self.total, list(named), "__"))
+        limits = self.chosen.select(F.col("stratum").alias("__stratum"), (F.col("at") / CUTOFFS).alias("cutoff"))
+        if limits.count() <= BROADCAST:
+            limits = F.broadcast(limits)
+        joined = binned.withColumn("__level", _level(stratum)).join(limits, F.col("__level") == F.col("__stratum"), "left")
         below = F.col("cutoff").isNull() | (_bin(F.col("badness"), CUTOFFS) < F.round(F.col("cutoff") * CUTOFFS))
-        out = binned.withColumn("cutoff", limit).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & below)
-        return out.drop(*[f"__{s}" for s in named])
+        out = joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & below)
+        return out.drop("__level", "__stratum", *[f"__{s}" for s in named])
 
 
 def _level(stratum: str) -> Column:
@@ -188,7 +200,7 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str =
     certify a cutoff, no stratum has a cutoff.
     """
     named = signals()
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias(key)).agg(F.max("quality").cast("int").alias("__good"))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias(key)).agg(F.max((F.col("quality") > 0).cast("int")).alias("__good"))
     judged = rows.filter(~base_failed()).join(known, key)
     picked = judged.select("text_hash", "__good", _level(stratum).alias("stratum"), *[_bin(x, BINS).alias(s) for s, x in named.items()])
     # One row for each text; the hash of the text decides its half.
@@ -200,11 +212,10 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str =
     total = {g: sum(n for (s, _, h), n in table.items() if h == g and s == "symbols") for g in (0, 1)}
     badness = _badness(table, total, list(named))
     held = once.filter(~first).groupBy("stratum", "good", _bin(badness, CUTOFFS).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    largest = held.groupBy("stratum").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "stratum").limit(MOST_STRATA).select("stratum")
-    histogram: dict = defaultdict(lambda: (np.zeros(CUTOFFS, np.int64), np.zeros(CUTOFFS, np.int64)))
-    for r in held.join(F.broadcast(largest), "stratum").collect():
-        histogram[r.stratum][0 if r.good else 1][r["at"]] += r.n
-    return Rules(table, total, cutoffs(dict(histogram), risk, delta))
+    held = common.materialize(held, "held-out")
+    strata = held.select("stratum").distinct().count()
+    chosen = held.groupBy("stratum").applyInArrow(_cutoffs(strata, risk, delta), "stratum string, at int")
+    return Rules(table, total, common.materialize(chosen, "cutoffs"))
 
 
 def judge(documents: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:

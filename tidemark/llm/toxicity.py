@@ -1,9 +1,10 @@
 """Toxicity by a weighted lexicon of word stems, matched by one Aho-Corasick automaton.
 
 Texts are folded first: lower case, homoglyphs and accents to plain letters, digits to the letters they
-stand for. The lexicon is learned from labelled rows by covering: stems that mark many of the toxic
-texts come first, and the next round looks only at toxic texts that no stem explains yet, so words that
-merely ride along in copies of one text stay out.
+stand for, white space to single blanks. The lexicon is learned from labelled rows by covering: stems that
+mark many of the toxic texts come first, and the next round looks only at toxic texts that no stem explains
+yet, so words that merely ride along in copies of one text stay out. A stem is a word's beginning of STEM
+letters, or a whole word that has fewer or more letters than any such beginning.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,8 +31,10 @@ HOMOGLYPHS = {"a": "аαɑ@4", "b": "ьβ", "c": "сϲ", "d": "ԁ", "e": "еεҽ
 SEED = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting")
 #: Stems inside these phrases don't count.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown car", "pathetic fallacy", "stupid question")
-#: Labelled rows that learning reads, about; stems have so many letters; rounds of covering; stems kept of a round.
-MOST_ROWS, STEM, ROUNDS, MOST_STEMS = 16_384, (4, 14), 6, 500
+#: Labelled rows that learning reads, about; letters of a stem that is no whole word; ends the stem of a whole word.
+MOST_ROWS, STEM, WHOLE = 16_384, (4, 14), " "
+#: Rounds of covering end when so small a share of the toxic texts is left without a stem.
+LEFT = 0.01
 #: A stem is so many times as frequent in toxic texts as in clean ones.
 LIFT = 30
 THRESHOLD = 0.3
@@ -47,11 +51,19 @@ def _folding() -> dict[int, str]:
     for i in range(0xFF21, 0xFF5B):
         table[i] = unicodedata.normalize("NFKC", chr(i)).lower()
     table |= {ord(c): letter for letter, signs in HOMOGLYPHS.items() for c in signs}
-    return table | {i: None for i in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
+    marks = [i for i in range(0x300, 0x3000) if unicodedata.category(chr(i)) == "Mn"]
+    return table | dict.fromkeys((*marks, *range(0xFE20, 0xFE30), 0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 
 
 def fold(text: str) -> str:
-    return text.lower().translate(_folding())
+    return " ".join(text.lower().translate(_folding()).split())
+
+
+def stems_of(folded: str) -> set[str]:
+    """The stems that a folded text has."""
+    low, high = STEM
+    words = set(_WORD.findall(folded))
+    return {w[:k] for w in words for k in range(low, min(len(w), high) + 1)} | {w + WHOLE for w in words if not low <= len(w) <= high}
 
 
 @dataclass(frozen=True)
@@ -69,32 +81,44 @@ def _automaton(model: Model):
 
     found = ahocorasick.Automaton()
     for stem, weight in model.stems:
-        found.add_word(stem, (len(stem), weight))
+        word = stem.removesuffix(WHOLE)
+        found.add_word(word, (len(word), weight, stem.endswith(WHOLE)))
     for phrase in map(fold, model.exceptions):
         if not found.exists(phrase):
-            found.add_word(phrase, (len(phrase), None))
+            found.add_word(phrase, (len(phrase), None, False))
     if len(found):
         found.make_automaton()
     return found
 
 
 def raw(model: Model, text: str) -> tuple[float, int]:
-    """The weight of a text's matches over its length norm, and the number of matches."""
+    """The weight of a text's matches over its length norm, and the number of matches.
+
+    A match starts at the start of a word, that of a whole word also ends where the word does, and none lies
+    within an exception phrase. Of the matches at one place the heaviest counts.
+    """
     automaton = _automaton(model)
     if not text or not len(automaton):
         return 0.0, 0
     folded, hits, spared = fold(text), [], []
-    for end, (size, weight) in automaton.iter(folded):
+    for end, (size, weight, whole) in automaton.iter(folded):
         start = end - size + 1
         if start and folded[start - 1].isalpha():
-            continue  # not at the start of a word
+            continue
+        if whole and end + 1 < len(folded) and folded[end + 1].isalpha():
+            continue
         (spared if weight is None else hits).append((start, end, weight))
-    if spared:
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+    # Of the phrases that start at a place or before it, the one that reaches farthest decides.
+    spared.sort()
+    starts, reach = [a for a, _, _ in spared], []
+    for _, b, _ in spared:
+        reach.append(max(b, reach[-1] if reach else b))
     best: dict[int, float] = {}
-    for start, _, weight in hits:  # one match at a place: the heaviest stem
-        best[start] = max(weight, best.get(start, 0.0))
-    return sum(best.values()) / (1 + len(text.split()) / 200) ** 0.25, len(best)
+    for start, end, weight in hits:
+        at = bisect_right(starts, start)
+        if not at or reach[at - 1] < end:
+            best[start] = max(weight, best.get(start, 0.0))
+    return sum(best.values()) / (1 + (folded.count(" ") + 1) / 200) ** 0.25, len(best)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -108,8 +132,7 @@ def _features(stems: frozenset):
         toxic, clean = Counter(), Counter()
         for batch in batches:
             for text, label in zip(common.texts_of(batch), batch.column("toxic").to_pylist()):
-                words = set(_WORD.findall(fold(text)))
-                found = {w[:k] for w in words for k in range(STEM[0], min(len(w), STEM[1]) + 1)}
+                found = stems_of(fold(text))
                 if not label:
                     clean.update(found)
                     clean[""] += 1
@@ -123,18 +146,19 @@ def _features(stems: frozenset):
 
 
 def _chosen(rows: list, total_a: int, total_b: int) -> list[tuple[str, float]]:
-    """Of the round's stems those near the widest, each chain of prefixes by its longest equally wide one."""
-    if not rows:
-        return []
-    widest = max(r.a for r in rows)
-    wide = sorted((r for r in rows if r.a >= 0.5 * widest), key=lambda r: (-len(r.stem), r.stem))
-    out: list = []
-    for r in wide:  # longer stems first: a shorter one stays only if it is clearly wider than what extends it
-        longer = [x for x in out if x.stem.startswith(r.stem)]
-        if any(x.a >= 0.95 * r.a for x in longer):
+    """The stems of a round with their weights: of a chain of beginnings the longest equally wide one."""
+    out: dict = {}
+    widest, extended = Counter(), defaultdict(set)  # by beginning: of the stems taken that extend it
+    for r in sorted(rows, key=lambda r: (-len(r.stem), r.stem)):  # longer stems first: a shorter one stays only if it is clearly wider than what extends it
+        if widest[r.stem] >= 0.95 * r.a:
             continue
-        out = [x for x in out if not x.stem.startswith(r.stem)] + [r]
-    return [(r.stem, math.log(((r.a + 0.5) / (total_a + 1)) / ((r.b + 0.5) / (total_b + 1)))) for r in out[:MOST_STEMS]]
+        for x in extended[r.stem]:
+            out.pop(x, None)
+        out[r.stem] = r
+        for k in range(1, len(r.stem)):
+            widest[r.stem[:k]] = max(widest[r.stem[:k]], r.a)
+            extended[r.stem[:k]].add(r.stem)
+    return [(r.stem, math.log(((r.a + 0.5) / (total_a + 1)) / ((r.b + 0.5) / (total_b + 1)))) for r in out.values()]
 
 
 def learn(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, most: int = MOST_ROWS) -> Model:
@@ -142,7 +166,8 @@ def learn(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] =
 
     labels: doc_id, toxic (0/1; null: no label). At most about `most` labelled rows are read, those of
     least hash of their id, whatever the size of the table. Without usable labels, or where no stem is
-    significant, the seed lexicon stands in.
+    significant, the seed lexicon stands in. A round takes all significant stems at least half as wide as
+    its widest; what the driver holds is bounded by the words of the rows that are read.
     """
     spark = documents.sparkSession
     common.tune(spark)
@@ -153,10 +178,10 @@ def learn(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] =
     texts = common.materialize(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
     stems: dict[str, float] = {}
     all_toxic = 0
-    for _ in range(ROUNDS):
+    while True:
         counted = common.materialize(texts.mapInArrow(_features(frozenset(stems)), "stem string, a long, b long").groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "stems")
         totals = counted.filter("stem = ''").first()
-        if totals is None or not totals.a or not totals.b or totals.a < 0.01 * all_toxic:
+        if totals is None or not totals.a or not totals.b or totals.a < LEFT * all_toxic:
             break
         all_toxic = all_toxic or totals.a
         tests = counted.count()
@@ -166,7 +191,8 @@ def learn(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] =
         evidence = 2 * (F.col("a") * F.log(rate / base) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - rate) / (1 - base))).otherwise(0.0))
         lift = (F.col("a") / totals.a) / ((F.col("b") + 1) / totals.b)
         good = counted.filter("stem <> ''").filter((F.col("a") >= 3) & (rate > base)).filter((lift >= LIFT) & (evidence >= 2 * math.log(tests / 0.01)))
-        fresh = _chosen(good.orderBy(F.desc("a"), "stem").limit(20_000).collect(), totals.a, totals.b)
+        widest = good.agg(F.max("a")).first()[0] or 0
+        fresh = _chosen(good.filter(F.col("a") >= 0.5 * widest).collect(), totals.a, totals.b)
         fresh = [(s, w) for s, w in fresh if s not in stems]
         if not fresh:
             break
