@@ -44,12 +44,36 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(common.table(spark, sf_dir, "conversations"))
 
 
-#: Without quotes a conversation stays in the order of its turns.
-OP6_SQL = """
-select conv_id, turn, role, text, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) as body, cast(null as bigint) as reply_to, turn as thread_turn,
-       cast(0 as integer) as reply_depth, row_number() over (partition by conv_id order by turn, role, sha256(coalesce(text, ''))) - 1 as position,
-       '<|' || coalesce(role, '') || '|>' || chr(10) || trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) as rendered
-from conversations
+#: Quotes are parsed, linked and ordered here as the operator does; paths of turns stand for the walk around each tree.
+OP6_SQL = r"""
+with recursive m as (select *, coalesce(text, '') as full_text, sha256(coalesce(text, '')) as k from conversations),
+asked as (select distinct conv_id from m where conv_id is not null and turn is not null and regexp_matches(full_text, '(?m)^[ \t]*>')),
+active as (select distinct conv_id, turn, k from m where turn is not null and conv_id in (select conv_id from asked)),
+texts as (select distinct k, full_text from m where k in (select k from active)),
+raws as (select k, unnest(string_split(full_text, chr(10))) as raw, generate_subscripts(string_split(full_text, chr(10)), 1) as num from texts),
+parsed as (select k, num, raw, length(regexp_replace(regexp_extract(raw, '^[ \t]*(?:>[ \t]*)+'), '[^>]', '', 'g')) as depth,
+                  trim(lower(regexp_replace(regexp_replace(raw, '^[ \t]*(?:>[ \t]*)+', ''), '[ \t\n\r\f\x0B]+', ' ', 'g'))) as line from raws),
+cuts as (select *, case when depth <> lag(depth) over w or line = '' or lag(line) over w = '' then 1 else 0 end as cut from parsed window w as (partition by k order by num)),
+runs as (select *, sum(cut) over (partition by k order by num) as run from cuts),
+passages as (select k, run, trim(regexp_replace(string_agg(line, ' ' order by num), ' +', ' ', 'g')) as said from runs where line <> '' group by k, run),
+units as (select r.k, r.depth, p.said, r.num from runs r join passages p using (k, run) where line <> '' union select k, depth, line, num from runs where line <> ''),
+said as (select conv_id, turn, k, depth, said, num from active join units using (k)),
+origins as (select conv_id, said, min(turn) as origin from said where depth = 0 group by conv_id, said),
+found as (select s.*, origin from said s join origins o on s.conv_id = o.conv_id and s.said = o.said where depth > 0 and origin < turn),
+votes as (select conv_id, turn, depth, origin, count(distinct (k, said)) as n from found group by all),
+best as (select conv_id, turn, origin as reply_to from votes qualify row_number() over (partition by conv_id, turn order by depth, n desc, origin desc) = 1),
+tree as (select distinct conv_id, turn, cast(null as bigint) as reply_to, [turn] as path from m where turn is not null and not exists (select 1 from best b where b.conv_id = m.conv_id and b.turn = m.turn)
+         union all
+         select b.conv_id, b.turn, b.reply_to, list_append(t.path, b.turn) from best b join tree t on b.conv_id = t.conv_id and b.reply_to = t.turn),
+gone as (select distinct conv_id, turn, k, num from found),
+left_over as (select g.conv_id, g.turn, g.k, string_agg(raw, chr(10) order by r.num) filter (where x.num is null) as body
+              from (select distinct conv_id, turn, k from gone) g join raws r using (k) left join gone x on x.conv_id = g.conv_id and x.turn = g.turn and x.k = g.k and x.num = r.num
+              group by all),
+placed as (select m.*, t.reply_to, t.path, trim(case when l.k is null then full_text else coalesce(l.body, '') end, ' ' || chr(9) || chr(10) || chr(13)) as body
+           from m left join tree t on m.conv_id is not distinct from t.conv_id and m.turn = t.turn left join left_over l on m.conv_id = l.conv_id and m.turn = l.turn and m.k = l.k)
+select conv_id, turn, role, text, body, reply_to, coalesce(path[1], turn) as thread_turn, cast(coalesce(len(path) - 1, 0) as integer) as reply_depth,
+       row_number() over (partition by conv_id order by path nulls first, role nulls first, k) - 1 as position, '<|' || coalesce(role, '') || '|>' || chr(10) || body as rendered
+from placed
 """
 
 
