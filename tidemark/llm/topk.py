@@ -4,6 +4,9 @@ Every pass scores all candidates against all queries, block by block. A query ke
 holds its kth best score; a histogram over the interval, summed over all blocks, names the bin to look
 into next. When the kth score is known, one more pass keeps the scores above it, and of the scores equal
 to it as many of the smallest ids as are missing.
+
+A pass moves each block of candidates once for each block of queries. Components that fit into 8 bits take
+one byte, and each serves QUERIES products where it arrives, so the scoring outweighs the moving.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 BINS = 256
-#: Rows of a block of candidates, and of queries.
-CANDIDATES, QUERIES = 2048, 1024
-#: Tables of counts that a task holds before it passes them on.
-HELD = 32
+#: Rows of a block of candidates, and of queries; queries that are scored at once.
+CANDIDATES, QUERIES, TILE = 2048, 8192, 1024
+#: Tables of counts, one for a block of queries, that a task holds before it passes them on.
+HELD = 8
 
 
 def quantized(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -61,17 +64,21 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]):
-    """For each pair of blocks: dim, query block, query ids, state rows, candidate ids, scores, own (mask)."""
+    """By tiles of each pair of blocks: row, first query of the tile, query ids, state, candidate ids, scores, own (mask)."""
     for batch in batches:
         for r in batch.to_pylist():
-            qids, cids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["c_ids"], np.int64)
-            s = _scores(_matrix(r["q_kind"], r["q_values"], r["dim"]), _matrix(r["c_kind"], r["c_values"], r["dim"]))
+            every, cids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["c_ids"], np.int64)
+            state = np.array(r["state"], np.int64).reshape(-1, 3)  # query id and two numbers: as the query block is sorted
+            q, c = _matrix(r["q_kind"], r["q_values"], r["dim"]), _matrix(r["c_kind"], r["c_values"], r["dim"])
             order = np.argsort(cids, kind="stable")
-            left, right = np.searchsorted(cids, qids, "left", sorter=order), np.searchsorted(cids, qids, "right", sorter=order)
-            own = np.zeros(s.shape, bool)
-            for i in np.flatnonzero(right > left):
-                own[i, order[left[i] : right[i]]] = True
-            yield r, qids, cids, s, own
+            for top in range(0, len(every), TILE):
+                here = slice(top, top + TILE)
+                qids, s = every[here], _scores(q[here], c)
+                left, right = np.searchsorted(cids, qids, "left", sorter=order), np.searchsorted(cids, qids, "right", sorter=order)
+                own = np.zeros(s.shape, bool)
+                for i in np.flatnonzero(right > left):
+                    own[i, order[left[i] : right[i]]] = True
+                yield r, top, qids, state[here], cids, s, own
 
 
 def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,26 +87,24 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         for qids, counts in held.values():
             i, b = np.nonzero(counts)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(qids[i]), "bin": pa.array(b.astype(np.int32)), "n": pa.array(counts[i, b])})
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(qids[i]), "bin": pa.array(b.astype(np.int32)), "n": pa.array(counts[i, b].astype(np.int64))})
         held.clear()
 
-    for r, qids, cids, s, own in _cells(batches):
-        state = np.array(r["state"], np.int64).reshape(-1, 3)  # query id, low, span: as the query block is sorted
+    for r, top, qids, state, _, s, own in _cells(batches):
         low, span = state[:, 1], state[:, 2]
         at = s - low[:, None]
         bins = at // ((span - 1) // BINS + 1)[:, None]
         i, j = np.nonzero((at >= 0) & (at < span[:, None]) & ~own)
-        if (key := (r["dim"], r["qb"])) not in held:
-            if len(held) >= HELD:
+        if (key := (r["dim"], r["qb"], top)) not in held:
+            if len(held) >= HELD * QUERIES // TILE:
                 yield from flush()
-            held[key] = (qids, np.zeros((len(qids), BINS), np.int64))
-        held[key][1].__iadd__(np.bincount(i * BINS + bins[i, j], minlength=len(qids) * BINS).reshape(-1, BINS))
+            held[key] = (qids, np.zeros((len(qids), BINS), np.int32))
+        held[key][1].__iadd__(np.bincount(i * BINS + bins[i, j], minlength=len(qids) * BINS).reshape(-1, BINS).astype(np.int32))
     yield from flush()
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for r, qids, cids, s, own in _cells(batches):
-        state = np.array(r["state"], np.int64).reshape(-1, 3)  # query id, kth score, how many of the ties
+    for _, _, qids, state, cids, s, own in _cells(batches):
         kth, ties = state[:, 1], state[:, 2]
         i, j = np.nonzero((s > kth[:, None]) & ~own)
         rows, columns = [i], [j]
