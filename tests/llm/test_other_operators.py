@@ -1,13 +1,17 @@
 import hashlib
 import math
 import random
+import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, packing, sharding, topk, url_filter
+from tests import parity
+from tidemark.llm import chat, common, packing, queries, sharding, topk, url_filter
 
 # Top-k
 
@@ -26,6 +30,7 @@ def brute_top_k(rows, k):
 def test_top_k_equals_brute_force(spark, case, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 64)
     monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "TILE", 3)
     r = random.Random(3)
     rows = {
         "many": [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(700)] + [(1001, None), (1002, [1.0, None] * 4), (1003, [float("nan")] * 8), (1004, [float("inf")] * 8), (None, [0.1] * 8), (1005, []), (1020, [0.5] * 5), (1021, [0.25] * 5)],
@@ -131,6 +136,21 @@ def test_many_nested_rules(spark):
         assert got[i] == max(fits, default=(0, 0, None))[2]
 
 
+def test_long_hosts_and_deep_rules(spark):
+    host = ".".join(["a"] * 8000)
+    rules = [(".".join(["a"] * n), "/" * (n % 3), "block") for n in range(1, 40)]
+    pages = spark.createDataFrame([(1, f"http://{host}//x"), (2, "http://" + "." * 100_000 + "/"), (3, "http://a.a/")], "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_filter.judge(pages, spark.createDataFrame(rules, "host string, path string, action string")).collect()}
+    assert got == {1: ".".join(["a"] * 39), 2: None, 3: "a/"}  # of two of 77 characters that of the longer host
+
+
+def test_hot_urls_are_dealt_without_changing_results(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 10)
+    pages = spark.createDataFrame([(i, URLS[8] if i % 2 else f"http://x{i}.net/") for i in range(200)], "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_filter.judge(pages, spark.createDataFrame(RULES, "host string, path string, action string")).collect()}
+    assert got == {i: "a.org/fr/x" if i % 2 else "net/" for i in range(200)}
+
+
 # Packing
 
 
@@ -178,13 +198,13 @@ def test_batches(spark):
 
 def test_packing_of_nothing_and_many_lengths(spark, monkeypatch):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n long"), "n", "doc_id").count() == 0
-    monkeypatch.setattr(packing, "MOST_BINS", 50)
+    monkeypatch.setattr(packing, "STEP", 50)
     df = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") * 7).alias("n"))
     assert packing.pack(df, "n", "doc_id", buckets=4).filter("n > bucket_length").count() == 0
 
 
 def test_one_long_text_leaves_the_borders_of_least_padding(spark, monkeypatch):
-    monkeypatch.setattr(packing, "MOST_BINS", 50)
+    monkeypatch.setattr(packing, "STEP", 50)
     lengths = [*range(1, 301), 5_000_000]
     counts = [1 + (7 * x) % 5 for x in lengths]
     df = spark.createDataFrame([(i, x) for i, (x, c) in enumerate((x, c) for x, c in zip(lengths, counts) for _ in range(c))], "doc_id long, n long")
@@ -198,6 +218,28 @@ def test_one_long_text_leaves_the_borders_of_least_padding(spark, monkeypatch):
     assert got == best[-1]
 
 
+def test_the_query_packs_with_least_padding(spark, tmp_path):
+    r = random.Random(9)
+    texts = ["word " * min(int(r.paretovariate(1.2) * 3), 400) for _ in range(300)] + [None, "", "one, two"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op10_packing(spark, str(tmp_path)).collect()
+    lengths = [len(re.findall(r"\w+|[^\w\s]", t or "")) for t in texts]
+    assert {x.doc_id: x.n_tokens for x in out} == dict(enumerate(lengths))
+    sizes, best = sorted(set(lengths)), {}
+
+    def least(i, k):
+        """Padding of the sizes from i on in k buckets, by trying every next border."""
+        if i == len(sizes):
+            return 0
+        if not k:
+            return math.inf
+        if (i, k) not in best:
+            best[i, k] = min(sum((sizes[j] - x) for x in lengths if sizes[i] <= x <= sizes[j]) + least(j + 1, k - 1) for j in range(i, len(sizes)))
+        return best[i, k]
+
+    assert sum(x.bucket_length - x.n_tokens for x in out) == least(0, 16)
+
+
 def test_word_tokens(spark):
     df = spark.createDataFrame([("Hello, world!",), ("",), (None,), ("naïve  2 b's",)], "t string")
     assert [r[0] for r in df.select(packing.word_tokens(F.col("t"))).collect()] == [4, 0, 0, 5]
@@ -205,26 +247,123 @@ def test_word_tokens(spark):
 
 # Chat
 
-
-def test_quotes_link_replies(spark):
-    first = "Hello all.\nHow are you?"
-    rows = [
-        (1, 0, "user", first), (1, 1, "bot", "I am fine."), (1, 2, "user", "> Hello all.\n> How  are YOU?\n\nGood too."), (1, 3, "bot", ">> Hello all.\n>> How are you?\n> Good too.\nGreat!"),
+COLUMNS = "conv_id long, turn long, role string, text string"
+
+
+def plain(line):
+    return " ".join(line.lower().split())
+
+
+def parts(text):
+    """(depth, set of line numbers, said) of every passage and line of a text."""
+    found, run, before = [], None, None
+    for at, raw in enumerate((text or "").split("\n")):
+        marks = re.match(r"[ \t]*(?:>[ \t]*)+", raw)
+        depth, line = (marks.group().count(">"), raw[marks.end() :]) if marks else (0, raw)
+        if not line.strip():
+            run = before = None
+            continue
+        if run is None or depth != before:
+            run, before = [depth, set(), []], depth
+            found.append(run)
+        run[1].add(at), run[2].append(line)
+        found.append((depth, {at}, [line]))
+    return [(d, ats, plain(" ".join(ls))) for d, ats, ls in found]
+
+
+def brute_link(rows):
+    """turn-level links, bodies and reading order of messages (conv_id, turn, role, text), by loops over all of them."""
+    out, replies = [], {}
+    known = [r for r in rows if r[0] is not None and r[1] is not None]
+    for c, t, _, text in known:
+        said, gone = {}, set()
+        for d, ats, what in parts(text):
+            if d:
+                origin = min((u for k, u, _, other in known if k == c and any(x == 0 and w == what for x, _, w in parts(other))), default=None)
+                if origin is not None and origin < t:
+                    gone |= ats
+                    said[d, what] = origin
+        replies.setdefault((c, t), []).append((said, gone, text))
+    up = {}
+    for key, many in replies.items():
+        votes = Counter((d, origin) for said, _, _ in many for (d, _), origin in said.items())
+        if votes:
+            up[key] = min(votes, key=lambda x: (x[0], -votes[x], -x[1]))[1]
+
+    def path(c, t):
+        return path(c, up[c, t]) + [t] if (c, t) in up else [t]
+
+    for c, t, role, text in rows:
+        gone = next((g for _, g, x in replies.get((c, t), []) if x == text), set())
+        body = "\n".join(line for i, line in enumerate((text or "").split("\n")) if i not in gone).strip(" \t\r\n")
+        way = path(c, t) if (c, t) in replies else [t]
+        out.append((c, t, role, text, body, up.get((c, t)), way, hashlib.sha256((text or "").encode()).hexdigest()))
+    return out
+
+
+def sound(linked):
+    return Counter((r.conv_id, r.turn, r.role, r.text, r.body, r.reply_to, r.thread_turn, r.reply_depth, r.position) for r in linked.collect())
+
+
+def expected(rows):
+    found, out = brute_link(rows), Counter()
+    for c in {r[0] for r in rows}:
+        mine = sorted((x for x in found if x[0] == c), key=lambda x: ([(p is not None, p or 0) for p in x[6]], x[2] is not None, x[2] or "", x[7]))
+        for i, (conv, t, role, text, body, to, way, _) in enumerate(mine):
+            out[conv, t, role, text, body, to, way[0], len(way) - 1, i] += 1
+    return out
+
+
+def threads(seed, n):
+    """Messages that quote each other at several depths, with both line ends, code and quotes of nothing."""
+    r = random.Random(seed)
+    rows = []
+    for c in range(4):
+        texts = []
+        for t in range(n):
+            lines = [f"c{c} says thing {r.randrange(12)}" if r.random() < 0.3 else f"line {c} {t} {i}" for i in range(r.randint(1, 3))]
+            if texts and r.random() < 0.8:
+                quoted = [f"{r.choice(['>', '> ', ' >'])}{line}" if r.random() < 0.9 else line for line in r.choice(texts).replace("\r", "").split("\n")]
+                lines = quoted + ([""] if r.random() < 0.5 else []) + lines
+            if r.random() < 0.3:
+                lines += [">>> print(1)", "> nobody said so", ">", "a > b"]
+            texts.append(r.choice(["\n", "\n", "\r\n"]).join(lines))
+            rows.append((c, t, r.choice(["user", "bot", None]), texts[-1]))
+    return rows
+
+
+CASES = {
+    "by hand": [
+        (1, 0, "user", "Hello all.\nHow are you?"), (1, 1, "bot", "I am fine."), (1, 2, "user", "> Hello all.\n> How  are YOU?\n\nGood too."), (1, 3, "bot", ">> Hello all.\n>> How are you?\n> Good too.\nGreat!"),
         (1, 4, "user", "> never said\nWhat?"), (1, 5, "bot", "> I am fine.\nStill?"), (2, 0, "user", "> I am fine."), (2, 1, "user", None), (None, 3, "user", "> x"), (3, None, "user", ""), (1, 1, "bot", "I am fine."),
-    ]
-    df = spark.createDataFrame([(*r, "keep") for r in rows], "conv_id long, turn long, role string, text string, body string")
-    out = chat.link(df).collect()
-    assert len(out) == len(rows)
-    at = {(r.conv_id, r.turn): r for r in out}
-    assert [at[1, t].reply_to for t in range(6)] == [None, None, 0, 2, None, 1]
-    assert [at[1, t].thread_turn for t in range(6)] == [0, 1, 0, 0, 4, 1] and [at[1, t].reply_depth for t in range(6)] == [0, 0, 1, 2, 0, 1]
-    assert at[1, 2].body == "Good too." and at[1, 3].body == "Great!" and at[2, 0].body == "" and at[2, 0].reply_to is None and at[2, 1].body == ""
-    order = [r.turn for r in sorted((r for r in out if r.conv_id == 1), key=lambda r: r.position)]
-    assert order == [0, 2, 3, 1, 1, 5, 4] and sorted(r.position for r in out if r.conv_id == 1) == list(range(7))
-
-
-def test_long_chains_and_empty_tables(spark):
-    rows = [(1, i, "user", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(300)]
-    out = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert all(r.thread_turn == 0 and r.reply_depth == r.turn and r.position == r.turn for r in out)
-    assert chat.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    ],
+    "line ends and code": [(1, 0, "a", "hello there my friend"), (1, 1, "b", "> hello there my friend\r\nyes"), (1, 2, "a", "run this:\n>>> print(1)\n1"), (1, 3, "b", "if a\n> b then c"), (1, 4, None, "> hello there my friend"), (1, 4, "c", "> yes\nno")],
+    "many": threads(1, 40),
+    "one long chain": [(1, i, "user", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(300)],
+    "a star with branches": [(1, 0, "u", "root")] + [(1, i, "u", f"> {'root' if i % 3 else f'word {i - 1 - i % 2}'}\nword {i}") for i in range(1, 200)],
+}
+
+
+@pytest.mark.parametrize("case", sorted(CASES))
+def test_links_equal_brute_force_and_sql(spark, case, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 20)
+    spark.createDataFrame(CASES[case], COLUMNS).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    linked = chat.link(spark.read.parquet(f"{tmp_path}/conversations.parquet"))
+    assert sound(linked) == expected(CASES[case])
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    parity.compare(linked, con, queries.OP6_SQL)
+
+
+def test_bodies_keep_what_nobody_said(spark):
+    out = {r.turn: r.body for r in chat.link(spark.createDataFrame(CASES["line ends and code"], COLUMNS)).collect() if r.turn != 4}
+    assert out == {0: "hello there my friend", 1: "yes", 2: "run this:\n>>> print(1)\n1", 3: "if a\n> b then c"}
+
+
+def test_conversations_in_parts_and_clashing_columns(spark):
+    df = spark.createDataFrame([(*r, "keep", "own") for r in CASES["many"]], COLUMNS + ", body string, __key string")
+    linked = chat.link(df)
+    assert {r["__key"] for r in linked.collect()} == {"own"}
+    rows = chat.conversations(linked, 16).collect()
+    assert len(rows) == 4 * 3 and all([t.position for t in r.turns] == list(range(16 * r.part, min(16 * r.part + 16, 40))) for r in rows)
+    assert chat.link(spark.createDataFrame([], COLUMNS)).count() == 0

@@ -40,6 +40,15 @@ def test_cold_pre_tokens_are_joined(spark, docs, monkeypatch):
     assert sorted(map(tuple, token_counts.count_tokens(docs, JSON).collect()), key=str) == want
 
 
+def test_long_frequent_pre_tokens_are_looked_up_by_their_hash(spark):
+    rows = [(i, "=" * 100 + " x " + "é" * 70 + " y" + "z" * 17) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from tokenizers import Tokenizer
+
+    want = len(Tokenizer.from_file(JSON).encode(rows[0][1], add_special_tokens=False).ids)
+    assert {r.n_tokens for r in token_counts.count_tokens(docs, JSON).collect()} == {want}
+
+
 def test_encode_and_decode_equal_the_library(spark, docs):
     import tiktoken
 
@@ -53,9 +62,10 @@ def test_encode_and_decode_equal_the_library(spark, docs):
 
 
 def test_decode_null_and_empty(spark):
-    df = spark.createDataFrame([(1, None), (2, []), (3, [15496])], "k int, ids array<int>")
+    df = spark.createDataFrame([(1, None), (2, []), (3, [15496]), (4, [15496, 1 << 30]), (5, [None]), (6, [-1, 15496]), (7, [15496, 15496])], "k int, ids array<int>")
     got = {r.k: r.decoded for r in bpe.decode(df, RANKS, public_tokenizers.PATTERN).collect()}
     assert got[1] is None and bytes(got[2]) == b"" and bytes(got[3]) == b"Hello"
+    assert got[4] is None and got[5] is None and got[6] is None and bytes(got[7]) == b"HelloHello"
     assert bpe.encode(spark.createDataFrame([], "k int, text string"), RANKS, public_tokenizers.PATTERN).count() == 0
 
 

@@ -137,6 +137,11 @@ class Codec:
             known.age()
         return list(chain.from_iterable(map(known.__getitem__, self.split(text))))
 
+    def unknown(self, flat: np.ndarray) -> np.ndarray:
+        """Which ids have no token."""
+        held = np.append(np.array([t is not None for t in self.by_id], bool), False)
+        return ~held[np.where((flat < 0) | (flat >= len(self.by_id)), len(self.by_id), flat)]
+
     def decode(self, flat: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids."""
         tokens = self.by_id[flat].tolist()
@@ -191,7 +196,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the column `out`: the bytes of its ids, binary; null ids give null, unknown ids fail."""
+    """df with the column `out`: the bytes of its ids, binary; null where ids are null or one of them is null or unknown."""
     columns = [c for c in df.columns if c != out]
     schema = df.select(*columns).schema.add(out, BinaryType())
 
@@ -200,8 +205,12 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
         for batch in batches:
             lists = batch.column(ids)
             sizes = np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)])
-            raw = of.decode(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes))
-            rows = pa.array(raw, pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False))
+            flat, ends = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            bad = of.unknown(flat)
+            wrong = np.diff(np.concatenate([[0], np.cumsum(bad)])[ends]) > 0
+            some = min(of.ranks.values(), default=0)
+            raw = of.decode(np.where(bad, some, flat) if bad.any() else flat, ends)
+            rows = pa.array(raw, pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False) | wrong)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), rows], names=[*columns, out])
 
     return df.select(*columns).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 #: Ranges of ends that one numpy step of the dynamic programming splits; no result depends on it.
-MOST_BINS = 8192
+STEP = 8192
 
 
 def word_tokens(text: Column) -> Column:
@@ -61,7 +61,7 @@ def best_borders(lengths: Sequence[int] | np.ndarray, counts: Sequence[int] | np
             now[mid], choice[mid] = least, at
             below = np.concatenate([np.array([lo, mid - 1, a, at]), np.array([mid + 1, hi, at, b])], axis=1)
             below = below[:, below[0] <= below[1]]
-            work += [below[:, i : i + MOST_BINS] for i in range(0, below.shape[1], MOST_BINS)]
+            work += [below[:, i : i + STEP] for i in range(0, below.shape[1], STEP)]
         best = now
         choices.append(choice)
         totals.append(best[n])
@@ -84,17 +84,19 @@ def pack(df: DataFrame, length: str, key: str, buckets: int = 16, budget: int =
     replaced. Rows that agree in key and length are interchangeable.
     """
     new = ["bucket", "bucket_length", "batch", "place"]
-    df = df.drop(*new).withColumn("__len", F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0)))
+    df = df.drop(*new)
+    size, row = common.fresh(df, "__len"), common.fresh(df, "__row")
+    df = df.withColumn(size, F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0)))
     df = common.materialize(df, "lengths")
-    histogram = df.groupBy(F.col("__len").alias("l")).agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("l")
+    histogram = df.groupBy(F.col(size).alias("l")).agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("l")
     borders = best_borders(histogram.column("l").to_numpy(), histogram.column("n").to_numpy(), buckets)
     if not borders:
         borders = [0]
     in_bucket = F.lit(0)
     for upper in borders[:-1]:
-        in_bucket = in_bucket + (F.col("__len") > upper).cast("int")
+        in_bucket = in_bucket + (F.col(size) > upper).cast("int")
     placed = df.withColumn("bucket", in_bucket).withColumn("bucket_length", F.element_at(F.lit(borders).cast("array<long>"), F.col("bucket") + 1))
     # Parts by key and length: equal rows differ in nothing that matters.
-    rows = common.numbered(placed, ["bucket"], F.struct(F.col(key), F.col("__len")), "__row")
+    rows = common.numbered(placed, ["bucket"], F.struct(F.col(key), F.col(size)), row)
     fits = F.greatest(F.floor(F.lit(budget) / F.greatest("bucket_length", F.lit(1))), F.lit(1)).cast("long")
-    return rows.withColumn("batch", F.floor(F.col("__row") / fits).cast("long")).withColumn("place", (F.col("__row") % fits).cast("long")).drop("__row", "__len")
+    return rows.withColumn("batch", F.floor(F.col(row) / fits).cast("long")).withColumn("place", (F.col(row) % fits).cast("long")).drop(row, size)

@@ -11,7 +11,7 @@ from tidemark.llm import common
 
 
 def score(key: Column, shard: int, weight: float = 1.0) -> Column:
-    """A shard's score for a key: -weight / ln(u), where u in (0, 1) comes from 60 bits of an MD5."""
+    """A shard's score for a key: -weight / ln(u), where u in (0, 1) comes from 52 bits of an MD5."""
     digest = F.md5(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("")), F.lit(str(shard))))
     bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
     return F.lit(-float(weight)) / F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 52)))

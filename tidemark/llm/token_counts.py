@@ -7,6 +7,7 @@ sum over its pre-token frequencies.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from tidemark.llm import common
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The broadcast dictionary holds so many pre-tokens at most, none of more bytes than HOT_BYTES.
+#: The broadcast dictionary holds so many pre-tokens at most; those of more bytes than HOT_BYTES by their MD5.
 HOT_PIECES, HOT_BYTES = 200_000, 64
 
 
@@ -97,6 +98,12 @@ def _piece_counts(path: str):
     return run
 
 
+def _name(piece: str) -> str:
+    """What the dictionary calls a pre-token; none that stands for itself is so short and starts with a null character."""
+    raw = piece.encode()
+    return piece if len(raw) <= HOT_BYTES else "\x00" + hashlib.md5(raw).hexdigest()
+
+
 def _per_document(path: str, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, known, number = load(path), hot.value, common.row_numbers()
@@ -106,7 +113,8 @@ def _per_document(path: str, hot):
                 row = next(number)
                 total, tokens = splitter.pre_tokens(text)
                 for piece, n in Counter(tokens).items():
-                    if (k := known.get(piece)) is not None:
+                    # A character has 4 bytes at most.
+                    if (k := known.get(piece if len(piece) <= HOT_BYTES // 4 else _name(piece))) is not None:
                         total += n * k
                     else:
                         rows.append(row), ids.append(None), sizes.append(None), sums.append(n), keys.append(piece)
@@ -118,9 +126,9 @@ def _per_document(path: str, hot):
 
 
 def _hot_threshold(pieces: DataFrame) -> int:
-    """The least frequency that at most HOT_PIECES short pre-tokens reach, from a histogram over powers of 2^(1/8)."""
+    """The least frequency that at most HOT_PIECES pre-tokens reach, from a histogram over powers of 2^(1/8)."""
     level = F.floor(F.log2("n") * 8).alias("level")
-    rows = pieces.filter(F.octet_length("piece") <= HOT_BYTES).groupBy(level).agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).collect()
+    rows = pieces.groupBy(level).agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least")).collect()
     threshold, total = 1 << 62, 0
     for r in sorted(rows, key=lambda r: -r.level):
         total += r.c
@@ -138,7 +146,7 @@ def count_tokens(documents: DataFrame, path: str) -> DataFrame:
     length are counted whole. An empty table returns no rows. Other columns are ignored.
 
     Two passes over the texts: one for corpus-wide frequencies of pre-tokens, one that sums. The most
-    frequent pre-tokens (at most HOT_PIECES of HOT_BYTES bytes) are summed where the text is read; the
+    frequent pre-tokens (at most HOT_PIECES, long ones by their MD5) are summed where the text is read; the
     others, each of them rare, are joined by key, so no key of the join is hot.
     """
     spark = documents.sparkSession
@@ -148,8 +156,9 @@ def count_tokens(documents: DataFrame, path: str) -> DataFrame:
     distinct = seen.groupBy("piece").agg(F.sum("n").alias("n"))
     counted = common.materialize(distinct.mapInArrow(_piece_counts(path), "piece string, n long, pieces long"), "pieces")
     least = _hot_threshold(counted)
-    is_hot = (F.octet_length("piece") <= HOT_BYTES) & (F.col("n") >= least)
-    hot = spark.sparkContext.broadcast({r.piece: r.pieces for r in counted.filter(is_hot).select("piece", "pieces").collect()})
+    is_hot = F.col("n") >= least
+    name = F.when(F.octet_length("piece") <= HOT_BYTES, F.col("piece")).otherwise(F.concat(F.lit("\x00"), F.md5(F.col("piece").cast("binary"))))
+    hot = spark.sparkContext.broadcast({r.piece: r.pieces for r in counted.filter(is_hot).select(name.alias("piece"), "pieces").collect()})
     rows = docs.mapInArrow(_per_document(path, hot), "row long, doc_id long, n_bytes long, n long, piece string")
     joined = rows.join(counted.filter(~is_hot).select("piece", "pieces"), "piece", "left")
     return (
