@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm import common, neardup, packing, quality, toxicity
+from tidemark.llm import common, neardup, packing, quality, token_counts, toxicity
 
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,15 +19,14 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: that of least doc_id; rows without an id stay."""
-    first = neardup.classes(docs).filter("doc_id = class_id").select("doc_id").distinct()
-    with_id = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns)
-    return with_id.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """One row of each near-duplicate class, whatever its ids: null and repeated ones take part like all others."""
+    return neardup.keep(docs)
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document goes: bucket, batch and place."""
-    return packing.pack(docs.select("doc_id", packing.word_tokens(F.col("text")).alias("n_tokens")), "n_tokens", "doc_id")
+    """Where each document goes by its number of BPE tokens: bucket, batch and place."""
+    counts = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(counts.select("doc_id", "n_tokens"), "n_tokens", "doc_id")
 
 
 STAGES = [("toxicity", _toxicity), ("quality rules", _quality), ("near-dedup", _near_dedup), ("packing", _packing)]
