@@ -173,71 +173,6 @@ def test_clusters_follow_the_running_mean(spark):
     assert [r.cluster for r in levels.clustered(found).orderBy("price").collect()] == [0, 0, 0, 1, 2]
 
 
-def test_backtest_keeps_cash_and_slippage_costs(spark, bars):
-    days = bars.withColumns({"run": F.lit("a"), "signal": F.dayofmonth("bar_date") % 7 == 0, "leave": F.dayofmonth("bar_date") % 5 == 0, "stop": F.col("close") * 0.97, "qty": F.lit(100), "score": F.col("close")})
-    free, paid = trading.backtest(days, bps=0.0).toPandas(), trading.backtest(days, bps=50.0).toPandas()
-    assert len(free) > 5 and ((free["exit"] - free["entry"]) * free["qty"] - free["pnl"]).abs().max() < 1e-6
-    assert free["pnl"].sum() > paid["pnl"].sum() and (free["exit_date"] >= free["entry_date"]).all()
-    opens = {(r.symbol, r.bar_date): r.open for r in bars.collect()}
-    assert all(abs(opens[r.symbol, r.entry_date] - r.entry) < 1e-9 for r in free.itertuples())
-
-
-def by_days(pdf, cash, bps, hold, most):
-    """A run folded day by day over all bars."""
-    pdf = pdf.sort_values(["bar_date", "score", "symbol"], ascending=[True, False, True], na_position="last")
-    money, held, sells, buys, out = cash, {}, {}, [], []
-    last_close: dict = {}
-    for day, rows in pdf.groupby("bar_date", sort=True):
-        today = {r.symbol: r for r in rows.itertuples()}
-        for s, reason in sells.items():
-            if s in today and s in held:
-                e = held.pop(s)
-                price = today[s].open * (1 - bps / 1e4)
-                money += price * e[2]
-                out.append((pdf["run"].iloc[0], s, e[0], e[1], day, price, e[2], (price - e[1]) * e[2], reason))
-        for s, stop, qty in buys:
-            if s in today and s not in held and len(held) < most:
-                price = today[s].open * (1 + bps / 1e4)
-                if price * qty <= money:
-                    money -= price * qty
-                    held[s] = [day, price, qty, stop, 0]
-        sells, buys = {}, []
-        for s, r in today.items():
-            last_close[s] = (day, r.close)
-            if s in held:
-                held[s][4] += 1
-                reason = "stop" if r.low <= held[s][3] else "rule" if r.leave else "time" if held[s][4] >= hold else ""
-                if reason:
-                    sells[s] = reason
-            elif r.signal:
-                buys.append((s, r.stop, int(r.qty)))
-    for s, e in held.items():
-        day, price = last_close[s]
-        out.append((pdf["run"].iloc[0], s, e[0], e[1], day, price, e[2], (price - e[1]) * e[2], "end"))
-    return pd.DataFrame(out, columns=["run", "symbol", "entry_date", "entry", "exit_date", "exit", "qty", "pnl", "reason"])
-
-
-def test_runs_of_one_call_equal_folds_by_days(spark, bars):
-    day = F.dayofmonth("bar_date")
-    days = bars.filter(F.crc32(F.concat("symbol", F.col("bar_date").cast("string"))) % 10 > 0)  # symbols miss days
-    days = days.withColumns({"signal": day % 3 == 0, "leave": day % 11 == 0, "stop": F.col("close") * 0.97, "qty": F.lit(100), "score": F.round("close", 0) % 5})
-    runs = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.lit(b).alias("bps")) for r, b in (("a", 0.0), ("b", 50.0))]))
-    runs = days.withColumn("r", runs).select("*", "r.*").drop("r")
-    key = ["run", "symbol", "entry_date"]
-    got = trading.backtest(runs, cash=30_000.0, hold=4, most=3).toPandas().sort_values(key, ignore_index=True)
-    pdf = runs.toPandas()
-    want = pd.concat([by_days(pdf[pdf["run"] == r], 30_000.0, b, 4, 3) for r, b in (("a", 0.0), ("b", 50.0))]).sort_values(key, ignore_index=True)
-    assert len(got) > 20 and {"stop", "rule", "time"} <= set(got["reason"])
-    pd.testing.assert_frame_equal(got, want, check_dtype=False)
-
-
-def test_base_rates_do_not_overlap(spark, bars):
-    df = bars.withColumns({"signal": F.dayofmonth("bar_date") % 3 == 0, "leave": F.lit(False), "stop": F.lit(0.0)})
-    pdf = trading.base_rates(df, hold=4).toPandas().sort_values(["symbol", "entry_date"])
-    for _, g in pdf.groupby("symbol"):
-        assert (g["entry_date"].iloc[1:].to_numpy() > g["exit_date"].iloc[:-1].to_numpy()).all()
-
-
 def test_triple_barrier_labels(spark):
     rows = [(1, 10, 10.5, 9.5), (2, 10, 12.5, 9.8), (3, 10, 13, 7), (4, 10.2, 10.4, 10.1)]
     b = spark.createDataFrame([("A", date(2000, 1, i), float(c), float(h), float(lo)) for i, c, h, lo in rows], "symbol string, bar_date date, close double, high double, low double")
@@ -248,6 +183,13 @@ def test_triple_barrier_labels(spark):
 def test_importance_over_matches_and_search(spark):
     df = spark.createDataFrame([("FOMC minutes",), ("Tourism arrivals",), ("Bank holiday",)], "n string")
     assert [r[0] for r in df.select(text.importance(F.col("n"))).collect()] == ["high", "medium", "low"]
+    expected = {
+        "high": ["CPI MoM", "cpi mom", "Core CPI", "Nonfarm Payrolls", "Non-Farm Payrolls", "Unemployment Rate", "FOMC Economic Projections", "Federal Funds Rate", "Interest Rate Decision", "PCE Price Index", "PPI"],
+        "medium": ["ISM Manufacturing PMI", "Retail Sales MoM", "GDP Growth Rate", "JOLTS Job Openings", "Initial Jobless Claims", "Consumer Confidence", "Durable Goods Orders", "Housing Starts", "Trade Balance", "Factory Orders"],
+        "low": ["10-Year Bond Auction", "Mortgage Applications", "API Crude Oil Stock Change", "Capital Expenditure", "", None],
+    }
+    names = spark.createDataFrame([(n, k) for k, many in expected.items() for n in many], "n string, k string")
+    assert [r.n for r in names.filter(text.importance(F.col("n")) != F.col("k")).collect()] == []
     docs = spark.createDataFrame([(1, "Alpha beta beta"), (2, "alpha"), (3, None)], "i int, t string")
     assert [(r.i, round(r.score, 6)) for r in text.search(docs, "t", ["ALPHA", "beta"]).collect()] == [(1, round(3 / (1 + math.log(3)), 6))]
 

@@ -84,12 +84,13 @@ def volume_confirm(bars: DataFrame, base: int = 50, scan: int = 5, spike: float
     return df.withColumn("volume_score", score).withColumn("volume_multiplier", floor + (1 - floor) * clip(F.col("volume_score"), 0.0)).drop("__bar", "__spread", "__recent", "__v", "__s")
 
 
-def relative_strength(bars: DataFrame, series: DataFrame, keys: list[str], look: int = 63) -> DataFrame:
+def relative_strength(bars: DataFrame, series: DataFrame | None, keys: list[str], look: int = 63) -> DataFrame:
     """bars (with rn and keys) with rs_raw: 63-bar return against the keyed series' (keys, bar_date, level), and the slope of the ratio's SMA 20.
 
-    The series is read as of each bar; bars without a value of it, and the first 63 bars, have null.
+    The series is read as of each bar; without one, bars have the level already. Bars without a value of it,
+    and the first 63 bars, have null.
     """
-    df = as_of(bars, series, keys, "bar_date", ["level"])
+    df = bars if series is None else as_of(bars, series, keys, "bar_date", ["level"])
     own, ref = F.col("close") / lag("close", look) - 1, F.col("level") / lag("level", look) - 1
     rs = clip((own - ref) / 0.15)
     df = df.withColumn("__rs", rs).withColumn("__line", F.col("close") / F.col("level")).withColumn("__avg", sma("__line", 20))

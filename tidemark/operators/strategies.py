@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,24 +15,49 @@ from tidemark.operators import primitives as p
 RECURSIVE = ["rsi2", "rsi14", "atr14", "atr20", "atr22", "adx14", "macd", "macd_signal"]
 
 
-def features(bars: DataFrame) -> DataFrame:
-    """bars with rn, means, recursive indicators and what the rules compare: one shuffle by symbol."""
-    df = p.numbered(ta.with_recursive(bars, RECURSIVE))
+def features(bars: DataFrame, names: Iterable[str] = RECURSIVE) -> DataFrame:
+    """bars with rn, means, the recursive indicators `names` and what the rules compare: one shuffle by symbol."""
+    names = [n for n in RECURSIVE if n in set(names)]
+    df = p.numbered(ta.with_recursive(bars, names))
     df = df.withColumns({f"sma{n}": sma("close", n) for n in (5, 50, 200)})
-    df = df.withColumns({"hist": F.col("macd") - F.col("macd_signal"), "tr": ta.true_range()})
-    return df.withColumns({"hist_prev": lag("hist"), "rsi14_prev": lag("rsi14"), "closeness": full(F.col("close") / F.max("close").over(last(252)), "close", 252)})
+    derived = {"tr": ta.true_range(), "closeness": full(F.col("close") / F.max("close").over(last(252)), "close", 252)}
+    if "macd_signal" in names:
+        df = df.withColumn("hist", F.col("macd") - F.col("macd_signal"))
+        derived["hist_prev"] = lag("hist")
+    if "rsi14" in names:
+        derived["rsi14_prev"] = lag("rsi14")
+    return df.withColumns(derived)
 
 
 @dataclass(frozen=True)
 class Strategy:
-    """signals: features -> rows (symbol, bar_date, close, score, stop). Affinity by regime label, 1 for others."""
+    """mark: features -> features with a column of the strategy's name, struct(score, stop), null where there is no signal.
+
+    needs: the recursive indicators that mark() and the exits read. Affinity by regime label, 1 for others.
+    Exits in the order of `exits`: time (after `hold` bars), rule (a reason, from rule()), hard (the close is
+    `hard` ATR(14) under the cost); ratchet: every RATCHET bars the stop rises to 2 ATR(20) under the close.
+    """
 
     name: str
     version: str
     history: int
-    signals: Callable[[DataFrame], DataFrame]
+    mark: Callable[[DataFrame], DataFrame]
+    needs: tuple[str, ...]
     affinity: dict[str, float] = field(default_factory=dict)
     risk: float = 0.01
+    exits: tuple[str, ...] = ()
+    hold: int | None = None
+    hard: float = 2.5
+    rule: Callable[[], Column] | None = None
+    ratchet: bool = False
+
+    def signals(self, df: DataFrame) -> DataFrame:
+        """features -> rows (symbol, bar_date, close, score, stop)."""
+        return self.mark(df).filter(F.col(self.name).isNotNull()).select("symbol", "bar_date", "close", f"{self.name}.*")
+
+
+#: Bars between two rises of a ratcheted stop.
+RATCHET = 14
 
 
 REGISTRY: dict[str, Strategy] = {}
@@ -51,35 +76,35 @@ def affinity_for(strategy: Strategy, label: str | None) -> float:
     return strategy.affinity.get(label or "", 1.0)
 
 
-def _signals(df: DataFrame, history: int, rule: Column, score: Column, atr: str, times: float) -> DataFrame:
-    found = df.filter((F.col("rn") >= history) & (F.col(atr) > 0) & rule)
-    return found.select("symbol", "bar_date", "close", score.alias("score"), (F.col("close") - times * F.col(atr)).alias("stop"))
+def _marked(df: DataFrame, name: str, history: int, rule: Column, score: Column, atr: str, times: float) -> DataFrame:
+    found = (F.col("rn") >= history) & (F.col(atr) > 0) & rule
+    return df.withColumn(name, F.when(found, F.struct(score.alias("score"), (F.col("close") - times * F.col(atr)).alias("stop"))))
 
 
-def rsi2_signals(df: DataFrame) -> DataFrame:
+def mark_rsi2(df: DataFrame) -> DataFrame:
     """Oversold (RSI(2) below 10) above the 200-bar mean."""
     rsi = F.round("rsi2", 9)
-    return _signals(df, 220, (F.col("close") > F.col("sma200")) & (rsi < 10), 1 - F.col("rsi2") / 10, "atr14", 2.5)
+    return _marked(df, "rsi2_meanrev", 220, (F.col("close") > F.col("sma200")) & (rsi < 10), 1 - F.col("rsi2") / 10, "atr14", 2.5)
 
 
-def largecap_signals(df: DataFrame) -> DataFrame:
+def mark_largecap(df: DataFrame) -> DataFrame:
     """Large caps (cap_pct >= 80) below the 200-bar mean whose RSI(14) and MACD turn up."""
     hist, rsi = F.round("hist", 9), F.round("rsi14", 9)
     rising = (rsi > F.round("rsi14_prev", 9)) & (hist > 0) & (hist <= 1) & (hist > F.round("hist_prev", 9))
     rule = (F.col("cap_pct") >= 80) & (F.col("close") < F.col("sma200")) & (F.round("adx14", 9) >= 20) & (rsi >= 35) & rising
     below = (F.col("sma200") - F.col("close")) / F.col("sma200")
     score = F.least(F.lit(1.0), 0.6 * F.least(F.lit(1.0), below * 5) + 0.4 * (F.col("rsi14") - 35) / 65)
-    return _signals(df, 283, rule, score, "atr14", 2.5)
+    return _marked(df, "largecap_rebound", 283, rule, score, "atr14", 2.5)
 
 
-def momentum_signals(df: DataFrame) -> DataFrame:
+def mark_momentum(df: DataFrame) -> DataFrame:
     """Close within 5% of its 252-bar high, by closeness and slope quality."""
     df = df.withColumn("slope_q", ta.slope_quality(90))
     score = 0.7 * F.col("closeness") + 0.3 * F.col("slope_q")
-    return _signals(df, 257, F.col("closeness") >= 0.95, score, "atr20", 2.0)
+    return _marked(df, "momentum_52w_high", 257, F.col("closeness") >= 0.95, score, "atr20", 2.0)
 
 
-def donchian_signals(df: DataFrame) -> DataFrame:
+def mark_donchian(df: DataFrame) -> DataFrame:
     """Breakouts above the closes of 55 or 20 bars from a narrow base, in an uptrend, on volume.
 
     df has market_ret60, the benchmark's 60-bar return on the day (null: not asked).
@@ -103,7 +128,7 @@ def donchian_signals(df: DataFrame) -> DataFrame:
         & (F.col("market_ret60").isNull() | (F.round(F.col("close") / lag("close", 60) - 1, 9) > F.round("market_ret60", 9)))
     )
     df = df.withColumn("__rule", rule).withColumn("__top", top)
-    return _signals(df, 215, F.col("__rule"), F.least(F.lit(1.0), (F.col("close") - F.col("__top")) / F.col("atr20")), "atr20", 2.0)
+    return _marked(df, "donchian_trend", 215, F.col("__rule"), F.least(F.lit(1.0), (F.col("close") - F.col("__top")) / F.col("atr20")), "atr20", 2.0)
 
 
 def reversal_scores(df: DataFrame) -> DataFrame:
@@ -116,17 +141,30 @@ def reversal_scores(df: DataFrame) -> DataFrame:
     return df.withColumn("reversal_score", F.when(gate, clip(total / weight * F.coalesce("volume_multiplier", F.lit(1.0)))))
 
 
-def reversal_signals(df: DataFrame) -> DataFrame:
+def mark_reversal(df: DataFrame) -> DataFrame:
     df = reversal_scores(df)
-    return _signals(df, 230, F.round("reversal_score", 9) >= 0.25, F.col("reversal_score"), "atr14", 2.5)
+    return _marked(df, "reversal_swing", 230, F.round("reversal_score", 9) >= 0.25, F.col("reversal_score"), "atr14", 2.5)
+
+
+def _mean_reverted() -> Column:
+    return F.when(F.col("close") > F.col("sma5"), "mean_reverted_above_sma5")
 
 
-#: How much of a position each strategy takes in each regime.
-register(Strategy("rsi2_meanrev", "1.0.0", 220, rsi2_signals, {"trending_up": 1.0, "trending_down": 0.0, "choppy": 1.0, "transitioning": 0.7}))
-register(Strategy("largecap_rebound", "1.0.0", 283, largecap_signals, {"trending_up": 1.0, "trending_down": 0.0, "choppy": 0.4, "transitioning": 0.7}))
-register(Strategy("momentum_52w_high", "1.0.0", 257, momentum_signals, {"trending_up": 1.0, "trending_down": 0.0, "choppy": 0.4, "transitioning": 0.7}, 0.0075))
-register(Strategy("donchian_trend", "1.3.0", 215, donchian_signals, {"trending_up": 1.0, "trending_down": 1.0, "choppy": 0.25, "transitioning": 0.5}, 0.0075))
-register(Strategy("reversal_swing", "1.5.0", 230, reversal_signals, {"trending_up": 1.0, "trending_down": 0.5, "choppy": 1.0, "transitioning": 0.7}))
+def _rolled_over() -> Column:
+    return F.when(F.round("hist", 9) <= 0, "macd_below_zero")
+
+
+def _left_channel() -> Column:
+    chandelier = F.round(F.col("close") - (F.max("high").over(last(22)) - 3 * F.col("atr22")), 9) <= 0
+    return F.when(F.col("close") < F.min("low").over(before(10)), "exit_below_n_day_low").when(chandelier, "chandelier_stop")
+
+
+#: How much of a position each strategy takes in each regime, risks, and bars until the time stop.
+register(Strategy("rsi2_meanrev", "1.0.0", 220, mark_rsi2, ("rsi2", "atr14"), {"trending_up": 1.0, "trending_down": 0.0, "choppy": 1.0, "transitioning": 0.7}, exits=("time", "rule", "hard"), hold=10, rule=_mean_reverted))
+register(Strategy("largecap_rebound", "1.0.0", 283, mark_largecap, ("rsi14", "adx14", "macd", "macd_signal", "atr14"), {"trending_up": 1.0, "trending_down": 0.0, "choppy": 0.4, "transitioning": 0.7}, exits=("hard", "rule"), rule=_rolled_over))
+register(Strategy("momentum_52w_high", "1.0.0", 257, mark_momentum, ("atr20",), {"trending_up": 1.0, "trending_down": 0.0, "choppy": 0.4, "transitioning": 0.7}, 0.0075, ratchet=True))
+register(Strategy("donchian_trend", "1.3.0", 215, mark_donchian, ("rsi14", "atr14", "atr20", "atr22"), {"trending_up": 1.0, "trending_down": 1.0, "choppy": 0.25, "transitioning": 0.5}, 0.0075, exits=("rule",), rule=_left_channel, ratchet=True))
+register(Strategy("reversal_swing", "1.5.0", 230, mark_reversal, ("rsi2", "atr14"), {"trending_up": 1.0, "trending_down": 0.5, "choppy": 1.0, "transitioning": 0.7}, exits=("time", "hard"), hold=30))
 
 
 def previous_breakout(df: DataFrame, n: int = 20, exit_n: int = 10, hold: int = 60) -> DataFrame:
@@ -184,23 +222,27 @@ def filter_chain(equity: Column, peak: Column, held: Column, to_earnings: Column
     )
 
 
-def scan(signals: DataFrame, strategy: Strategy, earnings: DataFrame, regime: DataFrame) -> DataFrame:
-    """symbol, bar_date, score, entry, stop, qty, status, reason, place for every signal of every date.
+def scan(signals: DataFrame, earnings: DataFrame, regime: DataFrame) -> DataFrame:
+    """strategy, symbol, bar_date, score, entry, stop, qty, status, reason, place for every signal of every date.
 
-    earnings: symbol, report_date. regime: bar_date, label, composite, credit_stress (missing dates: full
-    size). Rejections in order: sizing, long block under credit stress, zero size in the regime, earnings
-    within 7 days. place ranks the passed signals of a date by score, ties by symbol.
+    signals: strategy, symbol, bar_date, close, score, stop. earnings: symbol, report_date. regime: bar_date,
+    label, composite, credit_stress (missing dates: full size). Rejections in order: sizing, long block under
+    credit stress, zero size in the regime, earnings within 7 days. place ranks the passed signals of a
+    strategy and date by score, ties by symbol.
     """
-    s = signals.select("symbol", "bar_date", "score", F.round("close", 4).alias("entry"), F.round("stop", 4).alias("stop"))
-    s = s.withColumns(position_size(F.col("entry"), F.col("stop"), risk=strategy.risk))
-    affinity = F.coalesce(*[F.when(F.col("label") == k, v) for k, v in sorted(strategy.affinity.items())], F.lit(1.0))
+    s = signals.select("strategy", "symbol", "bar_date", "score", F.round("close", 4).alias("entry"), F.round("stop", 4).alias("stop"))
+    of = lambda value, other: F.coalesce(*[F.when(F.col("strategy") == x.name, value(x)) for x in REGISTRY.values()], other)
+    sized = [position_size(F.col("entry"), F.col("stop"), risk=r) for r in sorted({x.risk for x in REGISTRY.values()})]
+    by_risk = dict(zip(sorted({x.risk for x in REGISTRY.values()}), sized))
+    s = s.withColumns({c: of(lambda x, c=c: by_risk[x.risk][c], F.lit(None)) for c in ("qty", "size_reason")})
+    affinity = of(lambda x: F.coalesce(*[F.when(F.col("label") == k, v) for k, v in sorted(x.affinity.items())], F.lit(1.0)), F.lit(1.0))
     s = s.join(F.broadcast(regime), "bar_date", "left")  # one row for each trading day
-    scaled = F.bround(F.col("qty") * affinity * F.coalesce(0.5 + 0.5 * F.col("composite"), F.lit(1.0)), 0).cast("long")
+    stress = F.coalesce("credit_stress", F.lit(False))
+    scaled = F.bround(F.col("qty") * affinity * F.coalesce(0.5 + 0.5 * F.col("composite"), F.lit(1.0)) * F.when(stress, 0.5).otherwise(1.0), 0).cast("long")
     s = s.withColumn("qty", scaled)
     soon = earnings.select("symbol", F.explode(F.sequence(F.date_sub("report_date", 7), "report_date")).alias("bar_date")).distinct().withColumn("soon", F.lit(True))
     s = s.join(soon, ["symbol", "bar_date"], "left")
-    stress = F.coalesce("credit_stress", F.lit(False))
     reason = F.coalesce("size_reason", first_reason((stress, "credit_stress_long_block"), (F.col("qty") <= 0, "regime_zero_size"), (F.col("soon"), "earnings")))
     s = s.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "new").otherwise("rejected"))
-    rank = F.row_number().over(Window.partitionBy("bar_date", "status").orderBy(F.desc_nulls_last(F.round("score", 9)), "symbol"))
-    return s.withColumn("place", F.when(F.col("status") == "new", rank)).select("symbol", "bar_date", "score", "entry", "stop", "qty", "status", "reason", "place")
+    rank = F.row_number().over(Window.partitionBy("strategy", "bar_date", "status").orderBy(F.desc_nulls_last(F.round("score", 9)), "symbol"))
+    return s.withColumn("place", F.when(F.col("status") == "new", rank)).select("strategy", "symbol", "bar_date", "score", "entry", "stop", "qty", "status", "reason", "place")

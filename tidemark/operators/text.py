@@ -45,11 +45,15 @@ def parsed_time(text: Column) -> Column:
 
 
 #: Names that make an economic event matter; a high pattern counts before a medium one.
-HIGH = ("fomc", "rate decision", "cpi", "nonfarm", "gdp")
-MEDIUM = ("retail sales", "pmi", "ism", "housing", "claims")
+HIGH = ("cpi", "core cpi", "core pce", "pce", "ppi", "nonfarm payroll", "non-farm payroll", "unemployment rate", "fomc", "federal funds", "fed funds", "interest rate decision", "interest rate")
+MEDIUM = (
+    "ism", "pmi", "retail sales", "gdp", "jolts", "initial jobless claims", "continuing jobless claims", "consumer confidence", "consumer sentiment", "michigan",
+    "durable goods", "industrial production", "housing starts", "existing home sales", "new home sales", "trade balance", "factory orders",
+)
 
 
 def importance(name: Column) -> Column:
+    """high, medium or low; null and empty names are low."""
     low = F.lower(name)
     has = lambda words: low.rlike("|".join(words))
     return F.when(has(HIGH), "high").when(has(MEDIUM), "medium").otherwise("low")

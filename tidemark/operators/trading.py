@@ -1,11 +1,7 @@
-"""Trades and portfolios: slippage, metrics, labels, features, proposals, marks, backtests and base rates."""
+"""Trades and portfolios: slippage, metrics, labels, features, proposals, marks."""
 
 from __future__ import annotations
 
-import heapq
-from datetime import date
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,21 +31,21 @@ def trade_stats(results: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def equity_stats(curve: DataFrame, rate: float = 0.04) -> DataFrame:
-    """One row: cagr, sharpe, sortino, max_drawdown, longest_drawdown (rows), exposure of as_of_date, equity, positions_value."""
-    w = Window.orderBy("as_of_date")  # one account: one row for each day
+def equity_stats(curve: DataFrame, *keys: str, rate: float = 0.04) -> DataFrame:
+    """cagr, sharpe, sortino, max_drawdown, longest_drawdown (rows), exposure of as_of_date, equity, positions_value, of each key's account."""
+    w = Window.partitionBy(*keys).orderBy("as_of_date")  # one row for each day of an account
     df = curve.withColumns({"ret": F.col("equity") / F.lag("equity").over(w) - 1, "peak": F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))})
     df = df.withColumns({"dd": (F.col("equity") - F.col("peak")) / F.col("peak"), "held": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("positions_value") / F.col("equity")))})
     spell = F.sum((F.col("dd") == 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("spell", spell).withColumn("under", F.sum((F.col("dd") < 0).cast("int")).over(Window.partitionBy("spell")))
+    df = df.withColumn("spell", spell).withColumn("under", F.sum((F.col("dd") < 0).cast("int")).over(Window.partitionBy(*keys, "spell")))
     excess = F.col("ret") - rate / 252
-    ends = df.agg(
+    ends = df.groupBy(*keys).agg(
         F.min_by("equity", "as_of_date").alias("first"), F.max_by("equity", "as_of_date").alias("final"), F.datediff(F.max("as_of_date"), F.min("as_of_date")).alias("days"),
         F.avg(excess).alias("mean"), F.stddev_samp(excess).alias("dev"), F.stddev_samp(F.when(excess < 0, excess)).alias("down"),
         F.min("dd").alias("max_drawdown"), F.max("under").alias("longest_drawdown"), F.avg("held").alias("exposure"),
     )
     cagr = F.pow(F.col("final") / F.col("first"), F.lit(365.25) / F.col("days")) - 1
-    return ends.select(cagr.alias("cagr"), (F.col("mean") / F.col("dev") * F.sqrt(F.lit(252.0))).alias("sharpe"), (F.col("mean") / F.col("down") * F.sqrt(F.lit(252.0))).alias("sortino"), "max_drawdown", "longest_drawdown", "exposure")
+    return ends.select(*keys, cagr.alias("cagr"), (F.col("mean") / F.col("dev") * F.sqrt(F.lit(252.0))).alias("sharpe"), (F.col("mean") / F.col("down") * F.sqrt(F.lit(252.0))).alias("sortino"), "max_drawdown", "longest_drawdown", "exposure")
 
 
 def triple_barrier(bars: DataFrame, stop: Column, target: Column, hold: int = 20) -> DataFrame:
@@ -114,97 +110,14 @@ def auto_close(marks: DataFrame) -> DataFrame:
     return marks.withColumns({"close_reason": reason, "close_price": F.when(reason.isNotNull(), price)})
 
 
-SETUPS = "symbol string, entry_date date, entry double, exit_date date, exit double, reason string"
-
-
-def base_rates(bars: DataFrame, hold: int = 10) -> DataFrame:
-    """Historical setups of one symbol each: entry at the next open after `signal`, exit at the next open after
-    `leave`, the stop or `hold` bars; the next setup starts after the exit. bars: symbol, bar_date, open, close,
-    signal, leave, stop. One grouped map: the setups of a symbol are a sequence."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_date", ignore_index=True)
-        day, open_, close = pdf["bar_date"].tolist(), pdf["open"].tolist(), pdf["close"].tolist()
-        signal, leave, stop = pdf["signal"].tolist(), pdf["leave"].tolist(), pdf["stop"].tolist()
-        out, i, n = [], 0, len(pdf)
-        while i < n - 1:
-            if not signal[i]:
-                i += 1
-                continue
-            entry, reason, j = i + 1, "open_at_end", i + 1
-            while j < n - 1:
-                reason = "time" if j - entry >= hold else "rule" if leave[j] else "stop" if close[j] <= stop[i] else ""
-                if reason:
-                    break
-                j += 1
-            at, price = (j + 1, open_[j + 1]) if j < n - 1 else (n - 1, close[n - 1])
-            out.append((pdf["symbol"].iloc[0], day[entry], open_[entry], day[at], price, reason or "open_at_end"))
-            i = at + 1
-        return pd.DataFrame(out, columns=["symbol", "entry_date", "entry", "exit_date", "exit", "reason"])
-
-    return bars.groupBy("symbol").applyInPandas(run, SETUPS)
-
-
-FILLS = "run string, symbol string, entry_date date, entry double, exit_date date, exit double, qty long, pnl double, reason string"
-
-
-ORDERS = "run string, symbol string, bps double, signal_date date, score double, qty long, entry_date date, entry double, exit_date date, exit double, reason string"
-
-
-def _orders(hold: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_date", ignore_index=True)
-        day, after, open_, close, low = (pdf[c].tolist() for c in ("bar_date", "next", "open", "close", "low"))
-        signal, leave, stop, qty, score = (pdf[c].tolist() for c in ("signal", "leave", "stop", "qty", "score"))
-        n, out = len(pdf), []
-        # An order fills on the run's next day or never, also where the symbol has later bars.
-        fills = [i + 1 < n and day[i + 1] == after[i] for i in range(n)]
-        for i in range(n):
-            if not signal[i] or not fills[i]:
-                continue
-            at, price, why = day[-1], close[-1], "end"
-            for j in range(i + 1, n):
-                reason = "stop" if low[j] <= stop[i] else "rule" if leave[j] else "time" if j - i >= hold else ""
-                if reason and fills[j]:
-                    at, price, why = day[j + 1], open_[j + 1], reason
-                    break
-            out.append((pdf["run"].iloc[0], pdf["symbol"].iloc[0], pdf["bps"].iloc[0], day[i], score[i], int(qty[i]), day[i + 1], open_[i + 1], at, price, why))
-        return pd.DataFrame(out, columns=["run", "symbol", "bps", "signal_date", "score", "qty", "entry_date", "entry", "exit_date", "exit", "reason"])
-
-    return run
-
-
-def backtest(days: DataFrame, cash: float = 1_000_000.0, bps: float = 5.0, hold: int = 10, most: int = 15) -> DataFrame:
-    """Fills of portfolio runs over days: run, symbol, bar_date, open, close, low, signal, leave, stop, qty, score.
-
-    A column bps of days, one value a run, takes the place of the argument. Each signal's exit depends on
-    its symbol's bars only, so exits are found by run and symbol; a portfolio is one sequential state, so a
-    run is then one group, of one row for each signal. Orders fill at the next day's open with slippage,
-    exits before entries, entries in order of score; an order without a bar or without cash is dropped. A
-    low at or under the stop sells at the next open. What is open at the end is closed at the last close.
-    """
+def ratcheted(df: DataFrame, level: Column, every: int, hold: int) -> DataFrame:
+    """symbol, entry_date, bar_date, level, stop of positions: df has rn and stop (null: no signal), in which each opens on the next bar.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["entry_date", "score", "symbol"], ascending=[True, False, True], na_position="last")
-        money, open_until, exits, held, out = cash, {}, [], 0, []
-        for k, r in enumerate(pdf.itertuples(index=False)):
-            while exits and exits[0][0] <= r.entry_date:
-                money += heapq.heappop(exits)[2]
-                held -= 1
-            paid = r.entry * (1 + r.bps / 1e4)
-            # A signal counts only on days on which its symbol isn't held.
-            if (r.symbol in open_until and r.signal_date < open_until[r.symbol]) or held >= most or not paid * r.qty <= money:
-                continue
-            ended = r.reason == "end"
-            price = r.exit if ended else r.exit * (1 - r.bps / 1e4)
-            money, held = money - paid * r.qty, held + 1
-            open_until[r.symbol] = date.max if ended else r.exit_date
-            if not ended:
-                heapq.heappush(exits, (r.exit_date, k, price * r.qty))
-            out.append((r.run, r.symbol, r.entry_date, paid, r.exit_date, price, r.qty, (price - paid) * r.qty, r.reason))
-        return pd.DataFrame(out, columns=["run", "symbol", "entry_date", "entry", "exit_date", "exit", "qty", "pnl", "reason"])
-
-    if "bps" not in days.columns:
-        days = days.withColumn("bps", F.lit(float(bps)))
-    calendar = days.select("run", "bar_date").distinct().withColumn("next", F.lead("bar_date").over(Window.partitionBy("run").orderBy("bar_date")))
-    return days.join(calendar, ["run", "bar_date"]).groupBy("run", "symbol").applyInPandas(_orders(hold), ORDERS).groupBy("run").applyInPandas(run, FILLS)
+    Every `every` bars after its own entry, for `hold` bars, the stop rises to the level of that bar; it never falls.
+    """
+    df = df.withColumns({"level": level, "__entry": lag("bar_date", -1)})
+    opened = df.filter(F.col("stop").isNotNull() & F.col("__entry").isNotNull()).select("symbol", F.col("__entry").alias("entry_date"), (F.col("rn") + 1).alias("entered"), "stop")
+    steps = opened.withColumn("rn", F.explode(F.sequence(F.col("entered") + every, F.col("entered") + hold, F.lit(every).cast("long"))))
+    seen = steps.join(df.select("symbol", "rn", "bar_date", "level"), ["symbol", "rn"])
+    rising = Window.partitionBy("symbol", "entry_date").orderBy("bar_date").rowsBetween(Window.unboundedPreceding, 0)
+    return seen.select("symbol", "entry_date", "bar_date", "level", F.greatest("stop", F.max("level").over(rising)).alias("stop"))

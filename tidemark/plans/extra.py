@@ -13,13 +13,13 @@ from tidemark.functions import options as o
 from tidemark.functions import ta
 from tidemark.functions.windows import last
 from tidemark.operators import market as m
-from tidemark.operators import primitives as p
+from tidemark.operators import store
 from tidemark.operators import strategies as s
 from tidemark.operators import trading as t
 from tidemark.plans import market as pm
 from tidemark.plans import strategies as ps
 from tidemark.plans.analysis import GRID, _grid
-from tidemark.plans.registry import QUERIES, query
+from tidemark.plans.registry import query
 from tidemark.plans.sql import TECH, with_tech
 from tidemark.plans.trading import _features
 from tidemark.sources import driver as d
@@ -74,8 +74,8 @@ def insert_returning(spark, sf):
     """New rows get ids after the greatest one, by natural key."""
     w = d.watchlist(spark, sf)
     top = w.agg(F.max("item_id").alias("top"))
-    fresh = w.select("list_name", "symbol").distinct()
-    return fresh.withColumn("n", F.row_number().over(Window.orderBy("list_name", "symbol"))).join(F.broadcast(top)).select("list_name", "symbol", (F.col("top") + F.col("n")).alias("item_id"))
+    new = store.numbered(w.select("list_name", "symbol").distinct(), ["list_name", "symbol"], "n")
+    return new.join(F.broadcast(top)).select("list_name", "symbol", (F.col("top") + F.col("n")).alias("item_id"))
 
 
 PARAMS = {"rsi2_meanrev": {"rsi_period": 2, "rsi_threshold": 10, "trend_sma": 200}, "momentum_52w_high": {"closeness_min": 0.95, "high_window": 252}}
@@ -96,28 +96,16 @@ def strategy_registry(spark, sf):
     return spark.createDataFrame([(x.name, x.version, x.history, x.risk) for x in s.REGISTRY.values()], "name string, version string, history int, risk double")
 
 
-# The benchmark as bars: regime label and structure
-
-
-def market_bars(spark, sf) -> DataFrame:
-    return d.bars(spark, sf).groupBy("bar_date").agg(*[F.avg(c).alias(c) for c in ("open", "high", "low", "close")], F.sum("volume").alias("volume")).withColumn("symbol", F.lit("MKT"))
+# The benchmark's structure
 
 
 _MKT = ", mbars as materialized (select 'MKT' as symbol, bar_date, avg(open) as open, avg(high) as high, avg(low) as low, avg(close) as close, cast(sum(volume) as bigint) as volume from bars group by bar_date)," + TECH.replace("from bars window", "from mbars window")
 
 
-@query("detect_regime", pm.REGIME + _MKT + f", lb as (select bar_date, case when round(adx14, 6) > 25 then case when close > avg(close) over {pm.frame(200)} then 'trending_up' else 'trending_down' end when round(adx14, 6) < 18 then 'choppy' else 'transitioning' end as label, rn from tech) select gc.bar_date, label, round(composite, 6) as composite, credit_stress from gc join lb using (bar_date) where rn >= 230")
-def detect_regime(spark, sf):
-    """bar_date, label, composite, credit_stress from bar 230 of the benchmark on."""
-    mkt = p.numbered(ta.with_recursive(market_bars(spark, sf).select("symbol", "bar_date", "open", "high", "low", "close", "volume"), ["adx14"]))
-    label = mkt.withColumn("label", m.label(F.round("adx14", 6), F.col("close"), F.avg("close").over(last(200)))).filter("rn >= 230").select("bar_date", "label")
-    return pm.regime_frame(spark, sf).join(label, "bar_date").select("bar_date", "label", F.round("composite", 6).alias("composite"), "credit_stress")
-
-
 @query("index_structure", with_views("bars") + _MKT + f", ix as (select bar_date, close, adx14, avg(close) over {pm.frame(20)} as mid, stddev_pop(close) over {pm.frame(20)} as dev from tech) select max(bar_date) as as_of, arg_max(case when adx14 < 18 then 'weak' when adx14 < 25 then 'emerging' when adx14 < 40 then 'strong' when adx14 < 60 then 'very_strong' else 'extreme' end, bar_date) as adx_bucket, round(arg_max((close - (mid - 2 * dev)) / (4 * dev), bar_date), 6) as pct_b from ix")
 def index_structure(spark, sf):
     """The benchmark's last bar: strength of trend and place in its bands."""
-    df = ta.with_recursive(market_bars(spark, sf).select("symbol", "bar_date", "open", "high", "low", "close", "volume"), ["adx14"])
+    df = ta.with_recursive(pm.market_bars(spark, sf), ["adx14"])
     a = F.col("adx14")
     bucket = F.when(a < 18, "weak").when(a < 25, "emerging").when(a < 40, "strong").when(a < 60, "very_strong").otherwise("extreme")
     mid, dev = F.avg("close").over(last(20)), F.stddev_pop("close").over(last(20))
@@ -148,10 +136,9 @@ def suggest_strike(spark, sf):
 
 
 
-def _exit(name: str, column: str, sql: str) -> None:
+def _exit(name: str, column: str, sql: str, *needs: str) -> None:
     def run(spark, sf):
-        value = F.round(column, 4) if column == "ratchet" else F.col(column)
-        return ps.exit_columns(ps.features(spark, sf)).filter("rn >= 200").select("symbol", "bar_date", value.alias(column))
+        return ps.exit_columns(s.features(d.bars(spark, sf), ps.EXIT_NEEDS)).filter("rn >= 200").select("symbol", "bar_date", column)
 
     windows = "ex as (select *, min(low) over (partition by symbol order by bar_date rows between 10 preceding and 1 preceding) as l10, max(high) over (partition by symbol order by bar_date rows between 21 preceding and current row) as h22 from ft)"
     query(name, with_tech() + ps.FEATURES + f", {windows} select symbol, bar_date, {sql} as {column} from ex where rn >= 200")(run)
@@ -161,17 +148,16 @@ _exit("exit_rsi2", "rsi2_exit", "close > s5")
 _exit("exit_largecap", "largecap_exit", "round(hist, 9) <= 0")
 _exit("exit_donchian", "donchian_exit", "close < l10")
 _exit("exit_chandelier", "chandelier_exit", "round(close - (h22 - 3 * atr22), 9) <= 0")
-_exit("ratchet_stop", "ratchet", "round(case when rn % 14 = 0 then close - 2 * atr20 end, 4)")
 
 
-@query("scan_run", None)
-def scan_run(spark, sf):
-    """The scans of all strategies, one below the other."""
-    out = None
-    for name in ("scan_rsi2", "scan_largecap", "scan_momentum52", "scan_donchian", "scan_reversal"):
-        one = QUERIES[name](spark, sf).select(F.lit(name.removeprefix("scan_")).alias("strategy"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+@query("ratchet_stop", with_tech("market") + ps.FEATURES + ps.DONCHIAN + f", sg as ({ps.DONCHIAN_SQL.replace('select symbol,', 'select rn, symbol,', 1)})" + """,
+en as (select g.symbol, g.rn + 1 as er, b.bar_date as entry_date, round(g.stop, 4) as first_stop from sg g join tech b on b.symbol = g.symbol and b.rn = g.rn + 1),
+rt as (select e.*, b.bar_date, round(b.close - 2 * b.atr20, 4) as level from en e join tech b on b.symbol = e.symbol and b.rn > e.er and b.rn <= e.er + 70 and (b.rn - e.er) % 14 = 0)
+select symbol, entry_date, bar_date, level, greatest(first_stop, max(level) over (partition by symbol, entry_date order by bar_date)) as stop from rt""")
+def ratchet_stop(spark, sf):
+    """The stop of positions that breakouts open, at every 14th bar after their own entry, for 70 bars: it only rises."""
+    df = s.REGISTRY["donchian_trend"].mark(ps.inputs(spark, sf, "donchian_trend"))
+    return t.ratcheted(df.withColumn("stop", F.round("donchian_trend.stop", 4)), F.round(F.col("close") - 2 * F.col("atr20"), 4), s.RATCHET, 70)
 
 
 @query("sink_model", None)
@@ -189,7 +175,7 @@ def sink_model(spark, sf):
     stages = [VectorAssembler(inputCols=list(t.NEUTRAL), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features"), LogisticRegression(maxIter=20)]
     path = f"{_shared(spark)}/{uuid.uuid4().hex}"
     Pipeline(stages=stages).fit(known).write().overwrite().save(path)
-    signals = s.rsi2_signals(ps.features(spark, sf)).select("symbol", "bar_date")
+    signals = ps.signals(spark, sf, "rsi2_meanrev").select("symbol", "bar_date")
     scored = PipelineModel.load(path).transform(f.join(signals, ["symbol", "bar_date"], "left_semi"))
     return scored.select("symbol", "bar_date", F.round(vector_to_array("probability")[1], 6).alias("p_win"))
 

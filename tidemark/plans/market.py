@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ta
+from tidemark.functions.windows import last
 from tidemark.operators import market as m
 from tidemark.operators import primitives as p
 from tidemark.plans.registry import query
-from tidemark.plans.sql import with_bars, with_tech
+from tidemark.plans.sql import wilder, with_bars, with_tech
 from tidemark.plans.store import members_as_of
 from tidemark.sources import driver as d
 from tidemark.sources.driver import with_views
@@ -82,11 +83,10 @@ rd as (select *, lag(av, 20) over (partition by symbol order by bar_date) as av0
 
 @query("relative_strength", with_bars("market") + RS + f" select symbol, bar_date, case when rn > 63 then round({clip(f'0.7::double * rs + 0.3::double * coalesce({clip("(av - av0) / av0 / 0.05::double")}, 0)')}, 6) end as rs_raw from rd")
 def relative_strength(spark, sf):
-    bars = p.numbered(d.bars(spark, sf))
-    # The benchmark has no key: its levels are joined by day, and every bar's day has one.
+    # The benchmark has one row a day and a row for every bar's day.
     level = d.market(spark, sf).withColumnRenamed("close", "level")
-    per_symbol = bars.select("symbol", "bar_date").join(level, "bar_date")
-    return p.relative_strength(bars, per_symbol, ["symbol"]).select(*KEYS, F.round("rs_raw", 6).alias("rs_raw"))
+    bars = p.numbered(d.bars(spark, sf)).join(F.broadcast(level), "bar_date")
+    return p.relative_strength(bars, None, ["symbol"]).select(*KEYS, F.round("rs_raw", 6).alias("rs_raw"))
 
 
 @query("sector_relative_strength", with_bars("sectors") + """, sd as (select bar_date, lag(bar_date) over (order by bar_date) as pb from (select distinct bar_date from bars)),
@@ -166,6 +166,46 @@ def regime_factor(spark, sf):
     return df.select("strategy", "bar_date", F.round(m.regime_factor(F.col("affinity"), F.col("composite"), F.col("credit_stress")), 6).alias("factor"))
 
 
+# The benchmark as bars: the market's label, and with it the regime that sizes of scans and backtests follow
+
+
+def market_bars(spark, sf):
+    """The benchmark's bars: means over all symbols."""
+    means = [F.avg(c).alias(c) for c in ("open", "high", "low", "close")]
+    bars = d.bars(spark, sf).groupBy("bar_date").agg(*means, F.sum("volume").alias("volume"))
+    return bars.select(F.lit("MKT").alias("symbol"), "bar_date", "open", "high", "low", "close", "volume")
+
+
+def market_labels(spark, sf):
+    """bar_date, label from bar 230 of the benchmark on."""
+    mkt = p.numbered(ta.with_recursive(market_bars(spark, sf), ["adx14"]))
+    return mkt.withColumn("label", m.label(F.round("adx14", 6), F.col("close"), F.avg("close").over(last(200)))).filter("rn >= 230").select("bar_date", "label")
+
+
+def regime(spark, sf):
+    """bar_date, label, composite, credit_stress from bar 230 of the benchmark on."""
+    return regime_frame(spark, sf).join(market_labels(spark, sf), "bar_date").select("bar_date", "label", F.round("composite", 9).alias("composite"), "credit_stress")
+
+
+#: CTEs for `lb`: bar_date, label, mrn of the benchmark, by its own chain of Wilder means.
+LABELS = ",".join([
+    """mbars as (select 'MKT' as symbol, bar_date, avg(high) as high, avg(low) as low, avg(close) as close from bars group by bar_date),
+mn0 as materialized (select *, row_number() over w as rn, lag(close) over w as pc, lag(high) over w as ph, lag(low) over w as pl from mbars window w as (order by bar_date)),
+mn as materialized (select *, greatest(high - low, abs(high - pc), abs(low - pc)) as tr,
+   case when high - ph > pl - low and high - ph > 0 then high - ph else 0 end as pdm, case when pl - low > high - ph and pl - low > 0 then pl - low else 0 end as mdm from mn0)""",
+    wilder("mw14", 14, {"a14": "tr", "p14": "pdm", "m14": "mdm"}, "mn"),
+    """mdx as materialized (select mn.symbol, mn.rn, case when w.a14 > 0 and w.p14 + w.m14 > 0 then 100 * abs(w.p14 - w.m14) / (w.p14 + w.m14) else 0 end as dx from mn left join mw14 w on mn.rn = w.rn)""",
+    wilder("mwx", 14, {"adx": "dx"}, "mdx"),
+    """lb as (select bar_date, case when round(adx, 6) > 25 then case when close > avg(close) over (order by bar_date rows between 199 preceding and current row) then 'trending_up' else 'trending_down' end
+   when round(adx, 6) < 18 then 'choppy' else 'transitioning' end as label, mn.rn as mrn from mn left join mwx using (rn))""",
+])
+
+
+@query("detect_regime", REGIME + ", " + LABELS + " select gc.bar_date, label, round(composite, 6) as composite, credit_stress from gc join lb using (bar_date) where mrn >= 230")
+def detect_regime(spark, sf):
+    return regime(spark, sf).withColumn("composite", F.round("composite", 6))
+
+
 # Sectors and breadth
 
 PANEL = """, sd as (select bar_date, lag(bar_date) over (order by bar_date) as pb from (select distinct bar_date from bars)),

@@ -460,14 +460,14 @@ def win_max_partition(spark, sf):
 
 @query("win_percent_rank", with_views("fundamentals") + " select symbol, 100 * percent_rank() over (order by market_cap) as pct from fundamentals where market_cap is not null")
 def win_percent_rank(spark, sf):
-    # One row for each symbol: the only global order is over a small table.
-    return d.fundamentals(spark, sf).filter("market_cap is not null").select("symbol", (100 * F.percent_rank().over(Window.orderBy("market_cap"))).alias("pct"))
+    known = d.fundamentals(spark, sf).filter("market_cap is not null").select("symbol", "market_cap")
+    return store.percent_ranked(known, "market_cap", "pct").select("symbol", "pct")
 
 
 @query("sort_nulls_last", with_views("fundamentals") + " select symbol, market_cap, row_number() over (order by market_cap desc nulls last, symbol) as place from fundamentals")
 def sort_nulls_last(spark, sf):
-    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("market_cap"), "symbol"))
-    return d.fundamentals(spark, sf).select("symbol", "market_cap", place.cast("long").alias("place"))
+    ranked = store.numbered(d.fundamentals(spark, sf).select("symbol", "market_cap"), ["market_cap", "symbol"], "place", ascending=False)
+    return ranked.select("symbol", "market_cap", F.col("place").cast("long").alias("place"))
 
 
 @query("topk_limit", with_views("fundamentals") + " select symbol, market_cap from fundamentals where market_cap is not null order by market_cap desc, symbol limit 5")

@@ -6,11 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ta
-
-
 from tidemark.operators import primitives as p
+from tidemark.operators import store
 from tidemark.operators import strategies as s
-from tidemark.plans.market import PIVOTS, REVERSAL, RS, VOLUME, clip, frame, regime_frame
+from tidemark.plans.market import LABELS, PIVOTS, REGIME, REVERSAL, RS, VOLUME, clip, frame, regime
 from tidemark.plans.registry import query
 from tidemark.plans.sql import with_tech
 from tidemark.sources import driver as d
@@ -19,34 +18,56 @@ from tidemark.sources.driver import with_views
 COLUMNS = ["symbol", "bar_date"]
 
 
-def features(spark, sf):
-    return s.features(d.bars(spark, sf))
+def features(spark, sf, *names):
+    """The features of some strategies, of all without names: only the indicators that they read."""
+    needs = [n for x in names or s.REGISTRY for n in s.REGISTRY[x].needs]
+    return s.features(d.bars(spark, sf), needs)
+
+
+def caps(spark, sf):
+    """symbol, cap_pct: percent rank of the market cap among all symbols."""
+    known = d.fundamentals(spark, sf).filter("market_cap is not null").select("symbol", "market_cap")
+    return store.percent_ranked(known, "market_cap", "cap_pct")
 
 
-def with_caps(spark, sf):
-    caps = d.fundamentals(spark, sf).filter("market_cap is not null").select("symbol", (100 * F.percent_rank().over(Window.orderBy("market_cap"))).alias("cap_pct"))
-    return features(spark, sf).join(caps, "symbol", "left")
+def with_caps(df, spark, sf):
+    return df.join(caps(spark, sf).select("symbol", "cap_pct"), "symbol", "left")
 
 
-def market_returns(spark, sf):
-    """bar_date, market_ret60."""
+def with_market(df, spark, sf):
+    """df with market_ret60 and level of the benchmark, which has one row a day."""
     w = Window.partitionBy("series").orderBy("bar_date")
     mkt = d.market(spark, sf).withColumn("series", F.lit("MKT"))
-    return mkt.select("bar_date", (F.col("close") / F.lag("close", 60).over(w) - 1).alias("market_ret60"))
+    daily = mkt.select("bar_date", F.col("close").alias("level"), (F.col("close") / F.lag("close", 60).over(w) - 1).alias("market_ret60"))
+    return df.join(F.broadcast(daily), "bar_date", "left")
 
 
-def with_market(spark, sf):
-    return features(spark, sf).join(F.broadcast(market_returns(spark, sf)), "bar_date", "left")
+def with_strength(df, spark, sf):
+    return p.relative_strength(with_market(df, spark, sf), None, ["symbol"])
 
 
-def with_strength(spark, sf):
-    f = features(spark, sf)
-    level = d.market(spark, sf).withColumnRenamed("close", "level")
-    return p.relative_strength(f, f.select("symbol", "bar_date").join(level, "bar_date"), ["symbol"])
+def inputs(spark, sf, *names):
+    """Features of some strategies (all without names) with what their rules read of other tables."""
+    names = names or tuple(s.REGISTRY)
+    df = features(spark, sf, *names)
+    if "reversal_swing" in names:
+        df = with_strength(df, spark, sf)
+    elif "donchian_trend" in names:
+        df = with_market(df, spark, sf)
+    return with_caps(df, spark, sf) if "largecap_rebound" in names else df
 
 
-def out(signals):
-    return signals.select(*COLUMNS, F.round("score", 6).alias("score"), F.round("stop", 4).alias("stop"))
+def signals(spark, sf, *names):
+    """strategy, symbol, bar_date, close, score, stop: the signals of some strategies from one pass over the bars."""
+    df = inputs(spark, sf, *names)
+    for name in names or s.REGISTRY:
+        df = s.REGISTRY[name].mark(df)
+    found = F.array(*[F.when(F.col(name).isNotNull(), F.struct(F.lit(name).alias("strategy"), f"{name}.*")) for name in names or s.REGISTRY])
+    return df.select(*COLUMNS, "close", F.inline(F.array_compact(found)))
+
+
+def out(found):
+    return found.select(*COLUMNS, F.round("score", 6).alias("score"), F.round("stop", 4).alias("stop"))
 
 
 FEATURES = f""", ft as (select *, macd - macd_signal as hist, lag(macd - macd_signal) over w as hist_prev, lag(rsi14) over w as rsi14_prev, case when rn >= 50 then avg(close) over {frame(50)} end as s50, case when rn >= 200 then avg(close) over {frame(200)} end as s200,
@@ -69,22 +90,22 @@ DONCHIAN_SQL = """select symbol, bar_date, close, least(1, (close - top) / atr20
 
 @query("sig_rsi2", with_tech() + FEATURES + f", sg as ({RSI2_SQL}) select symbol, bar_date, round(score, 6) as score, round(stop, 4) as stop from sg")
 def sig_rsi2(spark, sf):
-    return out(s.rsi2_signals(features(spark, sf)))
+    return out(signals(spark, sf, "rsi2_meanrev"))
 
 
 @query("sig_largecap", with_tech("fundamentals") + FEATURES + f", sg as ({LARGECAP_SQL}) select symbol, bar_date, round(score, 6) as score, round(stop, 4) as stop from sg")
 def sig_largecap(spark, sf):
-    return out(s.largecap_signals(with_caps(spark, sf)))
+    return out(signals(spark, sf, "largecap_rebound"))
 
 
 @query("sig_momentum52", with_tech() + FEATURES + SLOPE + f", sg as ({MOMENTUM_SQL}) select symbol, bar_date, round(score, 6) as score, round(stop, 4) as stop from sg")
 def sig_momentum52(spark, sf):
-    return out(s.momentum_signals(features(spark, sf)))
+    return out(signals(spark, sf, "momentum_52w_high"))
 
 
 @query("sig_donchian", with_tech("market") + FEATURES + DONCHIAN + f", sg as ({DONCHIAN_SQL}) select symbol, bar_date, round(score, 6) as score, round(stop, 4) as stop from sg")
 def sig_donchian(spark, sf):
-    return out(s.donchian_signals(with_market(spark, sf)))
+    return out(signals(spark, sf, "donchian_trend"))
 
 
 SCORES = REVERSAL + PIVOTS + VOLUME + RS + f""", rx as (
@@ -97,12 +118,12 @@ REVERSAL_SQL = "select symbol, bar_date, close, score, close - 2.5::double * atr
 
 @query("reversal_score", with_tech("market") + SCORES + " select symbol, bar_date, round(score, 6) as score from ry where score is not null")
 def reversal_score(spark, sf):
-    return s.reversal_scores(with_strength(spark, sf)).filter("reversal_score is not null").select(*COLUMNS, F.round("reversal_score", 6).alias("score"))
+    return s.reversal_scores(inputs(spark, sf, "reversal_swing")).filter("reversal_score is not null").select(*COLUMNS, F.round("reversal_score", 6).alias("score"))
 
 
 @query("sig_reversal", with_tech("market") + SCORES + f", sg as ({REVERSAL_SQL}) select symbol, bar_date, round(score, 6) as score, round(stop, 4) as stop from sg")
 def sig_reversal(spark, sf):
-    return out(s.reversal_signals(with_strength(spark, sf)))
+    return out(signals(spark, sf, "reversal_swing"))
 
 
 @query("turtle_1l", with_tech() + """, b0 as (select *, case when rn > 21 and close > max(close) over (partition by symbol order by bar_date rows between 20 preceding and 1 preceding) then rn end as b, close < min(low) over (partition by symbol order by bar_date rows between 10 preceding and 1 preceding) as gone from tech),
@@ -116,9 +137,12 @@ def turtle_1l(spark, sf):
 
 
 @query("exits", with_tech() + FEATURES + """, ex as (select *, min(low) over (partition by symbol order by bar_date rows between 10 preceding and 1 preceding) as l10, max(high) over (partition by symbol order by bar_date rows between 21 preceding and current row) as h22 from ft)
-select symbol, bar_date, close > s5 as rsi2_exit, round(hist, 9) <= 0 as largecap_exit, close < l10 as donchian_exit, round(close - (h22 - 3 * atr22), 9) <= 0 as chandelier_exit, round(case when rn % 14 = 0 then close - 2 * atr20 end, 4) as ratchet from ex where rn >= 200""")
+select symbol, bar_date, close > s5 as rsi2_exit, round(hist, 9) <= 0 as largecap_exit, close < l10 as donchian_exit, round(close - (h22 - 3 * atr22), 9) <= 0 as chandelier_exit, round(close - 2 * atr20, 4) as ratchet_level from ex where rn >= 200""")
 def exits(spark, sf):
-    return exit_columns(features(spark, sf)).filter("rn >= 200").select(*COLUMNS, "rsi2_exit", "largecap_exit", "donchian_exit", "chandelier_exit", F.round("ratchet", 4).alias("ratchet"))
+    return exit_columns(s.features(d.bars(spark, sf), EXIT_NEEDS)).filter("rn >= 200").select(*COLUMNS, "rsi2_exit", "largecap_exit", "donchian_exit", "chandelier_exit", F.round("ratchet_level", 4).alias("ratchet_level"))
+
+
+EXIT_NEEDS = ("macd", "macd_signal", "atr20", "atr22")
 
 
 def exit_columns(df):
@@ -128,7 +152,7 @@ def exit_columns(df):
     h22 = F.max("high").over(last(22))
     return df.withColumns({
         "rsi2_exit": F.col("close") > F.col("sma5"), "largecap_exit": F.round("hist", 9) <= 0, "donchian_exit": F.col("close") < F.min("low").over(before(10)),
-        "chandelier_exit": F.round(F.col("close") - (h22 - 3 * F.col("atr22")), 9) <= 0, "ratchet": F.when(F.col("rn") % 14 == 0, F.col("close") - 2 * F.col("atr20")),
+        "chandelier_exit": F.round(F.col("close") - (h22 - 3 * F.col("atr22")), 9) <= 0, "ratchet_level": F.col("close") - 2 * F.col("atr20"),
     })
 
 
@@ -159,23 +183,14 @@ def filter_chain(spark, sf):
 # Scans: signals -> size -> regime -> reasons -> rank
 
 
-def regime(spark, sf):
-    """bar_date, label, composite, credit_stress; the label comes from the composite's level, as the market has no high and low."""
-    c = F.round("composite", 9)
-    label = F.when(c >= 0.6, "trending_up").when(c < 0.3, "trending_down").when(c < 0.45, "choppy").otherwise("transitioning")
-    return regime_frame(spark, sf).select("bar_date", label.alias("label"), F.round("composite", 9).alias("composite"), "credit_stress")
-
-
 def _scan_sql(signals: str, risk: int, affinity: dict[str, float], ctes: str, *views: str) -> str:
-    from tidemark.plans.market import REGIME
-
     regime_ctes = REGIME.split(", mp as", 1)[1]
     cases = " ".join(f"when '{k}' then {v}::double" for k, v in affinity.items())
     return (
-        with_tech("market", "macro", "earnings", *views) + ", mp as" + regime_ctes + ctes
-        + ", rl as (select bar_date, case when round(composite, 9) >= 0.6 then 'trending_up' when round(composite, 9) < 0.3 then 'trending_down' when round(composite, 9) < 0.45 then 'choppy' else 'transitioning' end as label, round(composite, 9) as composite, credit_stress from gc)"
+        with_tech("market", "macro", "earnings", *views) + ", mp as" + regime_ctes + ", " + LABELS + ctes
+        + ", rl as (select bar_date, label, round(composite, 9) as composite, credit_stress from gc join lb using (bar_date) where mrn >= 230)"
         + f", sg as ({signals}), src as (select symbol, bar_date, score, round(close, 4) as entry, round(stop, 4) as stop from sg), " + SIZE.format(risk=risk)
-        + f""", sc as (select z.*, cast(round_even(case when size_reason is null then qty0 else 0 end * case label {cases} else 1 end * coalesce(0.5 + 0.5 * composite, 1), 0) as bigint) as qty, coalesce(credit_stress, false) as stress,
+        + f""", sc as (select z.*, cast(round_even(case when size_reason is null then qty0 else 0 end * case label {cases} else 1 end * coalesce(0.5 + 0.5 * composite, 1) * case when credit_stress then 0.5 else 1 end, 0) as bigint) as qty, coalesce(credit_stress, false) as stress,
              exists (select 1 from earnings e where e.symbol = z.symbol and z.bar_date between e.report_date - 7 and e.report_date) as soon from sized z left join rl using (bar_date)),
            sr2 as (select *, coalesce(size_reason, case when stress then 'credit_stress_long_block' when qty <= 0 then 'regime_zero_size' when soon then 'earnings' end) as reason from sc),
            st2 as (select *, case when reason is null then 'new' else 'rejected' end as status from sr2)
@@ -183,20 +198,30 @@ def _scan_sql(signals: str, risk: int, affinity: dict[str, float], ctes: str, *v
     )
 
 
-def _scan(query_name: str, strategy: str, inputs, signals: str, risk: int, ctes: str, *views: str) -> None:
-    def run(spark, sf):
-        one = s.REGISTRY[strategy]
-        found = s.scan(one.signals(inputs(spark, sf)), one, d.earnings(spark, sf), regime(spark, sf))
-        return found.withColumn("score", F.round("score", 6))
+def scanned(spark, sf, *names):
+    """The scan of some strategies, of all without names."""
+    return s.scan(signals(spark, sf, *names), d.earnings(spark, sf), regime(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+SCANS: dict[str, str] = {}
+
+
+def _scan(query_name: str, strategy: str, signals_sql: str, risk: int, ctes: str, *views: str) -> None:
+    SCANS[strategy] = _scan_sql(signals_sql, risk, s.REGISTRY[strategy].affinity, ctes, *views)
+    query(query_name, SCANS[strategy])(lambda spark, sf: scanned(spark, sf, strategy).drop("strategy"))
+
 
-    query(query_name, _scan_sql(signals, risk, s.REGISTRY[strategy].affinity, ctes, *views))(run)
+_scan("scan_rsi2", "rsi2_meanrev", RSI2_SQL, 100000000, FEATURES)
+_scan("scan_largecap", "largecap_rebound", LARGECAP_SQL, 100000000, FEATURES, "fundamentals")
+_scan("scan_momentum52", "momentum_52w_high", MOMENTUM_SQL, 75000000, FEATURES + SLOPE)
+_scan("scan_donchian", "donchian_trend", DONCHIAN_SQL, 75000000, FEATURES + DONCHIAN)
+_scan("scan_reversal", "reversal_swing", REVERSAL_SQL, 100000000, SCORES)
 
 
-_scan("scan_rsi2", "rsi2_meanrev", features, RSI2_SQL, 100000000, FEATURES)
-_scan("scan_largecap", "largecap_rebound", with_caps, LARGECAP_SQL, 100000000, FEATURES, "fundamentals")
-_scan("scan_momentum52", "momentum_52w_high", features, MOMENTUM_SQL, 75000000, FEATURES + SLOPE)
-_scan("scan_donchian", "donchian_trend", with_market, DONCHIAN_SQL, 75000000, FEATURES + DONCHIAN)
-_scan("scan_reversal", "reversal_swing", with_strength, REVERSAL_SQL, 100000000, SCORES)
+@query("scan_run", " union all ".join(f"select '{name}' as strategy, * from ({sql})" for name, sql in SCANS.items()))
+def scan_run(spark, sf):
+    """The scan of all strategies from one pass over the bars."""
+    return scanned(spark, sf)
 
 
 @query("signal_dedupe", with_views("trades") + " select symbol, entry_date, max(trade_id) as signal_id from trades group by 1, 2")

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
 from tidemark.sources import driver as d
+from tidemark.sources import shared
 from tidemark.sources.driver import with_views
 from tidemark.streaming import bars as st
 
 
 def _shared(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share; a temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base}/tidemark/stream-{uuid.uuid4().hex}"
+    return shared.folder(spark, "stream")
 
 
 def _landed(df: DataFrame, folder: str, files: int = 8) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ta
+from tidemark.functions.windows import full, last
+from tidemark.operators import backtest as bt
 from tidemark.operators import primitives as p
 from tidemark.operators import store
 from tidemark.operators import strategies as s
@@ -14,6 +16,7 @@ from tidemark.plans.market import frame
 from tidemark.plans.registry import query
 from tidemark.plans.sql import with_tech
 from tidemark.sources import driver as d
+from tidemark.sources import shared
 from tidemark.sources.driver import with_views
 
 KEYS = ["symbol", "bar_date"]
@@ -178,34 +181,63 @@ def broker_account(spark, sf):
 # Sequential runs
 
 
-def _rsi2_days(spark, sf):
-    """Every bar with the mean-reversion strategy's signal, exit rule, stop and size."""
-    df = s.features(d.bars(spark, sf))
-    signal = (F.col("rn") >= 220) & (F.col("close") > F.col("sma200")) & (F.round("rsi2", 9) < 10)
-    df = df.withColumns({"signal": F.coalesce(signal, F.lit(False)), "leave": F.coalesce(F.col("close") > F.col("sma5"), F.lit(False)), "stop": F.col("close") - 2.5 * F.col("atr14"), "score": 1 - F.col("rsi2") / 10})
-    return df.withColumns(s.position_size(F.col("close"), F.col("stop")))
+def _positions(spark, sf, runs):
+    """What the positions of some runs read, from one pass over the bars."""
+    from tidemark.plans import strategies as ps
 
+    names = tuple(dict.fromkeys(strategy for _, strategy, _ in runs))
+    df = ps.inputs(spark, sf, *names)
+    for name in names:
+        df = s.REGISTRY[name].mark(df)
+    adv = full(F.avg(F.col("close") * F.col("volume")).over(last(20)), "close", 20)
+    return bt.positions(df.withColumn("adv", adv).join(d.sectors(spark, sf), "symbol", "left"), runs, "sector", "adv")
 
-@query("base_rates", None)
-def base_rates(spark, sf):
-    setups = t.base_rates(_rsi2_days(spark, sf).select("symbol", "bar_date", "open", "close", "signal", "leave", "stop"))
-    return setups.withColumn("ret", F.col("exit") / F.col("entry") - 1)
 
+#: A run of each strategy with five basis points of slippage.
+RUNS = [(name, name, 5.0) for name in s.REGISTRY]
 
-@query("base_rate_summary", None)
-def base_rate_summary(spark, sf):
-    setups = t.base_rates(_rsi2_days(spark, sf).select("symbol", "bar_date", "open", "close", "signal", "leave", "stop")).withColumn("ret", F.col("exit") / F.col("entry") - 1)
-    return setups.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("ret") > 0).cast("double")).alias("win_rate"), F.avg("ret").alias("expectancy"), F.percentile("ret", F.lit(0.5)).alias("median"))
+
+def backtested(spark, sf, runs=RUNS):
+    """The runs over all trading days of the benchmark, sized by its label, over the index members of each day."""
+    from tidemark.plans import market as pm
+
+    label = F.when(F.col("label").isNotNull(), F.col("label"))
+    affinity = {run: F.coalesce(*[F.when(label == k, v) for k, v in s.REGISTRY[name].affinity.items()], F.lit(1.0)) for run, name, _ in runs}
+    daily = d.market(spark, sf).select(F.col("bar_date").alias("day")).join(pm.market_labels(spark, sf).withColumnRenamed("bar_date", "day"), "day", "left")
+    days = daily.select("day", F.inline(F.array(*[F.struct(F.lit(run).alias("run"), factor.alias("factor")) for run, factor in affinity.items()])))
+    return bt.backtest(_positions(spark, sf, runs), days, members=d.membership(spark, sf))
 
 
 @query("backtest_run", None)
 def backtest_run(spark, sf):
-    days = _rsi2_days(spark, sf)
-    # Bars that can't be traded or held add nothing: those of symbols that never signal.
-    traded = days.filter("signal").select("symbol").distinct()
-    thin = days.join(traded, "symbol", "left_semi").select("symbol", "bar_date", "open", "close", "low", "signal", "leave", "stop", "qty", "score")
-    runs = F.explode(F.array(*[F.struct(F.lit(f"bps={b}").alias("run"), F.lit(float(b)).alias("bps")) for b in (5, 0)]))
-    return t.backtest(thin.withColumn("__run", runs).select("*", "__run.*").drop("__run"))
+    return bt.trades(backtested(spark, sf))
+
+
+@query("backtest_equity", None)
+def backtest_equity(spark, sf):
+    return bt.equity(backtested(spark, sf))
+
+
+@query("backtest_report", None)
+def backtest_report(spark, sf):
+    """Each run's own equity curve and trades, summarised."""
+    result = shared.written(backtested(spark, sf), "backtest")
+    return t.equity_stats(bt.equity(result), "run").join(t.trade_stats(bt.trades(result), "run"), "run", "left")
+
+
+@query("base_rates", None)
+def base_rates(spark, sf):
+    return bt.base_rates(_positions(spark, sf, RUNS)).withColumn("ret", F.col("exit") / F.col("entry") - 1)
+
+
+@query("base_rate_summary", None)
+def base_rate_summary(spark, sf):
+    won, ret = F.col("ret") > 0, F.col("ret")
+    gains, losses = F.sum(F.when(won, ret)), F.sum(F.when(ret < 0, ret))
+    return base_rates(spark, sf).groupBy("strategy", "symbol").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(won.cast("double")).alias("win_rate"), F.avg("ret").alias("expectancy"), F.percentile("ret", F.lit(0.5)).alias("median"),
+        F.try_divide(gains, -losses).alias("profit_factor"), F.avg(F.datediff("exit_date", "entry_date")).alias("avg_days"), (F.count(F.lit(1)) < 50).alias("small_sample"),
+    )
 
 
 @query("per_day_scores", with_tech() + " select symbol, bar_date, case when rn < 220 then 'warmup' when rsi2 is null then 'abstained' else 'scored' end as phase, case when rn >= 220 then round(1 - rsi2 / 10, 6) end as score from tech")
