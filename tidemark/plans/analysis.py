@@ -226,20 +226,3 @@ def options_context(spark, sf):
     df = d.bars(spark, sf).select("symbol").distinct().join(per, "symbol", "left").join(soon, "symbol", "left")
     days = F.datediff("next", day)
     return df.select("symbol", F.round(F.col("support") + OFF, 6).alias("support"), F.round(F.col("resistance") + OFF, 6).alias("resistance"), days.alias("days_to_earnings"), F.coalesce(days <= 7, F.lit(False)).alias("earnings_soon"))
-
-
-@query("observations", None)
-def observations(spark, sf):
-    """Sentences on each symbol's last bar, from rules on trend, momentum and volatility."""
-    df = trend(p.numbered(ta.with_recursive(d.bars(spark, sf), ["adx14", "rsi14"])))
-    latest = store.latest(df, ["symbol"], "bar_date", ["bucket", "rsi14", "adx14", "r21"])
-    said = F.array_compact(F.array(
-        F.when(F.col("bucket").isin("up", "strong_up"), F.format_string("Trend is up: %.1f%% over 21 bars.", "r21")),
-        F.when(F.col("bucket").isin("down", "strong_down"), F.format_string("Trend is down: %.1f%% over 21 bars.", "r21")),
-        F.when(F.col("rsi14") <= 30, F.format_string("RSI(14) is oversold at %.0f.", "rsi14")),
-        F.when(F.col("rsi14") > 70, F.format_string("RSI(14) is overbought at %.0f.", "rsi14")),
-        F.when(F.col("adx14") >= 25, F.format_string("ADX(14) of %.0f shows a strong trend.", "adx14")),
-    ))
-    return latest.select("symbol", said.alias("observations"))
-
-
