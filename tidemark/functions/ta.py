@@ -65,10 +65,10 @@ def wilder(x: np.ndarray, n: int) -> np.ndarray:
     out = np.full(len(x), np.nan)
     if len(x) < n or np.isnan(x[:n]).all():
         return out
-    y = out[n - 1] = float(np.nanmean(x[:n]))
-    for i in range(n, len(x)):
-        y += (x[i] - y) / n
-        out[i] = y
+    rest = x[n:]
+    known = len(rest) if not np.isnan(rest).any() else int(np.argmax(np.isnan(rest)))  # a gap ends the recurrence
+    start = np.concatenate([[np.nanmean(x[:n])], rest[:known]])
+    out[n - 1 : n + known] = pd.Series(start).ewm(alpha=1 / n, adjust=False).mean().to_numpy()
     return out
 
 

@@ -6,15 +6,20 @@ Each function returns a DataFrame with the columns that its operators expect. Pr
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources import shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, bar_date, open, high, low, close, adj_close, volume: one row for each supplier and ship date."""
     # The symbol is there before the first shuffle, so that later groups and windows by symbol can share one.
     symbol = F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol")
@@ -39,6 +44,27 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BARS: dict[tuple[str, str], str] = {}
+_LOCK = threading.Lock()
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """made_bars() as a table: written once for an application and folder, bucketed and sorted by symbol.
+
+    Windows and groups by symbol need no exchange then, and filters on symbols, days and prices reach the files.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    with _LOCK:
+        if key not in _BARS:
+            path, name = shared.folder(spark, "bars"), f"tidemark_bars_{uuid.uuid4().hex}"
+            buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+            rows = made_bars(spark, sf_dir).repartition(buckets, "symbol")
+            rows.write.bucketBy(buckets, "symbol").sortBy("symbol", "bar_date").option("path", path).saveAsTable(name)
+            shared.delete_on_exit(spark, path)
+            _BARS[key] = name
+    return spark.table(_BARS[key])
+
+
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bar_date, close: the mean close of all symbols, the benchmark series."""
     return bars(spark, sf_dir).groupBy("bar_date").agg(F.avg("close").alias("close"))

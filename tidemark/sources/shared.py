@@ -19,11 +19,15 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{base}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: computed once, and lost executors lose nothing. The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = folder(spark, label)
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
