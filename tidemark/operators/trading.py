@@ -62,18 +62,29 @@ def triple_barrier(bars: DataFrame, stop: Column, target: Column, hold: int = 20
     return df.withColumn("label", F.when(ready, label)).drop("__n", "__s", "__t")
 
 
-#: Values of features that can't be computed: neutral ones.
-NEUTRAL = {"ret5": 0.0, "ret21": 0.0, "ret63": 0.0, "vol5": 0.0, "vol21": 0.0, "vol63": 0.0, "rsi14": 50.0, "rsi2": 50.0, "closeness": 1.0, "atr_pct": 0.0}
+#: What stands for features that can't be computed.
+NEUTRAL = {
+    "ret5": 0.0, "ret21": 0.0, "ret63": 0.0, "vol5": 0.20, "vol21": 0.20, "vol63": 0.20, "rsi14": 50.0, "rsi2": 50.0, "closeness": 0.85, "atr_pct": 0.02, "signal_score": 0.5,
+    "regime_composite": 0.5, "trending_up": 0.0, "trending_down": 0.0, "choppy": 0.0, "transitioning": 0.0, "credit_stress": 0.0,
+}
 
 
-def ml_features(bars: DataFrame) -> DataFrame:
-    """bars (with rsi14, rsi2, atr14) with the model's inputs, neutral where history is short."""
+def ml_features(bars: DataFrame, regime: DataFrame) -> DataFrame:
+    """bars (with rn, rsi14, rsi2, atr14, signal_score) with the model's inputs, neutral where they can't be computed.
+
+    regime: bar_date, label, composite, credit_stress; the row of a bar's own day is read, none is no regime.
+    """
     df = bars.withColumn("__r", F.ln(F.col("close") / lag("close")))
     cols = {f"ret{n}": F.col("close") / lag("close", n) - 1 for n in (5, 21, 63)}
-    cols |= {f"vol{n}": full(F.stddev_samp("__r").over(last(n)), "__r", n) * 252**0.5 for n in (5, 21, 63)}
-    cols |= {"closeness": F.col("close") / F.max("close").over(last(252)), "atr_pct": F.col("atr14") / F.col("close")}
-    df = df.withColumns(cols).drop("__r")
-    return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in NEUTRAL.items()})
+    for n in (5, 21, 63):
+        dev = full(F.stddev_samp("__r").over(last(n)), "__r", n)
+        cols[f"vol{n}"] = F.when(dev > 0, dev * 252**0.5)
+    since = lambda n, x: F.when(F.col("rn") >= n, x)
+    cols |= {"closeness": since(5, F.col("close") / F.max("close").over(last(252))), "atr_pct": since(21, F.col("atr14") / F.col("close")), "rsi14": since(30, F.col("rsi14")), "rsi2": since(5, F.col("rsi2"))}
+    days = regime.select("bar_date", F.col("label").alias("__label"), F.col("composite").alias("regime_composite"), F.col("credit_stress").cast("double").alias("credit_stress"))
+    df = df.withColumns(cols).drop("__r").join(F.broadcast(days), "bar_date", "left")  # one row for each trading day
+    df = df.withColumns({x: F.when(F.col("__label").isNotNull(), (F.col("__label") == x).cast("double")) for x in ("trending_up", "trending_down", "choppy", "transitioning")})
+    return df.drop("__label").withColumns({c: F.coalesce(c, F.lit(v)) for c, v in NEUTRAL.items()})
 
 
 def propose(analysis: DataFrame) -> DataFrame:

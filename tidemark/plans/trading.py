@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import ta
 from tidemark.functions.windows import full, last
 from tidemark.operators import backtest as bt
+from tidemark.operators import models
 from tidemark.operators import primitives as p
 from tidemark.operators import store
 from tidemark.operators import strategies as s
 from tidemark.operators import trading as t
+from tidemark.plans import market as pm
+from tidemark.plans import strategies as ps
 from tidemark.plans.market import frame
 from tidemark.plans.registry import query
 from tidemark.plans.sql import with_tech
@@ -89,16 +92,21 @@ def triple_barrier(spark, sf):
 
 _VOLS = ", ".join(f"case when count(r) over {frame(n)} = {n} then stddev_samp(r) over {frame(n)} * sqrt(252.0::double) end as vol{n}" for n in (5, 21, 63))
 _RETS = ", ".join(f"close / lag(close, {n}) over w - 1 as ret{n}" for n in (5, 21, 63))
-_NEUTRAL = ", ".join(f"round(coalesce({c}, {v}), 6) as {c}" for c, v in t.NEUTRAL.items())
+_NEUTRAL = ", ".join(f"round(coalesce({f'nullif({c}, 0)' if c.startswith('vol') else c}, {v}), 6) as {c}" for c, v in t.NEUTRAL.items())
+_LABELLED = ", ".join(f"case when label is not null then case when label = '{x}' then 1.0 else 0.0 end::double end as {x}" for x in ("trending_up", "trending_down", "choppy", "transitioning"))
 
 
-@query("ml_features", with_tech() + f", f0 as (select *, ln(close / pc) as r from tech), f1 as (select symbol, bar_date, rsi14, rsi2, {_RETS}, {_VOLS}, close / max(close) over {frame(252)} as closeness, atr14 / close as atr_pct from f0 window w as (partition by symbol order by bar_date)) select symbol, bar_date, {_NEUTRAL} from f1")
+@query("ml_features", with_tech("market", "macro") + ", mp as" + pm.REGIME.split(", mp as", 1)[1] + ", " + pm.LABELS + ps.FEATURES + f""", f0 as (select *, ln(close / pc) as r from tech), sg as ({ps.RSI2_SQL}), rl as (select bar_date, label, round(composite, 9) as regime_composite, credit_stress::int::double as credit_stress from gc join lb using (bar_date) where mrn >= 230),
+f1 as (select symbol, bar_date, case when rn >= 30 then rsi14 end as rsi14, case when rn >= 5 then rsi2 end as rsi2, {_RETS}, {_VOLS}, case when rn >= 5 then close / max(close) over {frame(252)} end as closeness, case when rn >= 21 then atr14 / close end as atr_pct from f0 window w as (partition by symbol order by bar_date)),
+f2 as (select f1.*, sg.score as signal_score, regime_composite, credit_stress, {_LABELLED} from f1 left join sg using (symbol, bar_date) left join rl using (bar_date)) select symbol, bar_date, {_NEUTRAL} from f2""")
 def ml_features(spark, sf):
     return _features(spark, sf).select(*KEYS, *[F.round(c, 6).alias(c) for c in t.NEUTRAL])
 
 
 def _features(spark, sf):
-    return t.ml_features(ta.with_recursive(d.bars(spark, sf), ["rsi14", "rsi2", "atr14"]))
+    """The model's inputs of every bar; the score is that of the mean-reversion strategy where it signals."""
+    df = s.REGISTRY["rsi2_meanrev"].mark(s.features(d.bars(spark, sf), ("rsi14", "rsi2", "atr14")))
+    return t.ml_features(df.withColumn("signal_score", F.col("rsi2_meanrev.score")), pm.regime(spark, sf))
 
 
 ANALYSIS = "select trade_id, symbol, (exit - entry) / entry * 100 as move, (['up', 'strong_up', 'neutral', 'down', 'strong_down'])[trade_id % 5 + 1] as bucket, trade_id % 9 * 1.0::double as to_support, trade_id % 7 * 1.0::double as to_resistance, case when trade_id % 10 <> 0 then trade_id % 120 * 1.0::double end as iv, trade_id % 4 as confluences, 13 as dte, case when trade_id % 3 = 0 then trade_id % 40 end as days_to_earnings, entry * qty * 4000 as dollar_volume from trades"
@@ -183,8 +191,6 @@ def broker_account(spark, sf):
 
 def _positions(spark, sf, runs):
     """What the positions of some runs read, from one pass over the bars."""
-    from tidemark.plans import strategies as ps
-
     names = tuple(dict.fromkeys(strategy for _, strategy, _ in runs))
     df = ps.inputs(spark, sf, *names)
     for name in names:
@@ -199,8 +205,6 @@ RUNS = [(name, name, 5.0) for name in s.REGISTRY]
 
 def backtested(spark, sf, runs=RUNS):
     """The runs over all trading days of the benchmark, sized by its label, over the index members of each day."""
-    from tidemark.plans import market as pm
-
     label = F.when(F.col("label").isNotNull(), F.col("label"))
     affinity = {run: F.coalesce(*[F.when(label == k, v) for k, v in s.REGISTRY[name].affinity.items()], F.lit(1.0)) for run, name, _ in runs}
     daily = d.market(spark, sf).select(F.col("bar_date").alias("day")).join(pm.market_labels(spark, sf).withColumnRenamed("bar_date", "day"), "day", "left")
@@ -247,17 +251,35 @@ def per_day_scores(spark, sf):
     return df.select(*KEYS, phase.alias("phase"), F.when(F.col("rn") >= 220, F.round(1 - F.col("rsi2") / 10, 6)).alias("score"))
 
 
+#: Trees that the queries boost; models.fit() boosts 200 by default.
+TREES = 20
+
+
+def _scored(spark, sf):
+    """label and p_win of the newest fifth of the dates, by a model of the others."""
+    f = t.triple_barrier(_features(spark, sf), F.col("close") - 2.5 * F.col("atr14"), F.col("close") + 2.0 * F.col("atr14")).filter("label is not null")
+    rows = shared.written(f.select(*KEYS, "label", *t.NEUTRAL), "training")
+    older, newer = models.split(rows, "bar_date", 0.2)
+    return models.score(models.fit(older, list(t.NEUTRAL), trees=TREES), newer, list(t.NEUTRAL))
+
+
 @query("ml_train_score", None)
 def ml_train_score(spark, sf):
-    """Gradient-boosted trees on triple-barrier labels: the last fifth of the dates is held out and scored."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    return _scored(spark, sf).select(*KEYS, "label", F.round("p_win", 6).alias("p_win"))
 
-    f = t.triple_barrier(_features(spark, sf), F.col("close") - 2.5 * F.col("atr14"), F.col("close") + 2.0 * F.col("atr14")).filter("label is not null")
-    cut = f.select(F.percentile_approx(F.unix_date("bar_date"), F.lit(0.8)).alias("c")).first()[0]
-    vectors = VectorAssembler(inputCols=list(t.NEUTRAL), outputCol="features").transform(f.withColumn("label", F.col("label").cast("double")))
-    train, held = vectors.filter(F.unix_date("bar_date") < cut), vectors.filter(F.unix_date("bar_date") >= cut)
-    model = GBTClassifier(maxDepth=4, maxIter=10, stepSize=0.05, seed=7).fit(train)
-    scored = model.transform(held)
-    return scored.select(*KEYS, F.col("label").cast("int").alias("label"), F.round(vector_to_array("probability")[1], 6).alias("p_win"))
+
+@query("ml_metrics", None)
+def ml_metrics(spark, sf):
+    """How well the model ranks and picks on the dates that it has not seen."""
+    return models.metrics(shared.written(_scored(spark, sf).select("label", "p_win"), "scored"))
+
+
+@query("meta_score", None)
+def meta_score(spark, sf):
+    """p_win on the passing rows of the mean-reversion scan, by a model of its own older signals; other rows have none."""
+    f = t.triple_barrier(_features(spark, sf), F.col("close") - 2.5 * F.col("atr14"), F.col("close") + 2.0 * F.col("atr14"))
+    rows = shared.written(f.filter("rsi2_meanrev is not null").select(*KEYS, "label", *t.NEUTRAL), "signals")
+    older, _ = models.split(rows.filter("label is not null"), "bar_date", 0.2)
+    scored = models.score(models.fit(older, list(t.NEUTRAL), trees=TREES), rows, list(t.NEUTRAL)).select(*KEYS, "p_win")
+    found = ps.scanned(spark, sf, "rsi2_meanrev")
+    return found.join(scored, KEYS, "left").select(*KEYS, "status", F.when(F.col("status") == "new", F.round("p_win", 6)).alias("p_win"))
