@@ -209,3 +209,39 @@ def test_recursive_columns_have_no_nan(bars):
     df = ta.with_recursive(bars, ["rsi14", "adx14", "macd_signal", "yz_ewm"])
     assert df.filter(" or ".join(f"isnan({c})" for c in ("rsi14", "adx14", "macd_signal", "yz_ewm"))).count() == 0
     assert isinstance(df.limit(1).toPandas(), pd.DataFrame)
+
+
+def test_numbers_by_ranges(spark):
+    r = random.Random(2)
+    rows = [(r.choice([None, *range(40)]), f"k{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "a int, b string").repartition(5)
+    for ascending in (True, False):
+        want = {b: n for n, (_, b) in enumerate(sorted(rows, key=lambda x: (x[0] is None, (x[0] or 0) * (1 if ascending else -1), x[1])), 1)}
+        assert {x.b: x.n for x in store.numbered(df, ["a", "b"], "n", ascending).collect()} == want
+    known = [a for a, _ in rows if a is not None]
+    got = {(x.b, x.p) for x in store.percent_ranked(df.filter("a is not null"), "a", "p").collect()}
+    assert got == {(b, 100 * sum(y < a for y in known) / (len(known) - 1)) for a, b in rows if a is not None}
+    assert store.numbered(df.limit(0), ["a", "b"], "n").count() == 0
+
+
+def test_ratchet_counts_from_each_entry(spark):
+    df = spark.createDataFrame([("A", date(2000, 1, 1) + timedelta(days=i), i + 1, 100.0 + (i if i < 30 else 60 - i), 95.0 if i in (0, 5) else None) for i in range(60)], "symbol string, bar_date date, rn long, close double, stop double")
+    got = [(r.entry_date.day, (r.bar_date - r.entry_date).days, r.level, r.stop) for r in trading.ratcheted(df, F.col("close") - 2, 14, 42).orderBy("entry_date", "bar_date").collect()]
+    assert got == [(2, 14, 113.0, 113.0), (2, 28, 127.0, 127.0), (2, 42, 115.0, 127.0), (7, 14, 118.0, 118.0), (7, 28, 124.0, 124.0), (7, 42, 110.0, 124.0)]
+
+
+def test_models_split_by_day_and_report(spark):
+    from tidemark.operators import models
+
+    r = random.Random(1)
+    rows = [(date(2000, 1, 1) + timedelta(days=i // 10), x := r.random(), int(x + r.gauss(0, 0.2) > 0.3)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "bar_date date, x double, label int")
+    older, newer = models.split(df, "bar_date", 0.2)
+    assert older.count() + newer.count() == 1000 and 180 <= newer.count() <= 220
+    assert older.agg(F.max("bar_date")).first()[0] < newer.agg(F.min("bar_date")).first()[0]
+    scored = models.score(models.fit(older, ["x"], trees=5), newer, ["x"]).select("label", "p_win").collect()
+    m = models.metrics(spark.createDataFrame(scored)).first()
+    won, lost = [s.p_win for s in scored if s.label], [s.p_win for s in scored if not s.label]
+    assert m.auc == pytest.approx(sum((a > b) + 0.5 * (a == b) for a in won for b in lost) / (len(won) * len(lost)), abs=1e-9) and m.auc > 0.8
+    picked = [s for s in scored if s.p_win >= 0.55]
+    assert m.precision == pytest.approx(sum(s.label for s in picked) / len(picked)) and m.recall == pytest.approx(sum(s.label for s in picked) / len(won))

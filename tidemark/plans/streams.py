@@ -16,9 +16,11 @@ def _shared(spark: SparkSession) -> str:
     return shared.folder(spark, "stream")
 
 
-def _landed(df: DataFrame, folder: str, files: int = 8) -> DataFrame:
-    df.write.parquet(f"{folder}/in")
-    return st.landed(df.sparkSession, f"{folder}/in", df.schema, files)
+def _landed(df: DataFrame, folder: str) -> DataFrame:
+    """df as files that land one after another, a year in each: a trigger reads one, so several triggers follow each other."""
+    for year in [r[0] for r in df.select(F.year("bar_ts").alias("y")).distinct().orderBy("y").collect()]:
+        df.filter(F.year("bar_ts") == year).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return st.landed(df.sparkSession, f"{folder}/in", df.schema)
 
 
 def _bars(spark, sf) -> DataFrame:
@@ -29,14 +31,14 @@ def _bars(spark, sf) -> DataFrame:
 @query("stream_weekly_bars", with_views("bars") + " select symbol, cast(date_trunc('week', bar_date) as date) as week, arg_min(open, bar_date) as open, max(high) as high, min(low) as low, arg_max(close, bar_date) as close, cast(sum(volume) as bigint) as volume from bars group by 1, 2")
 def stream_weekly_bars(spark, sf):
     folder = _shared(spark)
-    return st.run_to_end(st.weekly(_landed(_bars(spark, sf), folder)), f"{folder}/state", f"{folder}/out", "complete")
+    return st.merged_to_end(st.weekly(_landed(_bars(spark, sf), folder)), ["symbol", "week"], f"{folder}/state", f"{folder}/out")
 
 
 @query("stream_dedupe", with_views("bars") + " select symbol, bar_date, close from bars")
 def stream_dedupe(spark, sf):
     folder = _shared(spark)
     b = _bars(spark, sf)
-    out = st.run_to_end(st.deduplicated(_landed(b.unionAll(b), folder), "3000 days"), f"{folder}/state", f"{folder}/out")
+    out = st.run_to_end(st.deduplicated(_landed(b.unionAll(b), folder)), f"{folder}/state", f"{folder}/out")
     return out.select("symbol", F.col("bar_ts").cast("date").alias("bar_date"), "close")
 
 
@@ -46,6 +48,5 @@ def stream_alerts(spark, sf):
     items = d.watchlist(spark, sf).filter("alert_enabled").select("item_id", "symbol", "target_price", "direction")
     hit = F.when(F.col("direction") == "above", F.col("close") >= F.col("target_price")).when(F.col("direction") == "below", F.col("close") <= F.col("target_price")).otherwise(False)
     ticks = _bars(spark, sf).join(items, "symbol").select("item_id", F.col("target_price").alias("target"), "bar_ts", "close", F.coalesce(hit, F.lit(False)).alias("met"))
-    # All files in one trigger: the first tick of an item is then the earliest.
-    out = st.run_to_end(st.alerts(_landed(ticks.filter("target is not null"), folder, 100_000)), f"{folder}/state", f"{folder}/out")
+    out = st.run_to_end(st.alerts(_landed(ticks.filter("target is not null"), folder)), f"{folder}/state", f"{folder}/out")
     return out.select("item_id", F.col("fired_at").cast("timestamp_ntz").alias("fired_at"), "close")

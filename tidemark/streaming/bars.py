@@ -33,30 +33,45 @@ def _once(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     """State: has the alert of this item fired. A changed target is an item of a new key, so it is armed again."""
     if state.exists:
         return
-    rows = pd.concat(list(batches), ignore_index=True)
-    met = rows[rows["met"]].sort_values("bar_ts")
-    if len(met):
+    first = None
+    for rows in batches:
+        met = rows[rows["met"]]
+        if len(met):
+            row = met.loc[met["bar_ts"].idxmin()]
+            first = row if first is None or row["bar_ts"] < first["bar_ts"] else first
+    if first is not None:
         state.update((True,))
-        first = met.iloc[0]
         yield pd.DataFrame({"item_id": [key[0]], "fired_at": [first["bar_ts"]], "close": [first["close"]]})
 
 
 def alerts(ticks: DataFrame) -> DataFrame:
-    """The first time that each item's target is met: a stream of item_id, target, bar_ts, close, met."""
+    """One alert for each item whose target is met: a stream of item_id, target, bar_ts, close, met.
+
+    It fires in the trigger in which such a row arrives first, at the earliest such row of that trigger; rows that
+    arrive later don't take it back, even if they are older. The state is a flag for each item.
+    """
     return ticks.groupBy("item_id", "target").applyInPandasWithState(_once, FIRED, "fired boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(df: DataFrame, checkpoint: str, out: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there, then returns what it wrote to the folder `out`."""
-    if mode == "complete":
-        written = df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out))
-    else:
-        written = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).format("parquet").option("path", out)
-    query = written.trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_to_end(df: DataFrame, checkpoint: str, out: str) -> DataFrame:
+    """Runs a stream in append mode over all that is there, then returns what it wrote to the folder `out`."""
+    stream = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet").option("path", out)
+    stream.trigger(availableNow=True).start().awaitTermination()
     return df.sparkSession.read.parquet(out)
 
 
-def landed(spark: SparkSession, folder: str, schema, files: int = 8) -> DataFrame:
-    """A stream of the parquet files that land in a folder, so many of them in a trigger at most."""
+def merged_to_end(df: DataFrame, keys: list[str], checkpoint: str, out: str) -> DataFrame:
+    """Runs a stream in update mode: each trigger writes the rows that it has changed, and the newest row of a key counts.
+
+    State older than the watermark goes. A trigger that runs again replaces what it wrote.
+    """
+    stream = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/trigger={n:09d}"))
+    stream.trigger(availableNow=True).start().awaitTermination()
+    rows = df.sparkSession.read.parquet(out)
+    columns = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "trigger").alias("x")).select(*keys, "x.*")
+
+
+def landed(spark: SparkSession, folder: str, schema, files: int = 1) -> DataFrame:
+    """A stream of the parquet files that land in a folder, so many of them in a trigger at most, oldest first."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
