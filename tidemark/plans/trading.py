@@ -229,18 +229,48 @@ def backtest_report(spark, sf):
     return t.equity_stats(bt.equity(result), "run").join(t.trade_stats(bt.trades(result), "run"), "run", "left")
 
 
-@query("base_rates", None)
+#: Of each strategy: CTEs and signals in SQL, further views, and its exits in their order (x: the bar, c: the entry).
+_RATES = {
+    "rsi2_meanrev": (ps.FEATURES, ps.RSI2_SQL, (), {"time_stop": "x.rn - c.er >= 10", "mean_reverted_above_sma5": "x.close > x.s5", "hard_stop": "x.close <= c.entry - 2.5::double * x.atr14"}),
+    "largecap_rebound": (ps.FEATURES, ps.LARGECAP_SQL, ("fundamentals",), {"hard_stop": "x.close <= c.entry - 2.5::double * x.atr14", "macd_below_zero": "round(x.hist, 9) <= 0"}),
+    "momentum_52w_high": (ps.FEATURES + ps.SLOPE, ps.MOMENTUM_SQL, (), {}),
+    "donchian_trend": (ps.FEATURES + ps.DONCHIAN, ps.DONCHIAN_SQL, ("market",), {"exit_below_n_day_low": "x.close < x.l10", "chandelier_stop": "round(x.close - (x.h22 - 3 * x.atr22), 9) <= 0"}),
+    "reversal_swing": (ps.FEATURES + ps.SCORES, ps.REVERSAL_SQL, ("market",), {"time_stop": "x.rn - c.er >= 30", "hard_stop": "x.close <= c.entry - 2.5::double * x.atr14"}),
+}
+
+
+def _rates_sql(name: str) -> str:
+    ctes, signals, views, exits = _RATES[name]
+    cases = " ".join(f"when {cond} then '{reason}'" for reason, cond in exits.items()) or "when false then ''"
+    return (
+        with_tech(*views) + ctes
+        + f""", sg as ({signals}), ex as (select *, min(low) over (partition by symbol order by bar_date rows between 10 preceding and 1 preceding) as l10, max(high) over (partition by symbol order by bar_date rows between 21 preceding and current row) as h22, max(rn) over (partition by symbol) as top from ft),
+cs as (select e.symbol, t.rn as sr, e.rn as er, e.bar_date as entry_date, e.open as entry, e.top from sg g join tech t using (symbol, bar_date) join ex e on e.symbol = g.symbol and e.rn = t.rn + 1 where t.rn > {s.REGISTRY[name].history}),
+xs as (select c.symbol, c.sr, min(x.rn) as xr from cs c join ex x on x.symbol = c.symbol and x.rn >= c.er and x.rn < c.top where case {cases} end is not null group by 1, 2),
+fx as (select c.*, xr, coalesce(xr + 1, top) as last from cs c left join xs using (symbol, sr)),
+ch as (select symbol, min(sr) as sr from fx group by 1 union all select f.symbol, min(f.sr) as sr from ch join fx cur on cur.symbol = ch.symbol and cur.sr = ch.sr join fx f on f.symbol = ch.symbol and f.sr > cur.last group by f.symbol)
+select '{name}' as strategy, c.symbol, c.entry_date, c.entry, o.bar_date as exit_date, case when c.xr is null then o.close else o.open end as exit, coalesce(case {cases} end, 'open_at_end') as reason, case when c.xr is null then o.close else o.open end / c.entry - 1 as ret
+from ch join fx c using (symbol, sr) join ex o on o.symbol = c.symbol and o.rn = c.last left join ex x on x.symbol = c.symbol and x.rn = c.xr"""
+    )
+
+
+BASE_RATES = " union all ".join(f"select * from ({_rates_sql(name)})" for name in _RATES)
+
+
+@query("base_rates", BASE_RATES)
 def base_rates(spark, sf):
     return bt.base_rates(_positions(spark, sf, RUNS)).withColumn("ret", F.col("exit") / F.col("entry") - 1)
 
 
-@query("base_rate_summary", None)
+@query("base_rate_summary", f"""select strategy, symbol, count(*) as n, round(avg(case when ret > 0 then 1.0 else 0.0 end), 9) as win_rate, round(avg(ret), 9) as expectancy, round(median(ret), 9) as median, round(sum(ret) filter (where ret > 0) / nullif(-sum(ret) filter (where ret < 0), 0), 9) as profit_factor,
+  round(avg(exit_date - entry_date), 9) as avg_days, count(*) < 50 as small_sample from ({BASE_RATES}) group by 1, 2""")
 def base_rate_summary(spark, sf):
     won, ret = F.col("ret") > 0, F.col("ret")
     gains, losses = F.sum(F.when(won, ret)), F.sum(F.when(ret < 0, ret))
+    r9 = lambda c, name: F.round(c, 9).alias(name)
     return base_rates(spark, sf).groupBy("strategy", "symbol").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(won.cast("double")).alias("win_rate"), F.avg("ret").alias("expectancy"), F.percentile("ret", F.lit(0.5)).alias("median"),
-        F.try_divide(gains, -losses).alias("profit_factor"), F.avg(F.datediff("exit_date", "entry_date")).alias("avg_days"), (F.count(F.lit(1)) < 50).alias("small_sample"),
+        F.count(F.lit(1)).alias("n"), r9(F.avg(won.cast("double")), "win_rate"), r9(F.avg("ret"), "expectancy"), r9(F.percentile("ret", F.lit(0.5)), "median"),
+        r9(F.try_divide(gains, -losses), "profit_factor"), r9(F.avg(F.datediff("exit_date", "entry_date")), "avg_days"), (F.count(F.lit(1)) < 50).alias("small_sample"),
     )
 
 
