@@ -62,9 +62,12 @@ def cluster_levels(spark, sf):
 LEVELS = CLUSTERS + WEEKLY + """, en as (select symbol, max(rn) as n_bars, arg_max(close, rn) as last_close from n group by 1),
 ca as (select symbol, origin, cluster, avg(price) as price, count(*) as touches, sum(volume) as volume, max(rn) as last_rn, max(prominence) as prominence from cs group by 1, 2, 3),
 cb as (select *, max(volume) over w as mv, max(touches) over w as mt, max(prominence) over w as mp from ca window w as (partition by symbol, origin)),
-cc as (select cb.*, n_bars - last_rn as age, last_close, exists (select 1 from wps where wps.symbol = cb.symbol and abs(wps.price - cb.price) / cb.price * 100 <= 1.5) as confirmed from cb join en using (symbol)),
-cd as (select *, 0.5::double * case when mv > 0 then volume / mv else touches / mt end + 0.3::double * greatest(0, 1 - age / 252.0::double) + 0.2::double * least(1, prominence / case when mp > 0 then mp else 1 end) as raw from cc),
-lvls as (select symbol, origin, price, touches, age, case when confirmed then least(1, raw * 1.3::double) else raw end as strength, case when price >= last_close then 'resistance' else 'support' end as kind, (price - last_close) / last_close * 100 as distance_pct, confirmed from cd)"""
+cc as (select cb.*, n_bars - last_rn as age, last_close, exists (select 1 from wps where wps.symbol = cb.symbol
+and abs(wps.price - cb.price) / cb.price * 100 <= 1.5) as confirmed from cb join en using (symbol)),
+cd as (select *, 0.5::double * case when mv > 0 then volume / mv else touches / mt end + 0.3::double * greatest(0, 1 - age / 252.0::double) +
+0.2::double * least(1, prominence / case when mp > 0 then mp else 1 end) as raw from cc),
+lvls as (select symbol, origin, price, touches, age, case when confirmed then least(1, raw * 1.3::double) else raw end as strength, case
+when price >= last_close then 'resistance' else 'support' end as kind, (price - last_close) / last_close * 100 as distance_pct, confirmed from cd)"""
 
 
 def _levels(spark, sf):
@@ -78,15 +81,26 @@ def level_strength(spark, sf):
     return _levels(spark, sf).select("symbol", "origin", F.round(F.col("price") + OFF, 6).alias("price"), "touches", F.col("age").cast("long").alias("age"), F.round("strength", 6).alias("strength"), "kind", "confirmed")
 
 
-@query("find_support_resistance", with_bars() + LEVELS + ", nr as (select *, row_number() over (partition by symbol, kind order by round(strength, 9) desc, price) as place from lvls where abs(distance_pct) <= 25 and strength >= 0.10) select symbol, kind, cast(place as integer) as place, round(price + 0.00000013::double, 6) as price, round(strength, 6) as strength, (origin = 'high') = (kind = 'support') as flipped from nr where place <= 3")
+@query("find_support_resistance", with_bars() + LEVELS + (
+    ", nr as (select *, row_number() over (partition by symbol, kind order by round(strength, 9) desc, price) as place from lvls "
+    "where abs(distance_pct) <= 25 and strength >= 0.10) "
+    "select symbol, kind, cast(place as integer) as place, round(price + 0.00000013::double, 6) as price, round(strength, 6) as strength, (origin = 'high') "
+    "= (kind = 'support') as flipped from nr where place <= 3"
+))
 def find_support_resistance(spark, sf):
     return lv.nearest(_levels(spark, sf)).select("symbol", "kind", "place", F.round(F.col("price") + OFF, 6).alias("price"), F.round("strength", 6).alias("strength"), "flipped")
 
 
-TREND = f""", tr0 as (select *, case when rn >= 20 then avg(close) over {frame(20)} end as s20, case when rn >= 50 then avg(close) over {frame(50)} end as s50, case when rn >= 200 then avg(close) over {frame(200)} end as s200,
-   (close / lag(close, 5) over w - 1) * 100 as r5, (close / lag(close, 21) over w - 1) * 100 as r21, (close / lag(close, 63) over w - 1) * 100 as r63 from tech window w as (partition by symbol order by bar_date)),
-tr1 as (select *, case when close > s20 and s20 > s50 and s50 > s200 then 'aligned_bullish' when close < s20 and s20 < s50 and s50 < s200 then 'aligned_bearish' else 'mixed' end as alignment, r5 > 0 and r21 > 0 and r63 > 0 as pos, r5 < 0 and r21 < 0 and r63 < 0 as neg, (r5 + r21 + r63) / 3 as mean from tr0 where rn >= 200),
-trend as (select *, case when alignment = 'aligned_bullish' and round(adx14, 9) >= 25 and pos then 'strong_up' when alignment = 'aligned_bearish' and round(adx14, 9) >= 25 and neg then 'strong_down' when alignment = 'aligned_bullish' or (pos and mean > 1) then 'up' when alignment = 'aligned_bearish' or (neg and mean < -1) then 'down' else 'neutral' end as bucket from tr1)"""
+TREND = f""", tr0 as (select *, case when rn >= 20 then avg(close) over {frame(20)} end as s20, case when rn >= 50 then avg(close) over {frame(50)} end as s50,
+case when rn >= 200 then avg(close) over {frame(200)} end as s200,
+   (close / lag(close, 5) over w - 1) * 100 as r5, (close / lag(close, 21) over w - 1) * 100 as r21, (close / lag(close, 63) over w - 1) * 100 as r63
+from tech window w as (partition by symbol order by bar_date)),
+tr1 as (select *, case when close > s20 and s20 > s50 and s50 > s200 then 'aligned_bullish' when close < s20 and s20 < s50
+and s50 < s200 then 'aligned_bearish' else 'mixed' end as alignment, r5 > 0 and r21 > 0 and r63 > 0 as pos, r5 < 0 and r21 < 0
+and r63 < 0 as neg, (r5 + r21 + r63) / 3 as mean from tr0 where rn >= 200),
+trend as (select *, case when alignment = 'aligned_bullish' and round(adx14, 9) >= 25 and pos then 'strong_up' when alignment = 'aligned_bearish'
+and round(adx14, 9) >= 25 and neg then 'strong_down' when alignment = 'aligned_bullish' or (pos and mean > 1) then 'up'
+when alignment = 'aligned_bearish' or (neg and mean < -1) then 'down' else 'neutral' end as bucket from tr1)"""
 
 
 def trend(bars):
@@ -114,7 +128,14 @@ v1 as (select symbol, bar_date, rn, close, case when rn > 21 then round(100 * sq
 v2 as (select *, count(yz21) over {frame(252)} as have, list(yz21) over {frame(252)} as vols from v1)"""
 
 
-@query("compute_volatility", VOL + f", v3 as (select v2.*, case when have = 252 then round(100.0::double * len(list_filter(vols, lambda v: v <= yz21)) / 252, 6) end as pct, case when ye.s2 < 1 and ce.s2 < 1 then sqrt(greatest(ye.cov / (1 - ye.s2) + {_EWM_K!r}::double * ce.cov / (1 - ce.s2) + {1 - _EWM_K!r}::double * ce.r, 0) * 252) end as fwd from v2 left join ye using (symbol, rn) left join ce using (symbol, rn)) select symbol, bar_date, yz21, pct, case when pct < 25 then 'low' when pct < 75 then 'normal' when pct < 90 then 'elevated' when pct is not null then 'extreme' end as bucket, round(close * fwd * sqrt(7 / 252.0::double), 6) as move7, round(close * fwd * sqrt(30 / 252.0::double), 6) as move30 from v3")
+@query("compute_volatility", VOL + (
+    f", v3 as (select v2.*, case when have = 252 then round(100.0::double * len(list_filter(vols, lambda v: v <= yz21)) / 252, 6) end as pct, case "
+    f"when ye.s2 < 1 and ce.s2 < 1 then sqrt(greatest(ye.cov / (1 - ye.s2) + {_EWM_K!r}::double * ce.cov / (1 - ce.s2) + {1 - _EWM_K!r}::double * ce.r, 0) * "
+    f"252) end as fwd from v2 left join ye using (symbol, rn) left join ce using (symbol, rn)) select symbol, bar_date, yz21, pct, case "
+    f"when pct < 25 then 'low' when pct < 75 then 'normal' when pct < 90 then 'elevated' "
+    f"when pct is not null then 'extreme' end as bucket, round(close * fwd * sqrt(7 / 252.0::double), 6) as move7, round(close * fwd * sqrt(30 / "
+    f"252.0::double), 6) as move30 from v3"
+))
 def compute_volatility(spark, sf):
     df = ta.with_recursive(d.bars(spark, sf), ["yz_ewm"]).withColumns(ta.yang_zhang_parts())
     df = df.withColumn("yz21", F.round(100 * ta.yang_zhang(21), 6)).withColumn("pct", F.round(100.0 * rank_at_most("yz21", 252), 6))
@@ -136,14 +157,21 @@ def compute_momentum(spark, sf):
     return df.filter("rn >= 35").select(*KEYS, rsi.alias("rsi_bucket"), state.alias("macd_state"))
 
 
-@query("analyze_symbol", with_tech() + TREND + f", a0 as (select symbol, arg_max({{'b': bucket, 'a': alignment, 'r': round(rsi14, 6), 'x': round(adx14, 6), 'c': close}}, bar_date) as l, max(bar_date) as as_of from trend group by 1) select symbol, as_of, l.b as trend, l.a as alignment, l.r as rsi14, l.x as adx14, l.c as close from a0")
+@query("analyze_symbol", with_tech() + TREND + (
+    f", a0 as (select symbol, arg_max({{'b': bucket, 'a': alignment, 'r': round(rsi14, 6), 'x': round(adx14, 6), 'c': close}}, bar_date) as l, max(bar_date) "
+    f"as as_of from trend group by 1) select symbol, as_of, l.b as trend, l.a as alignment, l.r as rsi14, l.x as adx14, l.c as close from a0"
+))
 def analyze_symbol(spark, sf):
     df = trend(p.numbered(ta.with_recursive(d.bars(spark, sf), ["adx14", "rsi14"])))
     latest = store.latest(df, ["symbol"], "bar_date", ["bar_date", "bucket", "alignment", "rsi14", "adx14", "close"])
     return latest.select("symbol", F.col("bar_date").alias("as_of"), F.col("bucket").alias("trend"), "alignment", F.round("rsi14", 6).alias("rsi14"), F.round("adx14", 6).alias("adx14"), "close")
 
 
-@query("chart_payload", with_bars() + f", c0 as (select *, max(rn) over (partition by symbol) as top, case when rn >= 20 then avg(close) over {frame(20)} end as s20 from n) select symbol, count(*) as n, list(close order by bar_date) as closes, list(case when s20 is null then -1 else s20 end order by bar_date) as sma20 from c0 where rn > top - 50 group by 1")
+@query("chart_payload", with_bars() + (
+    f", c0 as (select *, max(rn) over (partition by symbol) as top, case when rn >= 20 then avg(close) over {frame(20)} end as s20 from n) "
+    f"select symbol, count(*) as n, list(close order by bar_date) as closes, list(case when s20 is null then -1 else s20 end order by bar_date) as sma20 "
+    f"from c0 where rn > top - 50 group by 1"
+))
 def chart_payload(spark, sf):
     df = p.numbered(d.bars(spark, sf)).withColumn("s20", F.coalesce(sma("close", 20), F.lit(-1.0)))
     from pyspark.sql import Window
@@ -155,7 +183,10 @@ def chart_payload(spark, sf):
 
 # Options: the grid of fixtures, one row for each underlying price of the trades
 
-GRID = "select trade_id, entry as s, entry * (0.8::double + trade_id % 5 / 10.0::double) as k, (7 + trade_id % 60) / 365.0::double as t, 0.04::double as r, (15 + trade_id % 40) / 100.0::double as v from trades"
+GRID = (
+    "select trade_id, entry as s, entry * (0.8::double + trade_id % 5 / 10.0::double) as k, (7 + trade_id % 60) / 365.0::double as t, 0.04::double as r, "
+    "(15 + trade_id % 40) / 100.0::double as v from trades"
+)
 D1 = "(ln(s / k) + (r + v * v / 2) * t) / (v * sqrt(t))"
 
 
@@ -176,13 +207,20 @@ def bs_d1_d2(spark, sf):
     return _grid(spark, sf).select("trade_id", F.round(a, 9).alias("d1"), F.round(a - F.col("v") * F.sqrt("t"), 9).alias("d2"))
 
 
-@query("norm_cdf", f"with x as (select cast(i as bigint) as i, i / 20.0::double as x, (i + 161) / 322.0::double as p from range(-160, 161) t(i)) select i, round({o.cdf_sql('x')}, 12) as cdf, round({o.ppf_sql('p')}, 9) as ppf from x")
+@query("norm_cdf", (
+    f"with x as (select cast(i as bigint) as i, i / 20.0::double as x, (i + 161) / 322.0::double as p from range(-160, 161) t(i)) "
+    f"select i, round({o.cdf_sql('x')}, 12) as cdf, round({o.ppf_sql('p')}, 9) as ppf from x"
+))
 def norm_cdf(spark, sf):
     x = spark.range(-160, 161).select(F.col("id").alias("i"), (F.col("id") / F.lit(20.0)).alias("x"), ((F.col("id") + 161) / F.lit(322.0)).alias("p"))
     return x.select("i", F.round(o.norm_cdf(F.col("x")), 12).alias("cdf"), F.round(o.norm_ppf(F.col("p")), 9).alias("ppf"))
 
 
-BS = d.with_views("trades") + f", g as ({GRID}), g1 as (select *, {D1} as a, {D1} - v * sqrt(t) as b from g), g2 as (select *, {o.cdf_sql('a')} as na, {o.cdf_sql('b')} as nb, {o.cdf_sql('(-a)')} as ma, {o.cdf_sql('(-b)')} as mb, exp(-a * a / 2) / 2.5066282746310002::double as pa from g1)"
+BS = d.with_views("trades") + (
+    f", g as ({GRID}), g1 as (select *, {D1} as a, {D1} - v * sqrt(t) as b from g), "
+    f"g2 as (select *, {o.cdf_sql('a')} as na, {o.cdf_sql('b')} as nb, {o.cdf_sql('(-a)')} as ma, {o.cdf_sql('(-b)')} as mb, exp(-a * a / 2) / "
+    f"2.5066282746310002::double as pa from g1)"
+)
 
 
 @query("bs_price", BS + " select trade_id, round(s * na - k * exp(-r * t) * nb, 6) as call, round(k * exp(-r * t) * mb - s * ma, 6) as put from g2")
@@ -190,7 +228,10 @@ def bs_price(spark, sf):
     return _grid(spark, sf).select("trade_id", F.round(o.price("call", *_args()), 6).alias("call"), F.round(o.price("put", *_args()), 6).alias("put"))
 
 
-@query("bs_greeks", BS + " select trade_id, round(na - 1, 8) + 0.0::double as delta, round(pa / (s * v * sqrt(t)), 8) as gamma, round((-s * pa * v / (2 * sqrt(t)) + r * k * exp(-r * t) * mb) / 365, 8) + 0.0::double as theta, round(s * pa * sqrt(t) / 100, 8) as vega from g2")
+@query("bs_greeks", BS + (
+    " select trade_id, round(na - 1, 8) + 0.0::double as delta, round(pa / (s * v * sqrt(t)), 8) as gamma, round((-s * pa * v / (2 * sqrt(t)) + r * k * "
+    "exp(-r * t) * mb) / 365, 8) + 0.0::double as theta, round(s * pa * sqrt(t) / 100, 8) as vega from g2"
+))
 def bs_greeks(spark, sf):
     return _grid(spark, sf).select("trade_id", *[(F.round(c, 8) + F.lit(0.0)).alias(n) for n, c in o.greeks("put", *_args()).items()])
 
@@ -198,7 +239,12 @@ def bs_greeks(spark, sf):
 TENORS = [(6, 0.15), (13, 0.15), (30, 0.20)]
 
 
-@query("strike_sets", d.with_views("trades") + f", g as ({GRID}), tn(days, target) as (values (6, 0.15::double), (13, 0.15::double), (30, 0.20::double)), g1 as (select trade_id, s, r, v, days, days / 365.0::double as t, kind, case when kind = 'call' then target else 1 - target end as p from g, tn, (values ('call'), ('put')) k(kind)) select trade_id, kind, days, round(s * exp((r + v * v / 2) * t - {o.ppf_sql('p')} * v * sqrt(t)), 2) as strike from g1")
+@query("strike_sets", d.with_views("trades") + (
+    f", g as ({GRID}), tn(days, target) as (values (6, 0.15::double), (13, 0.15::double), (30, 0.20::double)), "
+    f"g1 as (select trade_id, s, r, v, days, days / 365.0::double as t, kind, case when kind = 'call' then target else 1 - target end as p "
+    f"from g, tn, (values ('call'), ('put')) k(kind)) "
+    f"select trade_id, kind, days, round(s * exp((r + v * v / 2) * t - {o.ppf_sql('p')} * v * sqrt(t)), 2) as strike from g1"
+))
 def strike_sets(spark, sf):
     tenors = F.explode(F.array(*[F.struct(F.lit(days).alias("days"), F.lit(x).alias("target"), F.lit(k).alias("kind")) for days, x in TENORS for k in ("call", "put")])).alias("tenor")
     g = _grid(spark, sf).select("trade_id", "s", "r", "v", tenors).select("trade_id", "s", "r", "v", "tenor.*").withColumn("t", F.col("days") / F.lit(365.0))
@@ -215,9 +261,13 @@ def strike_confluences(spark, sf):
     return latest.select("symbol", near.alias("near"))
 
 
-@query("options_context", with_bars("earnings") + LEVELS + """, oc as (select en.symbol, last_close, max(price) filter (where price < last_close and strength >= 0.1) as support, min(price) filter (where price >= last_close and strength >= 0.1) as resistance from en left join lvls using (symbol) group by 1, 2),
+@query("options_context", with_bars("earnings") + LEVELS + """, oc as (select en.symbol, last_close, max(price) filter (where price < last_close
+and strength >= 0.1) as support, min(price) filter (where price >= last_close and strength >= 0.1) as resistance from en left join lvls using (symbol)
+group by 1, 2),
 ea as (select symbol, min(report_date) as next_report from earnings where report_date >= date '2000-06-01' group by 1)
-select symbol, round(support + 0.00000013::double, 6) as support, round(resistance + 0.00000013::double, 6) as resistance, cast(next_report - date '2000-06-01' as integer) as days_to_earnings, coalesce(next_report - date '2000-06-01' <= 7, false) as earnings_soon from oc left join ea using (symbol)""")
+select symbol, round(support + 0.00000013::double, 6) as support, round(resistance + 0.00000013::double, 6) as resistance, cast(next_report - date
+'2000-06-01' as integer) as days_to_earnings, coalesce(next_report - date '2000-06-01' <= 7, false) as earnings_soon from oc left
+join ea using (symbol)""")
 def options_context(spark, sf):
     found = _levels(spark, sf).filter("strength >= 0.1")
     per = found.groupBy("symbol").agg(F.max(F.when(F.col("kind") == "support", F.col("price"))).alias("support"), F.min(F.when(F.col("kind") == "resistance", F.col("price"))).alias("resistance"))

@@ -69,7 +69,10 @@ def provider_fundamentals(spark, sf):
     return rows.select(F.col("r.General.Code").alias("symbol"), F.col("r.General.Sector").alias("sector"), F.col("r.Highlights.MarketCapitalization").alias("market_cap"))
 
 
-@query("insert_returning", with_views("watchlist") + ", mx as (select max(item_id) as top from watchlist) select list_name, symbol, top + row_number() over (order by list_name, symbol) as item_id from (select distinct list_name, symbol from watchlist) x, mx")
+@query("insert_returning", with_views("watchlist") + (
+    ", mx as (select max(item_id) as top from watchlist) select list_name, symbol, top + row_number() over (order by list_name, symbol) as item_id "
+    "from (select distinct list_name, symbol from watchlist) x, mx"
+))
 def insert_returning(spark, sf):
     """New rows get ids after the greatest one, by natural key."""
     w = d.watchlist(spark, sf)
@@ -91,7 +94,11 @@ def project_params_hash(spark, sf):
     return spark.createDataFrame([(n, params_hash(x)) for n, x in PARAMS.items()], "strategy string, hash string")
 
 
-@query("strategy_registry", "select * from (values ('rsi2_meanrev', '1.0.0', 220, 0.01::double), ('largecap_rebound', '1.0.0', 283, 0.01::double), ('momentum_52w_high', '1.0.0', 257, 0.0075::double), ('donchian_trend', '1.3.0', 215, 0.0075::double), ('reversal_swing', '1.5.0', 230, 0.01::double)) t(name, version, history, risk)")
+@query("strategy_registry", (
+    "select * from (values ('rsi2_meanrev', '1.0.0', 220, 0.01::double), ('largecap_rebound', '1.0.0', 283, 0.01::double), ('momentum_52w_high', '1.0.0', "
+    "257, 0.0075::double), ('donchian_trend', '1.3.0', 215, 0.0075::double), ('reversal_swing', '1.5.0', 230, 0.01::double)) t(name, version, history, "
+    "risk)"
+))
 def strategy_registry(spark, sf):
     return spark.createDataFrame([(x.name, x.version, x.history, x.risk) for x in s.REGISTRY.values()], "name string, version string, history int, risk double")
 
@@ -99,10 +106,18 @@ def strategy_registry(spark, sf):
 # The benchmark's structure
 
 
-_MKT = ", mbars as materialized (select 'MKT' as symbol, bar_date, avg(open) as open, avg(high) as high, avg(low) as low, avg(close) as close, cast(sum(volume) as bigint) as volume from bars group by bar_date)," + TECH.replace("from bars window", "from mbars window")
+_MKT = (
+    ", mbars as materialized (select 'MKT' as symbol, bar_date, avg(open) as open, avg(high) as high, avg(low) as low, avg(close) as close, "
+    "cast(sum(volume) as bigint) as volume from bars group by bar_date),"
+) + TECH.replace("from bars window", "from mbars window")
 
 
-@query("index_structure", with_views("bars") + _MKT + f", ix as (select bar_date, close, adx14, avg(close) over {pm.frame(20)} as mid, stddev_pop(close) over {pm.frame(20)} as dev from tech) select max(bar_date) as as_of, arg_max(case when adx14 < 18 then 'weak' when adx14 < 25 then 'emerging' when adx14 < 40 then 'strong' when adx14 < 60 then 'very_strong' else 'extreme' end, bar_date) as adx_bucket, round(arg_max((close - (mid - 2 * dev)) / (4 * dev), bar_date), 6) as pct_b from ix")
+@query("index_structure", with_views("bars") + _MKT + (
+    f", ix as (select bar_date, close, adx14, avg(close) over {pm.frame(20)} as mid, stddev_pop(close) over {pm.frame(20)} as dev from tech) "
+    f"select max(bar_date) as as_of, arg_max(case when adx14 < 18 then 'weak' when adx14 < 25 then 'emerging' when adx14 < 40 then 'strong' "
+    f"when adx14 < 60 then 'very_strong' else 'extreme' end, bar_date) as adx_bucket, round(arg_max((close - (mid - 2 * dev)) / (4 * dev), bar_date), 6) as "
+    f"pct_b from ix"
+))
 def index_structure(spark, sf):
     """The benchmark's last bar: strength of trend and place in its bands."""
     df = ta.with_recursive(pm.market_bars(spark, sf), ["adx14"])
@@ -113,7 +128,12 @@ def index_structure(spark, sf):
     return df.agg(F.max("bar_date").alias("as_of"), F.max_by("bucket", "bar_date").alias("adx_bucket"), F.round(F.max_by("pct_b", "bar_date"), 6).alias("pct_b"))
 
 
-@query("calendar_state", pm.MONTHS + ", r as (select year, month, close / lag(close) over (order by year, month) - 1 as ret from mc), dd as (select max(close) as peak, arg_max(close, bar_date) as now from market) select (select round(avg(ret), 8) from r where month = 7 and year < 2001) as month_avg, (select count(*) from r where month = 7 and year < 2001 and ret > 0) as positives, 'post_election' as term, (select round(now / peak - 1, 8) from dd) as drawdown")
+@query("calendar_state", pm.MONTHS + (
+    ", r as (select year, month, close / lag(close) over (order by year, month) - 1 as ret from mc), "
+    "dd as (select max(close) as peak, arg_max(close, bar_date) as now from market) select (select round(avg(ret), 8) from r where month = 7 "
+    "and year < 2001) as month_avg, (select count(*) from r where month = 7 and year < 2001 "
+    "and ret > 0) as positives, 'post_election' as term, (select round(now / peak - 1, 8) from dd) as drawdown"
+))
 def calendar_state(spark, sf):
     """One row for July 2001: the month's history, the term's year, the drawdown."""
     mkt = d.market(spark, sf)
@@ -125,7 +145,12 @@ def calendar_state(spark, sf):
 # Options, exits, scans, models
 
 
-@query("suggest_strike", d.with_views("trades") + f", g as ({GRID}), g0 as (select *, s * exp((r + v * v / 2) * t - {o.ppf_sql('0.8::double')} * v * sqrt(t)) as kk from g), g1 as (select trade_id, s, kk as k, t, r, v, (ln(s / kk) + (r + v * v / 2) * t) / (v * sqrt(t)) as a from g0), g2 as (select *, a - v * sqrt(t) as b from g1) select trade_id, round(k, 2) as strike, round((s - k) / s * 100, 2) as pct_otm, round({o.cdf_sql('a')} - 1, 4) as delta, round(k * exp(-r * t) * {o.cdf_sql('(-b)')} - s * {o.cdf_sql('(-a)')}, 2) as price from g2")
+@query("suggest_strike", d.with_views("trades") + (
+    f", g as ({GRID}), g0 as (select *, s * exp((r + v * v / 2) * t - {o.ppf_sql('0.8::double')} * v * sqrt(t)) as kk from g), "
+    f"g1 as (select trade_id, s, kk as k, t, r, v, (ln(s / kk) + (r + v * v / 2) * t) / (v * sqrt(t)) as a from g0), g2 as (select *, a - v * sqrt(t) as b "
+    f"from g1) select trade_id, round(k, 2) as strike, round((s - k) / s * 100, 2) as pct_otm, round({o.cdf_sql('a')} - 1, 4) as delta, round(k * exp(-r * "
+    f"t) * {o.cdf_sql('(-b)')} - s * {o.cdf_sql('(-a)')}, 2) as price from g2"
+))
 def suggest_strike(spark, sf):
     """A put of delta -0.2: strike, distance, delta and price; greeks use the unrounded strike."""
     S, T, R, V = F.col("s"), F.col("t"), F.col("r"), F.col("v")
@@ -140,7 +165,10 @@ def _exit(name: str, column: str, sql: str, *needs: str) -> None:
     def run(spark, sf):
         return ps.exit_columns(s.features(d.bars(spark, sf), ps.EXIT_NEEDS)).filter("rn >= 200").select("symbol", "bar_date", column)
 
-    windows = "ex as (select *, min(low) over (partition by symbol order by bar_date rows between 10 preceding and 1 preceding) as l10, max(high) over (partition by symbol order by bar_date rows between 21 preceding and current row) as h22 from ft)"
+    windows = (
+        "ex as (select *, min(low) over (partition by symbol order by bar_date rows between 10 preceding "
+        "and 1 preceding) as l10, max(high) over (partition by symbol order by bar_date rows between 21 preceding and current row) as h22 from ft)"
+    )
     query(name, with_tech() + ps.FEATURES + f", {windows} select symbol, bar_date, {sql} as {column} from ex where rn >= 200")(run)
 
 
@@ -191,7 +219,12 @@ def get_article(spark, sf):
     return d.news(spark, sf).filter(F.col("article_id") == key).select("article_id", "title", "body")
 
 
-@query("nightly_summary", with_views("bars", "watchlist") + ", lb as (select symbol, arg_max(close, bar_date) as close from bars group by 1) select list_name, format('{}: {} of {} items at their target', list_name, count(*) filter (where case direction when 'above' then close >= target_price when 'below' then close <= target_price else false end), count(*)) as line from watchlist left join lb using (symbol) group by 1")
+@query("nightly_summary", with_views("bars", "watchlist") + (
+    ", lb as (select symbol, arg_max(close, bar_date) as close from bars group by 1) "
+    "select list_name, format('{}: {} of {} items at their target', list_name, count(*) filter (where case direction "
+    "when 'above' then close >= target_price when 'below' then close <= target_price else false end), count(*)) as line from watchlist left "
+    "join lb using (symbol) group by 1"
+))
 def nightly_summary(spark, sf):
     from tidemark.plans.text import _items
 
@@ -199,7 +232,10 @@ def nightly_summary(spark, sf):
     return per.select("list_name", F.format_string("%s: %d of %d items at their target", "list_name", "met", "n").alias("line"))
 
 
-@query("trading_days_since", with_views("bars") + ", l as (select symbol, max(bar_date) as d from bars group by 1) select symbol, cast((select count(*) from range(cast(d + 1 as timestamp), timestamp '2002-01-11', interval 1 day) r(x) where isodow(x) <= 5) as integer) as days from l")
+@query("trading_days_since", with_views("bars") + (
+    ", l as (select symbol, max(bar_date) as d from bars group by 1) select symbol, cast((select count(*) "
+    "from range(cast(d + 1 as timestamp), timestamp '2002-01-11', interval 1 day) r(x) where isodow(x) <= 5) as integer) as days from l"
+))
 def trading_days_since(spark, sf):
     from tidemark.operators.text import weekdays_since
 
@@ -207,7 +243,10 @@ def trading_days_since(spark, sf):
     return latest.select("symbol", weekdays_since(F.col("d"), F.lit("2002-01-10").cast("date")).alias("days"))
 
 
-@query("trades_positions", with_views("trades") + " select trade_id, symbol, row_number() over (partition by symbol order by exit_date desc, trade_id) as place from trades where exit_date <= date '2000-12-31' qualify row_number() over (partition by symbol order by exit_date desc, trade_id) <= 5")
+@query("trades_positions", with_views("trades") + (
+    " select trade_id, symbol, row_number() over (partition by symbol order by exit_date desc, trade_id) as place from trades "
+    "where exit_date <= date '2000-12-31' qualify row_number() over (partition by symbol order by exit_date desc, trade_id) <= 5"
+))
 def trades_positions(spark, sf):
     place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("exit_date"), "trade_id"))
     closed = d.trades(spark, sf).filter(F.col("exit_date") <= F.lit("2000-12-31").cast("date"))

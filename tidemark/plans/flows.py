@@ -49,14 +49,20 @@ def contexts(spark, sf):
 
 
 CONTEXT = with_tech("earnings") + VOL[len(with_bars()) :] + LEVELS + TREND + f""", vx as (select v2.symbol, v2.bar_date, case when have = 252 then round(100.0::double * len(list_filter(vols, lambda v: v <= yz21)) / 252, 6) end as pct,
-   case when ye.s2 < 1 and ce.s2 < 1 then sqrt(greatest(ye.cov / (1 - ye.s2) + {_EWM_K!r}::double * ce.cov / (1 - ce.s2) + {1 - _EWM_K!r}::double * ce.r, 0) * 252) end as fwd from v2 left join ye using (symbol, rn) left join ce using (symbol, rn)),
-nr as (select *, row_number() over (partition by symbol, kind order by round(strength, 9) desc, price) as place, (origin = 'high') = (kind = 'support') as flipped from lvls where abs(distance_pct) <= 25 and strength >= 0.10),
-np as (select symbol, max(price) filter (where kind = 'support' and place = 1) as sup, bool_or(flipped) filter (where kind = 'support' and place = 1) as sup_flip, max(price) filter (where kind = 'resistance' and place = 1) as res,
+   case when ye.s2 < 1 and ce.s2 < 1 then sqrt(greatest(ye.cov / (1 - ye.s2) + {_EWM_K!r}::double * ce.cov / (1 - ce.s2) + {1 - _EWM_K!r}::double *
+ce.r, 0) * 252) end as fwd from v2 left join ye using (symbol, rn) left join ce using (symbol, rn)),
+nr as (select *, row_number() over (partition by symbol, kind
+order by round(strength, 9) desc, price) as place, (origin = 'high') = (kind = 'support') as flipped from lvls where abs(distance_pct) <= 25
+and strength >= 0.10),
+np as (select symbol, max(price) filter (where kind = 'support' and place = 1) as sup, bool_or(flipped) filter (where kind = 'support'
+and place = 1) as sup_flip, max(price) filter (where kind = 'resistance' and place = 1) as res,
    bool_or(flipped) filter (where kind = 'resistance' and place = 1) as res_flip, list(price) as prices from nr where place <= 3 group by 1),
 dv as (select symbol, bar_date, avg(close * volume) over {frame(20)} as dollar_volume, (close / pc - 1) * 100 as move from n),
 nx as (select symbol, min(report_date) - date '{DAY}' as days_to_earnings from earnings where report_date >= date '{DAY}' group by 1),
-cx as (select t.symbol, t.close, t.bucket, t.atr14, t.rsi14, t.ema9, t.ema50, t.ema200, pct, fwd, dollar_volume, move, sup, sup_flip, res, res_flip, prices, days_to_earnings, (t.close - sup) / t.close * 100 as to_support, (res - t.close) / t.close * 100 as to_resistance
-   from (select * from trend qualify row_number() over (partition by symbol order by bar_date desc) = 1) t left join vx using (symbol, bar_date) left join dv using (symbol, bar_date) left join np using (symbol) left join nx using (symbol))"""
+cx as (select t.symbol, t.close, t.bucket, t.atr14, t.rsi14, t.ema9, t.ema50, t.ema200, pct, fwd, dollar_volume, move, sup, sup_flip, res, res_flip,
+prices, days_to_earnings, (t.close - sup) / t.close * 100 as to_support, (res - t.close) / t.close * 100 as to_resistance
+   from (select * from trend qualify row_number() over (partition by symbol order by bar_date desc) = 1) t left join vx using (symbol, bar_date) left
+join dv using (symbol, bar_date) left join np using (symbol) left join nx using (symbol))"""
 
 
 @query("observations", CONTEXT + """ select symbol, list_filter([
@@ -84,7 +90,9 @@ def observations(spark, sf):
 
 
 @query("analyze_watchlist", CONTEXT.replace(with_tech("earnings"), with_tech("earnings", "watchlist"), 1) + """, ws as (select distinct symbol from watchlist), nb as (select symbol, count(*) as n from bars group by 1)
-select symbol, cx.symbol is not null as available, case when nb.n is null then 'no_bars' when cx.symbol is null then 'short_history' end as reason, bucket as trend, round(rsi14, 6) as rsi14, close from ws left join nb using (symbol) left join cx using (symbol)""")
+select symbol, cx.symbol is not null as available, case when nb.n is null then 'no_bars'
+when cx.symbol is null then 'short_history' end as reason, bucket as trend, round(rsi14, 6) as rsi14, close from ws left join nb using (symbol) left
+join cx using (symbol)""")
 def analyze_watchlist(spark, sf):
     """Every watched symbol: its analysis, or a row that says why there is none."""
     watched = d.watchlist(spark, sf).select("symbol").distinct()
@@ -102,13 +110,20 @@ def _strike_sql(kind: str) -> str:
 @query("generate_book", CONTEXT.replace(with_tech("earnings"), with_tech("earnings", "sectors", "market", "macro"), 1) + ", mp as" + pm.REGIME.split(", mp as", 1)[1] + f""",
 rg as (select composite, breadth_score, credit_stress from gc order by bar_date desc limit 1),
 b0 as (select *, case when move <= -1.5 then 'sell_put' when move >= 1.5 and to_resistance <= 4 and bucket <> 'strong_up' then 'sell_call' end as side from cx where fwd is not null),
-b1 as (select *, round(case when side = 'sell_put' then {_strike_sql('put')} else {_strike_sql('call')} end, 2) as strike, fwd * 100 as iv, case when side = 'sell_put' then to_support else to_resistance end as threat,
-   case side when 'sell_put' then case when bucket in ('up', 'strong_up') then 1.0 when bucket in ('down', 'strong_down') then 0.35 else 0.55 end else case when bucket in ('up', 'strong_up') then 0.45 when bucket in ('down', 'strong_down') then 1.0 else 0.7 end end::double as alignment from b0 where side is not null),
+b1 as (select *, round(case when side = 'sell_put' then {_strike_sql('put')} else {_strike_sql('call')} end, 2) as strike, fwd * 100 as iv, case
+when side = 'sell_put' then to_support else to_resistance end as threat,
+   case side when 'sell_put' then case when bucket in ('up', 'strong_up') then 1.0 when bucket in ('down', 'strong_down') then 0.35 else 0.55 end else
+case when bucket in ('up', 'strong_up') then 0.45 when bucket in ('down', 'strong_down') then 1.0 else 0.7 end end::double as alignment from b0
+where side is not null),
 b2 as (select *, len(list_filter(list_concat(coalesce(prices, []), [ema9, ema50, ema200]), lambda x: abs(strike - x) <= {NEAR}::double * atr14)) as confluences from b1),
 b3 as (select *, case when days_to_earnings <= {TENOR} + 2 then 'earnings_in_expiry' when dollar_volume < 5000000 then 'illiquid' when iv < 20 then 'iv_too_low' end as reject,
-   round(0.30::double * greatest(0, least(1, iv / 150)) + 0.20::double * greatest(0, least(1, coalesce(threat, 0) / 12)) + 0.15::double * greatest(0, least(1, confluences / 3.0::double)) + 0.25::double * alignment + 0.10::double * greatest(0, least(1, abs(move) / 5)), 9) as score from b2),
-b4 as (select b3.*, coalesce(sector, 'none') as cluster, row_number() over (partition by coalesce(sector, 'none') order by score desc, symbol) as k from b3 left join sectors using (symbol) where reject is null)
-select symbol, side, strike, confluences, round(score, 6) as score, round((0.5 + 0.5 * composite) * case when credit_stress then 0.5 else 1 end * case when side = 'sell_call' and breadth_score < 0.40 then 0.70::double else 1 end, 3) as size from b4, rg where k <= 2 order by b4.score desc, symbol limit 30""")
+   round(0.30::double * greatest(0, least(1, iv / 150)) + 0.20::double * greatest(0, least(1, coalesce(threat, 0) / 12)) + 0.15::double * greatest(0,
+least(1, confluences / 3.0::double)) + 0.25::double * alignment + 0.10::double * greatest(0, least(1, abs(move) / 5)), 9) as score from b2),
+b4 as (select b3.*, coalesce(sector, 'none') as cluster, row_number() over (partition by coalesce(sector, 'none') order by score desc, symbol) as k
+from b3 left join sectors using (symbol) where reject is null)
+select symbol, side, strike, confluences, round(score, 6) as score, round((0.5 + 0.5 * composite) * case when credit_stress then 0.5 else 1 end * case
+when side = 'sell_call' and breadth_score < 0.40 then 0.70::double else 1 end, 3) as size from b4, rg where k <= 2 order by b4.score desc, symbol
+limit 30""")
 def generate_book(spark, sf):
     """From the analysis of every symbol to a sized book: side of the day's move, hard filters, score, at most two of a sector, 30 in all."""
     df = contexts(spark, sf).filter("yz_ewm is not null").withColumns({"iv": F.col("yz_ewm") * 100, "dte": F.lit(TENOR)})
@@ -133,7 +148,10 @@ def get_signal(spark, sf):
     return d.trades(spark, sf).filter("trade_id = 7").select(F.col("trade_id").alias("signal_id"), "symbol", "entry_date", "score", "entry", "stop")
 
 
-@query("signals_freshness", with_views("trades", "bars") + " select (select max(entry_date) from trades) as latest_signal_date, (select max(exit_date) from trades) as latest_run, (select max(bar_date) from bars) as latest_bar_date, (select count(*) from trades where entry_date = date '2000-06-01') as signals_today")
+@query("signals_freshness", with_views("trades", "bars") + (
+    " select (select max(entry_date) from trades) as latest_signal_date, (select max(exit_date) from trades) as latest_run, (select max(bar_date) "
+    "from bars) as latest_bar_date, (select count(*) from trades where entry_date = date '2000-06-01') as signals_today"
+))
 def signals_freshness(spark, sf):
     """The newest signal, run (the day a trade was last written) and bar, and the day's number of signals; nulls where a table is empty."""
     signals = d.trades(spark, sf).agg(F.max("entry_date").alias("latest_signal_date"), F.max("exit_date").alias("latest_run"), F.count_if(F.col("entry_date") == F.lit(DAY).cast("date")).alias("signals_today"))
@@ -141,7 +159,8 @@ def signals_freshness(spark, sf):
 
 
 @query("signals_replay", with_views("trades") + """, kept as (select symbol, entry_date, trade_id, score from trades where not (entry_date between date '2000-01-01' and date '2000-03-31')),
-again as (select symbol, entry_date, max(trade_id) as trade_id, round(max(score) * 2, 6) as score from trades where entry_date between date '2000-01-01' and date '2000-03-31' and side = 'long' group by 1, 2) select * from kept union all select * from again""")
+again as (select symbol, entry_date, max(trade_id) as trade_id, round(max(score) * 2, 6) as score from trades
+where entry_date between date '2000-01-01' and date '2000-03-31' and side = 'long' group by 1, 2) select * from kept union all select * from again""")
 def signals_replay(spark, sf):
     """A bounded replay: the stored signals of a range of days go, what the replay of these days finds takes their place."""
     stored = d.trades(spark, sf).select("symbol", "entry_date", "trade_id", "score", "side")

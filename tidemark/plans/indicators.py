@@ -36,12 +36,19 @@ def _true_range(spark, sf):
     return _with(spark, sf, {"tr": ta.true_range()})
 
 
-@query("donchian", with_bars() + f" select symbol, bar_date, case when rn >= 20 then max(high) {_frame(20)} end as upper, case when rn >= 20 then min(low) {_frame(20)} end as lower, case when rn >= 20 then (max(high) {_frame(20)} + min(low) {_frame(20)}) / 2 end as middle from n")
+@query("donchian", with_bars() + (
+    f" select symbol, bar_date, case when rn >= 20 then max(high) {_frame(20)} end as upper, case when rn >= 20 then min(low) {_frame(20)} end as lower, "
+    f"case when rn >= 20 then (max(high) {_frame(20)} + min(low) {_frame(20)}) / 2 end as middle from n"
+))
 def _donchian(spark, sf):
     return _with(spark, sf, ta.donchian(20))
 
 
-@query("bollinger", with_bars() + f", b as (select symbol, bar_date, rn, avg(close) {_frame(20)} as m, stddev_pop(close) {_frame(20)} as s from n) select symbol, bar_date, case when rn >= 20 then m end as bb_mid, case when rn >= 20 then round(m + 2 * s, 6) end as bb_upper, case when rn >= 20 then round(m - 2 * s, 6) end as bb_lower from b")
+@query("bollinger", with_bars() + (
+    f", b as (select symbol, bar_date, rn, avg(close) {_frame(20)} as m, stddev_pop(close) {_frame(20)} as s from n) select symbol, bar_date, case "
+    f"when rn >= 20 then m end as bb_mid, case when rn >= 20 then round(m + 2 * s, 6) end as bb_upper, case "
+    f"when rn >= 20 then round(m - 2 * s, 6) end as bb_lower from b"
+))
 def _bollinger(spark, sf):
     return _with(spark, sf, {n: c if n == "bb_mid" else F.round(c, 6) for n, c in ta.bollinger().items()})
 
@@ -65,7 +72,11 @@ def _yz_k(spark, sf):
     return spark.range(1, 64).withColumnRenamed("id", "n").select("n", F.round(F.when(n <= 1, 0.0).otherwise(0.34 / (1.34 + F.try_divide(n + 1, n - 1))), 12).alias("k"))
 
 
-@query("yang_zhang", with_bars() + _YZ + f", v as (select symbol, bar_date, rn, var_samp(yo) {_frame(21)} + {ta.yang_zhang_k(21)!r}::double * var_samp(yc) {_frame(21)} + {1 - ta.yang_zhang_k(21)!r}::double * avg(rs) {_frame(21)} as v from y) select symbol, bar_date, case when rn > 21 then round(sqrt(greatest(v, 0) * 252), 6) end as yz21 from v")
+@query("yang_zhang", with_bars() + _YZ + (
+    f", v as (select symbol, bar_date, rn, var_samp(yo) {_frame(21)} + {ta.yang_zhang_k(21)!r}::double * var_samp(yc) {_frame(21)} + "
+    f"{1 - ta.yang_zhang_k(21)!r}::double * avg(rs) {_frame(21)} as v from y) select symbol, bar_date, case "
+    f"when rn > 21 then round(sqrt(greatest(v, 0) * 252), 6) end as yz21 from v"
+))
 def _yang_zhang(spark, sf):
     return _with_parts(spark, sf).select(*KEYS, F.round(ta.yang_zhang(21), 6).alias("yz21"))
 
@@ -74,7 +85,10 @@ def _with_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).withColumns(ta.yang_zhang_parts())
 
 
-@query("slope_quality", with_bars() + f", s as (select symbol, bar_date, rn, regr_slope(ln(close), rn) {_frame(90)} as b, regr_r2(ln(close), rn) {_frame(90)} as r from n) select symbol, bar_date, case when rn >= 90 then round(1 / (1 + exp(-3 * b * 252 * greatest(0, coalesce(r, 0)))), 6) end as slope_quality from s")
+@query("slope_quality", with_bars() + (
+    f", s as (select symbol, bar_date, rn, regr_slope(ln(close), rn) {_frame(90)} as b, regr_r2(ln(close), rn) {_frame(90)} as r from n) "
+    f"select symbol, bar_date, case when rn >= 90 then round(1 / (1 + exp(-3 * b * 252 * greatest(0, coalesce(r, 0)))), 6) end as slope_quality from s"
+))
 def _slope_quality(spark, sf):
     return bars(spark, sf).withColumn("rn", F.row_number().over(by_symbol())).select(*KEYS, F.round(ta.slope_quality(90), 6).alias("slope_quality"))
 
@@ -114,17 +128,24 @@ _EWM = with_bars() + _YZ + """,
 ye as (
   select symbol, rn, cast(yo as double) as mu, 0::double as cov, 1::double as s2 from y where rn = 2
   union all
-  select b.symbol, b.rn, 0.94::double * e.mu + 0.06::double * b.yo, 0.94::double * (e.cov + (e.mu - (0.94::double * e.mu + 0.06::double * b.yo)) ** 2) + 0.06::double * (b.yo - (0.94::double * e.mu + 0.06::double * b.yo)) ** 2, e.s2 * 0.94::double ** 2 + 0.06::double ** 2
+  select b.symbol, b.rn, 0.94::double * e.mu + 0.06::double * b.yo, 0.94::double * (e.cov + (e.mu - (0.94::double * e.mu + 0.06::double * b.yo)) ** 2)
++ 0.06::double * (b.yo - (0.94::double * e.mu + 0.06::double * b.yo)) ** 2, e.s2 * 0.94::double ** 2 + 0.06::double ** 2
   from ye e join y b on b.symbol = e.symbol and b.rn = e.rn + 1),
 ce as (
   select symbol, rn, cast(yc as double) as mu, 0::double as cov, 1::double as s2, cast(rs as double) as r from y where rn = 1
   union all
-  select b.symbol, b.rn, 0.94::double * e.mu + 0.06::double * b.yc, 0.94::double * (e.cov + (e.mu - (0.94::double * e.mu + 0.06::double * b.yc)) ** 2) + 0.06::double * (b.yc - (0.94::double * e.mu + 0.06::double * b.yc)) ** 2, e.s2 * 0.94::double ** 2 + 0.06::double ** 2, 0.94::double * e.r + 0.06::double * b.rs
+  select b.symbol, b.rn, 0.94::double * e.mu + 0.06::double * b.yc, 0.94::double * (e.cov + (e.mu - (0.94::double * e.mu + 0.06::double * b.yc)) ** 2)
++ 0.06::double * (b.yc - (0.94::double * e.mu + 0.06::double * b.yc)) ** 2, e.s2 * 0.94::double ** 2 + 0.06::double ** 2, 0.94::double * e.r +
+0.06::double * b.rs
   from ce e join y b on b.symbol = e.symbol and b.rn = e.rn + 1)
 """
 _EWM_K = ta.yang_zhang_k((1 + 0.94) / (1 - 0.94))
 
 
-@query("yang_zhang_ewm", _EWM + f" select y.symbol, y.bar_date, case when ye.s2 < 1 and ce.s2 < 1 then round(sqrt(greatest(ye.cov / (1 - ye.s2) + {_EWM_K!r}::double * ce.cov / (1 - ce.s2) + {1 - _EWM_K!r}::double * ce.r, 0) * 252), 6) end as yz_ewm from y left join ye using (symbol, rn) left join ce using (symbol, rn)")
+@query("yang_zhang_ewm", _EWM + (
+    f" select y.symbol, y.bar_date, case when ye.s2 < 1 "
+    f"and ce.s2 < 1 then round(sqrt(greatest(ye.cov / (1 - ye.s2) + {_EWM_K!r}::double * ce.cov / (1 - ce.s2) + {1 - _EWM_K!r}::double * ce.r, 0) * 252), 6) "
+    f"end as yz_ewm from y left join ye using (symbol, rn) left join ce using (symbol, rn)"
+))
 def _yang_zhang_ewm(spark, sf):
     return _rounded(ta.with_recursive(bars(spark, sf), ["yz_ewm"]), "yz_ewm")

@@ -32,7 +32,10 @@ t as (select *, lag(s50, 20) over (partition by symbol order by bar_date) as b50
 u as (select *, {clip('(close - s50) / s50 / 0.10::double')} as p50, {clip('(close - s200) / s200 / 0.25::double')} as p200, coalesce({clip('(s50 - b50) / b50 / 0.05::double')}, 0) as sl from t)"""
 
 
-@query("trend_location", TREND + " select symbol, bar_date, case when rn >= 220 then round(0.4::double * p50 + 0.2::double * p200 + 0.4::double * sl, 6) when rn >= 60 then round(0.5::double * p50 + 0.5::double * sl, 6) end as trend_raw from u")
+@query("trend_location", TREND + (
+    " select symbol, bar_date, case when rn >= 220 then round(0.4::double * p50 + 0.2::double * p200 + 0.4::double * sl, 6) "
+    "when rn >= 60 then round(0.5::double * p50 + 0.5::double * sl, 6) end as trend_raw from u"
+))
 def trend_location(spark, sf):
     return p.trend_location(d.bars(spark, sf)).select(*KEYS, F.round("trend_raw", 6).alias("trend_raw"))
 
@@ -56,7 +59,11 @@ py as (select *, coalesce(greatest(0, least(1, 1 - (l3 - sup) / (1.5::double * a
 pz as (select *, case when sup is null then 0 else ns0 end as ns, case when res is null then 0 else nr0 end as nr from py)"""
 
 
-@query("pivot_proximity", with_tech() + PIVOTS + " select symbol, bar_date, case when rn >= 64 then sup end as support, case when rn >= 64 then res end as resistance, case when rn >= 64 then round(ns, 6) end as near_sup, case when rn >= 64 then round(nr, 6) end as near_res, case when rn >= 64 then round(ns - nr, 6) end as pivot_raw from pz")
+@query("pivot_proximity", with_tech() + PIVOTS + (
+    " select symbol, bar_date, case when rn >= 64 then sup end as support, case when rn >= 64 then res end as resistance, case "
+    "when rn >= 64 then round(ns, 6) end as near_sup, case when rn >= 64 then round(nr, 6) end as near_res, case "
+    "when rn >= 64 then round(ns - nr, 6) end as pivot_raw from pz"
+))
 def pivot_proximity(spark, sf):
     df = p.pivot_proximity(p.numbered(ta.with_recursive(d.bars(spark, sf), ["atr14"])))
     return df.select(*KEYS, "support", "resistance", *[F.round(c, 6).alias(c) for c in ("near_sup", "near_res", "pivot_raw")])
@@ -66,10 +73,15 @@ VOLUME = """, va as (select *, list({'h': high, 'l': low, 'c': close, 'v': volum
    window l5 as (partition by symbol order by bar_date rows between 4 preceding and current row), b50 as (partition by symbol order by bar_date rows between 54 preceding and 5 preceding)),
 vb as (select *, unnest(recent) as b from va where rn >= 56 and vm > 0 and sm > 0),
 vc as (select symbol, bar_date, b.h - b.l as rng, b.v / vm as rv, ((b.c - b.l) - (b.h - b.c)) / nullif(b.h - b.l, 0) as clv, (b.h - b.l) / sm as sr, b.c as c, b.p as pc from vb),
-vd as (select symbol, bar_date, max(case when rng > 0 and rv >= 1 then greatest(0, least(1, (rv - 1.5) / 1.5)) * (case when c < pc and clv > 0 then clv when c > pc and clv < 0 then -clv else 0 end) * (case when sr >= 1.3 then 1.0 when sr <= 0.7 then 0.85 else 0.5 end) else 0 end) as score from vc group by 1, 2)"""
+vd as (select symbol, bar_date, max(case when rng > 0 and rv >= 1 then greatest(0, least(1, (rv - 1.5) / 1.5)) * (case when c < pc
+and clv > 0 then clv when c > pc and clv < 0 then -clv else 0 end) * (case when sr >= 1.3 then 1.0
+when sr <= 0.7 then 0.85 else 0.5 end) else 0 end) as score from vc group by 1, 2)"""
 
 
-@query("volume_confirm", with_bars() + VOLUME + " select n.symbol, n.bar_date, round(score, 6) as volume_score, case when score is not null then round(0.75 + 0.25 * least(1, score), 6) end as volume_multiplier from n left join vd using (symbol, bar_date)")
+@query("volume_confirm", with_bars() + VOLUME + (
+    " select n.symbol, n.bar_date, round(score, 6) as volume_score, case "
+    "when score is not null then round(0.75 + 0.25 * least(1, score), 6) end as volume_multiplier from n left join vd using (symbol, bar_date)"
+))
 def volume_confirm(spark, sf):
     df = p.volume_confirm(p.numbered(d.bars(spark, sf)))
     return df.select(*KEYS, F.round("volume_score", 6).alias("volume_score"), F.round("volume_multiplier", 6).alias("volume_multiplier"))
@@ -102,8 +114,11 @@ def sector_relative_strength(spark, sf):
     return p.relative_strength(bars, own, ["symbol"]).select(*KEYS, (F.round("rs_raw", 4) + F.lit(0.0)).alias("rs_raw"))
 
 
-@query("fibonacci", with_bars() + """, f as (select *, max(high) over w as hi, min(low) over w as lo, arg_max(rn, {'h': high, 'r': -rn}) over w as ph_, arg_min(rn, {'l': low, 'r': rn}) over w as pl_ from n window w as (partition by symbol order by bar_date rows between 119 preceding and current row))
-select symbol, bar_date, hi as high, lo as low, case when ph_ >= pl_ then 'down_from_high' else 'up_from_low' end as direction, hi - 0.382::double * (hi - lo) as r382, hi - 0.618::double * (hi - lo) as r618 from f where rn >= 120 and hi > lo""")
+@query("fibonacci", with_bars() + """, f as (select *, max(high) over w as hi, min(low) over w as lo, arg_max(rn, {'h': high, 'r': -rn}) over w as ph_, arg_min(rn, {'l': low, 'r': rn})
+over w as pl_ from n window w as (partition by symbol order by bar_date rows between 119 preceding and current row))
+select symbol, bar_date, hi as high, lo as low, case
+when ph_ >= pl_ then 'down_from_high' else 'up_from_low' end as direction, hi - 0.382::double * (hi - lo) as r382, hi - 0.618::double * (hi - lo) as
+r618 from f where rn >= 120 and hi > lo""")
 def fibonacci(spark, sf):
     df = p.fibonacci(p.numbered(d.bars(spark, sf))).filter("fib is not null")
     return df.select(*KEYS, "fib.high", "fib.low", "fib.direction", F.col("fib.levels")[1].alias("r382"), F.col("fib.levels")[3].alias("r618"))
@@ -124,18 +139,29 @@ def regime_frame(spark, sf):
 
 
 def _rank(c: str) -> str:
-    return f"case when count({c}) over {frame(252, 'series')} = 252 then (list_sum(list_transform(list({c}) over {frame(252, 'series')}, lambda v: case when v < {c} then 1 else 0 end)) + (list_sum(list_transform(list({c}) over {frame(252, 'series')}, lambda v: case when v = {c} then 1 else 0 end)) + 1) / 2.0::double) / 252 end"
+    return (
+        f"case when count({c}) over {frame(252, 'series')} = 252 then (list_sum(list_transform(list({c}) over {frame(252, 'series')}, lambda v: case "
+        f"when v < {c} then 1 else 0 end)) + (list_sum(list_transform(list({c}) over {frame(252, 'series')}, lambda v: case "
+        f"when v = {c} then 1 else 0 end)) + 1) / 2.0::double) / 252 end"
+    )
 
 
 REGIME = with_views("bars", "market", "macro") + f""", mp as (select as_of_date as bar_date, max(value) filter (where series_code = 'VIX') as vix, max(value) filter (where series_code = 'OAS') as oas from macro group by 1),
 eq as (select bar_date, sum(close * volume) / cast(sum(volume) as double) as weighted from bars group by 1),
 g0 as (select 'MKT' as series, bar_date, close, vix, oas, weighted, close / weighted as r, row_number() over (order by bar_date) as rn from market join mp using (bar_date) join eq using (bar_date)),
-g1 as (select *, case when rn >= 200 then avg(close) over {frame(200, 'series')} end as s, case when rn >= 20 then avg(r) over {frame(20, 'series')} end as a, case when rn >= 200 then avg(r) over {frame(200, 'series')} end as b,
+g1 as (select *, case when rn >= 200 then avg(close) over {frame(200, 'series')} end as s, case
+when rn >= 20 then avg(r) over {frame(20, 'series')} end as a, case when rn >= 200 then avg(r) over {frame(200, 'series')} end as b,
    {_rank('vix')} as vr, {_rank('oas')} as cr, avg(oas) over {frame(252, 'series')} as om, stddev_pop(oas) over {frame(252, 'series')} as od from g0),
 g2 as (select *, lag(s, 20) over (order by bar_date) as s0, lag(oas, 5) over (order by bar_date) as o5 from g1),
-g as (select series, bar_date, close, 1 - vr as vol_score, 1 - cr as credit_score, {clip(f"0.5::double + 0.25::double * ({clip('(close - s) / s / 0.05::double')} + {clip('(s - s0) / s0 / 0.02::double')})", '0.0::double')} as trend_score,
-   0.5::double + 0.5::double * {clip('(a - b) / b / 0.05::double')} as breadth_score, coalesce(cr > 0.85 and oas > o5, false) as credit_stress, case when rn >= 252 then (oas - om) / nullif(od, 0) end as oas_z from g2),
-gc as (select *, (coalesce(0.40::double * vol_score, 0) + coalesce(0.25::double * trend_score, 0) + coalesce(0.20::double * breadth_score, 0) + coalesce(0.15::double * credit_score, 0)) / nullif(case when vol_score is null then 0 else 0.40::double end + case when trend_score is null then 0 else 0.25::double end + case when breadth_score is null then 0 else 0.20::double end + case when credit_score is null then 0 else 0.15::double end, 0) as composite from g)"""
+g as (select series, bar_date, close, 1 - vr as vol_score, 1 - cr as credit_score,
+{clip(f"0.5::double + 0.25::double * ({clip('(close - s) / s / 0.05::double')} + {clip('(s - s0) / s0 / 0.02::double')})", '0.0::double')} as
+trend_score,
+   0.5::double + 0.5::double * {clip('(a - b) / b / 0.05::double')} as breadth_score, coalesce(cr > 0.85 and oas > o5, false) as credit_stress, case
+when rn >= 252 then (oas - om) / nullif(od, 0) end as oas_z from g2),
+gc as (select *, (coalesce(0.40::double * vol_score, 0) + coalesce(0.25::double * trend_score, 0) + coalesce(0.20::double * breadth_score, 0) +
+coalesce(0.15::double * credit_score, 0)) / nullif(case when vol_score is null then 0 else 0.40::double end + case
+when trend_score is null then 0 else 0.25::double end + case when breadth_score is null then 0 else 0.20::double end + case
+when credit_score is null then 0 else 0.15::double end, 0) as composite from g)"""
 
 
 def _regime(name: str, columns: list[str], sql: list[str]) -> None:
@@ -151,7 +177,10 @@ for _name, _column in (("vol_score", "vol_score"), ("credit_score", "credit_scor
 _regime("credit_stress_flag", ["credit_stress"], ["credit_stress"])
 
 
-@query("classify_regime", with_tech() + f" select symbol, bar_date, case when adx14 > 25 then case when close > avg(close) over {frame(200)} then 'trending_up' else 'trending_down' end when adx14 < 18 then 'choppy' else 'transitioning' end as label from tech qualify rn >= 230")
+@query("classify_regime", with_tech() + (
+    f" select symbol, bar_date, case when adx14 > 25 then case when close > avg(close) over {frame(200)} then 'trending_up' else 'trending_down' end "
+    f"when adx14 < 18 then 'choppy' else 'transitioning' end as label from tech qualify rn >= 230"
+))
 def classify_regime(spark, sf):
     df = p.numbered(ta.with_recursive(d.bars(spark, sf), ["adx14"]))
     from tidemark.functions.windows import sma
@@ -159,7 +188,10 @@ def classify_regime(spark, sf):
     return df.withColumn("s", sma("close", 200)).filter("rn >= 230").select(*KEYS, m.label(F.col("adx14"), F.col("close"), F.col("s")).alias("label"))
 
 
-@query("regime_factor", REGIME + ", a(strategy, affinity) as (values ('rsi2', 0.7::double), ('donchian', 0.5::double)) select strategy, bar_date, round(affinity * coalesce(0.5 + 0.5 * composite, 1) * case when credit_stress then 0.5 else 1 end, 6) as factor from gc, a")
+@query("regime_factor", REGIME + (
+    ", a(strategy, affinity) as (values ('rsi2', 0.7::double), ('donchian', 0.5::double)) "
+    "select strategy, bar_date, round(affinity * coalesce(0.5 + 0.5 * composite, 1) * case when credit_stress then 0.5 else 1 end, 6) as factor from gc, a"
+))
 def regime_factor(spark, sf):
     affinity = F.explode(F.array(F.struct(F.lit("rsi2").alias("strategy"), F.lit(0.7).alias("affinity")), F.struct(F.lit("donchian").alias("strategy"), F.lit(0.5).alias("affinity")))).alias("a")
     df = regime_frame(spark, sf).select("*", affinity).select("*", "a.*")
@@ -235,7 +267,9 @@ def chain_to_levels(spark, sf):
     return m.chained(m.sector_returns(m.panel_returns(d.bars(spark, sf)), d.sectors(spark, sf))).select("sector", "bar_date", F.round("level", 4).alias("level"))
 
 
-@query("sector_composite_bars", with_bars("sectors", "membership") + PANEL + """, ss as (select sector, sr.bar_date, case when count(ret) >= 3 then avg(ret) end as ret from sr join sectors using (symbol) join membership m on m.symbol = sr.symbol and joined_date <= sr.bar_date and (left_date is null or left_date > sr.bar_date) where sector is not null group by 1, 2),
+@query("sector_composite_bars", with_bars("sectors", "membership") + PANEL + """, ss as (select sector, sr.bar_date, case when count(ret) >= 3 then avg(ret) end as ret from sr join sectors using (symbol)
+join membership m on m.symbol = sr.symbol and joined_date <= sr.bar_date and (left_date is null or left_date > sr.bar_date) where sector is not null
+group by 1, 2),
 sl as (select sector, bar_date, round(100 * product(1 + coalesce(ret, 0)) over (partition by sector order by bar_date rows between unbounded preceding and current row), 4) as level from ss)
 select '$EWSECTOR:' || replace(upper(sector), ' ', '_') as symbol, bar_date, level as open, level as high, level as low, level as close, cast(0 as bigint) as volume from sl""")
 def sector_composite_bars(spark, sf):
@@ -250,7 +284,9 @@ def sector_composite_bars(spark, sf):
 r as (select *, row_number() over (partition by symbol order by bar_date desc) as k from bars where bar_date < date '1999-06-30' and symbol in (select symbol from c)),
 s as (select symbol, avg(close) as a, arg_max(close, bar_date) as c from r where k <= 200 group by 1 having count(*) = 200),
 t as (select count(*) as eligible, count(*) filter (where c > a) as above from s)
-select eligible, above, 100.0::double * above / nullif(eligible, 0) as pct_above, case when 100.0 * above / nullif(eligible, 0) >= 70 then 'strong' when 100.0 * above / nullif(eligible, 0) >= 50 then 'healthy' when 100.0 * above / nullif(eligible, 0) >= 30 then 'weak' else 'poor' end as label from t""")
+select eligible, above, 100.0::double * above / nullif(eligible, 0) as pct_above, case when 100.0 * above / nullif(eligible, 0) >= 70 then 'strong'
+when 100.0 * above / nullif(eligible, 0) >= 50 then 'healthy' when 100.0 * above / nullif(eligible, 0) >= 30 then 'weak' else 'poor' end as label
+from t""")
 def breadth_above_sma200(spark, sf):
     return m.breadth(d.bars(spark, sf), members_as_of(d.membership(spark, sf), "1999-06-30"), "1999-06-30")
 
@@ -260,23 +296,40 @@ def breadth_above_sma200(spark, sf):
 MONTHS = with_views("bars", "market") + ", mc as (select year(bar_date) as year, month(bar_date) as month, arg_max(close, bar_date) as close from market group by 1, 2)"
 
 
-@query("monthly_seasonality", MONTHS + ", r as (select year, month, close / lag(close) over (order by year, month) - 1 as ret from mc) select cast(month as integer) as month, count(ret) as n, round(avg(ret), 8) as avg, round(quantile_cont(ret, 0.5), 8) as median, round(max(ret), 8) as best, round(min(ret), 8) as worst, count(*) filter (where ret > 0) as positives, cast(min(year) as integer) as first_year, cast(max(year) as integer) as last_year from r where ret is not null and not (year = 2001 and month = 6) group by 1 having count(ret) >= 3")
+@query("monthly_seasonality", MONTHS + (
+    ", r as (select year, month, close / lag(close) over (order by year, month) - 1 as ret from mc) "
+    "select cast(month as integer) as month, count(ret) as n, round(avg(ret), 8) as avg, round(quantile_cont(ret, 0.5), 8) as median, round(max(ret), 8) as "
+    "best, round(min(ret), 8) as worst, count(*) filter (where ret > 0) as positives, cast(min(year) as integer) as first_year, cast(max(year) as integer) "
+    "as last_year from r where ret is not null and not (year = 2001 and month = 6) group by 1 having count(ret) >= 3"
+))
 def monthly_seasonality(spark, sf):
     s = m.seasonality(m.month_closes(d.market(spark, sf)), 2001, 6)
     return s.select("month", "n", *[F.round(c, 8).alias(c) for c in ("avg", "median", "best", "worst")], "positives", "first_year", "last_year")
 
 
-@query("halloween", MONTHS + ", r as (select 'winter' as season, a.close / o.close - 1 as ret from mc a join mc o on a.year = o.year + 1 and a.month = 4 and o.month = 10 union all select 'summer', o.close / a.close - 1 from mc a join mc o on a.year = o.year and a.month = 4 and o.month = 10) select season, count(ret) as n, round(avg(ret), 8) as avg, round(avg(case when ret > 0 then 1.0 else 0.0 end), 8) as positive_rate from r group by 1 having count(ret) >= 3")
+@query("halloween", MONTHS + (
+    ", r as (select 'winter' as season, a.close / o.close - 1 as ret from mc a join mc o on a.year = o.year + 1 and a.month = 4 and o.month = 10 union all "
+    "select 'summer', o.close / a.close - 1 from mc a join mc o on a.year = o.year and a.month = 4 and o.month = 10) "
+    "select season, count(ret) as n, round(avg(ret), 8) as avg, round(avg(case when ret > 0 then 1.0 else 0.0 end), 8) as positive_rate from r group by 1 "
+    "having count(ret) >= 3"
+))
 def halloween(spark, sf):
     return m.halloween(m.month_closes(d.market(spark, sf))).select("season", "n", F.round("avg", 8).alias("avg"), F.round("positive_rate", 8).alias("positive_rate"))
 
 
-@query("january_barometer", MONTHS + ", y as (select sign(j.close - b.close) = sign(e.close - b.close) as hit from mc b join mc j on j.year = b.year + 1 and j.month = 1 join mc e on e.year = j.year and e.month = 12 where b.month = 12) select count(*) as n, count(*) filter (where hit) as hits, round(avg(case when hit then 1.0 else 0.0 end), 8) as rate from y")
+@query("january_barometer", MONTHS + (
+    ", y as (select sign(j.close - b.close) = sign(e.close - b.close) as hit from mc b join mc j on j.year = b.year + 1 and j.month = 1 "
+    "join mc e on e.year = j.year and e.month = 12 where b.month = 12) select count(*) as n, count(*) filter (where hit) as hits, round(avg(case "
+    "when hit then 1.0 else 0.0 end), 8) as rate from y"
+))
 def january_barometer(spark, sf):
     return m.january_barometer(m.month_closes(d.market(spark, sf))).withColumn("rate", F.round("rate", 8))
 
 
-@query("cycle_years", with_views("bars") + " select distinct cast(year(bar_date) as integer) as year, (['post_election', 'midterm', 'pre_election', 'election'])[((year(bar_date) - 2025) % 4 + 4) % 4 + 1] as term, cast(year(bar_date) % 10 as integer) as digit from bars")
+@query("cycle_years", with_views("bars") + (
+    " select distinct cast(year(bar_date) as integer) as year, (['post_election', 'midterm', 'pre_election', 'election'])[((year(bar_date) - 2025) % 4 + 4) "
+    "% 4 + 1] as term, cast(year(bar_date) % 10 as integer) as digit from bars"
+))
 def cycle_years(spark, sf):
     year = F.year("bar_date")
     return d.bars(spark, sf).select(year.alias("year")).distinct().select("year", m.presidential(F.col("year")).alias("term"), (F.col("year") % 10).alias("digit"))
@@ -289,8 +342,11 @@ def turn_of_month(spark, sf):
     return d.bars(spark, sf).select(F.col("bar_date").alias("day")).distinct().select("day", m.turn_of_month(F.col("day")).alias("inside"))
 
 
-@query("santa_claus", with_views("bars") + """, wd as (select cast(x as date) as day from range(timestamp '1995-01-01', timestamp '2002-01-01', interval 1 day) r(x) where isodow(x) <= 5 and not (month(x) = 12 and day(x) = 25) and not (month(x) = 1 and day(x) = 1)),
-k as (select day, case when month(day) = 12 then row_number() over (partition by year(day), month(day) order by day desc) <= 5 when month(day) = 1 then row_number() over (partition by year(day), month(day) order by day) <= 2 else false end as inside from wd) select day from k where inside""")
+@query("santa_claus", with_views("bars") + """, wd as (select cast(x as date) as day from range(timestamp '1995-01-01', timestamp '2002-01-01', interval 1 day) r(x) where isodow(x) <= 5
+and not (month(x) = 12 and day(x) = 25) and not (month(x) = 1 and day(x) = 1)),
+k as (select day, case when month(day) = 12 then row_number() over (partition by year(day), month(day) order by day desc) <= 5
+when month(day) = 1 then row_number() over (partition by year(day), month(day) order by day) <= 2 else false end as inside from wd) select day from k
+where inside""")
 def santa_claus(spark, sf):
     days = spark.sql("select explode(sequence(date'1995-01-01', date'2001-12-31')) as day")
     fixed = ((F.month("day") == 12) & (F.dayofmonth("day") == 25)) | ((F.month("day") == 1) & (F.dayofmonth("day") == 1))
@@ -300,7 +356,11 @@ def santa_claus(spark, sf):
     return weekdays.select("day", F.when(F.month("day") == 12, late <= 5).otherwise(early <= 2).alias("inside")).filter("inside").select("day")
 
 
-DRAWN = with_views("bars") + ", dr as (select symbol as series, bar_date, close, max(close) over w as peak, arg_max(bar_date, {'c': close, 'd': -cast(bar_date - date '1970-01-01' as integer)}) over w as peak_date, close / max(close) over w - 1 as drawdown from bars window w as (partition by symbol order by bar_date rows between unbounded preceding and current row))"
+DRAWN = with_views("bars") + (
+    ", dr as (select symbol as series, bar_date, close, max(close) over w as peak, arg_max(bar_date, {'c': close, 'd': -cast(bar_date - date '1970-01-01' "
+    "as integer)}) over w as peak_date, close / max(close) over w - 1 as drawdown from bars window w as (partition by symbol "
+    "order by bar_date rows between unbounded preceding and current row))"
+)
 
 
 def _series(spark, sf):
@@ -323,14 +383,20 @@ def correction_episodes(spark, sf):
     return m.corrections(m.drawdowns(_series(spark, sf)))
 
 
-@query("correction_gap", EPISODES + ", gp as (select series, cast(lead(start_date) over (partition by series order by start_date) - end_date as integer) as gap from ep) select series, count(gap) as n, quantile_cont(gap, 0.5) as median_gap, max(gap) as longest from gp where gap is not null group by 1")
+@query("correction_gap", EPISODES + (
+    ", gp as (select series, cast(lead(start_date) over (partition by series order by start_date) - end_date as integer) as gap from ep) "
+    "select series, count(gap) as n, quantile_cont(gap, 0.5) as median_gap, max(gap) as longest from gp where gap is not null group by 1"
+))
 def correction_gap(spark, sf):
     gap = F.datediff(F.lead("start_date").over(Window.partitionBy("series").orderBy("start_date")), "end_date")
     gaps = m.corrections(m.drawdowns(_series(spark, sf))).select("series", gap.alias("gap")).filter("gap is not null")
     return gaps.groupBy("series").agg(F.count("gap").alias("n"), F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.max("gap").alias("longest"))
 
 
-@query("adx_state", with_tech() + " select symbol, bar_date, case when round(adx14, 9) < 18 then 'weak' when round(adx14, 9) < 25 then 'emerging' when round(adx14, 9) < 40 then 'strong' when round(adx14, 9) < 60 then 'very_strong' else 'extreme' end as bucket from tech where adx14 is not null")
+@query("adx_state", with_tech() + (
+    " select symbol, bar_date, case when round(adx14, 9) < 18 then 'weak' when round(adx14, 9) < 25 then 'emerging' when round(adx14, 9) < 40 then 'strong' "
+    "when round(adx14, 9) < 60 then 'very_strong' else 'extreme' end as bucket from tech where adx14 is not null"
+))
 def adx_state(spark, sf):
     a = F.round("adx14", 9)
     df = ta.with_recursive(d.bars(spark, sf), ["adx14"]).filter(a.isNotNull())

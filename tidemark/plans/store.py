@@ -23,7 +23,11 @@ def scan_bars(spark, sf):
     return d.bars(spark, sf).filter((F.col("symbol") == "S3") & F.col("bar_date").between(date("1996-01-01"), date("1998-12-31")))
 
 
-@query("adjust_bars", with_views("bars") + ", f as (select *, case when close > 0 and adj_close is not null then adj_close / close else 1.0::double end as f from bars) select symbol, bar_date, open * f as open, high * f as high, low * f as low, coalesce(adj_close, close) as close, adj_close, volume / f as volume, open as open_raw, high as high_raw, low as low_raw, close as close_raw, volume as volume_raw from f")
+@query("adjust_bars", with_views("bars") + (
+    ", f as (select *, case when close > 0 and adj_close is not null then adj_close / close else 1.0::double end as f from bars) "
+    "select symbol, bar_date, open * f as open, high * f as high, low * f as low, coalesce(adj_close, close) as close, adj_close, volume / f as volume, "
+    "open as open_raw, high as high_raw, low as low_raw, close as close_raw, volume as volume_raw from f"
+))
 def adjust_bars(spark, sf):
     return store.adjusted(d.bars(spark, sf))
 
@@ -130,21 +134,31 @@ def source_csv(spark, sf):
     return lines.select(F.from_csv("line", "bar_date date, symbol string, close double, volume long").alias("r")).select("r.symbol", "r.bar_date", "r.close", "r.volume")
 
 
-@query("incremental_backfill", with_views("bars") + " , m as (select symbol, max(bar_date) filter (where bar_date < date '2000-01-01') as have from bars group by 1) select symbol, have, greatest(date '1995-01-01', have - 5) as fetch_from, have - 5 > date '2001-11-01' as skipped from m")
+@query("incremental_backfill", with_views("bars") + (
+    " , m as (select symbol, max(bar_date) filter (where bar_date < date '2000-01-01') as have from bars group by 1) "
+    "select symbol, have, greatest(date '1995-01-01', have - 5) as fetch_from, have - 5 > date '2001-11-01' as skipped from m"
+))
 def incremental_backfill(spark, sf):
     have = d.bars(spark, sf).groupBy("symbol").agg(F.max(F.when(F.col("bar_date") < date("2000-01-01"), F.col("bar_date"))).alias("have"))
     start = F.date_sub("have", 5)
     return have.select("symbol", "have", F.greatest(date("1995-01-01"), start).alias("fetch_from"), (start > date("2001-11-01")).alias("skipped"))
 
 
-@query("bulk_refresh_days", with_views("bars", "membership") + " select bar_date, count(*) as n, sum(volume) as volume from bars where bar_date between date '1999-03-01' and date '1999-03-31' and symbol in (select symbol from membership where left_date is null) group by 1")
+@query("bulk_refresh_days", with_views("bars", "membership") + (
+    " select bar_date, count(*) as n, sum(volume) as volume from bars where bar_date between date '1999-03-01' and date '1999-03-31' "
+    "and symbol in (select symbol from membership where left_date is null) group by 1"
+))
 def bulk_refresh_days(spark, sf):
     wanted = d.membership(spark, sf).filter("left_date is null").select("symbol")
     days = d.bars(spark, sf).filter(F.col("bar_date").between(date("1999-03-01"), date("1999-03-31")))
     return days.join(wanted, "symbol", "left_semi").groupBy("bar_date").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
 
 
-@query("refresh_cooldown", "select user_id, max(ts) filter (where event_type = 'purchase') as last_ok, coalesce(max(ts) filter (where event_type = 'purchase') < timestamp '2024-01-30 00:00:00' - interval 24 hour, true) as due, greatest(0, cast(floor(epoch(max(ts) filter (where event_type = 'purchase') + interval 23 hour - timestamp '2024-01-30 00:00:00')) as bigint)) as seconds_left from events group by 1")
+@query("refresh_cooldown", (
+    "select user_id, max(ts) filter (where event_type = 'purchase') as last_ok, coalesce(max(ts) filter (where event_type = 'purchase') < timestamp "
+    "'2024-01-30 00:00:00' - interval 24 hour, true) as due, greatest(0, cast(floor(epoch(max(ts) filter (where event_type = 'purchase') + interval 23 hour "
+    "- timestamp '2024-01-30 00:00:00')) as bigint)) as seconds_left from events group by 1"
+))
 def refresh_cooldown(spark, sf):
     ok = F.max(F.when(F.col("event_type") == "purchase", F.col("ts")))
     now = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
@@ -268,7 +282,10 @@ def join_inner_equi(spark, sf):
     return d.bars(spark, sf).join(d.sectors(spark, sf).filter("sector is not null"), "symbol").groupBy("sector").agg(F.count(F.lit(1)).alias("n"), F.max("close").alias("top"))
 
 
-@query("join_left_equi", with_views("watchlist", "bars") + ", l as (select symbol, arg_max(close, bar_date) as last_close, max(bar_date) as last_date from bars group by 1) select item_id, w.symbol, last_close, last_date from watchlist w left join l on w.symbol = l.symbol")
+@query("join_left_equi", with_views("watchlist", "bars") + (
+    ", l as (select symbol, arg_max(close, bar_date) as last_close, max(bar_date) as last_date from bars group by 1) "
+    "select item_id, w.symbol, last_close, last_date from watchlist w left join l on w.symbol = l.symbol"
+))
 def join_left_equi(spark, sf):
     last = store.latest(d.bars(spark, sf), ["symbol"], "bar_date", ["close", "bar_date"]).withColumnsRenamed({"close": "last_close", "bar_date": "last_date"})
     return d.watchlist(spark, sf).join(last, "symbol", "left").select("item_id", "symbol", "last_close", "last_date")
@@ -306,7 +323,10 @@ def join_correlated_array_agg(spark, sf):
     return d.news(spark, sf).join(per, "symbol", "left").select("article_id", F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
 
 
-@query("join_update_from", with_views("trades", "bars") + ", l as (select symbol, arg_max(close, bar_date) as c from bars group by 1) select trade_id, coalesce(c, exit) as mark, case when side = 'long' then coalesce(c, exit) - entry else entry - coalesce(c, exit) end * qty as open_pnl from trades left join l using (symbol)")
+@query("join_update_from", with_views("trades", "bars") + (
+    ", l as (select symbol, arg_max(close, bar_date) as c from bars group by 1) select trade_id, coalesce(c, exit) as mark, case "
+    "when side = 'long' then coalesce(c, exit) - entry else entry - coalesce(c, exit) end * qty as open_pnl from trades left join l using (symbol)"
+))
 def join_update_from(spark, sf):
     last = store.latest(d.bars(spark, sf), ["symbol"], "bar_date", ["close"])
     t = d.trades(spark, sf).join(last, "symbol", "left").withColumn("mark", F.coalesce("close", "exit"))
@@ -314,7 +334,10 @@ def join_update_from(spark, sf):
     return t.select("trade_id", "mark", (move * F.col("qty")).alias("open_pnl"))
 
 
-@query("join_interval_membership", with_views("bars", "membership") + " select bar_date, count(distinct symbol) as members from bars b where exists (select 1 from membership m where m.symbol = b.symbol and joined_date <= bar_date and (left_date is null or left_date > bar_date)) group by 1")
+@query("join_interval_membership", with_views("bars", "membership") + (
+    " select bar_date, count(distinct symbol) as members from bars b where exists (select 1 from membership m where m.symbol = b.symbol "
+    "and joined_date <= bar_date and (left_date is null or left_date > bar_date)) group by 1"
+))
 def join_interval_membership(spark, sf):
     held = store.in_interval(d.bars(spark, sf).select("symbol", "bar_date"), d.membership(spark, sf), ["symbol"], "bar_date", "joined_date", "left_date")
     return held.groupBy("bar_date").agg(F.countDistinct("symbol").alias("members"))
@@ -347,7 +370,10 @@ def join_align_outer(spark, sf):
     return d.market(spark, sf).join(oas, "bar_date", "full")
 
 
-@query("join_theta", with_views("trades", "bars") + ", l as (select symbol, arg_max(close, bar_date) as c from bars group by 1) select t.trade_id, w.c as level from trades t join l w on t.symbol = w.symbol and abs(t.entry - w.c) <= 0.5 * abs(t.exit - t.entry)")
+@query("join_theta", with_views("trades", "bars") + (
+    ", l as (select symbol, arg_max(close, bar_date) as c from bars group by 1) select t.trade_id, w.c as level from trades t "
+    "join l w on t.symbol = w.symbol and abs(t.entry - w.c) <= 0.5 * abs(t.exit - t.entry)"
+))
 def join_theta(spark, sf):
     last = store.latest(d.bars(spark, sf), ["symbol"], "bar_date", ["close"])
     near = F.abs(F.col("entry") - F.col("close")) <= 0.5 * F.abs(F.col("exit") - F.col("entry"))
@@ -357,7 +383,10 @@ def join_theta(spark, sf):
 # Aggregates, ranks, limits
 
 
-@query("agg_weekly_ohlcv", with_views("bars") + " select symbol, cast(date_trunc('week', bar_date) as date) as week, arg_min(open, bar_date) as open, max(high) as high, min(low) as low, arg_max(close, bar_date) as close, cast(sum(volume) as bigint) as volume from bars group by 1, 2")
+@query("agg_weekly_ohlcv", with_views("bars") + (
+    " select symbol, cast(date_trunc('week', bar_date) as date) as week, arg_min(open, bar_date) as open, max(high) as high, min(low) as low, "
+    "arg_max(close, bar_date) as close, cast(sum(volume) as bigint) as volume from bars group by 1, 2"
+))
 def agg_weekly_ohlcv(spark, sf):
     return resampled(d.bars(spark, sf), "week")
 
@@ -368,7 +397,10 @@ def resampled(bars: DataFrame, unit: str) -> DataFrame:
     return bars.groupBy("symbol", at).agg(F.min_by("open", "bar_date").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "bar_date").alias("close"), F.sum("volume").alias("volume"))
 
 
-@query("agg_resample_monthly", with_views("bars") + ", m as (select symbol, cast(date_trunc('month', bar_date) as date) as month, arg_max(close, bar_date) as close from bars group by 1, 2) select symbol, month, close, round(close / lag(close) over (partition by symbol order by month) - 1, 8) as ret from m")
+@query("agg_resample_monthly", with_views("bars") + (
+    ", m as (select symbol, cast(date_trunc('month', bar_date) as date) as month, arg_max(close, bar_date) as close from bars group by 1, 2) "
+    "select symbol, month, close, round(close / lag(close) over (partition by symbol order by month) - 1, 8) as ret from m"
+))
 def agg_resample_monthly(spark, sf):
     m = resampled(d.bars(spark, sf), "month")
     before = F.lag("close").over(Window.partitionBy("symbol").orderBy("month"))
@@ -386,7 +418,10 @@ def agg_count_list(spark, sf):
     return d.sectors(spark, sf).join(d.watchlist(spark, sf), "symbol", "left").groupBy("symbol").agg(F.count("item_id").alias("n"))
 
 
-@query("agg_conditional", with_views("insider") + " select code, count(*) filter (where transaction_code = 'P') as buys, count(*) filter (where transaction_code = 'S') as sells, coalesce(sum(value) filter (where transaction_code = 'P'), 0) - coalesce(sum(value) filter (where transaction_code = 'S'), 0) as net from insider group by 1")
+@query("agg_conditional", with_views("insider") + (
+    " select code, count(*) filter (where transaction_code = 'P') as buys, count(*) filter (where transaction_code = 'S') as sells, coalesce(sum(value) "
+    "filter (where transaction_code = 'P'), 0) - coalesce(sum(value) filter (where transaction_code = 'S'), 0) as net from insider group by 1"
+))
 def agg_conditional(spark, sf):
     is_ = lambda c: F.col("transaction_code") == c
     worth = lambda c: F.coalesce(F.sum(F.when(is_(c), F.col("value"))), F.lit(0.0))
@@ -427,14 +462,21 @@ def agg_histogram(spark, sf):
     return per.join(F.broadcast(t.agg(F.count(F.lit(1)).alias("all")))).select("exit_reason", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
 
 
-@query("agg_quantiles", with_views("trades") + " select symbol, quantile_cont(exit - entry, 0.25) as p25, quantile_cont(exit - entry, 0.5) as p50, quantile_cont(exit - entry, 0.75) as p75, min(exit - entry) as lo, max(exit - entry) as hi from trades group by 1")
+@query("agg_quantiles", with_views("trades") + (
+    " select symbol, quantile_cont(exit - entry, 0.25) as p25, quantile_cont(exit - entry, 0.5) as p50, quantile_cont(exit - entry, 0.75) as p75, min(exit "
+    "- entry) as lo, max(exit - entry) as hi from trades group by 1"
+))
 def agg_quantiles(spark, sf):
     move = F.col("exit") - F.col("entry")
     q = d.trades(spark, sf).groupBy("symbol").agg(F.percentile(move, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.min(move).alias("lo"), F.max(move).alias("hi"))
     return q.select("symbol", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "lo", "hi")
 
 
-@query("agg_winner_loser_delta", with_views("trades") + ", u as (select exit > entry as win, 'score' as input, score as v from trades union all select exit > entry, 'qty', qty from trades) select input, round(avg(v) filter (where win), 6) as winners, round(avg(v) filter (where not win), 6) as losers, round(avg(v) filter (where win) - avg(v) filter (where not win), 6) as delta from u group by 1")
+@query("agg_winner_loser_delta", with_views("trades") + (
+    ", u as (select exit > entry as win, 'score' as input, score as v from trades union all select exit > entry, 'qty', qty from trades) "
+    "select input, round(avg(v) filter (where win), 6) as winners, round(avg(v) filter (where not win), 6) as losers, round(avg(v) filter (where win) - "
+    "avg(v) filter (where not win), 6) as delta from u group by 1"
+))
 def agg_winner_loser_delta(spark, sf):
     t = d.trades(spark, sf).select((F.col("exit") > F.col("entry")).alias("win"), "score", F.col("qty").cast("double").alias("qty"))
     long = t.unpivot("win", ["score", "qty"], "input", "v")
@@ -447,7 +489,10 @@ def distinct_on(spark, sf):
     return store.latest(d.bars(spark, sf), ["symbol"], "bar_date", ["bar_date", "close"])
 
 
-@query("win_row_number", with_views("bars") + ", r as (select *, row_number() over (partition by symbol order by bar_date desc) as k from bars) select a.symbol, a.close as last_close, b.close as prev_close from r a left join r b on a.symbol = b.symbol and b.k = 2 where a.k = 1")
+@query("win_row_number", with_views("bars") + (
+    ", r as (select *, row_number() over (partition by symbol order by bar_date desc) as k from bars) "
+    "select a.symbol, a.close as last_close, b.close as prev_close from r a left join r b on a.symbol = b.symbol and b.k = 2 where a.k = 1"
+))
 def win_row_number(spark, sf):
     r = d.bars(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("bar_date")))).filter("k <= 2")
     return r.groupBy("symbol").agg(F.max(F.when(F.col("k") == 1, F.col("close"))).alias("last_close"), F.max(F.when(F.col("k") == 2, F.col("close"))).alias("prev_close"))
@@ -488,7 +533,11 @@ def topk_per_group(spark, sf):
     return d.trades(spark, sf).withColumn("k", k).filter("k <= 3").select("symbol", "side", "trade_id", "score")
 
 
-@query("greedy_pick", with_views("trades", "sectors") + ", a as (select trade_id, t.symbol, sector, score, row_number() over (partition by t.symbol order by score desc, trade_id) as k from trades t join sectors s on t.symbol = s.symbol where score >= 0.3), b as (select *, row_number() over (partition by sector order by score desc, trade_id) as c from a where k = 1) select trade_id, symbol, sector, score from b where c <= 2 order by score desc, trade_id limit 6")
+@query("greedy_pick", with_views("trades", "sectors") + (
+    ", a as (select trade_id, t.symbol, sector, score, row_number() over (partition by t.symbol order by score desc, trade_id) as k from trades t "
+    "join sectors s on t.symbol = s.symbol where score >= 0.3), b as (select *, row_number() over (partition by sector order by score desc, trade_id) as c "
+    "from a where k = 1) select trade_id, symbol, sector, score from b where c <= 2 order by score desc, trade_id limit 6"
+))
 def greedy_pick(spark, sf):
     return book(d.trades(spark, sf).join(d.sectors(spark, sf), "symbol"), "sector", least=0.3, per_cluster=2, most=6).select("trade_id", "symbol", "sector", "score")
 
@@ -501,7 +550,11 @@ def book(candidates: DataFrame, cluster: str, least: float, per_cluster: int, mo
     return few.orderBy(*best).limit(most).drop("k", "c")
 
 
-@query("set_ops", with_views("membership", "watchlist") + ", a as (select symbol from membership where left_date is null), b as (select distinct symbol from watchlist) select 'union' as op, symbol from (select symbol from a union select symbol from b) union all select 'intersect', symbol from (select symbol from a intersect select symbol from b) union all select 'except', symbol from (select symbol from a except select symbol from b)")
+@query("set_ops", with_views("membership", "watchlist") + (
+    ", a as (select symbol from membership where left_date is null), b as (select distinct symbol from watchlist) select 'union' as op, symbol "
+    "from (select symbol from a union select symbol from b) union all select 'intersect', symbol from (select symbol from a intersect select symbol from b) "
+    "union all select 'except', symbol from (select symbol from a except select symbol from b)"
+))
 def set_ops(spark, sf):
     a, b = d.membership(spark, sf).filter("left_date is null").select("symbol"), d.watchlist(spark, sf).select("symbol").distinct()
     tag = lambda name, df: df.select(F.lit(name).alias("op"), "symbol")

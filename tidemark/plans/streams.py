@@ -28,7 +28,10 @@ def _bars(spark, sf) -> DataFrame:
     return b.withColumn("bar_ts", F.col("bar_date").cast("timestamp")).drop("bar_date", "adj_close")
 
 
-@query("stream_weekly_bars", with_views("bars") + " select symbol, cast(date_trunc('week', bar_date) as date) as week, arg_min(open, bar_date) as open, max(high) as high, min(low) as low, arg_max(close, bar_date) as close, cast(sum(volume) as bigint) as volume from bars group by 1, 2")
+@query("stream_weekly_bars", with_views("bars") + (
+    " select symbol, cast(date_trunc('week', bar_date) as date) as week, arg_min(open, bar_date) as open, max(high) as high, min(low) as low, "
+    "arg_max(close, bar_date) as close, cast(sum(volume) as bigint) as volume from bars group by 1, 2"
+))
 def stream_weekly_bars(spark, sf):
     folder = _shared(spark)
     return st.merged_to_end(st.weekly(_landed(_bars(spark, sf), folder)), ["symbol", "week"], f"{folder}/state", f"{folder}/out")
@@ -42,7 +45,11 @@ def stream_dedupe(spark, sf):
     return out.select("symbol", F.col("bar_ts").cast("date").alias("bar_date"), "close")
 
 
-@query("stream_alerts", with_views("bars", "watchlist") + ", m as (select w.item_id, b.bar_date, b.close from watchlist w join bars b using (symbol) where w.alert_enabled and case w.direction when 'above' then b.close >= w.target_price when 'below' then b.close <= w.target_price else false end) select item_id, cast(min(bar_date) as timestamp) as fired_at, arg_min(close, bar_date) as close from m group by 1")
+@query("stream_alerts", with_views("bars", "watchlist") + (
+    ", m as (select w.item_id, b.bar_date, b.close from watchlist w join bars b using (symbol) where w.alert_enabled and case w.direction "
+    "when 'above' then b.close >= w.target_price when 'below' then b.close <= w.target_price else false end) "
+    "select item_id, cast(min(bar_date) as timestamp) as fired_at, arg_min(close, bar_date) as close from m group by 1"
+))
 def stream_alerts(spark, sf):
     folder = _shared(spark)
     items = d.watchlist(spark, sf).filter("alert_enabled").select("item_id", "symbol", "target_price", "direction")

@@ -14,12 +14,20 @@ from tidemark.sources.driver import with_views
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9à-ÿ]+')"
 
 
-@query("fts_search", f"with t as (select doc_id, {_TOKENS} as w from documents), s as (select doc_id, len(list_filter(w, lambda x: x in ('that', 'was'))) / (1 + ln(len(w))) as score from t where list_contains(w, 'that') and list_contains(w, 'was')) select doc_id, round(score, 8) as score from s")
+@query("fts_search", (
+    f"with t as (select doc_id, {_TOKENS} as w from documents), "
+    f"s as (select doc_id, len(list_filter(w, lambda x: x in ('that', 'was'))) / (1 + ln(len(w))) as score from t where list_contains(w, 'that') "
+    f"and list_contains(w, 'was')) select doc_id, round(score, 8) as score from s"
+))
 def fts_search(spark, sf):
     return x.search(d.table(spark, sf, "documents"), "text", ["that", "was"]).select("doc_id", F.round("score", 8).alias("score"))
 
 
-@query("search_notes", f"with t as (select conv_id, turn, {_TOKENS} as w from conversations) select conv_id, turn, case when list_position(w, 'with') > 0 then array_to_string(w[greatest(list_position(w, 'with') - 5, 1):greatest(list_position(w, 'with') - 5, 1) + 10], ' ') end as headline from t where list_contains(w, 'with')")
+@query("search_notes", (
+    f"with t as (select conv_id, turn, {_TOKENS} as w from conversations) select conv_id, turn, case "
+    f"when list_position(w, 'with') > 0 then array_to_string(w[greatest(list_position(w, 'with') - 5, 1):greatest(list_position(w, 'with') - 5, 1) + 10], "
+    f"' ') end as headline from t where list_contains(w, 'with')"
+))
 def search_notes(spark, sf):
     found = x.search(d.table(spark, sf, "conversations"), "text", ["with"])
     return found.select("conv_id", "turn", x.fragment(F.col("text"), "with").alias("headline"))
@@ -30,7 +38,10 @@ def news_recent(spark, sf):
     return d.news(spark, sf).filter("symbol = 'S4'").orderBy(F.desc("published_on"), "article_id").limit(20).select("article_id", "published_on")
 
 
-@query("news_general", with_views("news") + ", m as (select * from news where symbol in ('S2', 'S3') or list_has_any(tags, ['src9'])) select article_id from (select * from m union all select * from news where not exists (select 1 from m)) order by published_on desc, article_id limit 25")
+@query("news_general", with_views("news") + (
+    ", m as (select * from news where symbol in ('S2', 'S3') or list_has_any(tags, ['src9'])) select article_id from (select * from m union all select * "
+    "from news where not exists (select 1 from m)) order by published_on desc, article_id limit 25"
+))
 def news_general(spark, sf):
     n = d.news(spark, sf)
     matched = n.filter(F.col("symbol").isin("S2", "S3") | F.arrays_overlap("tags", F.array(F.lit("src9"))))
@@ -44,7 +55,12 @@ def news_alerts(spark, sf):
     return n.filter(F.array_contains("tags", "de")).join(n.filter("doc_id % 3 = 0").select("article_id"), "article_id", "left_anti").select("article_id")
 
 
-@query("news_normalise", "with r as (select 'https://n/' || cast(doc_id % 300 as varchar) as link, substr(text, 1, 40) as title, substr(text, 1, 500) as snippet, 'S' || cast(doc_id % 7 as varchar) as s, lang, doc_id as seen from documents) select substr(sha256(link), 1, 32) as article_id, arg_min(title, seen) as title, arg_min(snippet, seen) as snippet, list_sort(list(distinct s)) as symbols, list_sort(list(distinct lang)) as tags from r group by link")
+@query("news_normalise", (
+    "with r as (select 'https://n/' || cast(doc_id % 300 as varchar) as link, substr(text, 1, 40) as title, substr(text, 1, 500) as snippet, 'S' || "
+    "cast(doc_id % 7 as varchar) as s, lang, doc_id as seen from documents) "
+    "select substr(sha256(link), 1, 32) as article_id, arg_min(title, seen) as title, arg_min(snippet, seen) as snippet, list_sort(list(distinct s)) as "
+    "symbols, list_sort(list(distinct lang)) as tags from r group by link"
+))
 def news_normalise(spark, sf):
     docs = d.table(spark, sf, "documents")
     k = F.col("doc_id")
@@ -52,7 +68,10 @@ def news_normalise(spark, sf):
     return x.normalised_news(raw)
 
 
-@query("parse_times", "with r as (select doc_id, timestamp '2003-04-05 06:07:08' + to_days(cast(doc_id % 500 as integer)) as t from documents) select doc_id, case doc_id % 4 when 0 then t when 1 then t when 2 then date_trunc('day', t)::timestamp end as at from r")
+@query("parse_times", (
+    "with r as (select doc_id, timestamp '2003-04-05 06:07:08' + to_days(cast(doc_id % 500 as integer)) as t from documents) select doc_id, case doc_id % 4 "
+    "when 0 then t when 1 then t when 2 then date_trunc('day', t)::timestamp end as at from r"
+))
 def parse_times(spark, sf):
     k = F.col("doc_id")
     t = F.expr("timestamp_ntz'2003-04-05 06:07:08' + make_dt_interval(cast(doc_id % 500 as int))")
@@ -70,7 +89,10 @@ def classify_importance(spark, sf):
     return d.economic_events(spark, sf).select("event_id", "name", x.importance(F.col("name")).alias("importance"))
 
 
-@query("upcoming_events", with_views("economic_events") + f" select event_id, event_at from economic_events where event_at >= timestamp '2024-01-10' and event_at < timestamp '2024-01-17' and country = 'US' and list_position(['low', 'medium', 'high'], {_IMPORTANCE}) >= 2 order by event_at, event_id limit 50")
+@query("upcoming_events", with_views("economic_events") + (
+    f" select event_id, event_at from economic_events where event_at >= timestamp '2024-01-10' and event_at < timestamp '2024-01-17' and country = 'US' "
+    f"and list_position(['low', 'medium', 'high'], {_IMPORTANCE}) >= 2 order by event_at, event_id limit 50"
+))
 def upcoming_events(spark, sf):
     e = d.economic_events(spark, sf).withColumn("importance", x.importance(F.col("name")))
     window = (F.col("event_at") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("event_at") < F.lit("2024-01-17").cast("timestamp_ntz"))
@@ -96,12 +118,18 @@ def earnings_in_window(spark, sf):
     return e.orderBy("report_date", "symbol").select("symbol", "report_date")
 
 
-@query("earnings_revisions", with_views("earnings") + " select symbol, report_date, case when estimate is not null or actual is not null then coalesce(actual, 0) - coalesce(estimate, 0) end as net, (actual - estimate) * 100 / nullif(abs(estimate), 0) as surprise_pct from earnings")
+@query("earnings_revisions", with_views("earnings") + (
+    " select symbol, report_date, case when estimate is not null or actual is not null then coalesce(actual, 0) - coalesce(estimate, 0) end as net, (actual "
+    "- estimate) * 100 / nullif(abs(estimate), 0) as surprise_pct from earnings"
+))
 def earnings_revisions(spark, sf):
     return d.earnings(spark, sf).select("symbol", "report_date", x.net_revisions(F.col("actual"), F.col("estimate")).alias("net"), x.change_pct(F.col("actual"), F.col("estimate")).alias("surprise_pct"))
 
 
-INSIDER = with_views("insider") + ", ins as (select upper(split_part(code, '.', 1)) as symbol, filed_on, transaction_code, coalesce(shares * price, value) as worth, l_orderkey, l_linenumber from insider where transaction_code in ('P', 'S'))"
+INSIDER = with_views("insider") + (
+    ", ins as (select upper(split_part(code, '.', 1)) as symbol, filed_on, transaction_code, coalesce(shares * price, value) as worth, l_orderkey, "
+    "l_linenumber from insider where transaction_code in ('P', 'S'))"
+)
 
 
 @query("insider_normalise", INSIDER + " select symbol, filed_on, transaction_code, worth from ins")
@@ -109,7 +137,10 @@ def insider_normalise(spark, sf):
     return x.insider(d.insider(spark, sf)).select("symbol", "filed_on", "transaction_code", "worth")
 
 
-@query("insider_net_buys", INSIDER + " select symbol, round(coalesce(sum(worth) filter (where transaction_code = 'P'), 0) - coalesce(sum(worth) filter (where transaction_code = 'S'), 0), 4) as net, count(*) > 0 as has_activity from ins where filed_on >= date '2001-01-01' group by 1")
+@query("insider_net_buys", INSIDER + (
+    " select symbol, round(coalesce(sum(worth) filter (where transaction_code = 'P'), 0) - coalesce(sum(worth) filter (where transaction_code = 'S'), 0), "
+    "4) as net, count(*) > 0 as has_activity from ins where filed_on >= date '2001-01-01' group by 1"
+))
 def insider_net_buys(spark, sf):
     i = x.insider(d.insider(spark, sf)).filter(F.col("filed_on") >= F.lit("2001-01-01").cast("date"))
     side = lambda c: F.coalesce(F.sum(F.when(F.col("transaction_code") == c, F.col("worth"))), F.lit(0.0))
@@ -128,14 +159,23 @@ def get_fundamentals(spark, sf):
     return f.select("symbol", "market_cap", store.number(F.get_json_object("payload", "$.Highlights.PERatio")).alias("pe_ratio"))
 
 
-@query("bulk_add_symbols", "with c as (select c_custkey as id, 'S' || cast(c_custkey % 10 as varchar) || ', aa;9bad  S' || cast(c_custkey % 10 as varchar) || ' BRK.B' as line from customer), p as (select id, unnest(regexp_split_to_array(line, '[\\s,;]+')) as raw, generate_subscripts(regexp_split_to_array(line, '[\\s,;]+'), 1) as pos from c), f as (select id, upper(raw) as symbol, min(pos) as pos from p where raw <> '' group by 1, 2) select id, cast(row_number() over (partition by id order by pos) as integer) as place, symbol, regexp_matches(symbol, '^[A-Z][A-Z0-9.\\-]{0,9}$') as valid from f")
+@query("bulk_add_symbols", (
+    "with c as (select c_custkey as id, 'S' || cast(c_custkey % 10 as varchar) || ', aa;9bad  S' || cast(c_custkey % 10 as varchar) || ' BRK.B' as line "
+    "from customer), p as (select id, unnest(regexp_split_to_array(line, '[\\s,;]+')) as raw, generate_subscripts(regexp_split_to_array(line, '[\\s,;]+'), "
+    "1) as pos from c), f as (select id, upper(raw) as symbol, min(pos) as pos from p where raw <> '' group by 1, 2) "
+    "select id, cast(row_number() over (partition by id "
+    "order by pos) as integer) as place, symbol, regexp_matches(symbol, '^[A-Z][A-Z0-9.\\-]{0,9}$') as valid from f"
+))
 def bulk_add_symbols(spark, sf):
     s = F.concat(F.lit("S"), (F.col("c_custkey") % 10).cast("string"))
     lines = d.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.concat(s, F.lit(", aa;9bad  "), s, F.lit(" BRK.B")).alias("line"))
     return x.added_symbols(lines, "id", "line")
 
 
-WATCH = with_views("watchlist", "bars") + ", lb as (select symbol, arg_max(close, bar_date) as close, max(bar_date) as last_date from bars group by 1), wi as (select w.*, close, case direction when 'above' then close >= target_price when 'below' then close <= target_price else false end as met from watchlist w left join lb using (symbol))"
+WATCH = with_views("watchlist", "bars") + (
+    ", lb as (select symbol, arg_max(close, bar_date) as close, max(bar_date) as last_date from bars group by 1), wi as (select w.*, close, case direction "
+    "when 'above' then close >= target_price when 'below' then close <= target_price else false end as met from watchlist w left join lb using (symbol))"
+)
 
 
 def _items(spark, sf):
@@ -155,14 +195,23 @@ def watchlist_alerts(spark, sf):
     return fired.select("item_id", "symbol", "close", F.format_string("%s is %s its target", "symbol", "direction").alias("subject"))
 
 
-@query("notes_revisions", "with n as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as previous from conversations) select conv_id, turn, length(text) as size, previous is not null and previous <> text as changed from n")
+@query("notes_revisions", (
+    "with n as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as previous from conversations) "
+    "select conv_id, turn, length(text) as size, previous is not null and previous <> text as changed from n"
+))
 def notes_revisions(spark, sf):
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     n = d.table(spark, sf, "conversations").withColumn("previous", before)
     return n.select("conv_id", "turn", F.length("text").cast("long").alias("size"), (F.col("previous").isNotNull() & (F.col("previous") != F.col("text"))).alias("changed"))
 
 
-@query("latest_session", "with e as (select event_id, ts - interval 5 hour as local from events), f as (select event_id, cast(local as date) as day, isodow(local) as w, hour(local) as h from e) select event_id, case when w <= 5 and h >= 18 then day else day - cast(case w when 1 then 3 when 7 then 2 else 1 end as integer) end as session, cast(case when date '2024-02-01' > day then (select count(*) from range(cast(day + 1 as timestamp), timestamp '2024-02-02', interval 1 day) r(x) where isodow(x) <= 5) else 0 end as integer) as weekdays from f")
+@query("latest_session", (
+    "with e as (select event_id, ts - interval 5 hour as local from events), "
+    "f as (select event_id, cast(local as date) as day, isodow(local) as w, hour(local) as h from e) select event_id, case when w <= 5 "
+    "and h >= 18 then day else day - cast(case w when 1 then 3 when 7 then 2 else 1 end as integer) end as session, cast(case "
+    "when date '2024-02-01' > day then (select count(*) from range(cast(day + 1 as timestamp), timestamp '2024-02-02', interval 1 day) r(x) "
+    "where isodow(x) <= 5) else 0 end as integer) as weekdays from f"
+))
 def latest_session(spark, sf):
     at = F.col("ts").cast("timestamp")
     day = F.to_date(F.from_utc_timestamp(at, "America/New_York"))

@@ -30,14 +30,22 @@ def trading_days(spark, sf):
     return d.bars(spark, sf).filter((F.col("symbol") == "S1") & F.col("bar_date").between("1996-01-01", "1997-12-31")).select("bar_date").distinct()
 
 
-@query("slippage", with_views("trades") + ", x as (select *, case when side = 'long' then 1 else -1 end as k from trades) select trade_id, entry as none, entry * (1 + k * 5.0::double / 10000) as fixed, entry * (1 + k * (5.0::double + 2.0::double * (qty / 1000.0::double) * 100) / 10000) as volume from x")
+@query("slippage", with_views("trades") + (
+    ", x as (select *, case when side = 'long' then 1 else -1 end as k from trades) "
+    "select trade_id, entry as none, entry * (1 + k * 5.0::double / 10000) as fixed, entry * (1 + k * (5.0::double + 2.0::double * (qty / 1000.0::double) * "
+    "100) / 10000) as volume from x"
+))
 def slippage(spark, sf):
     side = F.when(F.col("side") == "long", "buy").otherwise("sell")
     kinds = {k: t.slippage(k, F.col("entry"), side, F.col("qty") / F.lit(1000.0)) for k in ("none", "fixed", "volume")}
     return d.trades(spark, sf).select("trade_id", *[c.alias(k) for k, c in kinds.items()])
 
 
-RESULTS = with_views("trades") + ", rs as (select *, case when side = 'short' then entry - exit else exit - entry end as move from trades), res as (select *, move * qty - commission as pnl, move / entry as ret, exit_date - entry_date as days, case when entry - stop > 0 then move / (entry - stop) end as r from rs)"
+RESULTS = with_views("trades") + (
+    ", rs as (select *, case when side = 'short' then entry - exit else exit - entry end as move from trades), "
+    "res as (select *, move * qty - commission as pnl, move / entry as ret, exit_date - entry_date as days, case "
+    "when entry - stop > 0 then move / (entry - stop) end as r from rs)"
+)
 
 
 @query("trade_metrics", RESULTS + " select trade_id, pnl, ret, cast(days as integer) as days, r from res")
@@ -45,7 +53,12 @@ def trade_metrics(spark, sf):
     return t.with_results(d.trades(spark, sf)).select("trade_id", "pnl", "ret", "days", "r")
 
 
-@query("trade_stats", RESULTS + " select symbol, count(*) as n, round(avg(case when pnl > 0 then 1.0 else 0.0 end), 8) as win_rate, round(avg(pnl) filter (where pnl > 0), 6) as avg_win, round(avg(pnl) filter (where pnl < 0), 6) as avg_loss, round(sum(pnl) filter (where pnl > 0) / nullif(-sum(pnl) filter (where pnl < 0), 0), 8) as profit_factor, round(avg(pnl), 6) as expectancy from res group by 1")
+@query("trade_stats", RESULTS + (
+    " select symbol, count(*) as n, round(avg(case "
+    "when pnl > 0 then 1.0 else 0.0 end), 8) as win_rate, round(avg(pnl) filter (where pnl > 0), 6) as avg_win, round(avg(pnl) filter (where pnl < 0), 6) "
+    "as avg_loss, round(sum(pnl) filter (where pnl > 0) / nullif(-sum(pnl) filter (where pnl < 0), 0), 8) as profit_factor, round(avg(pnl), 6) as "
+    "expectancy from res group by 1"
+))
 def trade_stats(spark, sf):
     stats = t.trade_stats(t.with_results(d.trades(spark, sf)), "symbol")
     return stats.select("symbol", "n", *[F.round(c, k).alias(c) for c, k in (("win_rate", 8), ("avg_win", 6), ("avg_loss", 6), ("profit_factor", 8), ("expectancy", 6))])
@@ -55,7 +68,8 @@ EQUITY = with_views("equity") + """, e0 as (select *, equity / lag(equity) over
 e1 as (select *, (equity - peak) / peak as dd, greatest(0, least(1, positions_value / equity)) as held, ret - 0.04::double / 252 as x from e0),
 e2 as (select *, sum(case when dd = 0 then 1 else 0 end) over (order by as_of_date rows between unbounded preceding and current row) as spell from e1),
 e3 as (select *, sum(case when dd < 0 then 1 else 0 end) over (partition by spell) as under from e2),
-e4 as (select arg_min(equity, as_of_date) as f, arg_max(equity, as_of_date) as l, max(as_of_date) - min(as_of_date) as days, avg(x) as m, stddev_samp(x) as s, stddev_samp(x) filter (where x < 0) as dn, min(dd) as mdd, max(under) as longest, avg(held) as exposure from e3)"""
+e4 as (select arg_min(equity, as_of_date) as f, arg_max(equity, as_of_date) as l, max(as_of_date) - min(as_of_date) as days, avg(x) as m,
+stddev_samp(x) as s, stddev_samp(x) filter (where x < 0) as dn, min(dd) as mdd, max(under) as longest, avg(held) as exposure from e3)"""
 
 
 def _equity(name: str, columns: dict[str, str]) -> None:
@@ -82,9 +96,11 @@ def save_run(spark, sf):
     return d.equity(spark, sf).select("as_of_date", "equity", hwm.alias("hwm"), (F.col("equity") - F.col("positions_value")).alias("cash"), F.lit(0).alias("num_open"))
 
 
-@query("triple_barrier", with_tech() + """, tb as (select symbol, bar_date, rn, close, close - 2.5::double * atr14 as stp, close + 2.0::double * atr14 as tgt, list({'h': high, 'l': low, 'c': close}) over (partition by symbol order by bar_date rows between 1 following and 20 following) as nx from tech where atr14 is not null or true),
+@query("triple_barrier", with_tech() + """, tb as (select symbol, bar_date, rn, close, close - 2.5::double * atr14 as stp, close + 2.0::double * atr14 as tgt, list({'h': high, 'l': low, 'c':
+close}) over (partition by symbol order by bar_date rows between 1 following and 20 following) as nx from tech where atr14 is not null or true),
 tc as (select *, list_filter(nx, lambda b: b.l <= stp or b.h >= tgt) as hits from tb)
-select symbol, bar_date, case when len(nx) > 0 and stp < close and close < tgt then case when len(hits) > 0 then case when hits[1].l <= stp then 0 else 1 end else case when nx[len(nx)].c > close then 1 else 0 end end end as label from tc""")
+select symbol, bar_date, case when len(nx) > 0 and stp < close and close < tgt then case when len(hits) > 0 then case
+when hits[1].l <= stp then 0 else 1 end else case when nx[len(nx)].c > close then 1 else 0 end end end as label from tc""")
 def triple_barrier(spark, sf):
     df = ta.with_recursive(d.bars(spark, sf), ["atr14"])
     return t.triple_barrier(df, F.col("close") - 2.5 * F.col("atr14"), F.col("close") + 2.0 * F.col("atr14")).select(*KEYS, "label")
@@ -96,9 +112,14 @@ _NEUTRAL = ", ".join(f"round(coalesce({f'nullif({c}, 0)' if c.startswith('vol')
 _LABELLED = ", ".join(f"case when label is not null then case when label = '{x}' then 1.0 else 0.0 end::double end as {x}" for x in ("trending_up", "trending_down", "choppy", "transitioning"))
 
 
-@query("ml_features", with_tech("market", "macro") + ", mp as" + pm.REGIME.split(", mp as", 1)[1] + ", " + pm.LABELS + ps.FEATURES + f""", f0 as (select *, ln(close / pc) as r from tech), sg as ({ps.RSI2_SQL}), rl as (select bar_date, label, round(composite, 9) as regime_composite, credit_stress::int::double as credit_stress from gc join lb using (bar_date) where mrn >= 230),
-f1 as (select symbol, bar_date, case when rn >= 30 then rsi14 end as rsi14, case when rn >= 5 then rsi2 end as rsi2, {_RETS}, {_VOLS}, case when rn >= 5 then close / max(close) over {frame(252)} end as closeness, case when rn >= 21 then atr14 / close end as atr_pct from f0 window w as (partition by symbol order by bar_date)),
-f2 as (select f1.*, sg.score as signal_score, regime_composite, credit_stress, {_LABELLED} from f1 left join sg using (symbol, bar_date) left join rl using (bar_date)) select symbol, bar_date, {_NEUTRAL} from f2""")
+@query("ml_features", with_tech("market", "macro") + ", mp as" + pm.REGIME.split(", mp as", 1)[1] + ", " + pm.LABELS + ps.FEATURES + f""", f0 as (select *, ln(close / pc) as r from tech), sg as ({ps.RSI2_SQL}),
+rl as (select bar_date, label, round(composite, 9) as regime_composite, credit_stress::int::double as credit_stress from gc join lb using (bar_date)
+where mrn >= 230),
+f1 as (select symbol, bar_date, case when rn >= 30 then rsi14 end as rsi14, case when rn >= 5 then rsi2 end as rsi2, {_RETS}, {_VOLS}, case
+when rn >= 5 then close / max(close) over {frame(252)} end as closeness, case when rn >= 21 then atr14 / close end as atr_pct from f0
+window w as (partition by symbol order by bar_date)),
+f2 as (select f1.*, sg.score as signal_score, regime_composite, credit_stress, {_LABELLED} from f1 left join sg using (symbol, bar_date) left
+join rl using (bar_date)) select symbol, bar_date, {_NEUTRAL} from f2""")
 def ml_features(spark, sf):
     return _features(spark, sf).select(*KEYS, *[F.round(c, 6).alias(c) for c in t.NEUTRAL])
 
@@ -109,7 +130,12 @@ def _features(spark, sf):
     return t.ml_features(df.withColumn("signal_score", F.col("rsi2_meanrev.score")), pm.regime(spark, sf))
 
 
-ANALYSIS = "select trade_id, symbol, (exit - entry) / entry * 100 as move, (['up', 'strong_up', 'neutral', 'down', 'strong_down'])[trade_id % 5 + 1] as bucket, trade_id % 9 * 1.0::double as to_support, trade_id % 7 * 1.0::double as to_resistance, case when trade_id % 10 <> 0 then trade_id % 120 * 1.0::double end as iv, trade_id % 4 as confluences, 13 as dte, case when trade_id % 3 = 0 then trade_id % 40 end as days_to_earnings, entry * qty * 4000 as dollar_volume from trades"
+ANALYSIS = (
+    "select trade_id, symbol, (exit - entry) / entry * 100 as move, (['up', 'strong_up', 'neutral', 'down', 'strong_down'])[trade_id % 5 + 1] as bucket, "
+    "trade_id % 9 * 1.0::double as to_support, trade_id % 7 * 1.0::double as to_resistance, case "
+    "when trade_id % 10 <> 0 then trade_id % 120 * 1.0::double end as iv, trade_id % 4 as confluences, 13 as dte, case "
+    "when trade_id % 3 = 0 then trade_id % 40 end as days_to_earnings, entry * qty * 4000 as dollar_volume from trades"
+)
 
 
 def _analysis(spark, sf):
@@ -119,9 +145,15 @@ def _analysis(spark, sf):
 
 
 PROPOSE = with_views("trades") + f""", an as ({ANALYSIS}), a1 as (select *, case when move <= -1.5 then 'sell_put' when move >= 1.5 and to_resistance <= 4 and bucket <> 'strong_up' then 'sell_call' end as side from an),
-a2 as (select *, case side when 'sell_put' then case when bucket in ('up', 'strong_up') then 1.0 when bucket in ('down', 'strong_down') then 0.35 else 0.55 end when 'sell_call' then case when bucket in ('up', 'strong_up') then 0.45 when bucket in ('down', 'strong_down') then 1.0 else 0.7 end end::double as alignment, case side when 'sell_put' then to_support when 'sell_call' then to_resistance end as threat from a1),
-pr as (select *, case when side is not null then case when days_to_earnings <= dte + 2 then 'earnings_in_expiry' when dollar_volume < 5000000 then 'illiquid' when iv is null or iv < 20 then 'iv_too_low' end end as reject,
-  case when side is not null then 0.30::double * greatest(0, least(1, iv / 150)) + 0.20::double * greatest(0, least(1, coalesce(threat, 0) / 12)) + 0.15::double * greatest(0, least(1, confluences / 3.0::double)) + 0.25::double * alignment + 0.10::double * greatest(0, least(1, abs(move) / 5)) end as score from a2)"""
+a2 as (select *, case side when 'sell_put' then case when bucket in ('up', 'strong_up') then 1.0
+when bucket in ('down', 'strong_down') then 0.35 else 0.55 end when 'sell_call' then case when bucket in ('up', 'strong_up') then 0.45
+when bucket in ('down', 'strong_down') then 1.0 else 0.7 end end::double as alignment, case side when 'sell_put' then to_support
+when 'sell_call' then to_resistance end as threat from a1),
+pr as (select *, case when side is not null then case when days_to_earnings <= dte + 2 then 'earnings_in_expiry'
+when dollar_volume < 5000000 then 'illiquid' when iv is null or iv < 20 then 'iv_too_low' end end as reject,
+  case when side is not null then 0.30::double * greatest(0, least(1, iv / 150)) + 0.20::double * greatest(0, least(1, coalesce(threat, 0) / 12)) +
+0.15::double * greatest(0, least(1, confluences / 3.0::double)) + 0.25::double * alignment + 0.10::double * greatest(0, least(1, abs(move) / 5)) end
+as score from a2)"""
 
 
 @query("propose_side", PROPOSE + " select trade_id, side, alignment, threat from pr")
@@ -139,7 +171,12 @@ def propose_score(spark, sf):
     return t.propose(_analysis(spark, sf)).filter("side is not null and iv is not null").select("trade_id", F.round("score", 8).alias("score"))
 
 
-@query("propose_book", PROPOSE + ", b1 as (select *, row_number() over (partition by symbol order by round(score, 9) desc, trade_id) as k from pr where side is not null and reject is null), b2 as (select *, row_number() over (partition by side order by round(score, 9) desc, trade_id) as c from b1 where k = 1) select trade_id, symbol, side, round(score, 8) as score, round(0.75::double * case when side = 'sell_call' then 0.70::double else 1 end, 4) as size from b2 where c <= 4 order by round(score, 9) desc, trade_id limit 30")
+@query("propose_book", PROPOSE + (
+    ", b1 as (select *, row_number() over (partition by symbol order by round(score, 9) desc, trade_id) as k from pr where side is not null "
+    "and reject is null), b2 as (select *, row_number() over (partition by side order by round(score, 9) desc, trade_id) as c from b1 where k = 1) "
+    "select trade_id, symbol, side, round(score, 8) as score, round(0.75::double * case when side = 'sell_call' then 0.70::double else 1 end, 4) as size "
+    "from b2 where c <= 4 order by round(score, 9) desc, trade_id limit 30"
+))
 def propose_book(spark, sf):
     from tidemark.plans.store import book
 
@@ -150,7 +187,11 @@ def propose_book(spark, sf):
     return picked.select("trade_id", "symbol", "side", F.round("exact", 8).alias("score"), F.round(size, 4).alias("size"))
 
 
-MARKS = with_views("trades", "bars") + ", lc as (select symbol, arg_max(close, bar_date) as close from bars group by 1), mk as (select trade_id, t.symbol, side, entry, qty, close as mark, case when side = 'long' then close - entry else entry - close end as move, trade_id % 3 * 1.0::double as mfe0, stop, entry + 4 as target, trade_id % 40 as age from trades t left join lc using (symbol))"
+MARKS = with_views("trades", "bars") + (
+    ", lc as (select symbol, arg_max(close, bar_date) as close from bars group by 1), mk as (select trade_id, t.symbol, side, entry, qty, close as mark, "
+    "case when side = 'long' then close - entry else entry - close end as move, trade_id % 3 * 1.0::double as mfe0, stop, entry + 4 as target, trade_id % "
+    "40 as age from trades t left join lc using (symbol))"
+)
 
 
 def _marks(spark, sf):
@@ -172,7 +213,10 @@ def auto_close(spark, sf):
     return t.auto_close(marks).select("trade_id", "close_reason", "close_price")
 
 
-@query("paper_trades", with_views("trades") + " select trade_id, case when exit_date > date '2001-01-01' then 'open' else 'closed' end as status, case when exit_date <= date '2001-01-01' then (case when side = 'short' then entry - exit else exit - entry end) * qty end as realized from trades")
+@query("paper_trades", with_views("trades") + (
+    " select trade_id, case when exit_date > date '2001-01-01' then 'open' else 'closed' end as status, case when exit_date <= date '2001-01-01' then (case "
+    "when side = 'short' then entry - exit else exit - entry end) * qty end as realized from trades"
+))
 def paper_trades(spark, sf):
     closed = F.col("exit_date") <= F.lit("2001-01-01").cast("date")
     move = F.when(F.col("side") == "short", F.col("entry") - F.col("exit")).otherwise(F.col("exit") - F.col("entry"))
@@ -244,12 +288,18 @@ def _rates_sql(name: str) -> str:
     cases = " ".join(f"when {cond} then '{reason}'" for reason, cond in exits.items()) or "when false then ''"
     return (
         with_tech(*views) + ctes
-        + f""", sg as ({signals}), ex as (select *, min(low) over (partition by symbol order by bar_date rows between 10 preceding and 1 preceding) as l10, max(high) over (partition by symbol order by bar_date rows between 21 preceding and current row) as h22, max(rn) over (partition by symbol) as top from ft),
-cs as (select e.symbol, t.rn as sr, e.rn as er, e.bar_date as entry_date, e.open as entry, e.top from sg g join tech t using (symbol, bar_date) join ex e on e.symbol = g.symbol and e.rn = t.rn + 1 where t.rn > {s.REGISTRY[name].history}),
+        + f""", sg as ({signals}), ex as (select *, min(low) over (partition by symbol order by bar_date rows between 10 preceding
+and 1 preceding) as l10, max(high) over (partition by symbol order by bar_date rows between 21 preceding
+and current row) as h22, max(rn) over (partition by symbol) as top from ft),
+cs as (select e.symbol, t.rn as sr, e.rn as er, e.bar_date as entry_date, e.open as entry, e.top from sg g join tech t using (symbol, bar_date)
+join ex e on e.symbol = g.symbol and e.rn = t.rn + 1 where t.rn > {s.REGISTRY[name].history}),
 xs as (select c.symbol, c.sr, min(x.rn) as xr from cs c join ex x on x.symbol = c.symbol and x.rn >= c.er and x.rn < c.top where case {cases} end is not null group by 1, 2),
 fx as (select c.*, xr, coalesce(xr + 1, top) as last from cs c left join xs using (symbol, sr)),
-ch as (select symbol, min(sr) as sr from fx group by 1 union all select f.symbol, min(f.sr) as sr from ch join fx cur on cur.symbol = ch.symbol and cur.sr = ch.sr join fx f on f.symbol = ch.symbol and f.sr > cur.last group by f.symbol)
-select '{name}' as strategy, c.symbol, c.entry_date, c.entry, o.bar_date as exit_date, case when c.xr is null then o.close else o.open end as exit, coalesce(case {cases} end, 'open_at_end') as reason, case when c.xr is null then o.close else o.open end / c.entry - 1 as ret
+ch as (select symbol, min(sr) as sr from fx group by 1 union all select f.symbol, min(f.sr) as sr from ch join fx cur on cur.symbol = ch.symbol
+and cur.sr = ch.sr join fx f on f.symbol = ch.symbol and f.sr > cur.last group by f.symbol)
+select '{name}' as strategy, c.symbol, c.entry_date, c.entry, o.bar_date as exit_date, case
+when c.xr is null then o.close else o.open end as exit, coalesce(case {cases} end, 'open_at_end') as reason, case
+when c.xr is null then o.close else o.open end / c.entry - 1 as ret
 from ch join fx c using (symbol, sr) join ex o on o.symbol = c.symbol and o.rn = c.last left join ex x on x.symbol = c.symbol and x.rn = c.xr"""
     )
 
@@ -262,7 +312,9 @@ def base_rates(spark, sf):
     return bt.base_rates(_positions(spark, sf, RUNS)).withColumn("ret", F.col("exit") / F.col("entry") - 1)
 
 
-@query("base_rate_summary", f"""select strategy, symbol, count(*) as n, round(avg(case when ret > 0 then 1.0 else 0.0 end), 9) as win_rate, round(avg(ret), 9) as expectancy, round(median(ret), 9) as median, round(sum(ret) filter (where ret > 0) / nullif(-sum(ret) filter (where ret < 0), 0), 9) as profit_factor,
+@query("base_rate_summary", f"""select strategy, symbol, count(*) as n, round(avg(case
+when ret > 0 then 1.0 else 0.0 end), 9) as win_rate, round(avg(ret), 9) as expectancy, round(median(ret), 9) as median, round(sum(ret) filter (where
+ret > 0) / nullif(-sum(ret) filter (where ret < 0), 0), 9) as profit_factor,
   round(avg(exit_date - entry_date), 9) as avg_days, count(*) < 50 as small_sample from ({BASE_RATES}) group by 1, 2""")
 def base_rate_summary(spark, sf):
     won, ret = F.col("ret") > 0, F.col("ret")

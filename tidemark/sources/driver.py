@@ -230,7 +230,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                case when l_partkey % 10 <> 0 then (l_partkey % 500 + 50) / 8.0::double end as price, l_partkey % 900 * 100.0::double as value, l_orderkey, l_linenumber from lineitem"""),
     "economic_events": ((), """
         select event_id, ts as event_at, (['US', 'DE', 'FR', 'JP'])[user_id % 4 + 1] as country,
-               (['FOMC Statement', 'CPI YoY', 'Nonfarm Payrolls', 'Unemployment Rate', 'PPI', 'Core PCE Price Index', 'GDP Growth Rate', 'JOLTS Job Openings', 'Retail Sales MoM', 'Michigan Consumer Sentiment', 'ISM Services PMI', '10-Year Bond Auction', 'Mortgage Applications', 'Capital Expenditure'])[event_id % 14 + 1] as name, value from events"""),
+               (['FOMC Statement', 'CPI YoY', 'Nonfarm Payrolls', 'Unemployment Rate', 'PPI', 'Core PCE Price Index', 'GDP Growth Rate',
+'JOLTS Job Openings', 'Retail Sales MoM', 'Michigan Consumer Sentiment', 'ISM Services PMI', '10-Year Bond Auction', 'Mortgage Applications',
+'Capital Expenditure'])[event_id % 14 + 1] as name, value from events"""),
     "news": ((), """
         select substr(sha256('doc/' || cast(doc_id as varchar)), 1, 32) as article_id, doc_id, 'S' || cast(doc_id % 10 + 1 as varchar) as symbol,
                date '2000-01-01' + cast(doc_id % 360 as integer) as published_on, substr(text, 1, 60) as title, text as body, [lang, source] as tags from documents"""),
