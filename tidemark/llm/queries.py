@@ -1,4 +1,4 @@
-"""The queries op1 to op10: thin calls of the operators over whole tables, and their SQL."""
+"""The queries op1 to op13: thin calls of the operators over whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, common, neardup, packing, quality, sharding, token_counts, topk, toxicity, url_filter
+from tidemark.llm import bpe, chat, common, neardup, packing, quality, sharding, token_counts, topk, toxicity, trie, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -132,6 +132,37 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "n_tokens", "doc_id", buckets=16, budget=65_536)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(common.table(spark, sf_dir, "conversations"))
+
+
+#: The CRC of each byte comes from its definition; nodes are prefixes under a hash, and each subtree is summed along its members' paths.
+OP11_SQL = r"""
+with recursive bits as (select i, i as c, 0 as k from range(256) t(i)
+         union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+tab as (select list(c order by i) as crc from bits where k = 8),
+t as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as num,
+             md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as k,
+             len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words from conversations where conv_id is not null),
+c as (select conv_id, xor(list_reduce(list_transform(string_split(cast(conv_id as varchar), ''), lambda d: cast(ascii(d) as bigint)),
+                                      lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]), cast(4294967295 as bigint)), 4294967295) % 4 as h
+      from (select distinct conv_id from t), tab),
+r0 as (select c.conv_id, num, k, words from c join t on t.conv_id = c.conv_id - c.conv_id % 20 and num <= h
+       union all select conv_id, num + 1000000, k, words from c join t using (conv_id) where num > h),
+r as (select conv_id, row_number() over (partition by conv_id order by num) as depth, k, words from r0),
+p0 as (select conv_id, depth, words, md5(string_agg(k, ',') over (partition by conv_id order by depth rows unbounded preceding)) as p from r
+       union all select conv_id, 0, 0, '' from c),
+p as (select *, lag(p) over (partition by conv_id order by depth) as up, depth = max(depth) over (partition by conv_id) as ends from p0),
+n as (select depth, p, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words,
+             sha256(coalesce(string_agg(conv_id, ',' order by conv_id) filter (where ends), '')) as ends_sha256 from p group by depth, p),
+k as (select depth - 1 as depth, up as p, count(*) as n_children from n where depth > 0 group by all),
+m as (select n.*, coalesce(n_children, 0) as n_children from n left join k using (depth, p)),
+s as (select a.depth, a.p, sum(cast(n_children = 0 as int)) as n_leaves, sum((n_convs - 1) * m.words) as saved
+      from m join p a on a.conv_id = m.conv_id and a.depth <= m.depth group by all)
+select m.conv_id, m.depth, b.conv_id as parent_conv_id, m.n_convs, m.n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, m.ends_sha256
+from m join s using (depth, p) left join n b on b.depth = m.depth - 1 and b.p = m.up
+"""
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -143,5 +174,6 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-ORACLE_SQL = {"op6_chat": OP6_SQL, "op7_top_k": OP7_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL = {"op6_chat": OP6_SQL, "op7_top_k": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL}
