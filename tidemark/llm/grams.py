@@ -117,3 +117,32 @@ def windows(words: np.ndarray, text: np.ndarray, size: int = SHINGLE) -> tuple[n
             h = h * STEP + words[i : i + n]
         first = np.flatnonzero(text[:n] == text[size - 1 :])
         return mixed(h[first]), first
+
+
+class Lowered(Texts):
+    """Texts with A-Z in lower case; words are the runs of characters other than `gaps`."""
+
+    def __init__(self, texts: list[str], gaps: str):
+        super().__init__(texts)
+        self.codes = np.where((self.codes >= 65) & (self.codes <= 90), self.codes + np.uint32(32), self.codes)
+        self.gap = np.zeros(len(self.codes), bool)
+        for low, high in gap_ranges(gaps):
+            self.gap |= (self.codes >= low) & (self.codes <= high)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.spans(~self.gap)
+
+    def strings(self, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+        return [self.codes[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+@lru_cache(maxsize=8)
+def gap_ranges(gaps: str) -> list[tuple[int, int]]:
+    """The code points of `gaps` as ranges."""
+    found: list[list[int]] = []
+    for c in sorted(map(ord, gaps)):
+        if found and found[-1][1] == c - 1:
+            found[-1][1] = c
+        else:
+            found.append([c, c])
+    return [(a, b) for a, b in found]

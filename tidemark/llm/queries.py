@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, common, neardup, packing, quality, sharding, token_counts, topk, toxicity, trie, url_filter
+from tidemark.llm import bpe, chat, common, neardup, ngram_lm, packing, phrases, quality, sharding, token_counts, topk, toxicity, trie, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -163,6 +163,36 @@ select m.conv_id, m.depth, b.conv_id as parent_conv_id, m.n_convs, m.n_children,
 from m join s using (depth, p) left join n b on b.depth = m.depth - 1 and b.p = m.up
 """
 
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(common.table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+#: All grams as strings; what lies in a longer candidate is looked for by the words themselves.
+OP12_SQL = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+p as (select lang, list_filter(string_split_regex(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') as w from d),
+g as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase from p, range(1, 5) t(k)),
+f as (select lang, k, phrase, count(*) as n from g group by all),
+t as (select lang, sum(n) as n from f where k = 1 group by 1),
+c as (select lang, k, phrase, n as a, string_split(phrase, ' ') as w from f where k > 1 and n >= 30),
+cuts as (select lang, phrase, a, i, array_to_string(w[:i], ' ') as x, array_to_string(w[i + 1:], ' ') as y from c, range(1, 4) t(i) where i < k),
+s as (select cuts.*, l.n as l, r.n as r, cast(2000000 as hugeint) * a // (l.n + r.n) as score from cuts
+      join f l on l.lang = cuts.lang and l.phrase = x join f r on r.lang = cuts.lang and r.phrase = y),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, i) = 1),
+k as (select * from b where not exists (select 1 from c where c.lang = b.lang and len(c.w) > len(string_split(b.phrase, ' ')) and 100 * c.a >= 80 * b.a and contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+select lang, rank, phrase, a, l, r, cast(t.n as bigint) as n, cast(score as bigint) as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from k) join t using (lang) where rank <= 2000
+"""
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = ngram_lm.held_out(F.col("doc_id"))
+    scored = ngram_lm.score(docs, ngram_lm.train(docs.filter(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -175,5 +205,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
+    "op13_lm_score": op13_lm_score,
 }
-ORACLE_SQL = {"op6_chat": OP6_SQL, "op7_top_k": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL}
+ORACLE_SQL = {"op6_chat": OP6_SQL, "op7_top_k": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_collocations": OP12_SQL}
