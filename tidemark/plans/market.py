@@ -69,9 +69,10 @@ def pivot_proximity(spark, sf):
     return df.select(*KEYS, "support", "resistance", *[F.round(c, 6).alias(c) for c in ("near_sup", "near_res", "pivot_raw")])
 
 
-VOLUME = """, va as (select *, list({'h': high, 'l': low, 'c': close, 'v': volume, 'p': pc}) over l5 as recent, median(volume) over b50 as vm, median(high - low) over b50 as sm from n
-   window l5 as (partition by symbol order by bar_date rows between 4 preceding and current row), b50 as (partition by symbol order by bar_date rows between 54 preceding and 5 preceding)),
-vb as (select *, unnest(recent) as b from va where rn >= 56 and vm > 0 and sm > 0),
+VOLUME = """, va as (select symbol, bar_date, rn, list_median(list(volume) over b50) as vm, list_median(list(high - low) over b50) as sm from n
+   window b50 as (partition by symbol order by bar_date rows between 54 preceding and 5 preceding)),
+vb as (select va.symbol, va.bar_date, vm, sm, {'h': high, 'l': low, 'c': close, 'v': volume, 'p': pc} as b from (select *, unnest([0, 1, 2, 3, 4]) as back from va where rn >= 56 and vm > 0 and sm > 0) va
+   join n on n.symbol = va.symbol and n.rn = va.rn - back),
 vc as (select symbol, bar_date, b.h - b.l as rng, b.v / vm as rv, ((b.c - b.l) - (b.h - b.c)) / nullif(b.h - b.l, 0) as clv, (b.h - b.l) / sm as sr, b.c as c, b.p as pc from vb),
 vd as (select symbol, bar_date, max(case when rng > 0 and rv >= 1 then greatest(0, least(1, (rv - 1.5) / 1.5)) * (case when c < pc
 and clv > 0 then clv when c > pc and clv < 0 then -clv else 0 end) * (case when sr >= 1.3 then 1.0
@@ -233,9 +234,10 @@ mn as materialized (select *, greatest(high - low, abs(high - pc), abs(low - pc)
 ])
 
 
-@query("detect_regime", REGIME + ", " + LABELS + " select gc.bar_date, label, round(composite, 6) as composite, credit_stress from gc join lb using (bar_date) where mrn >= 230")
+@query("detect_regime", REGIME + ", " + LABELS + " select gc.bar_date, label, round(round(composite, 9) + 3e-10::double, 6) as composite, credit_stress from gc join lb using (bar_date) where mrn >= 230")
 def detect_regime(spark, sf):
-    return regime(spark, sf).withColumn("composite", F.round("composite", 6))
+    # Many composites end in 5 at the seventh digit: three tenths of the ninth one keep them off the border.
+    return regime(spark, sf).withColumn("composite", F.round(F.col("composite") + 3e-10, 6))
 
 
 # Sectors and breadth

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import store
+from tidemark.operators import fulltext, store
 from tidemark.operators import text as x
 from tidemark.plans.registry import query
 from tidemark.sources import driver as d
+from tidemark.sources import shared
 from tidemark.sources.driver import with_views
 
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9à-ÿ]+')"
@@ -33,6 +34,27 @@ def search_notes(spark, sf):
     return found.select("conv_id", "turn", x.fragment(F.col("text"), "with").alias("headline"))
 
 
+@query("fts_ranked", None)
+def fts_ranked(spark, sf):
+    """Articles that hold all stems of a query, by the closeness of its words, from an index of titles and bodies."""
+    n = d.news(spark, sf)
+    path = shared.folder(spark, "news-index")
+    shared.delete_on_exit(spark, path)
+    index = fulltext.build(n, ["article_id"], F.concat_ws(" ", "title", "body"), path)
+    return fulltext.search(index, spark, "ontions and the reing").select("article_id", "n_words", F.round("rank", 8).alias("rank"))
+
+
+@query("notes_headlines", None)
+def notes_headlines(spark, sf):
+    """Notes that hold a word in any form, with their rank and two fragments; only the notes that are found are read again."""
+    notes = d.table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    path = shared.folder(spark, "notes-index")
+    shared.delete_on_exit(spark, path)
+    index = fulltext.build(notes, ["conv_id", "turn"], F.col("text"), path)
+    found = fulltext.search(index, spark, "things").join(notes, ["conv_id", "turn"])
+    return fulltext.headlines(found, F.col("text"), "things", "headline").select("conv_id", "turn", F.round("rank", 8).alias("rank"), "headline")
+
+
 @query("news_recent", with_views("news") + " select article_id, published_on from news where symbol = 'S4' order by published_on desc, article_id limit 20")
 def news_recent(spark, sf):
     return d.news(spark, sf).filter("symbol = 'S4'").orderBy(F.desc("published_on"), "article_id").limit(20).select("article_id", "published_on")

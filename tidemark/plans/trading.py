@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ta
 from tidemark.functions.windows import full, last
 from tidemark.operators import backtest as bt
+from tidemark.operators import boosting
 from tidemark.operators import models
 from tidemark.operators import primitives as p
 from tidemark.operators import store
@@ -233,8 +234,18 @@ def broker_account(spark, sf):
 # Sequential runs
 
 
+_WRITTEN: dict[tuple, object] = {}
+
+
 def _positions(spark, sf, runs):
-    """What the positions of some runs read, from one pass over the bars."""
+    """What the positions of some runs read, from one pass over the bars: written once for an application, folder and runs."""
+    key = (spark.sparkContext.applicationId, sf, tuple(runs))
+    if key not in _WRITTEN:
+        _WRITTEN[key] = shared.written(_made_positions(spark, sf, runs), "positions")
+    return _WRITTEN[key]
+
+
+def _made_positions(spark, sf, runs):
     names = tuple(dict.fromkeys(strategy for _, strategy, _ in runs))
     df = ps.inputs(spark, sf, *names)
     for name in names:
@@ -250,9 +261,9 @@ RUNS = [(name, name, 5.0) for name in s.REGISTRY]
 def backtested(spark, sf, runs=RUNS):
     """The runs over all trading days of the benchmark, sized by its label, over the index members of each day."""
     label = F.when(F.col("label").isNotNull(), F.col("label"))
-    affinity = {run: F.coalesce(*[F.when(label == k, v) for k, v in s.REGISTRY[name].affinity.items()], F.lit(1.0)) for run, name, _ in runs}
+    of = lambda name: F.coalesce(*[F.when(label == k, v) for k, v in s.REGISTRY[name].affinity.items()], F.lit(1.0))
     daily = d.market(spark, sf).select(F.col("bar_date").alias("day")).join(pm.market_labels(spark, sf).withColumnRenamed("bar_date", "day"), "day", "left")
-    days = daily.select("day", F.inline(F.array(*[F.struct(F.lit(run).alias("run"), factor.alias("factor")) for run, factor in affinity.items()])))
+    days = daily.select("day", F.inline(F.array(*[F.struct(F.lit(run).alias("run"), of(name).alias("factor"), F.lit(float(bps)).alias("bps")) for run, name, bps in runs])))
     return bt.backtest(_positions(spark, sf, runs), days, members=d.membership(spark, sf))
 
 
@@ -333,16 +344,35 @@ def per_day_scores(spark, sf):
     return df.select(*KEYS, phase.alias("phase"), F.when(F.col("rn") >= 220, F.round(1 - F.col("rsi2") / 10, 6)).alias("score"))
 
 
-#: Trees that the queries boost; models.fit() boosts 200 by default.
-TREES = 20
+_MODELS: dict[tuple, object] = {}
+
+
+def _model(spark, sf, kind: str, rows, reach: str = "reach"):
+    """The model of the older four fifths of the dates of labelled rows, fitted once for an application and folder; None of too few rows."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _MODELS:
+        older, _ = models.split(rows.filter("label is not null"), "bar_date", 0.2, reach)
+        try:
+            _MODELS[key] = models.fit(older, list(t.NEUTRAL))
+        except boosting.TooFewRows:
+            _MODELS[key] = None
+    return _MODELS[key]
+
+
+def _labelled(spark, sf):
+    """The model's inputs of every bar with its label and the last day that this looks at."""
+    f = t.triple_barrier(_features(spark, sf), F.col("close") - 2.5 * F.col("atr14"), F.col("close") + 2.0 * F.col("atr14"))
+    return models.with_reach(f)
+
+
+def _p_win(model, rows):
+    return rows.withColumn("p_win", F.lit(None).cast("double")) if model is None else models.score(model, rows, list(t.NEUTRAL))
 
 
 def _scored(spark, sf):
     """label and p_win of the newest fifth of the dates, by a model of the others."""
-    f = t.triple_barrier(_features(spark, sf), F.col("close") - 2.5 * F.col("atr14"), F.col("close") + 2.0 * F.col("atr14")).filter("label is not null")
-    rows = shared.written(f.select(*KEYS, "label", *t.NEUTRAL), "training")
-    older, newer = models.split(rows, "bar_date", 0.2)
-    return models.score(models.fit(older, list(t.NEUTRAL), trees=TREES), newer, list(t.NEUTRAL))
+    rows = shared.written(_labelled(spark, sf).filter("label is not null").select(*KEYS, "label", "reach", *t.NEUTRAL), "training")
+    return _p_win(_model(spark, sf, "all bars", rows), models.split(rows, "bar_date", 0.2)[1])
 
 
 @query("ml_train_score", None)
@@ -359,9 +389,7 @@ def ml_metrics(spark, sf):
 @query("meta_score", None)
 def meta_score(spark, sf):
     """p_win on the passing rows of the mean-reversion scan, by a model of its own older signals; other rows have none."""
-    f = t.triple_barrier(_features(spark, sf), F.col("close") - 2.5 * F.col("atr14"), F.col("close") + 2.0 * F.col("atr14"))
-    rows = shared.written(f.filter("rsi2_meanrev is not null").select(*KEYS, "label", *t.NEUTRAL), "signals")
-    older, _ = models.split(rows.filter("label is not null"), "bar_date", 0.2)
-    scored = models.score(models.fit(older, list(t.NEUTRAL), trees=TREES), rows, list(t.NEUTRAL)).select(*KEYS, "p_win")
+    rows = shared.written(_labelled(spark, sf).filter("rsi2_meanrev is not null").select(*KEYS, "label", "reach", *t.NEUTRAL), "signals")
+    scored = _p_win(_model(spark, sf, "rsi2_meanrev", rows), rows).select(*KEYS, "p_win")
     found = ps.scanned(spark, sf, "rsi2_meanrev")
     return found.join(scored, KEYS, "left").select(*KEYS, "status", F.when(F.col("status") == "new", F.round("p_win", 6)).alias("p_win"))

@@ -78,6 +78,16 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vix.union(daily.select(F.lit("OAS"), "as_of_date", 2 + (F.col("k") * 7919 % 97) / F.lit(16.0)))
 
 
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, ex_date, kind (split, cash_div), ratio, amount: some of the lines that a supplier has shipped first in an order."""
+    k = F.col("l_partkey")
+    some = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_orderkey % 23 = 0")
+    kind = F.when(k % 5 == 0, "split").otherwise("cash_div").alias("kind")
+    return some.groupBy(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), F.col("l_shipdate").cast("date").alias("ex_date"), kind).agg(
+        F.max(F.when(k % 5 == 0, F.when(k % 2 == 0, 2.0).otherwise(1.5))).alias("ratio"), F.max(F.when(k % 5 != 0, (k % 8 + 1) / F.lit(16.0))).alias("amount")
+    )
+
+
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, sector: the supplier's region; one symbol in nine has none."""
     joined = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -209,6 +219,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         with d as (select cast(o_orderdate as date) as as_of_date, cast(sum(o_custkey) as bigint) as c, cast(sum(o_orderkey) as bigint) as k from orders group by 1)
         select 'VIX' as series_code, as_of_date, 12 + (c * 7919 % 401) / 16.0::double as value from d
         union all select 'OAS', as_of_date, 2 + (k * 7919 % 97) / 16.0::double from d"""),
+    "actions": ((), """
+        select 'S' || cast(l_suppkey as varchar) as symbol, cast(l_shipdate as date) as ex_date, case when l_partkey % 5 = 0 then 'split' else 'cash_div' end as kind,
+               max(case when l_partkey % 5 = 0 then case when l_partkey % 2 = 0 then 2.0 else 1.5 end end::double) as ratio,
+               max(case when l_partkey % 5 <> 0 then (l_partkey % 8 + 1) / 16.0::double end) as amount
+        from lineitem where l_linenumber = 1 and l_orderkey % 23 = 0 group by 1, 2, 3"""),
     "sectors": ((), """
         select 'S' || cast(s_suppkey as varchar) as symbol, case when s_suppkey % 9 <> 0 then r_name end as sector
         from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey"""),
