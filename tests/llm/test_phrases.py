@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import parity
-from tidemark.llm import grams, phrases, queries
+from tidemark.llm import phrases, queries
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -53,7 +53,7 @@ def made(seed, texts=120, words=12):
 
 @pytest.mark.parametrize("seed", range(2))
 def test_collocations_equal_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(grams, "_CHUNK", 500)
+    monkeypatch.setattr(phrases, "READ", 500)
     monkeypatch.setattr(phrases, "PHRASES", 40)
     monkeypatch.setattr(phrases, "TOGETHER", 200)
     rows = made(seed)

@@ -37,11 +37,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: list[str], most: int = 4096) -> Iterator[tuple[int, list[str]]]:
-    """(first index, texts) in pieces of some _CHUNK characters; a longer text is a piece of its own."""
+def chunks(texts: list[str], most: int = 4096, characters: int = 0) -> Iterator[tuple[int, list[str]]]:
+    """(first index, texts) in pieces of some `characters` (_CHUNK); a longer text is a piece of its own."""
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if i > start and (size + len(t) > _CHUNK or i - start >= most):
+        if i > start and (size + len(t) > (characters or _CHUNK) or i - start >= most):
             yield start, texts[start:i]
             start, size = i, 0
         size += len(t) + 1

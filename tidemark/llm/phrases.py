@@ -23,6 +23,8 @@ GAPS, STOPS = "\x20\x09", ".,;:!?\x0a\x0b\x0c\x0d"
 NO_LANG = "und"
 #: Grams, or distinct phrases, that a task puts together before it hands their counts on.
 TOGETHER, PHRASES = 4_000_000, 200_000
+#: Characters that are read together: the more, the fewer times a phrase is put into words.
+READ = 4_000_000
 #: Parts by which the first phrases of a language are found.
 PARTS = 256
 
@@ -61,7 +63,7 @@ def _language(lang: str) -> int:
 
 def _read(batch: pa.RecordBatch) -> Iterator[tuple[Pieces, list[str]]]:
     all_langs = [lang or NO_LANG for lang in batch.column("lang").to_pylist()]
-    for first, texts in grams.chunks(common.texts_of(batch)):
+    for first, texts in grams.chunks(common.texts_of(batch), characters=READ):
         langs = all_langs[first : first + len(texts)]
         yield Pieces(texts, [_language(lang) for lang in langs]), langs
 
