@@ -77,32 +77,14 @@ class Arrays:
     types: tuple[tuple[str, str], ...]
 
     def writer(self):
-        """A function over batches sorted by (shard, key) that writes shard, key and values and passes the batches on.
-
-        A task that runs again writes the same files again; each comes to its name when it is whole.
-        """
+        """A function over batches sorted by (shard, key) that writes them and returns nothing."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, files, mark = None, {}, uuid.uuid4().hex
-
-            def end():
-                for name, f in files.items():
-                    f.close()
-                    os.replace(f.name, f"{self.path}/{now}.{name}")
-                files.clear()
-
+            out = Writer(self)
             for batch in batches:
-                shards = batch.column("shard").to_numpy()
-                cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1), len(shards)] if len(shards) else []
-                for a, b in zip(cuts, cuts[1:]):
-                    if int(shards[a]) != now:
-                        end()
-                        now = int(shards[a])
-                        files.update({n: open(f"{self.path}/{now}.{n}.{mark}", "wb") for n in ("key", *dict(self.types))})
-                    for name, f in files.items():
-                        f.write(np.ascontiguousarray(batch.column(name).to_numpy()[a:b], dtype=dict(self.types).get(name, "i8")).tobytes())
-                yield batch
-            end()
+                out.add({n: batch.column(n).to_numpy() for n in ("shard", "key", *dict(self.types))})
+            out.end()
+            yield from ()
 
         return run
 
@@ -126,6 +108,30 @@ class Arrays:
         return there, values
 
 
+class Writer:
+    """Writes rows that come sorted by (shard, key). A task that runs again writes the same files again; each comes to its name when it is whole."""
+
+    def __init__(self, arrays: Arrays):
+        self.arrays, self.now, self.files, self.mark = arrays, None, {}, uuid.uuid4().hex
+
+    def add(self, columns: dict[str, np.ndarray]) -> None:
+        shards, types = columns["shard"], dict(self.arrays.types)
+        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1), len(shards)] if len(shards) else []
+        for a, b in zip(cuts, cuts[1:]):
+            if int(shards[a]) != self.now:
+                self.end()
+                self.now = int(shards[a])
+                self.files = {n: open(f"{self.arrays.path}/{self.now}.{n}.{self.mark}", "wb") for n in ("key", *types)}
+            for name, f in self.files.items():
+                f.write(np.ascontiguousarray(columns[name][a:b], dtype=types.get(name, "i8")).tobytes())
+
+    def end(self) -> None:
+        for name, f in self.files.items():
+            f.close()
+            os.replace(f.name, f"{self.arrays.path}/{self.now}.{name}")
+        self.files = {}
+
+
 @lru_cache(maxsize=4096)
 def _mapped(arrays: Arrays, number: int) -> dict[str, np.ndarray] | None:
     path = f"{arrays.path}/{number}"
