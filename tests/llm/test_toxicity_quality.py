@@ -177,6 +177,15 @@ def test_cutoffs_need_enough_good_texts():
     assert quality.cutoff(many, bad, 10**45) is None  # more strata, stricter bounds
 
 
+def test_strata_that_can_pass_are_counted(spark):
+    for sizes in ([], [100], [149], [400, 300, 217, 210], [183, 183, 183], [149] * 5, [1000] * 3 + [20] * 50, [150, 148]):
+        most = quality.tested(sizes)
+        assert all(0.98 ** sorted(sizes)[-most] <= 0.05 / most for _ in range(1 if most else 0))
+        df = spark.createDataFrame([(str(i), n) for i, n in enumerate(sizes)], "stratum string, n long")
+        assert quality._tested(df, quality.RISK, quality.DELTA) == most
+    assert quality.tested([217] * 4) == 4 and quality.tested([148]) == 0 and quality.tested([183, 183, 183]) == 2
+
+
 def test_verdicts(spark, tables):
     docs, labels = tables
     judged = quality.judge(docs, labels).join(labels, "doc_id").filter("not base_failed")
@@ -192,7 +201,7 @@ def test_lines_of_a_regular_kind_are_told_apart():
 
 
 def brute_kept(docs, labels):
-    """doc_id -> kept and the cutoffs, by the whole method over plain Python lists: bins, halves, scores, bounds, cutoffs."""
+    """doc_id -> kept and the cutoffs, by the whole method over plain Python lists: bins, sides, scores, bounds, cutoffs."""
     rows = quality.measure(docs).join(labels.select("doc_id", "quality"), "doc_id", "left").select("*", *[quality._bin(x, quality.BINS).alias(f"bin_{s}") for s, x in quality.signals().items()]).collect()
     names = list(quality.signals())
     failed = {r.doc_id for r in rows if r.n_words < 10 or r.n_repeat_words * 5 > r.n_words}
@@ -201,7 +210,7 @@ def brute_kept(docs, labels):
         if r.doc_id not in failed and r.quality is not None:
             good, lang, bins = by_text.get(r.text_hash, (0, None, None))
             by_text[r.text_hash] = (max(good, int(r.quality > 0)), min(lang or r.lang, r.lang), [r[f"bin_{s}"] for s in names])
-    fit = [v for h, v in by_text.items() if h % 2 == 0]
+    fit = [v for h, v in by_text.items() if h % 4 == 0]
     n = {g: sum(v[0] == g for v in fit) for g in (0, 1)}
     times = Counter((v[0], s, b) for v in fit for s, b in zip(names, v[2]))
 
@@ -209,17 +218,21 @@ def brute_kept(docs, labels):
         logit = sum(math.log(((times[0, s, b] + 0.5) / (n[0] + 8)) / ((times[1, s, b] + 0.5) / (n[1] + 8))) for s, b in zip(names, bins))
         return min(int(64 / (1 + math.exp(-logit / 2))), 63)
 
-    held = [(v[1], v[0], place(v[2])) for h, v in by_text.items() if h % 2]
-    strata, limit = {x[0] for x in held}, {}
-    for lang in strata:
+    held = [(v[1], v[0], place(v[2])) for h, v in by_text.items() if h % 4]
+    sizes, limit = Counter(x for x, g, _ in held if g), {}
+    # As many of the largest strata as could all pass without a loss.
+    strata = max([k for k, (_, n) in enumerate(sizes.most_common(), 1) if 0.98**n <= 0.05 / k], default=0)
+    for lang in [x for x, n in sizes.items() if strata and 0.98**n <= 0.05 / strata]:
         good, bad = ([p for x, g, p in held if x == lang and g == want] for want in (1, 0))
         sure = {}
-        for c in range(1, 64):
+        for c in range(63, 0, -1):
             lost, caught = sum(p >= c for p in good), sum(p >= c for p in bad)
             # The bound is at most 2% where so few losses are that unlikely at a rate of 2%.
-            if caught and lost <= 0.02 * len(good) and sum(comb(len(good), k) * 0.02**k * 0.98 ** (len(good) - k) for k in range(lost + 1)) <= 0.05 / (len(strata) * 63):
+            if sum(comb(len(good), k) * 0.02**k * 0.98 ** (len(good) - k) for k in range(lost + 1)) > 0.05 / strata:
+                break
+            if caught:
                 sure[c] = caught - 2 * lost
-        best = [c for c in sure if sure[c] == max(sure.values())]
+        best = sorted(c for c in sure if sure[c] == max(sure.values()))
         if best:
             limit[lang] = best[len(best) // 2]
     return {r.doc_id: r.doc_id not in failed and place([r[f"bin_{s}"] for s in names]) < limit.get(r.lang, 64) for r in rows}, limit

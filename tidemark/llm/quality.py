@@ -1,11 +1,13 @@
 """Quality rules with certified cutoffs.
 
-Base rules reject outright. For all other texts a score in [0, 1] is learned on one half of the labelled
-rows; on the other half, exact binomial bounds decide which cutoffs reject at most a stated share of good
-texts, in each stratum by itself, corrected for all cutoffs and strata that are tried. Among the certified
-cutoffs of a stratum the one that errs least on the holdout is used; a stratum without a certified cutoff
-rejects nothing beyond the base rules. The bound takes the texts of the holdout as drawn independently of
-those of the other half: equal texts share a half, but near copies of a text may be in both.
+Base rules reject outright. For all other texts a score in [0, 1] is learned on a quarter of the labelled
+rows; on the others, the holdout, exact binomial bounds decide which cutoffs reject at most a stated share of
+good texts, in each stratum by itself. A stratum's cutoffs are tested in a fixed order, from the strictest
+down, until one fails: a cutoff is only tested after all stricter ones have passed, so the order needs no
+correction. The strata do (Bonferroni), but only those that have enough good texts to pass at all. Among the
+certified cutoffs of a stratum the one that errs least on the holdout is used; a stratum without a certified
+cutoff rejects nothing beyond the base rules. The bound takes the texts of the holdout as drawn independently
+of those that the score was learned from: equal texts are on one side, but near copies may be on both.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from tidemark.llm import common, grams
 
 #: Share of good texts that a stratum may lose, and the chance that any stratum loses more.
 RISK, DELTA = 0.02, 0.05
+#: One of so many labelled texts teaches the score, the others are the holdout.
+TAUGHT = 4
 #: Bins of a signal, cutoffs of the score.
 BINS, CUTOFFS = 16, 64
 #: So many cutoffs are broadcast at most; more are joined by a shuffle.
@@ -144,15 +148,30 @@ def upper_bound(failures: int, trials: int, alpha: float) -> float:
     return high
 
 
+def least_good(strata: int, risk: float = RISK, delta: float = DELTA) -> int:
+    """How many good texts a stratum needs at least to have a cutoff certified, when so many strata are tested: none of them may be lost then."""
+    return math.ceil(math.log(delta / max(1, strata)) / math.log1p(-risk))
+
+
+def tested(sizes: list[int], risk: float = RISK, delta: float = DELTA) -> int:
+    """How many strata, with so many good texts each, are tested: as many of the largest as can all pass."""
+    sizes = sorted(sizes, reverse=True)
+    return max([k for k, n in enumerate(sizes, 1) if n >= least_good(k, risk, delta)], default=0)
+
+
 def cutoff(good: np.ndarray, bad: np.ndarray, strata: int, risk: float = RISK, delta: float = DELTA) -> int | None:
     """The cutoff of one of `strata` strata (a bin of the score: texts in it or above go), from its counts by bin, or None."""
-    alpha = delta / max(1, strata * (CUTOFFS - 1))
+    alpha = delta / max(1, strata)
     lost, caught, n = np.cumsum(good[::-1])[::-1], np.cumsum(bad[::-1])[::-1], int(good.sum())
-    sure = [c for c in range(1, CUTOFFS) if caught[c] > 0 and lost[c] <= risk * n and upper_bound(int(lost[c]), n, alpha) <= risk]
-    if not sure:
+    sure: list[int] = []
+    for c in range(CUTOFFS - 1, 0, -1):
+        if upper_bound(int(lost[c]), n, alpha) > risk:
+            break
+        sure.append(c)
+    gain = {c: int(caught[c]) - 2 * int(lost[c]) for c in sorted(sure) if caught[c] > 0}
+    if not gain:
         return None
-    gain = {c: int(caught[c]) - 2 * int(lost[c]) for c in sure}
-    best = [c for c in sure if gain[c] == max(gain.values())]
+    best = [c for c in gain if gain[c] == max(gain.values())]
     return best[len(best) // 2]
 
 
@@ -203,9 +222,9 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str =
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias(key)).agg(F.max((F.col("quality") > 0).cast("int")).alias("__good"))
     judged = rows.filter(~base_failed()).join(known, key)
     picked = judged.select("text_hash", "__good", _level(stratum).alias("stratum"), *[_bin(x, BINS).alias(s) for s, x in named.items()])
-    # One row for each text; the hash of the text decides its half.
+    # One row for each text; the hash of the text decides its side.
     once = common.materialize(picked.groupBy("text_hash").agg(F.max("__good").alias("good"), F.min("stratum").alias("stratum"), *[F.min(s).alias(s) for s in named]), "labelled-signals")
-    first = F.pmod(F.col("text_hash"), F.lit(2)) == 0
+    first = F.pmod(F.col("text_hash"), F.lit(TAUGHT)) == 0
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("bin")) for s in named])).alias("x")
     counted = once.filter(first).select("good", each).groupBy("x.signal", "x.bin", "good").agg(F.count(F.lit(1)).alias("n"))
     table = {(r.signal, r.bin, r.good): r.n for r in counted.collect()}
@@ -213,11 +232,25 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str =
     badness = _badness(table, total, list(named))
     held = once.filter(~first).groupBy("stratum", "good", _bin(badness, CUTOFFS).alias("at")).agg(F.count(F.lit(1)).alias("n"))
     held = common.materialize(held, "held-out")
-    strata = held.select("stratum").distinct().count()
+    # Strata of too few good texts are not tested; how many are may not follow from how their tests end.
+    sizes = held.filter("good = 1").groupBy("stratum").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_good(1, risk, delta))
+    strata = _tested(sizes, risk, delta)
+    held = held.join(sizes.filter(F.col("n") >= least_good(max(strata, 1), risk, delta)).select("stratum"), "stratum", "left_semi")
     chosen = held.groupBy("stratum").applyInArrow(_cutoffs(strata, risk, delta), "stratum string, at int")
     return Rules(table, total, common.materialize(chosen, "cutoffs"))
 
 
+def _tested(sizes: DataFrame, risk: float, delta: float) -> int:
+    """tested() for a table (stratum, n) of any length: sizes of one number are one row, of at most as many as a size has values."""
+    counts = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n"))
+    before, most = 0, 0
+    for n, k in counts.toLocalIterator():
+        # Of k strata of one size the first j pass together with all larger ones while n suffices for before + j.
+        most = max(most, min(before + k, int(delta * (1 - risk) ** -n)) if n >= least_good(before + 1, risk, delta) else 0)
+        before += k
+    return most
+
+
 def judge(documents: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """documents (doc_id, text, lang) without text, with the COUNTS, text_hash, badness, cutoff, base_failed, kept.
 
