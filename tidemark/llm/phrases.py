@@ -68,19 +68,25 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[Pieces, list[str]]]:
         yield Pieces(texts, [_language(lang) for lang in langs]), langs
 
 
-def _frequent(pieces: Pieces, known: list[arrays.Arrays]) -> list[np.ndarray]:
-    """First words of the grams of 2, 3, ... words that `known` has, each in the grams of one word less on both sides."""
-    out, begins = [], None
-    for size, found in enumerate(known, 2):
-        begins = pieces.grams(size, begins)
-        keys, same = np.unique(pieces.keys(begins, size), return_inverse=True)
-        begins = begins[found.find(keys)[0][same]] if len(begins) else begins
+def _frequent(pieces: Pieces, known: list[arrays.Arrays], smallest: int = 1) -> list[np.ndarray]:
+    """First words of the grams of `smallest` and more words that `known` has, each in the grams of one word less on both sides.
+
+    The first of `known` has single words and pairs, each other one grams of one word more. Without any, all words.
+    """
+    if not known:
+        return [np.arange(len(pieces.words))]
+    out: list[np.ndarray] = []
+    for size in range(smallest, len(known) + 2):
+        begins = pieces.grams(size, out[-1] if size > 2 else None)
+        if len(begins):
+            keys, same = np.unique(pieces.keys(begins, size), return_inverse=True)
+            begins = begins[known[max(size - 2, 0)].find(keys)[0][same]]
         out.append(begins)
     return out
 
 
 def _hashes(known: list[arrays.Arrays]):
-    """Hashes and counts of the grams of one word more than the last of `known`."""
+    """Hashes and counts of the grams of one word more than the last of `known`; first of single words and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -92,9 +98,11 @@ def _hashes(known: list[arrays.Arrays]):
 
         for batch in batches:
             for pieces, _ in _read(batch):
-                begins = _frequent(pieces, known)[-1] if known else None
-                size = len(known) + 2
-                held.append(pieces.keys(pieces.grams(size, begins), size))
+                if known:
+                    begins = _frequent(pieces, known, 2)[-1]
+                    held.append(pieces.keys(pieces.grams(len(known) + 2, begins), len(known) + 2))
+                else:
+                    held += [pieces.keys(pieces.grams(size), size) for size in (1, 2)]
             if sum(map(len, held)) > TOGETHER:
                 yield flush()
         if held:
@@ -104,7 +112,7 @@ def _hashes(known: list[arrays.Arrays]):
 
 
 def _phrases(known: list[arrays.Arrays], longest: int):
-    """Rows (lang, phrase, size, n): all words, the frequent grams, those of `longest` words whose parts are frequent; size 0 sums up all words."""
+    """Rows (lang, phrase, size, n): the frequent grams, those of `longest` words whose parts are frequent; size 0 sums up all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -117,13 +125,17 @@ def _phrases(known: list[arrays.Arrays], longest: int):
 
         for batch in batches:
             for pieces, langs in _read(batch):
-                _, first, word = np.unique(pieces.words, return_index=True, return_inverse=True)
-                strings = pieces.lowered.strings(pieces.starts[first], pieces.ends[first])
-                begins = [np.arange(len(word)), *_frequent(pieces, known)]
+                begins = _frequent(pieces, known)
                 begins.append(pieces.grams(longest, begins[-1] if known else None))
+                used = np.unique(begins[0])
+                _, first, word = np.unique(pieces.words[used], return_index=True, return_inverse=True)
+                first = used[first]
+                strings = pieces.lowered.strings(pieces.starts[first], pieces.ends[first])
+                name = np.zeros(len(pieces.words), np.int64)
+                name[used] = word
                 for size, b in enumerate(begins, 1):
-                    keys, at, n = np.unique(pieces.keys(b, size), return_index=True, return_counts=True)
-                    words = [word[b[at] + i].tolist() for i in range(size)]
+                    _, at, n = np.unique(pieces.keys(b, size), return_index=True, return_counts=True)
+                    words = [name[b[at] + i].tolist() for i in range(size)]
                     for text, count, *own in zip(pieces.text[b[at]].tolist(), n.tolist(), *words):
                         found[langs[text], " ".join([strings[w] for w in own]), size] += count
                 for text, n in zip(*np.unique(pieces.text, return_counts=True)):
