@@ -63,9 +63,13 @@ def shard(key: Column, bits: int) -> Column:
     return F.shiftright(key, 64 - bits).cast("int")
 
 
-def dealt(rows: DataFrame, bits: int) -> DataFrame:
-    """rows (with shard) so that all of a shard are in one partition; later groups by shard and more need no exchange."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
+def dealt(rows: DataFrame, key: Column, bits: int) -> DataFrame:
+    """rows with the shard of their key, all of a shard in one partition; later groups by shard and more need no exchange.
+
+    The shard is made again behind the exchange, so it isn't moved.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, shard(key, bits)).withColumn("shard", shard(key, bits))
 
 
 @dataclass(frozen=True)
@@ -145,6 +149,6 @@ def written(rows: DataFrame, label: str, types: tuple[tuple[str, str], ...] = ()
     spark = rows.sparkSession
     arrays = Arrays(mounted(spark, label), sharded(spark), types)
     columns = ["shard", "key", *dict(types)]
-    keyed = dealt(rows.withColumn("shard", shard(F.col("key"), arrays.bits)).select(*columns), arrays.bits).sortWithinPartitions("shard", "key")
+    keyed = dealt(rows.select("key", *dict(types)), F.col("key"), arrays.bits).select(*columns).sortWithinPartitions("shard", "key")
     keyed.mapInArrow(arrays.writer(), keyed.schema).write.format("noop").mode("overwrite").save()
     return arrays
