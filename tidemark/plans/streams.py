@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.registry import query
+from tidemark.plans.sql import with_tech
 from tidemark.sources import driver as d
 from tidemark.sources import shared
 from tidemark.sources.driver import with_views
 from tidemark.streaming import bars as st
+from tidemark.streaming import indicators as si
 
 
 def _shared(spark: SparkSession) -> str:
@@ -17,10 +19,21 @@ def _shared(spark: SparkSession) -> str:
 
 
 def _landed(df: DataFrame, folder: str) -> DataFrame:
-    """df as files that land one after another, a year in each: a trigger reads one, so several triggers follow each other."""
-    for year in [r[0] for r in df.select(F.year("bar_ts").alias("y")).distinct().orderBy("y").collect()]:
-        df.filter(F.year("bar_ts") == year).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return st.landed(df.sparkSession, f"{folder}/in", df.schema)
+    """df as files that land one after another, a year in each: a trigger reads one, so several triggers follow each other.
+
+    One job writes all years, a task each; the files' times then follow their years.
+    """
+    spark = df.sparkSession
+    years = df.withColumn("year", F.year("bar_ts")).repartition("year")
+    years.write.partitionBy("year").parquet(f"{folder}/in")
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/in")
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for year in fs.listStatus(root):
+        name = year.getPath().getName()
+        if name.startswith("year=") and name[5:].isdigit():
+            for file in fs.listStatus(year.getPath()):
+                fs.setTimes(file.getPath(), 1000 * int(name[5:]), -1)
+    return st.landed(spark, f"{folder}/in", years.schema).drop("year")
 
 
 def _bars(spark, sf) -> DataFrame:
@@ -57,3 +70,17 @@ def stream_alerts(spark, sf):
     ticks = _bars(spark, sf).join(items, "symbol").select("item_id", F.col("target_price").alias("target"), "bar_ts", "close", F.coalesce(hit, F.lit(False)).alias("met"))
     out = st.run_to_end(st.alerts(_landed(ticks.filter("target is not null"), folder)), f"{folder}/state", f"{folder}/out")
     return out.select("item_id", F.col("fired_at").cast("timestamp_ntz").alias("fired_at"), "close")
+
+
+@query("stream_indicators", with_tech() + (
+    " select symbol, bar_date, round(rsi14, 6) as rsi14, round(atr14, 6) as atr14, round(adx14, 6) as adx14, round(macd, 6) as macd, round(macd_signal, 6) as macd_signal, "
+    "case when rn >= 50 then avg(close) over (partition by symbol order by bar_date rows between 49 preceding and current row) end as sma50, "
+    "case when rn >= 20 then max(high) over (partition by symbol order by bar_date rows between 19 preceding and current row) end as high20 from tech"
+))
+def stream_indicators(spark, sf):
+    """Indicators of bars that land year by year, from states of one size."""
+    folder = _shared(spark)
+    bars = _landed(_bars(spark, sf), folder).withColumn("bar_date", F.col("bar_ts").cast("date"))
+    with si.rocks(spark):
+        out = st.merged_to_end(si.indicators(bars), ["symbol", "bar_date"], f"{folder}/state", f"{folder}/out")
+    return out.select("symbol", "bar_date", *[F.round(c, 6).alias(c) for c in ("rsi14", "atr14", "adx14", "macd", "macd_signal")], "sma50", "high20")
