@@ -1,3 +1,3 @@
 """Queries by area; importing this package fills the registry."""
 
-from tidemark.plans import analysis, extra, flows, indicators, maintenance, market, store, strategies, streams, text, trading  # noqa: F401
+from tidemark.plans import analysis, extra, flows, histories, indicators, maintenance, market, store, strategies, streams, text, trading  # noqa: F401
