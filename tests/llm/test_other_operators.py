@@ -16,6 +16,14 @@ from tidemark.llm import chat, common, packing, queries, sharding, topk, url_fil
 # Top-k
 
 
+def test_of_repeated_query_ids_the_vector_of_least_hash_counts(spark):
+    rows = [(0, [1, 0]), (0, [0, 1]), (1, [3, 0]), (2, [0, 5])]
+    df = spark.createDataFrame(rows, "id long, v array<long>")
+    first = df.filter("id = 0").orderBy(F.xxhash64("v")).first().v
+    (best,) = topk.top_k(df.filter("id = 0"), df.filter("id > 0"), 1).collect()
+    assert (best.vec_id, best.score) == ((1, 3) if list(first) == [1, 0] else (2, 5))
+
+
 def brute_top_k(rows, k):
     v = [(i, [math.floor(64 * x) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
     out = []

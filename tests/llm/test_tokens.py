@@ -81,3 +81,10 @@ def test_cache_forgets_without_changing_results(monkeypatch):
     want = [of.encode(t) for t in TEXTS]
     monkeypatch.setattr(bpe, "CACHE", 3)
     assert [of.encode(t) for t in TEXTS * 2] == want * 2
+
+
+def test_encode_keeps_columns_with_the_names_of_helpers(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    df = spark.createDataFrame([(1, "a b", "own", "more")], "doc_id long, text string, __text string, ___text string")
+    (r,) = bpe.encode(df, path, public_tokenizers.PATTERN).collect()
+    assert (r["__text"], r["___text"]) == ("own", "more") and len(r.ids) == 2

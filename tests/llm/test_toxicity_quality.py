@@ -6,6 +6,7 @@ from math import comb
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import quality, toxicity
 
@@ -250,3 +251,11 @@ def test_quality_edges(spark):
     assert len(got) == 4 and sum(r.kept for r in got) == 1
     assert quality.keep(docs, labels).columns == docs.columns and quality.keep(docs, labels).first().n_words == 8
     assert quality.judge(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_columns_with_the_names_of_helpers_stay(spark, tables):
+    docs, labels = tables
+    odd = {c: F.lit(i) for i, c in enumerate(("__text", "__level", "__stratum", "__symbols", "__badness"))}
+    got = quality.judge(docs.withColumns(odd), labels)
+    assert {r.doc_id: r.kept for r in got.collect()} == {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()}
+    assert [got.first()[c] for c in odd] == list(range(5))

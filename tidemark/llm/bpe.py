@@ -179,14 +179,15 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     """
     common.tune(df.sparkSession)
     kept = [c for c in df.columns if c not in (text, out)]
-    src = df.select(*kept, F.col(text).alias("__text"))
-    schema = src.drop("__text").schema.add(out, ArrayType(IntegerType()))
+    own = common.fresh(df, "__text")
+    src = df.select(*kept, F.col(text).alias(own))
+    schema = src.drop(own).schema.add(out, ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = codec(path, pattern)
         for batch in batches:
             flat, ends = [], [0]
-            for t in common.texts_of(batch, "__text"):
+            for t in common.texts_of(batch, own):
                 flat += of.encode(t)
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.int32)))

@@ -96,15 +96,16 @@ def measure(documents: DataFrame, text: str = "text") -> DataFrame:
     """documents without its text column, with the COUNTS and text_hash (long); columns of these names are replaced."""
     common.tune(documents.sparkSession)
     kept = [c for c in documents.columns if c not in (text, "text_hash", *COUNTS)]
-    src = documents.select(*kept, F.xxhash64(text).alias("text_hash"), F.col(text).alias("__text"))
+    own = common.fresh(documents, "__text")
+    src = documents.select(*kept, F.xxhash64(text).alias("text_hash"), F.col(text).alias(own))
     kept.append("text_hash")
-    schema = StructType(list(src.drop("__text").schema))
+    schema = StructType(list(src.drop(own).schema))
     for c in COUNTS:
         schema = schema.add(c, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = counts(common.texts_of(batch, "__text"))
+            found = counts(common.texts_of(batch, own))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(found[c]) for c in COUNTS)], names=[*kept, *COUNTS])
 
     return src.mapInArrow(run, schema)
@@ -197,15 +198,18 @@ class Rules:
 
     def apply(self, measured: DataFrame, stratum: str = "lang") -> DataFrame:
         """measured with badness (double, 0 to 1), cutoff (double or null), base_failed, kept."""
-        named = signals()
-        binned = measured.withColumns({f"__{s}": _bin(x, BINS) for s, x in named.items()}).withColumn("badness", _badness(self.table, self.total, list(named), "__"))
-        limits = self.chosen.select(F.col("stratum").alias("__stratum"), (F.col("at") / CUTOFFS).alias("cutoff"))
+        named, prefix = signals(), "__"
+        while {c.lower() for c in measured.columns} & {prefix + s for s in named}:
+            prefix += "_"
+        level, name = common.fresh(measured, "__level"), common.fresh(measured, "__stratum")
+        binned = measured.withColumns({prefix + s: _bin(x, BINS) for s, x in named.items()}).withColumn("badness", _badness(self.table, self.total, list(named), prefix))
+        limits = self.chosen.select(F.col("stratum").alias(name), (F.col("at") / CUTOFFS).alias("cutoff"))
         if limits.count() <= BROADCAST:
             limits = F.broadcast(limits)
-        joined = binned.withColumn("__level", _level(stratum)).join(limits, F.col("__level") == F.col("__stratum"), "left")
+        joined = binned.withColumn(level, _level(stratum)).join(limits, F.col(level) == F.col(name), "left")
         below = F.col("cutoff").isNull() | (_bin(F.col("badness"), CUTOFFS) < F.round(F.col("cutoff") * CUTOFFS))
         out = joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & below)
-        return out.drop("__level", "__stratum", *[f"__{s}" for s in named])
+        return out.drop(level, name, *[prefix + s for s in named])
 
 
 def _level(stratum: str) -> Column:

@@ -36,7 +36,10 @@ def quantized(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
 
 
 def _packed(df: DataFrame, rows: int, block: str) -> DataFrame:
-    """Blocks of about `rows` vectors of one length: dim, block, ids, values (long, little-endian)."""
+    """Blocks of about `rows` vectors of one length: dim, block, ids, values (long, little-endian).
+
+    df's rows must come in the same order whenever a task runs again: a written table or a scan of files.
+    """
     n = max(1, -(-df.count() // rows))
 
     def pack(group: pa.Table) -> pa.Table:
@@ -121,13 +124,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
 
     Both sides have id long, v array<long> (see quantized). A candidate with the query's own id takes no
     part; ties go to the smaller id; a query with fewer than k candidates returns all of them. Vectors
-    meet only vectors of their own length. Query ids are taken once each (repeated query rows count as
-    one); repeated candidate rows return as often as they come. Empty sides return no rows. Scores beyond
+    meet only vectors of their own length. Query ids are taken once each: of several rows of one query id
+    that whose vector has the least hash. candidates is a written table or a scan of files; repeated candidate rows return as often as they come. Empty sides return no rows. Scores beyond
     64 bits are outside the contract.
     """
     spark = queries.sparkSession
     common.tune(spark)
-    queries = queries.groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    # Written before it is dealt out: rows of a shuffle may come in another order when a task runs again.
+    queries = common.materialize(queries.groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v")), "asked")
     c = common.materialize(_packed(candidates, CANDIDATES, "cb"), "candidates").select("dim", "cb", F.col("ids").alias("c_ids"), F.col("kind").alias("c_kind"), F.col("values").alias("c_values"))
     q = common.materialize(_packed(queries, QUERIES, "qb"), "queries").select("dim", "qb", F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("values").alias("q_values"))
     members = common.materialize(_members(q), "query-states")
