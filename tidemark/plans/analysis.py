@@ -207,13 +207,14 @@ def bs_d1_d2(spark, sf):
     return _grid(spark, sf).select("trade_id", F.round(a, 9).alias("d1"), F.round(a - F.col("v") * F.sqrt("t"), 9).alias("d2"))
 
 
-@query("norm_cdf", (
-    f"with x as (select cast(i as bigint) as i, i / 20.0::double as x, (i + 161) / 322.0::double as p from range(-160, 161) t(i)) "
-    f"select i, round({o.cdf_sql('x')}, 12) as cdf, round({o.ppf_sql('p')}, 9) as ppf from x"
+@query("norm_cdf", d.with_views("trades") + (
+    f", g as ({GRID}), x as (select trade_id, {D1} as x, (trade_id % 997 + 1) / 998.0::double as p from g) "
+    f"select trade_id, round({o.cdf_sql('x')}, 9) as cdf, round({o.ppf_sql('p')}, 9) as ppf from x"
 ))
 def norm_cdf(spark, sf):
-    x = spark.range(-160, 161).select(F.col("id").alias("i"), (F.col("id") / F.lit(20.0)).alias("x"), ((F.col("id") + 161) / F.lit(322.0)).alias("p"))
-    return x.select("i", F.round(o.norm_cdf(F.col("x")), 12).alias("cdf"), F.round(o.norm_ppf(F.col("p")), 9).alias("ppf"))
+    """The chance of each option's d1, and the quantile of a share that its trade's number gives."""
+    x = _grid(spark, sf).select("trade_id", o.d1(*_args()).alias("x"), ((F.col("trade_id") % 997 + 1) / F.lit(998.0)).alias("p"))
+    return x.select("trade_id", F.round(o.norm_cdf(F.col("x")), 9).alias("cdf"), F.round(o.norm_ppf(F.col("p")), 9).alias("ppf"))
 
 
 BS = d.with_views("trades") + (

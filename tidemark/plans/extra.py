@@ -81,26 +81,26 @@ def insert_returning(spark, sf):
     return new.join(F.broadcast(top)).select("list_name", "symbol", (F.col("top") + F.col("n")).alias("item_id"))
 
 
-PARAMS = {"rsi2_meanrev": {"rsi_period": 2, "rsi_threshold": 10, "trend_sma": 200}, "momentum_52w_high": {"closeness_min": 0.95, "high_window": 252}}
-
-
-def params_hash(params: dict) -> str:
-    """SHA-256 of the parameters as JSON with sorted keys."""
-    return hashlib.sha256(json.dumps(params, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-
-
-@query("project_params_hash", " union all ".join(f"select '{n}' as strategy, sha256('{json.dumps(x, sort_keys=True, separators=(',', ':'))}') as hash" for n, x in PARAMS.items()))
+@query("project_params_hash", with_views("trades") + (
+    """ select trade_id, sha256('{"qty":' || qty || ',"side":"' || side || '","symbol":"' || symbol || '"}') as hash from trades"""
+))
 def project_params_hash(spark, sf):
-    return spark.createDataFrame([(n, params_hash(x)) for n, x in PARAMS.items()], "strategy string, hash string")
+    """The hash of each trade's parameters: of the JSON of its fields in the order of their names."""
+    return d.trades(spark, sf).select("trade_id", F.sha2(F.to_json(F.struct(*sorted(["symbol", "side", "qty"]))), 256).alias("hash"))
 
 
-@query("strategy_registry", (
-    "select * from (values ('rsi2_meanrev', '1.0.0', 220, 0.01::double), ('largecap_rebound', '1.0.0', 283, 0.01::double), ('momentum_52w_high', '1.0.0', "
-    "257, 0.0075::double), ('donchian_trend', '1.3.0', 215, 0.0075::double), ('reversal_swing', '1.5.0', 230, 0.01::double)) t(name, version, history, "
-    "risk)"
+@query("strategy_registry", with_views("bars") + (
+    ", h as (select symbol, count(*) as n from bars group by 1) select t.*, (select count(*) from h where h.n > t.history) as n_symbols "
+    "from (values ('rsi2_meanrev', '1.0.0', 220, 0.01::double), ('largecap_rebound', '1.0.0', 283, 0.01::double), ('momentum_52w_high', '1.0.0', "
+    "257, 0.0075::double), ('donchian_trend', '1.3.0', 215, 0.0075::double), ('reversal_swing', '1.5.0', 230, 0.01::double)) t(name, version, history, risk)"
 ))
 def strategy_registry(spark, sf):
-    return spark.createDataFrame([(x.name, x.version, x.history, x.risk) for x in s.REGISTRY.values()], "name string, version string, history int, risk double")
+    """The strategies, each with the number of symbols whose history is long enough for it."""
+    known = spark.createDataFrame([(x.name, x.version, x.history, x.risk) for x in s.REGISTRY.values()], "name string, version string, history int, risk double")
+    long = d.bars(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    enough = [F.count_if(F.col("n") > x.history).alias(x.name) for x in s.REGISTRY.values()]
+    counted = long.agg(*enough).select(F.explode(F.create_map(*[y for x in s.REGISTRY for y in (F.lit(x), F.col(x))])).alias("name", "n_symbols"))
+    return known.join(F.broadcast(counted), "name")  # a row for each strategy
 
 
 # The benchmark's structure

@@ -66,10 +66,12 @@ def _yz_components(spark, sf):
     return _with(spark, sf, {n: F.round(c, 8) for n, c in ta.yang_zhang_parts().items()})
 
 
-@query("yz_k", "select cast(n as bigint) as n, round(case when n <= 1 then 0 else 0.34::double / (1.34::double + (n + 1) / (n - 1)::double) end, 12) as k from range(1, 64) t(n)")
+@query("yz_k", with_bars() + " select symbol, count(*) as n, round(case when count(*) <= 1 then 0 else 0.34::double / (1.34::double + (count(*) + 1) / (count(*) - 1)::double) end, 12) as k from bars group by 1")
 def _yz_k(spark, sf):
+    """The weight of a window as long as each symbol's history."""
     n = F.col("n")
-    return spark.range(1, 64).withColumnRenamed("id", "n").select("n", F.round(F.when(n <= 1, 0.0).otherwise(0.34 / (1.34 + F.try_divide(n + 1, n - 1))), 12).alias("k"))
+    sizes = bars(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select("symbol", "n", F.round(F.when(n <= 1, 0.0).otherwise(0.34 / (1.34 + F.try_divide(n + 1, n - 1))), 12).alias("k"))
 
 
 @query("yang_zhang", with_bars() + _YZ + (

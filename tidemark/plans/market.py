@@ -344,13 +344,14 @@ def turn_of_month(spark, sf):
     return d.bars(spark, sf).select(F.col("bar_date").alias("day")).distinct().select("day", m.turn_of_month(F.col("day")).alias("inside"))
 
 
-@query("santa_claus", with_views("bars") + """, wd as (select cast(x as date) as day from range(timestamp '1995-01-01', timestamp '2002-01-01', interval 1 day) r(x) where isodow(x) <= 5
-and not (month(x) = 12 and day(x) = 25) and not (month(x) = 1 and day(x) = 1)),
+@query("santa_claus", with_views("bars") + """, wd as (select distinct bar_date as day from bars where isodow(bar_date) <= 5
+and not (month(bar_date) = 12 and day(bar_date) = 25) and not (month(bar_date) = 1 and day(bar_date) = 1)),
 k as (select day, case when month(day) = 12 then row_number() over (partition by year(day), month(day) order by day desc) <= 5
 when month(day) = 1 then row_number() over (partition by year(day), month(day) order by day) <= 2 else false end as inside from wd) select day from k
 where inside""")
 def santa_claus(spark, sf):
-    days = spark.sql("select explode(sequence(date'1995-01-01', date'2001-12-31')) as day")
+    """The last five weekdays with bars of each December and the first two of each January."""
+    days = d.bars(spark, sf).select(F.col("bar_date").alias("day")).distinct()
     fixed = ((F.month("day") == 12) & (F.dayofmonth("day") == 25)) | ((F.month("day") == 1) & (F.dayofmonth("day") == 1))
     weekdays = days.filter((F.weekday("day") < 5) & ~fixed).filter(F.month("day").isin(1, 12))
     w = Window.partitionBy(F.year("day"), F.month("day"))

@@ -9,7 +9,7 @@ from tidemark.functions import ta
 from tidemark.operators import primitives as p
 from tidemark.operators import store
 from tidemark.operators import strategies as s
-from tidemark.plans.market import LABELS, PIVOTS, REGIME, REVERSAL, RS, VOLUME, clip, frame, regime
+from tidemark.plans.market import LABELS, PIVOTS, REGIME, REVERSAL, RS, VOLUME, clip, frame, market_labels, regime
 from tidemark.plans.registry import query
 from tidemark.plans.sql import with_tech
 from tidemark.sources import driver as d
@@ -176,13 +176,15 @@ def exit_columns(df):
     })
 
 
-@query("affinity_for", (
-    "select * from (values ('donchian_trend', 'choppy', 0.25::double), ('donchian_trend', 'other', 1.0::double), ('rsi2_meanrev', 'choppy', 1.0::double), "
-    "('rsi2_meanrev', 'other', 1.0::double)) t(strategy, label, affinity)"
+@query("affinity_for", with_views("bars") + ", " + LABELS + (
+    " select strategy, bar_date, case when strategy = 'donchian_trend' and label = 'choppy' then 0.25::double else 1.0::double end as affinity "
+    "from lb, (values ('donchian_trend'), ('rsi2_meanrev')) t(strategy) where mrn >= 230 and label in ('choppy', 'trending_up')"
 ))
 def affinity_for(spark, sf):
-    rows = [(n, label, s.affinity_for(s.REGISTRY[n], label)) for n in ("donchian_trend", "rsi2_meanrev") for label in ("choppy", "other")]
-    return spark.createDataFrame(rows, "strategy string, label string, affinity double")
+    """How much of its size a strategy gets on each day of two labels."""
+    days = market_labels(spark, sf).filter(F.col("label").isin("choppy", "trending_up"))
+    of = F.array(*[F.struct(F.lit(n).alias("strategy"), F.when(F.col("label") == "choppy", s.affinity_for(s.REGISTRY[n], "choppy")).otherwise(s.affinity_for(s.REGISTRY[n], "trending_up")).alias("affinity")) for n in ("donchian_trend", "rsi2_meanrev")])
+    return days.select("bar_date", F.inline(of)).select("strategy", "bar_date", "affinity")
 
 
 SIZE = """qty_raw as (select *, cast(round(entry * 10000) as bigint) as e, cast(round(stop * 10000) as bigint) as st from src),
