@@ -54,7 +54,6 @@ def made(seed, texts=120, words=12):
 @pytest.mark.parametrize("seed", range(2))
 def test_collocations_equal_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(phrases, "READ", 500)
-    monkeypatch.setattr(phrases, "PHRASES", 40)
     monkeypatch.setattr(phrases, "TOGETHER", 200)
     rows = made(seed)
     want = brute(rows, least=4)

@@ -133,7 +133,8 @@ class Lowered(Texts):
         return self.spans(~self.gap)
 
     def strings(self, starts: np.ndarray, ends: np.ndarray) -> list[str]:
-        return [self.codes[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist())]
+        whole = self.codes.tobytes().decode("utf-32-le", "surrogatepass")  # a character for each code
+        return [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
 @lru_cache(maxsize=8)

@@ -7,8 +7,8 @@ what is counted (two grams of one hash are both counted), the counts themselves
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ from tidemark.llm import arrays, common, grams
 GAPS, STOPS = "\x20\x09", ".,;:!?\x0a\x0b\x0c\x0d"
 #: The language of texts without one.
 NO_LANG = "und"
-#: Grams, or distinct phrases, that a task puts together before it hands their counts on.
-TOGETHER, PHRASES = 4_000_000, 200_000
+#: Grams that a task puts together before it hands their counts on.
+TOGETHER = 4_000_000
 #: Characters that are read together: the more, the fewer times a phrase is put into words.
 READ = 4_000_000
 #: Parts by which the first phrases of a language are found.
@@ -56,6 +56,7 @@ class Pieces:
         return arrays.hashed(self.langs[begins], *[self.words[begins + i] for i in range(size)])
 
 
+@lru_cache(maxsize=4096)
 def _language(lang: str) -> int:
     """A number for a language."""
     return int(arrays.hashed(np.frombuffer(lang.encode().ljust(8 * (len(lang.encode()) // 8 + 1), b"\0"), np.int64)).sum())
@@ -68,25 +69,19 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[Pieces, list[str]]]:
         yield Pieces(texts, [_language(lang) for lang in langs]), langs
 
 
-def _frequent(pieces: Pieces, known: list[arrays.Arrays], smallest: int = 1) -> list[np.ndarray]:
-    """First words of the grams of `smallest` and more words that `known` has, each in the grams of one word less on both sides.
-
-    The first of `known` has single words and pairs, each other one grams of one word more. Without any, all words.
-    """
-    if not known:
-        return [np.arange(len(pieces.words))]
-    out: list[np.ndarray] = []
-    for size in range(smallest, len(known) + 2):
-        begins = pieces.grams(size, out[-1] if size > 2 else None)
-        if len(begins):
-            keys, same = np.unique(pieces.keys(begins, size), return_inverse=True)
-            begins = begins[known[max(size - 2, 0)].find(keys)[0][same]]
+def _frequent(pieces: Pieces, known: list[arrays.Arrays]) -> list[np.ndarray]:
+    """First words of the grams of 2, 3, ... words that `known` has, each in the grams of one word less on both sides."""
+    out, begins = [], None
+    for size, found in enumerate(known, 2):
+        begins = pieces.grams(size, begins)
+        keys, same = np.unique(pieces.keys(begins, size), return_inverse=True)
+        begins = begins[found.find(keys)[0][same]] if len(begins) else begins
         out.append(begins)
     return out
 
 
 def _hashes(known: list[arrays.Arrays]):
-    """Hashes and counts of the grams of one word more than the last of `known`; first of single words and pairs."""
+    """Hashes and counts of the grams of one word more than the last of `known`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -98,11 +93,9 @@ def _hashes(known: list[arrays.Arrays]):
 
         for batch in batches:
             for pieces, _ in _read(batch):
-                if known:
-                    begins = _frequent(pieces, known, 2)[-1]
-                    held.append(pieces.keys(pieces.grams(len(known) + 2, begins), len(known) + 2))
-                else:
-                    held += [pieces.keys(pieces.grams(size), size) for size in (1, 2)]
+                begins = _frequent(pieces, known)[-1] if known else None
+                size = len(known) + 2
+                held.append(pieces.keys(pieces.grams(size, begins), size))
             if sum(map(len, held)) > TOGETHER:
                 yield flush()
         if held:
@@ -112,37 +105,25 @@ def _hashes(known: list[arrays.Arrays]):
 
 
 def _phrases(known: list[arrays.Arrays], longest: int):
-    """Rows (lang, phrase, size, n): the frequent grams, those of `longest` words whose parts are frequent; size 0 sums up all words."""
+    """Rows (lang, phrase, size, n): all words, the frequent grams, those of `longest` words whose parts are frequent; size 0 sums up all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def flush():
-            names = [pa.array([k[i] for k in found], t) for i, t in ((0, pa.string()), (1, pa.string()), (2, pa.int32()))]
-            out = pa.RecordBatch.from_arrays([*names, pa.array(list(found.values()), pa.int64())], names=["lang", "phrase", "size", "n"])
-            found.clear()
-            return out
-
         for batch in batches:
             for pieces, langs in _read(batch):
-                begins = _frequent(pieces, known)
-                begins.append(pieces.grams(longest, begins[-1] if known else None))
-                used = np.unique(begins[0])
-                _, first, word = np.unique(pieces.words[used], return_index=True, return_inverse=True)
-                first = used[first]
+                _, first, word = np.unique(pieces.words, return_index=True, return_inverse=True)
                 strings = pieces.lowered.strings(pieces.starts[first], pieces.ends[first])
-                name = np.zeros(len(pieces.words), np.int64)
-                name[used] = word
+                begins = [np.arange(len(word)), *_frequent(pieces, known)]
+                begins.append(pieces.grams(longest, begins[-1] if known else None))
                 for size, b in enumerate(begins, 1):
                     _, at, n = np.unique(pieces.keys(b, size), return_index=True, return_counts=True)
-                    words = [name[b[at] + i].tolist() for i in range(size)]
-                    for text, count, *own in zip(pieces.text[b[at]].tolist(), n.tolist(), *words):
-                        found[langs[text], " ".join([strings[w] for w in own]), size] += count
-                for text, n in zip(*np.unique(pieces.text, return_counts=True)):
-                    found[langs[text], "", 0] += int(n)
-                if len(found) > PHRASES:
-                    yield flush()
-        yield flush()
+                    parts = [map(strings.__getitem__, word[b[at] + i].tolist()) for i in range(size)]
+                    yield rows(langs, pieces.text[b[at]], list(map(" ".join, zip(*parts))), size, n)
+                text, n = np.unique(pieces.text, return_counts=True)
+                yield rows(langs, text, [""] * len(text), 0, n)
+
+    def rows(langs: list[str], text: np.ndarray, phrase: list[str], size: int, n: np.ndarray) -> pa.RecordBatch:
+        named = pa.array(list(map(langs.__getitem__, text.tolist())), pa.string())
+        return pa.RecordBatch.from_arrays([named, pa.array(phrase, pa.string()), pa.array(np.full(len(text), size, np.int32)), pa.array(n)], names=["lang", "phrase", "size", "n"])
 
     return run
 
