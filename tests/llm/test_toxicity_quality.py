@@ -179,7 +179,7 @@ def test_cutoffs_need_enough_good_texts():
 
 
 def test_strata_that_can_pass_are_counted(spark):
-    for sizes in ([], [100], [149], [400, 300, 217, 210], [183, 183, 183], [149] * 5, [1000] * 3 + [20] * 50, [150, 148]):
+    for sizes in ([], [100], [149], [400, 300, 217, 210], [183, 183, 183], [149] * 5, [1000] * 3 + [20] * 50, [150, 148], [10**6, 40_000, 300]):
         most = quality.tested(sizes)
         assert all(0.98 ** sorted(sizes)[-most] <= 0.05 / most for _ in range(1 if most else 0))
         df = spark.createDataFrame([(str(i), n) for i, n in enumerate(sizes)], "stratum string, n long")

@@ -250,7 +250,8 @@ def _tested(sizes: DataFrame, risk: float, delta: float) -> int:
     before, most = 0, 0
     for n, k in counts.toLocalIterator():
         # Of k strata of one size the first j pass together with all larger ones while n suffices for before + j.
-        most = max(most, min(before + k, int(delta * (1 - risk) ** -n)) if n >= least_good(before + 1, risk, delta) else 0)
+        fit = int(delta * math.exp(min(-n * math.log1p(-risk), 60.0)))
+        most = max(most, min(before + k, fit) if fit > before else 0)
         before += k
     return most
 
