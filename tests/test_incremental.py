@@ -237,3 +237,13 @@ def test_training_labels_end_before_the_newer_rows(spark):
     older, newer = models.split(df, "bar_date", 0.2, "reach")
     cut = newer.agg(F.min("bar_date")).first()[0]
     assert older.agg(F.max("reach")).first()[0] < cut and older.agg(F.max("bar_date")).first()[0] == cut - timedelta(days=21)
+
+
+def test_bars_are_made_again_of_changed_files(spark, tmp_path):
+    from tidemark.sources import driver
+
+    lines = lambda q: spark.createDataFrame([(1, 1, 1, 5, q, date(2000, 1, 3))], "l_orderkey long, l_suppkey long, l_linenumber int, l_partkey long, l_quantity double, l_shipdate date")
+    for q in (3.0, 4.0):
+        lines(q).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        for _ in range(2):
+            assert [r.volume for r in driver.bars(spark, str(tmp_path)).collect()] == [1000 * int(q)]

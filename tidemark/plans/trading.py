@@ -239,7 +239,7 @@ _WRITTEN: dict[tuple, object] = {}
 
 def _positions(spark, sf, runs):
     """What the positions of some runs read, from one pass over the bars: written once for an application, folder and runs."""
-    key = (spark.sparkContext.applicationId, sf, tuple(runs))
+    key = (*shared.stamp(spark, sf), tuple(runs))
     if key not in _WRITTEN:
         _WRITTEN[key] = shared.written(_made_positions(spark, sf, runs), "positions")
     return _WRITTEN[key]
@@ -349,7 +349,7 @@ _MODELS: dict[tuple, object] = {}
 
 def _model(spark, sf, kind: str, rows, reach: str = "reach"):
     """The model of the older four fifths of the dates of labelled rows, fitted once for an application and folder; None of too few rows."""
-    key = (spark.sparkContext.applicationId, sf, kind)
+    key = (*shared.stamp(spark, sf), kind)
     if key not in _MODELS:
         older, _ = models.split(rows.filter("label is not null"), "bar_date", 0.2, reach)
         try:

@@ -44,16 +44,16 @@ def made_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_BARS: dict[tuple[str, str], str] = {}
+_BARS: dict[tuple, str] = {}
 _LOCK = threading.Lock()
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """made_bars() as a table: written once for an application and folder, bucketed and sorted by symbol.
+    """made_bars() as a table: written once for an application and the files of a folder, bucketed and sorted by symbol.
 
     Windows and groups by symbol need no exchange then, and filters on symbols, days and prices reach the files.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = shared.stamp(spark, sf_dir)
     with _LOCK:
         if key not in _BARS:
             path, name = shared.folder(spark, "bars"), f"tidemark_bars_{uuid.uuid4().hex}"

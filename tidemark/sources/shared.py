@@ -31,3 +31,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells an application's tables of a folder apart: the application, the folder, and its files' names, sizes and times.
+
+    What is made once for a folder is kept under it, so changed files are read again.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    seen = []
+    for f in fs.listStatus(root):
+        parts = fs.listStatus(f.getPath()) if f.isDirectory() else [f]
+        seen += [(f.getPath().getName(), x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in parts]
+    return spark.sparkContext.applicationId, sf_dir, tuple(sorted(seen))
