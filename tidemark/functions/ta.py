@@ -125,30 +125,42 @@ def yang_zhang_ewm(o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.ndarray,
     return np.sqrt(np.maximum(var.to_numpy(), 0) * DAYS)
 
 
-#: name -> function of the bars' arrays (o, h, low, c); macd makes three columns.
+def median_before(x: np.ndarray, n: int, skip: int) -> np.ndarray:
+    """The median of the n values that end `skip` before each one (fewer at the start), by a skip list: O(log n) a value."""
+    return pd.Series(x).rolling(n, min_periods=1).median().shift(skip).to_numpy()
+
+
+#: Bars after the base of volumes and spreads: the ones that are compared with it.
+RECENT = 5
+
+
+#: name -> function of the bars' arrays (o, h, low, c, v); macd makes three columns.
 def _named(name: str):
     kind, n = name.rstrip("0123456789"), int("".join(ch for ch in name if ch.isdigit()) or 0)
     return {
-        "ema": lambda o, h, low, c: ema(c, n),
-        "rsi": lambda o, h, low, c: rsi(c, n),
-        "atr": lambda o, h, low, c: atr(h, low, c, n),
-        "adx": lambda o, h, low, c: adx(h, low, c, n),
-        "yz_ewm": lambda o, h, low, c: yang_zhang_ewm(o, h, low, c),
-        "macd": lambda o, h, low, c: macd(c)[0],
-        "macd_signal": lambda o, h, low, c: macd(c)[1],
+        "ema": lambda o, h, low, c, v: ema(c, n),
+        "rsi": lambda o, h, low, c, v: rsi(c, n),
+        "atr": lambda o, h, low, c, v: atr(h, low, c, n),
+        "adx": lambda o, h, low, c, v: adx(h, low, c, n),
+        "yz_ewm": lambda o, h, low, c, v: yang_zhang_ewm(o, h, low, c),
+        "macd": lambda o, h, low, c, v: macd(c)[0],
+        "macd_signal": lambda o, h, low, c, v: macd(c)[1],
+        "volume_median": lambda o, h, low, c, v: median_before(v, n, RECENT),
+        "spread_median": lambda o, h, low, c, v: median_before(h - low, n, RECENT),
     }[kind]
 
 
 def with_recursive(bars: DataFrame, names: list[str], key: str = "symbol", order: str = "bar_date") -> DataFrame:
     """bars (symbol, bar_date, open, high, low, close, ...) with recursive columns such as ema12, rsi14,
-    atr14, adx14, macd, macd_signal, yz_ewm, over each symbol's whole history; one shuffle for all of them."""
+    atr14, adx14, macd, macd_signal, yz_ewm, over each symbol's whole history, and the medians volume_median50 and
+    spread_median50 of the bars before the last RECENT; one shuffle for all of them."""
     schema = StructType([*bars.schema.fields])
     for n in names:
         schema = schema.add(n, DoubleType())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, ignore_index=True)
-        arrays = [pdf[c].to_numpy(dtype=float) for c in ("open", "high", "low", "close")]
+        arrays = [pdf[c].to_numpy(dtype=float) if c in pdf else None for c in ("open", "high", "low", "close", "volume")]
         for n in names:
             pdf[n] = pd.Series(_named(n)(*arrays)).astype(object).where(lambda s: s.notna(), None).astype("Float64")
         return pdf

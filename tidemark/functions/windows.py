@@ -54,10 +54,3 @@ def _ranked(c: str, n: int, w: WindowSpec | None, of) -> Column:
     below = F.size(F.filter(values, lambda v: v < F.col(c))).cast("double")
     equal = F.size(F.filter(values, lambda v: v == F.col(c))).cast("double")
     return F.when((F.size(values) == n) & F.col(c).isNotNull(), of(below, equal))
-
-
-def median_of(values: Column) -> Column:
-    """The median of an array without nulls."""
-    s, n = F.array_sort(values), F.size(values)
-    at = lambda i: F.get(s, i)
-    return F.when(n % 2 == 1, at(F.floor(n / 2).cast("int"))).otherwise((at((F.floor(n / 2) - 1).cast("int")) + at(F.floor(n / 2).cast("int"))) / 2)

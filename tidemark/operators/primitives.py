@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import before, by_symbol, clip, lag, last, median_of, sma
+from tidemark.functions import ta
+from tidemark.functions.windows import by_symbol, clip, lag, last, sma
 from tidemark.operators.store import as_of
 
 
@@ -59,15 +60,19 @@ def pivot_proximity(bars: DataFrame, k: int = 3, look: int = 60, reach: float =
     return out.withColumns({"support": F.when(ready, F.col("support")), "resistance": F.when(ready, F.col("resistance")), "pivot_raw": clip(F.col("near_sup") - F.col("near_res"))}).drop("__low", "__high", "__lows", "__highs", "__l3", "__h3")
 
 
-def volume_confirm(bars: DataFrame, base: int = 50, scan: int = 5, spike: float = 1.5, floor: float = 0.75) -> DataFrame:
+def volume_confirm(bars: DataFrame, base: int = 50, spike: float = 1.5, floor: float = 0.75) -> DataFrame:
     """bars (with rn) with volume_score in [0, 1] and volume_multiplier in [floor, 1].
 
-    The baseline of a row is the median volume and spread of the `base` bars before its last `scan` bars;
-    the strongest rejection among those bars counts.
+    The baseline of a row is the median volume and spread of the `base` bars before its last ta.RECENT bars;
+    the strongest rejection among those bars counts. The medians are made with the recursive indicators where bars
+    don't have them already (volume_median50, spread_median50).
     """
+    names = {"__v": f"volume_median{base}", "__s": f"spread_median{base}"}
+    missing = [n for n in names.values() if n not in bars.columns]
+    bars = ta.with_recursive(bars, missing) if missing else bars
     bar = F.struct("high", "low", "close", "volume", lag("close").alias("pc"))
-    df = bars.withColumn("__bar", bar).withColumn("__spread", F.col("high") - F.col("low"))
-    df = df.withColumns({"__recent": F.collect_list("__bar").over(last(scan)), "__v": median_of(F.collect_list("volume").over(before(base, scan))), "__s": median_of(F.collect_list("__spread").over(before(base, scan)))})
+    df = bars.withColumn("__bar", bar).withColumns({k: F.col(n) for k, n in names.items()})
+    df = df.withColumn("__recent", F.collect_list("__bar").over(last(ta.RECENT)))
 
     def rejection(b: Column) -> Column:
         rng = b["high"] - b["low"]
@@ -79,9 +84,9 @@ def volume_confirm(bars: DataFrame, base: int = 50, scan: int = 5, spike: float
         turned = F.when((b["close"] < b["pc"]) & (clv > 0), clv).when((b["close"] > b["pc"]) & (clv < 0), -clv).otherwise(0.0)
         return F.when((rng > 0) & (rvol >= 1), strength * turned * weight).otherwise(0.0)
 
-    ready = (F.col("rn") >= base + scan + 1) & (F.col("__v") > 0) & (F.col("__s") > 0)
+    ready = (F.col("rn") >= base + ta.RECENT + 1) & (F.col("__v") > 0) & (F.col("__s") > 0)
     score = F.when(ready, F.array_max(F.transform("__recent", rejection)))
-    return df.withColumn("volume_score", score).withColumn("volume_multiplier", floor + (1 - floor) * clip(F.col("volume_score"), 0.0)).drop("__bar", "__spread", "__recent", "__v", "__s")
+    return df.withColumn("volume_score", score).withColumn("volume_multiplier", floor + (1 - floor) * clip(F.col("volume_score"), 0.0)).drop("__bar", "__recent", "__v", "__s", *missing)
 
 
 def relative_strength(bars: DataFrame, series: DataFrame | None, keys: list[str], look: int = 63) -> DataFrame:

@@ -12,7 +12,7 @@ from tidemark.functions import ta
 from tidemark.functions.windows import before, by_symbol, clip, full, lag, last, sma
 from tidemark.operators import primitives as p
 
-RECURSIVE = ["rsi2", "rsi14", "atr14", "atr20", "atr22", "adx14", "macd", "macd_signal"]
+RECURSIVE = ["rsi2", "rsi14", "atr14", "atr20", "atr22", "adx14", "macd", "macd_signal", "volume_median50", "spread_median50"]
 
 
 def features(bars: DataFrame, names: Iterable[str] = RECURSIVE) -> DataFrame:
@@ -164,7 +164,7 @@ register(Strategy("rsi2_meanrev", "1.0.0", 220, mark_rsi2, ("rsi2", "atr14"), {"
 register(Strategy("largecap_rebound", "1.0.0", 283, mark_largecap, ("rsi14", "adx14", "macd", "macd_signal", "atr14"), {"trending_up": 1.0, "trending_down": 0.0, "choppy": 0.4, "transitioning": 0.7}, exits=("hard", "rule"), rule=_rolled_over))
 register(Strategy("momentum_52w_high", "1.0.0", 257, mark_momentum, ("atr20",), {"trending_up": 1.0, "trending_down": 0.0, "choppy": 0.4, "transitioning": 0.7}, 0.0075, ratchet=True))
 register(Strategy("donchian_trend", "1.3.0", 215, mark_donchian, ("rsi14", "atr14", "atr20", "atr22"), {"trending_up": 1.0, "trending_down": 1.0, "choppy": 0.25, "transitioning": 0.5}, 0.0075, exits=("rule",), rule=_left_channel, ratchet=True))
-register(Strategy("reversal_swing", "1.5.0", 230, mark_reversal, ("rsi2", "atr14"), {"trending_up": 1.0, "trending_down": 0.5, "choppy": 1.0, "transitioning": 0.7}, exits=("time", "hard"), hold=30))
+register(Strategy("reversal_swing", "1.5.0", 230, mark_reversal, ("rsi2", "atr14", "volume_median50", "spread_median50"), {"trending_up": 1.0, "trending_down": 0.5, "choppy": 1.0, "transitioning": 0.7}, exits=("time", "hard"), hold=30))
 
 
 def previous_breakout(df: DataFrame, n: int = 20, exit_n: int = 10, hold: int = 60) -> DataFrame:
