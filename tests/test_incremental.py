@@ -223,6 +223,10 @@ def test_trees_equal_brute_force(spark, monkeypatch):
     assert [[n[:4] for n in t] for t in model.trees] == [[n[:4] for n in t] for t in want]
     assert np.allclose([n[4] for t in model.trees for n in t], [n[4] for t in want for n in t])
     assert boosting.Model.from_json(model.to_json()) == model
+    monkeypatch.setattr(boosting, "TASK_ROWS", 1000)  # one task grows them all
+    alone = boosting.fit(df, ["a", "b", "c"], p)
+    assert [[n[:4] for n in t] for t in alone.trees] == [[n[:4] for n in t] for t in model.trees]
+    assert np.allclose([n[4] for t in alone.trees for n in t], [n[4] for t in model.trees for n in t], rtol=1e-12)
     scored = boosting.score(model, df).collect()
     assert all(0 <= s.p_win <= 1 for s in scored)
     with pytest.raises(ValueError):
