@@ -235,6 +235,21 @@ def test_trees_equal_brute_force(spark, monkeypatch):
         boosting.fit(df.limit(50), ["a"])
 
 
+def test_only_the_lighter_of_two_sides_is_added_up():
+    r = np.random.default_rng(3)
+    columns = r.integers(0, boosting.BINS, (3, 4000)).astype(np.uint8)
+    label = columns[0] + columns[1] + r.normal(0, 20, 4000) > 64
+    g, h = boosting.derivatives(np.zeros(4000), label, np.ones(4000))
+    asked = []
+
+    def histograms(tree, nodes):
+        asked.append(len(nodes))
+        return boosting._block(tree, nodes, boosting.BINS, columns, g, h)
+
+    tree = boosting.grown(histograms, boosting.Params())
+    assert asked == [1, 1, 2, 4] and len(tree) > 20
+
+
 def test_training_labels_end_before_the_newer_rows(spark):
     rows = [(s, date(2000, 1, 1) + timedelta(days=i)) for s in "AB" for i in range(100)]
     df = models.with_reach(spark.createDataFrame(rows, "symbol string, bar_date date"))
