@@ -208,3 +208,11 @@ def test_components_of_chains_and_stars(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)], "a long, b long")
     got = {r.node: r.component for r in nd.components(links).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+
+
+def test_rare_shingles_weigh_by_their_own_frequency(spark):
+    texts = [f"own{i} a{i} b{i} c{i} d{i}" for i in range(1200)] + ["p q r s t"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for t, n in ((texts[0], 1), (texts[-1], 2)):
+        s = nd.Shingles([t])
+        assert np.allclose(nd.weights_of(docs).of(s.hash, s.times), np.log1p(len(texts) / n))

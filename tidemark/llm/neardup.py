@@ -2,11 +2,12 @@
 
 1. Documents of equal words are one node, whatever their number: equal are those whose words have one
    128-bit hash (XXH3 over the characters, word for word).
-2. Document frequencies are counted over all documents. A shingle weighs ln(1 + documents / frequency),
-   at most ln(1 + RARE), times how often the text has it. Only shingles in more than 1/RARE of the
-   documents need their frequency; they are at most RARE times the mean number of shingles of a document,
-   which no growth of the corpus raises, and go to every task. With `full_idf` there is no such limit:
-   the frequencies of all shingles are kept as sorted arrays (see arrays.py), which the tasks map.
+2. Document frequencies of all shingles are counted over all documents. A shingle weighs
+   ln(1 + documents / frequency), times how often the text has it. The frequencies are kept as sorted arrays
+   (see arrays.py), which the tasks map; a node's shingles carry theirs. Without `full_idf`, a shingle weighs
+   ln(1 + RARE) at most: only shingles in more than 1/RARE of the documents then need their frequency; they are
+   at most RARE times the mean number of shingles of a document, which no growth of the corpus raises, and go
+   to every task.
 3. Each node gets BANDS x ROWS consistent weighted samples; nodes that agree in a band are candidates.
 4. In each band bucket, members are compared with one leader, the one that shares most buckets with
    others; linked nodes form components. A group of n copies so costs about n comparisons.
@@ -36,12 +37,14 @@ from tidemark.llm import arrays, common, grams
 SIMILAR = 0.8
 #: A pair of similarity 0.8 agrees in some band with probability 1 - (1 - 0.8^3)^10 = 0.999.
 BANDS, ROWS = 10, 3
-#: Shingles in more than 1/RARE of the documents are frequent; rarer ones all weigh ln(1 + RARE), in smaller corpora ln(1 + documents).
+#: Without the full idf, shingles in more than 1/RARE of the documents are frequent; rarer ones all weigh ln(1 + RARE), in smaller corpora ln(1 + documents).
 RARE = 512
 #: A task of the frequency counts reads so many documents or so many bytes, whichever gives more tasks.
 LEAST_DOCUMENTS, LEAST_BYTES = 2048, 16 << 20
 #: Documents after which such a task forgets the shingles that can't be frequent.
 STRETCH = 8192
+#: Shingles that a task of the full frequencies counts together, and rows of a batch that it hands on.
+TOGETHER, ROWS_OUT = 4_000_000, 65_536
 #: Comparisons that one copy of a leader's shingles serves, about.
 PER_COPY = 1000
 #: Shingles and rows of a block of step 5 at most, about; rows and columns of its matrices.
@@ -87,25 +90,39 @@ class Weights:
     """TF-IDF weights: ln(documents / frequency), where rare shingles count as in 1/RARE of the documents."""
 
     def __init__(self, hashes: np.ndarray, idf: np.ndarray, rest: float):
-        self.hashes, self.idf, self.rest = hashes, idf, rest
+        self.hashes, self.rest = hashes, rest
+        self.by_code = np.append(rest, idf)
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each shingle among the frequent ones, from 1; 0 of others."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at + 1, 0).astype(np.int32)
+
+    def idf(self, codes: np.ndarray) -> np.ndarray:
+        return self.by_code[codes]
 
     def of(self, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
-        w = np.full(len(hashes), self.rest)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            w = np.where(self.hashes[at] == hashes, self.idf[at], w)
-        return w * times
+        return self.idf(self.codes(hashes)) * times
 
 
 class FullWeights:
-    """TF-IDF weights without a limit: the documents of each shingle that more than one has are looked up."""
+    """TF-IDF weights: ln(1 + documents / frequency); the documents of each shingle that more than one has are looked up."""
 
     def __init__(self, frequencies: arrays.Arrays, documents: int):
         self.frequencies, self.documents = frequencies, documents
 
-    def of(self, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """In how many documents each shingle is."""
         there, found = self.frequencies.find(hashes << np.int64(64 - _HASH))
-        return np.log1p(self.documents / np.where(there, found["n"], 1)) * times
+        return np.where(there, found["n"], 1).astype(np.int32)
+
+    def idf(self, codes: np.ndarray) -> np.ndarray:
+        return np.log1p(self.documents / codes)
+
+    def of(self, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
+        return self.idf(self.codes(hashes)) * times
 
 
 def _all_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,28 +132,37 @@ def _all_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     def flush():
         h, c = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
         parts.clear()
-        return pa.RecordBatch.from_pydict({"hash": pa.array(np.append(h, -1)), "n": pa.array(np.append(c, n))})
+        h, c = np.append(h, -1), np.append(c, n)
+        for at in range(0, len(h), ROWS_OUT):
+            yield pa.RecordBatch.from_pydict({"hash": pa.array(h[at : at + ROWS_OUT]), "n": pa.array(c[at : at + ROWS_OUT])})
 
     for batch in batches:
         for _, texts in grams.chunks(common.texts_of(batch)):
             s = Shingles(texts)
             parts.append(s.hash)
             n += sum(k is not None for k in s.key)
-        if n >= STRETCH:
-            yield flush()
-            n = 0
-    yield flush()
+            if n >= STRETCH or sum(map(len, parts)) >= TOGETHER:
+                yield from flush()
+                n = 0
+    yield from flush()
 
 
-def full_weights_of(documents: DataFrame) -> FullWeights:
+def weights_of(documents: DataFrame) -> FullWeights:
     """IDF weights over all documents by the frequencies of all shingles: a shuffle of each task's distinct shingles."""
-    found = documents.select("text").mapInArrow(_all_frequencies, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1 or hash = -1")
+    texts = _few_tasks(documents.select("text"))
+    found = texts.mapInArrow(_all_frequencies, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1 or hash = -1")
     found = common.materialize(found, "frequencies")
     total = (found.filter("hash = -1").first() or {"n": 0})["n"] or 0
     rows = found.filter("hash >= 0").select(F.shiftleft("hash", 64 - _HASH).alias("key"), "n")
     return FullWeights(arrays.written(rows, "frequencies", (("n", "i8"),)), total)
 
 
+def _few_tasks(texts: DataFrame) -> DataFrame:
+    """texts in tasks of LEAST_DOCUMENTS or LEAST_BYTES, not more of them than there were."""
+    size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    return texts.coalesce(max(1, size.n // LEAST_DOCUMENTS, size.bytes // LEAST_BYTES))
+
+
 @lru_cache(maxsize=1)
 def _draws() -> tuple[np.ndarray, np.ndarray]:
     """65,536 draws of Gamma(2, 1), and their logarithms, in mixed order."""
@@ -229,17 +255,15 @@ def _exact_frequencies(candidates):
     return run
 
 
-def weights_of(documents: DataFrame) -> Weights:
-    """IDF weights over all documents.
+def limited_weights_of(documents: DataFrame) -> Weights:
+    """IDF weights over all documents, at most ln(1 + RARE).
 
     A shingle in 1/RARE of all documents loses at most 1/(2 RARE) of all by what tasks prune; so a first
     pass finds all that may be frequent, at most 2 RARE times the mean number of shingles of a document,
     and a second one counts those exactly.
     """
     spark = documents.sparkSession
-    texts = documents.select("text")
-    size = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    texts = texts.coalesce(max(1, size.n // LEAST_DOCUMENTS, size.bytes // LEAST_BYTES))
+    texts = _few_tasks(documents.select("text"))
     found = common.materialize(texts.mapInArrow(_local_frequencies, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "frequencies")
     total = (found.filter("hash = -1").first() or {"n": 0})["n"] or 0
     rest = float(np.log1p(min(RARE, max(total, 1))))
@@ -267,34 +291,38 @@ def _signed(weights):
     return run
 
 
-VECTOR = "node long, hashes binary, times binary"
+VECTOR = "node long, hashes binary, times binary, codes binary"
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, hashes (8 bytes each), times (4 bytes each): one document of each node comes in."""
-    for batch in batches:
-        nodes, hashes, times = batch.column("node").to_pylist(), [], []
-        for _, part in grams.chunks(common.texts_of(batch)):
-            s = Shingles(part)
-            cut = np.searchsorted(s.text, np.arange(len(part) + 1))
-            for a, b in zip(cut[:-1], cut[1:]):
-                hashes.append(s.hash[a:b].tobytes())
-                times.append(s.times[a:b].astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "hashes": pa.array(hashes, pa.binary()), "times": pa.array(times, pa.binary())})
+def _vectors(weights):
+    """node, hashes (8 bytes each), times and what their weights are found by (4 bytes each): one document of each node comes in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, hashes, times, codes = batch.column("node").to_pylist(), [], [], []
+            for _, part in grams.chunks(common.texts_of(batch)):
+                s = Shingles(part)
+                own = weights.value.codes(s.hash)
+                cut = np.searchsorted(s.text, np.arange(len(part) + 1))
+                for a, b in zip(cut[:-1], cut[1:]):
+                    hashes.append(s.hash[a:b].tobytes())
+                    times.append(s.times[a:b].astype(np.int32).tobytes())
+                    codes.append(own[a:b].tobytes())
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "hashes": pa.array(hashes, pa.binary()), "times": pa.array(times, pa.binary()), "codes": pa.array(codes, pa.binary())})
+
+    return run
 
 
 def _verified(weights, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
+        side = lambda r, s: (np.frombuffer(r[f"{s}_hashes"], np.int64), weights.value.idf(np.frombuffer(r[f"{s}_codes"], np.int32)) * np.frombuffer(r[f"{s}_times"], np.int32))
         for batch in batches:
             left, right = [], []
             known: tuple = (None, None, None)
             for r in batch.to_pylist():
                 if known[0] != r["a"]:
-                    ha = np.frombuffer(r["a_hashes"], np.int64)
-                    known = (r["a"], ha, w.of(ha, np.frombuffer(r["a_times"], np.int32)))
-                hb = np.frombuffer(r["b_hashes"], np.int64)
-                if similarity(known[1], known[2], hb, w.of(hb, np.frombuffer(r["b_times"], np.int32))) >= similar:
+                    known = (r["a"], *side(r, "a"))
+                if similarity(*known[1:], *side(r, "b")) >= similar:
                     left.append(r["a"]), right.append(r["b"])
             yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
@@ -325,12 +353,12 @@ def _pick(doc_id: Column, text: Column) -> Column:
     return F.concat(F.coalesce(doc_id.cast("string"), F.lit("~")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _classed(documents: DataFrame, similar: float, full_idf: bool = False) -> DataFrame:
+def _classed(documents: DataFrame, similar: float, full_idf: bool = True) -> DataFrame:
     """doc_id, pick, component, class_id, class_size, n_links for each row; component is null for texts without words."""
     spark = documents.sparkSession
     common.tune(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _pick(F.col("doc_id"), F.col("text")).alias("pick"), "text")
-    weights = spark.sparkContext.broadcast(full_weights_of(docs) if full_idf else weights_of(docs))
+    weights = spark.sparkContext.broadcast(weights_of(docs) if full_idf else limited_weights_of(docs))
     signed = common.materialize(docs.mapInArrow(_signed(weights), "doc_id long, pick string, key binary, bands array<long>"), "signatures")
     keyed = signed.filter("key is not null")
     nodes = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("pick").alias("pick"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
@@ -345,7 +373,7 @@ def _classed(documents: DataFrame, similar: float, full_idf: bool = False) -> Da
     leaders = common.materialize(leaders, "leaders")
     copies = leaders.groupBy("lead").agg(F.ceil(F.sum("n") / PER_COPY).cast("int").alias("copies"))
     texts = common.spread_join(docs.select("pick", "text"), nodes.join(central, "node").select("node", "pick"), ["pick"], hot=common.hot_keys(keyed, ["pick"]))
-    vectors = common.materialize(texts.select("node", "text").mapInArrow(_vectors, VECTOR).dropDuplicates(["node"]), "vectors")
+    vectors = common.materialize(texts.select("node", "text").mapInArrow(_vectors(weights), VECTOR).dropDuplicates(["node"]), "vectors")
     led = leaders.join(copies, "lead").select("band", "value", "lead", "copies")
     share = F.pmod(F.xxhash64("node"), "copies").cast("int")
     pairs = common.spread_join(shared, led, ["band", "value"], hot=large).filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), share.alias("share")).distinct()
@@ -372,12 +400,12 @@ def _large(buckets: DataFrame, rows: DataFrame) -> list[tuple]:
     return [(r.band, r.value, -(-r.n // most)) for r in buckets.filter(F.col("n") > most).collect()]
 
 
-def classes(documents: DataFrame, similar: float = SIMILAR, full_idf: bool = False) -> DataFrame:
+def classes(documents: DataFrame, similar: float = SIMILAR, full_idf: bool = True) -> DataFrame:
     """doc_id, class_id, class_size, n_links for each row of documents (doc_id long, text).
 
     class_id is the least doc_id of the class, class_size its number of rows; n_links says with how many different
     texts the row's text has been compared and found similar: to them its class is proven (copies aren't counted,
-    nor pairs that no comparison was needed for). With full_idf, no shingle's weight is limited. Documents are in one class
+    nor pairs that no comparison was needed for). Without full_idf, a shingle's idf is ln(1 + RARE) at most. Documents are in one class
     if a chain of links joins them: equal words, or weighted Jaccard similarity of their five-word shingles
     of `similar` or more among candidates of step 3. Words are split by white space, in lower case,
     without the signs around them (a word of signs only stays). Texts of one to four words have one
@@ -410,7 +438,7 @@ def keep(documents: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def _links(pairs: DataFrame, copies: DataFrame, vectors: DataFrame, weights, similar: float) -> DataFrame:
     """The pairs a, b, share that are similar enough: each share of a leader's pairs has a copy of its shingles."""
-    side = lambda s: vectors.select(F.col("node").alias(s), F.col("hashes").alias(f"{s}_hashes"), F.col("times").alias(f"{s}_times"))
+    side = lambda s: vectors.select(F.col("node").alias(s), F.col("hashes").alias(f"{s}_hashes"), F.col("times").alias(f"{s}_times"), F.col("codes").alias(f"{s}_codes"))
     shares = copies.select(F.col("lead").alias("a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("share"))
     return pairs.join(side("b"), "b").join(shares.join(side("a"), "a"), ["a", "share"]).drop("share").mapInArrow(_verified(weights, similar), "a long, b long")
 
@@ -437,12 +465,13 @@ def _block_links(shared: DataFrame, joined: DataFrame, vectors: DataFrame, weigh
     return dealt.join(vectors, "node").groupBy("band", "value", "i", "j").applyInArrow(_compared(weights, similar), "a long, b long").distinct()
 
 
-def _expanded(table: pa.Table, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _expanded(table: pa.Table, weights: Weights | FullWeights) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, token, weight) of all shingles, one for each time that a text has them, and the rows' total weights."""
     rows, tokens, values, totals = [], [], [], []
-    for k, (h, t) in enumerate(zip(table.column("hashes").to_pylist(), table.column("times").to_pylist())):
+    codes = table.column("codes").to_pylist() if "codes" in table.column_names else [None] * len(table)
+    for k, (h, t, c) in enumerate(zip(table.column("hashes").to_pylist(), table.column("times").to_pylist(), codes)):
         h, t = np.frombuffer(h, np.int64), np.frombuffer(t, np.int32)
-        w = weights.of(h, np.ones(len(h)))
+        w = weights.idf(weights.codes(h) if c is None else np.frombuffer(c, np.int32))
         totals.append(float((w * t).sum()))
         while len(h):
             tokens.append(h), values.append(w), rows.append(np.full(len(h), k))
