@@ -25,6 +25,8 @@ NO_LANG = "und"
 TOGETHER = 4_000_000
 #: Characters that are read together: the more, the fewer times a phrase is put into words.
 READ = 4_000_000
+#: Rows of a batch that a task hands on: what both sides of it hold at once.
+ROWS_OUT = 65_536
 #: Parts by which the first phrases of a language are found.
 PARTS = 256
 
@@ -89,7 +91,8 @@ def _hashes(known: list[arrays.Arrays]):
         def flush():
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+            for at in range(0, len(keys), ROWS_OUT):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + ROWS_OUT]), pa.array(n[at : at + ROWS_OUT])], names=["key", "n"])
 
         for batch in batches:
             for pieces, _ in _read(batch):
@@ -97,9 +100,9 @@ def _hashes(known: list[arrays.Arrays]):
                 size = len(known) + 2
                 held.append(pieces.keys(pieces.grams(size, begins), size))
             if sum(map(len, held)) > TOGETHER:
-                yield flush()
+                yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -116,8 +119,10 @@ def _phrases(known: list[arrays.Arrays], longest: int):
                 begins.append(pieces.grams(longest, begins[-1] if known else None))
                 for size, b in enumerate(begins, 1):
                     _, at, n = np.unique(pieces.keys(b, size), return_index=True, return_counts=True)
-                    parts = [map(strings.__getitem__, word[b[at] + i].tolist()) for i in range(size)]
-                    yield rows(langs, pieces.text[b[at]], list(map(" ".join, zip(*parts))), size, n)
+                    for low in range(0, max(len(at), 1), ROWS_OUT):
+                        own = b[at[low : low + ROWS_OUT]]
+                        parts = [map(strings.__getitem__, word[own + i].tolist()) for i in range(size)]
+                        yield rows(langs, pieces.text[own], list(map(" ".join, zip(*parts))), size, n[low : low + ROWS_OUT])
                 text, n = np.unique(pieces.text, return_counts=True)
                 yield rows(langs, text, [""] * len(text), 0, n)
 
