@@ -73,3 +73,28 @@ def test_a_stream_over_several_triggers(spark, tmp_path):
         out = st.merged_to_end(si.indicators(st.landed(spark, str(tmp_path / "in"), frame.schema)), ["symbol", "bar_date"], str(tmp_path / "state"), str(tmp_path / "out"))
     for s, own in bars.items():
         same([(r.bar_date, *[np.nan if r[c] is None else r[c] for c in si.COLUMNS]) for r in out.filter(F.col("symbol") == s).orderBy("bar_date").collect()], own)
+
+
+def test_records_of_a_symbol_fire_each_alert_once(spark, tmp_path):
+    import os
+    import random
+    from datetime import datetime, timedelta
+
+    from tidemark.streaming import bars as st
+
+    r = random.Random(4)
+    ticks = [(s, datetime(2001, 1, 1) + timedelta(days=i), float(r.randrange(20, 60))) for s in "AB" for i in range(60)]
+    items = [(i, "ABC"[i % 3], float(r.randrange(10, 70)), ("above", "below")[i % 2]) for i in range(120)]
+    for k in range(3):  # twenty days land together
+        spark.createDataFrame([x for j, x in enumerate(ticks) if j % 60 // 20 == k], "symbol string, bar_ts timestamp, close double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/k={k}")
+        fs = [f for f in (tmp_path / "in" / f"k={k}").iterdir() if f.suffix == ".parquet"]
+        for f in fs:
+            os.utime(f, (1000 + k, 1000 + k))
+    bars = st.landed(spark, f"{tmp_path}/in", "symbol string, bar_ts timestamp, close double, k int")
+    watched = spark.createDataFrame(items, "item_id long, symbol string, target double, direction string")
+    records = st.records(bars)
+    out = st.run_to_end(st.crossed(records, watched), f"{tmp_path}/state", f"{tmp_path}/out")
+    got = sorted((x.item_id, x.fired_at, x.close) for x in out.collect())
+    met = lambda d, c, t: c >= t if d == "above" else c <= t
+    want = [(i, *min((ts, c) for y, ts, c in ticks if y == s and met(d, c, t))) for i, s, t, d in items if any(y == s and met(d, c, t) for y, _, c in ticks)]
+    assert got == sorted(want) and 0 < len(want) < len(items)

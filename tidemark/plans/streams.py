@@ -65,10 +65,9 @@ def stream_dedupe(spark, sf):
 ))
 def stream_alerts(spark, sf):
     folder = _shared(spark)
-    items = d.watchlist(spark, sf).filter("alert_enabled").select("item_id", "symbol", "target_price", "direction")
-    hit = F.when(F.col("direction") == "above", F.col("close") >= F.col("target_price")).when(F.col("direction") == "below", F.col("close") <= F.col("target_price")).otherwise(False)
-    ticks = _bars(spark, sf).join(items, "symbol").select("item_id", F.col("target_price").alias("target"), "bar_ts", "close", F.coalesce(hit, F.lit(False)).alias("met"))
-    out = st.run_to_end(st.alerts(_landed(ticks.filter("target is not null"), folder)), f"{folder}/state", f"{folder}/out")
+    items = d.watchlist(spark, sf).filter("alert_enabled and target_price is not null").select("item_id", "symbol", F.col("target_price").alias("target"), "direction")
+    watched = _bars(spark, sf).join(items.select("symbol").distinct(), "symbol", "left_semi")
+    out = st.run_to_end(st.crossed(st.records(_landed(watched, folder)), items), f"{folder}/state", f"{folder}/out")
     return out.select("item_id", F.col("fired_at").cast("timestamp_ntz").alias("fired_at"), "close")
 
 
