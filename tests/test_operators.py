@@ -14,6 +14,7 @@ from tidemark.functions import options as o
 from tidemark.functions import ta
 from tidemark.functions import windows as w
 from tidemark.operators import levels, market, primitives, store, strategies, text, trading
+from tidemark.plans import registry
 
 
 def walk(symbols=("A", "B"), n=320, seed=42):
@@ -245,3 +246,13 @@ def test_models_split_by_day_and_report(spark):
     assert m.auc == pytest.approx(sum((a > b) + 0.5 * (a == b) for a in won for b in lost) / (len(won) * len(lost)), abs=1e-9) and m.auc > 0.8
     picked = [s for s in scored if s.p_win >= 0.55]
     assert m.precision == pytest.approx(sum(s.label for s in picked) / len(picked)) and m.recall == pytest.approx(sum(s.label for s in picked) / len(won))
+
+
+def test_articles_of_a_symbol_lie_together(spark, tmp_path):
+    """A task has the long lists of few symbols, so that its file may hold each once; one symbol's articles may be in several tasks."""
+    spark.range(400).selectExpr("id as doc_id", "'text' as text", "'en' as lang", "'src' as source").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(100).selectExpr("id as c_custkey", "'MACHINERY' as c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    df = registry.QUERIES["join_correlated_array_agg"](spark, str(tmp_path))
+    tasks = df.rdd.mapPartitions(lambda rows: [[tuple(r["items"]) for r in rows]]).collect()
+    assert sum(map(len, tasks)) == 400 and len({x for t in tasks for x in t}) == 10
+    assert len([t for t in tasks if t]) > 1 and sum(len(set(t)) for t in tasks) <= len(tasks) + 9
