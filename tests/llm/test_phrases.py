@@ -90,3 +90,16 @@ def test_very_long_text(spark):
 def test_query_equals_its_sql(spark):
     sf = "/root/testdata/sf0.01"
     parity.compare(queries.op12_collocations(spark, sf), parity.connect(sf), queries.OP12_SQL)
+
+
+def test_a_task_holds_few_grams_at_once(monkeypatch):
+    """Within a batch of many texts, too: what is put together is handed on before it is more than TOGETHER and a piece."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "TOGETHER", 100)
+    monkeypatch.setattr(phrases, "READ", 200)
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(50)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": ["en"] * 50})
+    out = list(phrases._hashes([])(iter([batch])))
+    assert sum(b.column("n").to_numpy().sum() for b in out) == 50 * 19
+    assert max(b.num_rows for b in out) <= 100 + 2 * 19

@@ -22,9 +22,9 @@ GAPS, STOPS = "\x20\x09", ".,;:!?\x0a\x0b\x0c\x0d"
 #: The language of texts without one.
 NO_LANG = "und"
 #: Grams that a task puts together before it hands their counts on.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 #: Characters that are read together: the more, the fewer times a phrase is put into words.
-READ = 4_000_000
+READ = 1_000_000
 #: Rows of a batch that a task hands on: what both sides of it hold at once.
 ROWS_OUT = 65_536
 #: Parts by which the first phrases of a language are found.
@@ -99,8 +99,8 @@ def _hashes(known: list[arrays.Arrays]):
                 begins = _frequent(pieces, known)[-1] if known else None
                 size = len(known) + 2
                 held.append(pieces.keys(pieces.grams(size, begins), size))
-            if sum(map(len, held)) > TOGETHER:
-                yield from flush()
+                if sum(map(len, held)) > TOGETHER:
+                    yield from flush()
         if held:
             yield from flush()
 
