@@ -2,12 +2,15 @@
 
 import math
 import random
+import re
+from collections import Counter
 from datetime import date, timedelta
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import options as o
@@ -256,3 +259,43 @@ def test_articles_of_a_symbol_lie_together(spark, tmp_path):
     tasks = df.rdd.mapPartitions(lambda rows: [[tuple(r["items"]) for r in rows]]).collect()
     assert sum(map(len, tasks)) == 400 and len({x for t in tasks for x in t}) == 10
     assert len([t for t in tasks if t]) > 1 and sum(len(set(t)) for t in tasks) <= len(tasks) + 9
+
+
+def test_long_frames_equal_moving_windows(spark):
+    """Columns of long frames are those of Spark's windows, with gaps, short histories and ties, and make no window over 5 bars."""
+    rows = []
+    for symbol, n in (("A", 330), ("B", 61), ("C", 3), ("D", 1)):
+        for i in range(n):
+            c = 100.0 + (i * 7919 % 41) / 4 + i / 16
+            rows.append((symbol, date(2000, 1, 1) + timedelta(days=i), c - 0.5, c + 1 + i % 3, c - 1 - i % 2, None if symbol == "A" and i == 40 else c, float(1000 * (i * 31 % 17 + 1))))
+    bars = spark.createDataFrame(rows, "symbol string, bar_date date, open double, high double, low double, close double, volume double").repartition(3)
+    names = ["sma5", "sma200", "closeness252", "prior55", "high_before20", "low_before20", "volume_before19", "squeeze126", "slope_quality90", "support_3_60", "resistance_3_60"]
+    df = primitives.numbered(ta.with_recursive(bars, names))
+    w = Window.partitionBy("symbol").orderBy("bar_date")
+    over = lambda a, b: w.rowsBetween(a, b)
+    whole = lambda value, n, to=0: F.when(F.count("close").over(over(to - n + 1, to)) == n, value)
+    df = df.withColumn("bbw", whole(F.round(4 * F.stddev_samp("close").over(over(-19, 0)) / F.avg("close").over(over(-19, 0)), 9), 20))
+    df = df.withColumns({"last": F.lag("bbw").over(w), "bbws": F.collect_list("bbw").over(over(-126, -1))})
+    least, most = F.min("low").over(over(-3, 3)), F.max("high").over(over(-3, 3))
+    both = F.count("low").over(over(-3, 3)) == 7
+    df = df.withColumns({"lo": F.when(both & (F.col("low") == least), F.col("low")), "hi": F.when(both & (F.col("high") == most), F.col("high"))})
+    df = df.withColumns({"los": F.collect_list("lo").over(over(-60, -3)), "his": F.collect_list("hi").over(over(-60, -3))})
+    want = {
+        "sma5": whole(F.avg("close").over(over(-4, 0)), 5), "sma200": whole(F.avg("close").over(over(-199, 0)), 200), "closeness252": whole(F.col("close") / F.max("close").over(over(-251, 0)), 252),
+        "prior55": whole(F.max("close").over(over(-55, -1)), 55, -1), "high_before20": F.max("high").over(over(-20, -1)), "low_before20": F.min("low").over(over(-20, -1)),
+        "volume_before19": F.avg("volume").over(over(-19, -1)), "squeeze126": F.when(F.size("bbws") > 0, F.size(F.filter("bbws", lambda v: v <= F.col("last"))) / F.nullif(F.size("bbws"), F.lit(0))),
+        "slope_quality90": ta.slope_quality(90), "support_3_60": F.array_max(F.filter("los", lambda x: x <= F.col("close"))), "resistance_3_60": F.array_min(F.filter("his", lambda x: x >= F.col("close"))),
+    }
+    seen = Counter()
+    for r in df.select("symbol", "rn", *names, *[v.alias(f"w_{k}") for k, v in want.items()]).collect():
+        for k in names:
+            a, b = r[k], r[f"w_{k}"]
+            seen[k] += a is not None
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-11), (k, r.symbol, r.rn, a, b)
+    assert len(seen) == len(names) and min(seen.values()) > 0
+    # A frame of more than 5 rows would be added up anew for each row.
+    marked = strategies.features(bars, strategies.RECURSIVE + strategies.FRAMES).withColumn("cap_pct", F.lit(90.0)).withColumn("market_ret60", F.lit(0.0)).withColumn("rs_raw", F.lit(0.1))
+    for s in strategies.REGISTRY.values():
+        marked = s.mark(marked)
+    plan = marked.select(*strategies.REGISTRY)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(int(x) for x in re.findall(r"specifiedwindowframe\(RowFrame, -(\d+),", plan)) <= 60 and "collect_list" not in plan
