@@ -38,17 +38,16 @@ def run_id(strategy, day, version: str):
 def replay(ledger: Ledger, scanned: DataFrame, days: DataFrame, strategies: list[str]) -> None:
     """Writes the runs of some strategies on some days (day) from a scan of all dates (strategy, symbol, bar_date, ...).
 
-    One pass over the scan; a run's partition is replaced as a whole, other partitions are left alone.
+    One pass over the scan, which is written once: runs are counted from what it found. A run's partition is replaced as a whole, other partitions are left alone.
     """
     runs = days.select("day").distinct().select(F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy"), "day")
     asked = scanned.filter(F.col("strategy").isin(strategies)).withColumnRenamed("bar_date", "day").join(F.broadcast(days.select("day").distinct()), "day", "left_semi")  # some days
-    found = asked.select("strategy", "day", F.lit("signal").alias("kind"), *COLUMNS)
+    found = shared.written(asked.select("strategy", "day", F.lit("signal").alias("kind"), *COLUMNS), "runs")
     counts = found.groupBy("strategy", "day").agg(F.count_if(F.col("status") == "new").alias("n_pass"), F.count_if(F.col("status") == "rejected").alias("n_reject"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     heads = runs.join(counts, ["strategy", "day"], "left").select("strategy", "day", F.lit("run").alias("kind"), zero("n_pass"), zero("n_reject"))
     rows = found.unionByName(heads, allowMissingColumns=True).withColumn("run_id", run_id(F.col("strategy"), F.col("day"), ledger.version))
-    staged = shared.written(rows, "runs")
-    staged.repartition("strategy", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy", "day").parquet(ledger.signals)
+    rows.repartition("strategy", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("strategy", "day").parquet(ledger.signals)
 
 
 def missing(ledger: Ledger, spark: SparkSession, days: DataFrame, strategies: list[str]) -> DataFrame:
