@@ -1,9 +1,12 @@
 """Work that grows with the bars is done once: no second pass, exchange or moving window beside the grouped map by symbol."""
 
+import math
+import statistics
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import ta
 from tidemark.operators import ledger, trading
 from tidemark.plans.registry import QUERIES
 
@@ -31,3 +34,25 @@ def test_a_replay_scans_once(spark, tmp_path):
     assert seen.value == len(rows)
     assert {(r.day, r.n_pass, r.n_reject) for r in kept.read(spark, "run").collect()} == {(day, 3, 3), (day + timedelta(days=1), 0, 0)}
     assert kept.read(spark, "signal").count() == len(rows)
+
+
+def test_model_inputs_need_no_window(spark):
+    """Returns, deviations, labels and reaches come with the grouped map; what is there already is not made again."""
+    days = [date(2000, 1, 3) + timedelta(days=i) for i in range(80)]
+    closes = [100.0 + (i * 7 % 11) + (i > 70) * 3 - (i > 74) * 30 for i in range(80)]
+    rows = [("A", d, c, c + 1, c - 1, c, i + 1, 50.0, 50.0, 2.0, None) for i, (d, c) in enumerate(zip(days, closes))]
+    rows += [("B", d, 10.0, 10.0, 10.0, 10.0, i + 1, 50.0, 50.0, 2.0, None) for i, d in enumerate(days)]
+    bars = spark.createDataFrame(rows, "symbol string, bar_date date, open double, high double, low double, close double, rn int, rsi14 double, rsi2 double, atr14 double, signal_score double")
+    regime = spark.createDataFrame([], "bar_date date, label string, composite double, credit_stress boolean")
+    made = trading.ml_features(bars, regime)
+    assert "Window" not in plan_of(made)
+    at = {(r.symbol, r.rn): r for r in made.collect()}
+    assert abs(at["A", 80].ret63 - (closes[79] / closes[16] - 1)) < 1e-12 and at["A", 60].ret63 == 0.0
+    logs = [math.log(closes[i] / closes[i - 1]) for i in range(75, 80)]
+    assert abs(at["A", 80].vol5 - statistics.stdev(logs) * 252**0.5) < 1e-12
+    assert at["B", 80].vol5 == 0.20 and at["B", 80].closeness == 1.0 and at["A", 4].closeness == 0.85
+    labelled = ta.with_recursive(bars, ["barrier_25_20_20", "reach20"])
+    want = trading.triple_barrier(bars, F.col("close") - 2.5 * F.col("atr14"), F.col("close") + 2.0 * F.col("atr14"))
+    assert {(r.symbol, r.rn, r.barrier_25_20_20) for r in labelled.collect()} == {(r.symbol, r.rn, r.label) for r in want.collect()}
+    reach = {(r.symbol, r.rn): r.reach20 for r in labelled.collect()}
+    assert reach["A", 1] == days[20] and reach["B", 70] == days[79]
