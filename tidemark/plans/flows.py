@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import options as o
 from tidemark.functions import ta
-from tidemark.functions.windows import lag, last, rank_at_most
+from tidemark.functions.windows import lag, last
 from tidemark.operators import levels as lv
 from tidemark.operators import primitives as p
 from tidemark.operators import store
@@ -32,8 +32,8 @@ BANDS = (9, 50, 200)
 def contexts(spark, sf):
     """One row for each symbol with 200 bars: its last bar's reads, nearest levels and earnings."""
     names = ["adx14", "rsi14", "atr14", "yz_ewm", *[f"ema{n}" for n in BANDS]]
-    df = p.numbered(ta.with_recursive(d.bars(spark, sf), names)).withColumns(ta.yang_zhang_parts())
-    df = df.withColumn("yz21", F.round(100 * ta.yang_zhang(21), 6)).withColumns({"pct": F.round(100.0 * rank_at_most("yz21", 252), 6), "move": (F.col("close") / lag("close") - 1) * 100, "dollar_volume": F.avg(F.col("close") * F.col("volume")).over(last(20))})
+    df = p.numbered(ta.with_recursive(d.bars(spark, sf), [*names, "yz_rank_21_252"]))
+    df = df.withColumns({"pct": F.round(100.0 * F.col("yz_rank_21_252"), 6), "move": (F.col("close") / lag("close") - 1) * 100, "dollar_volume": F.avg(F.col("close") * F.col("volume")).over(last(20))})
     reads = ["bar_date", "close", "bucket", "pct", "move", "dollar_volume", *names]
     now = store.latest(trend(df), ["symbol"], "bar_date", reads)
     near = lv.nearest(_levels(spark, sf))
