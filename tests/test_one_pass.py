@@ -56,3 +56,25 @@ def test_model_inputs_need_no_window(spark):
     assert {(r.symbol, r.rn, r.barrier_25_20_20) for r in labelled.collect()} == {(r.symbol, r.rn, r.label) for r in want.collect()}
     reach = {(r.symbol, r.rn): r.reach20 for r in labelled.collect()}
     assert reach["A", 1] == days[20] and reach["B", 70] == days[79]
+
+
+def test_ratchets_read_the_bars_once(spark):
+    """No join of positions with bars, and steps beyond a symbol's last bar don't exist; unknown levels leave the stop."""
+    days = [date(2000, 1, 3) + timedelta(days=i) for i in range(20)]
+    rows = [("A", d, 10.0 + i, 9.0 if i in (0, 12, 19) else None, None if i == 9 else 8.0 + i) for i, d in enumerate(days)] + [("B", days[0], 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, bar_date date, close double, stop double, lev double")
+    got = trading.ratcheted(df, F.col("lev"), 4, 12)
+    assert "Join" not in plan_of(got) and "Window" not in plan_of(got)
+    want = [(days[1], days[5], 13.0, 13.0), (days[1], days[9], None, 13.0), (days[1], days[13], 21.0, 21.0), (days[13], days[17], 25.0, 25.0)]
+    assert sorted((r.entry_date, r.bar_date, r.level, r.stop) for r in got.collect()) == want
+
+
+def test_volatility_ranks_need_no_exchange(spark):
+    df = QUERIES["compute_volatility"](spark, SMALL)
+    assert "Exchange" not in plan_of(df) and "Window" not in plan_of(df)
+
+
+def test_signals_need_no_exchange(spark):
+    for name in ("sig_momentum52", "sig_rsi2"):
+        df = QUERIES[name](spark, SMALL)
+        assert "Exchange" not in plan_of(df) and "Window" not in plan_of(df)
