@@ -1,13 +1,16 @@
 """Work that grows with the bars is done once: no second pass, exchange or moving window beside the grouped map by symbol."""
 
+import glob
 import math
+import os
 import statistics
 from datetime import date, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions import ta
-from tidemark.operators import ledger, trading
+from tidemark.operators import actions, fulltext, incremental, ledger, trading
 from tidemark.plans.registry import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -78,3 +81,38 @@ def test_signals_need_no_exchange(spark):
     for name in ("sig_momentum52", "sig_rsi2"):
         df = QUERIES[name](spark, SMALL)
         assert "Exchange" not in plan_of(df) and "Window" not in plan_of(df)
+
+
+def test_postings_are_put_together_where_texts_are_read(spark, tmp_path):
+    """A stem of a document is one row before the shuffle; rows of one id are still one document."""
+    got = fulltext.places.func(pd.Series([["things", "thing", "other"], []]), pd.Series([[1, 4, 7], []]))
+    assert list(got) == [[{"stem": "thing", "at": [1, 4]}, {"stem": "other", "at": [7]}], []]
+    docs = spark.createDataFrame([(1, "things red thing"), (1, "blue thing x1 x2 x3"), (2, None), (3, "red")], "id long, text string")
+    index = fulltext.build(docs, ["id"], F.col("text"), f"{tmp_path}/index")
+    rows = {(r.stem, r.id): (r.n_words, r.positions) for r in index.postings(spark, ["thing", "red"]).collect()}
+    assert rows == {("thing", 1): (5, [1, 2, 3]), ("red", 1): (3, [2]), ("red", 3): (1, [1])}
+
+
+def test_adjusted_bars_are_not_moved_to_their_actions(spark, tmp_path):
+    """Steps meet the bars as arrays, not in a sorted union; a first merge writes the table without staging it twice."""
+    days = [date(2000, 1, 3) + timedelta(days=i) for i in range(6)]
+    bars = spark.createDataFrame([(s, d, *[8.0] * 4, 100) for s in "AB" for d in days], "symbol string, bar_date date, open double, high double, low double, close double, volume long")
+    steps = spark.createDataFrame([("A", days[2], 0.25, 0.5), ("A", days[4], 0.5, 1.0)], "symbol string, ex_date date, factor double, split double")
+    got = actions.adjusted(bars, steps)
+    assert "Union" not in plan_of(got) and "Window" not in plan_of(got)
+    assert [r.close for r in got.filter("symbol = 'A'").orderBy("bar_date").collect()] == [2.0, 2.0, 4.0, 4.0, 8.0, 8.0]
+    assert {(r.close, r.volume, r.factor) for r in got.filter("symbol = 'B'").collect()} == {(8.0, 100.0, 1.0)}
+    base = spark.conf.get("spark.checkpoint.dir") + "/tidemark"
+    before = set(os.listdir(base)) if os.path.exists(base) else set()
+    table = incremental.Table(f"{tmp_path}/table", ("symbol", "bar_date"), "bar_date")
+    assert incremental.merge(table, got).count() == 12 and table.read(spark).count() == 12
+    assert len(set(os.listdir(base)) - before) == 1
+    assert incremental.merge(table, got).count() == 0
+
+
+def test_keys_of_a_deduplicated_stream_lie_on_disk(spark):
+    base = spark.conf.get("spark.checkpoint.dir") + "/tidemark"
+    before = set(glob.glob(f"{base}/stream-*"))
+    assert QUERIES["stream_dedupe"](spark, SMALL).count() > 0
+    (own,) = set(glob.glob(f"{base}/stream-*")) - before
+    assert glob.glob(f"{own}/state/state/**/*.zip", recursive=True)

@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from tidemark.operators.stems import STOP, stem
 from tidemark.operators.text import tokens
@@ -27,10 +27,17 @@ WEIGHT, REACH, LIMIT = 0.1, 100, 1.64493406685
 FRAGMENTS, MOST, LEAST = 2, 15, 5
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stemmed(words: pd.Series) -> pd.Series:
-    """The stem of each word of an array; each worker remembers the stems that it has found."""
-    return words.map(lambda ws: [stem(w) for w in ws])
+@F.pandas_udf(ArrayType(StructType().add("stem", StringType()).add("at", ArrayType(IntegerType()))))
+def places(words: pd.Series, at: pd.Series) -> pd.Series:
+    """The stems of a document's words, each with its places in order; each worker remembers the stems that it has found."""
+
+    def of(ws, ps) -> list[dict]:
+        found: dict[str, list[int]] = {}
+        for w, p in zip(ws, ps):
+            found.setdefault(stem(w), []).append(int(p))
+        return [{"stem": s, "at": ps} for s, ps in found.items()]
+
+    return pd.Series([of(ws, ps) for ws, ps in zip(words, at)])
 
 
 @dataclass(frozen=True)
@@ -58,16 +65,20 @@ def _words(text: Column) -> Column:
 def build(docs: DataFrame, ids: list[str], text: Column, path: str) -> Index:
     """Writes the index of docs, whose rows the columns `ids` tell apart. Rows of one id are one document; null texts have no words.
 
-    Stems are made where the texts are read; one shuffle deals the postings out by bucket and document.
+    Stems are made and a document's places of each are put together where the texts are read; one shuffle deals them out by
+    bucket and document, and one sort by stem brings rows of one id together and is the order of the files.
     """
     own = docs.select(*ids, _words(text).alias("__w"), F.size(tokens(text)).alias("n_words"))
-    stems = own.withColumn("__s", stemmed(F.col("__w.w")))
-    each = stems.select(*ids, "n_words", F.explode(F.arrays_zip("__s", F.col("__w.p").alias("__p"))).alias("x"))
-    rows = each.groupBy(F.col("x.__s").alias("stem"), *ids).agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_list("x.__p")).alias("__at"))
+    each = own.select(*ids, "n_words", F.explode(places(F.col("__w.w"), F.col("__w.p"))).alias("x"))
+    bucket = (F.crc32(F.col("x.stem").cast("binary")) % BUCKETS).cast("int")
+    own_file = F.pmod(F.xxhash64(*ids), F.lit(SPREAD)).alias("__file")
+    dealt = each.select(bucket.alias("bucket"), "x.stem", *ids, own_file, "n_words", F.col("x.at").alias("__at")).repartition("bucket", "__file")
+    same = Window.partitionBy("bucket", "stem", *ids, "__file").orderBy("n_words")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = dealt.select("*", F.row_number().over(same).alias("__k"), F.max("n_words").over(whole).alias("__n"), F.collect_list("__at").over(whole).alias("__all")).filter("__k = 1")
+    rows = rows.withColumn("__at", F.when(F.size("__all") == 1, F.col("__at")).otherwise(F.array_sort(F.flatten("__all"))))
     steps = F.transform("__at", lambda p, i: p - F.when(i > 0, F.get(F.col("__at"), i - 1)).otherwise(0))
-    bucket = (F.crc32(F.col("stem").cast("binary")) % BUCKETS).cast("int")
-    dealt = rows.select(bucket.alias("bucket"), "stem", *ids, "n_words", steps.alias("steps")).withColumn("__file", F.pmod(F.xxhash64(*ids), F.lit(SPREAD)))
-    sorted_rows = dealt.repartition("bucket", "__file").sortWithinPartitions("bucket", "stem", *ids).drop("__file")
+    sorted_rows = rows.select("bucket", "stem", *ids, F.col("__n").alias("n_words"), steps.alias("steps"))
     sorted_rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
     return Index(path, tuple(ids))
 
