@@ -51,11 +51,15 @@ def chain(actions: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def adjusted(bars: DataFrame, factors: DataFrame) -> DataFrame:
-    """bars with open, high, low, close and volume adjusted, the raw ones as *_raw, and the factor: one sorted union by symbol."""
+    """bars with open, high, low, close and volume adjusted, the raw ones as *_raw, and the factor.
+
+    A symbol's few steps meet its bars as one array: bars that lie in buckets by symbol are not moved.
+    """
     prices, raw = ("open", "high", "low", "close"), ("open", "high", "low", "close", "volume")
-    steps = factors.withColumnRenamed("ex_date", "bar_date")
+    steps = factors.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ex_date", "factor", "split"))).alias("__steps"))
     own = bars.select("*", *[F.col(c).alias(f"{c}_raw") for c in raw])
-    seen = store.as_of(own, steps, ["symbol"], "bar_date", ["factor", "split"], forward=True, strict=True)
+    step = F.get(F.filter("__steps", lambda x: x["ex_date"] > F.col("bar_date")), F.lit(0))
+    seen = own.join(steps, "symbol", "left").withColumn("__step", step).select(*own.columns, "__step.factor", "__step.split")
     factor, split = F.coalesce("factor", F.lit(1.0)), F.coalesce("split", F.lit(1.0))
     return seen.withColumns({"factor": factor, **{c: F.col(c) * factor for c in prices}, "volume": F.col("volume") / split}).drop("split")
 

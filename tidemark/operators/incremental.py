@@ -37,9 +37,10 @@ class Table:
         """The rows of some years: no other partition is read."""
         return spark.read.parquet(self.path).filter(F.col("year").isin(years)).drop("year")
 
-    def _write(self, rows: DataFrame, label: str) -> None:
-        # Staged first: a partition can't be read while it is replaced.
-        staged = shared.written(rows.withColumn("year", F.year(self.day)), label)
+    def _write(self, rows: DataFrame, label: str | None) -> None:
+        # Staged first: a partition can't be read while it is replaced. Without a label, rows don't read the table.
+        dated = rows.withColumn("year", F.year(self.day))
+        staged = shared.written(dated, label) if label else dated
         dealt = staged.repartition("year", *[k for k in self.keys if k != self.day])
         dealt.sortWithinPartitions(*self.keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(self.path)
 
@@ -58,7 +59,11 @@ def merge(table: Table, new: DataFrame) -> DataFrame:
     keys = list(table.keys)
     came = shared.written(store.upsert(new.limit(0), new.dropna(subset=keys), keys), "came")
     years = _years(came, table.day)
-    there = table.years(spark, years) if table.exists(spark) else came.limit(0)
+    if not table.exists(spark):  # all rows are new: nothing to compare or to keep
+        if years:
+            table._write(came, None)
+        return came.select(*keys)
+    there = table.years(spark, years)
     there = there.select(*came.columns)
     values = [c for c in came.columns if c not in keys]
     old = there.select(*keys, F.struct(*[F.col(c) for c in values]).alias("__old"))
