@@ -54,7 +54,8 @@ def stream_weekly_bars(spark, sf):
 def stream_dedupe(spark, sf):
     folder = _shared(spark)
     b = _bars(spark, sf)
-    out = st.run_to_end(st.deduplicated(_landed(b.unionAll(b), folder)), f"{folder}/state", f"{folder}/out")
+    with si.rocks(spark):  # a year's keys lie on disk, not in the tasks' heap
+        out = st.run_to_end(st.deduplicated(_landed(b.unionAll(b), folder)), f"{folder}/state", f"{folder}/out")
     return out.select("symbol", F.col("bar_ts").cast("date").alias("bar_date"), "close")
 
 
