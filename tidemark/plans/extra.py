@@ -21,8 +21,9 @@ from tidemark.plans import strategies as ps
 from tidemark.plans.analysis import GRID, _grid
 from tidemark.plans.registry import query
 from tidemark.plans.sql import TECH, with_tech
-from tidemark.plans.trading import _features
+from tidemark.plans.trading import _labelled
 from tidemark.sources import driver as d
+from tidemark.sources import shared
 from tidemark.sources.driver import with_views
 
 # Provider documents: one JSON line a record, as they land; a schema reads them back, bad lines are left out
@@ -198,13 +199,12 @@ def sink_model(spark, sf):
 
     from tidemark.plans.streams import _shared
 
-    f = t.triple_barrier(_features(spark, sf), F.col("close") - 2.5 * F.col("atr14"), F.col("close") + 2.0 * F.col("atr14"))
+    f = shared.written(_labelled(spark, sf).select("symbol", "bar_date", "label", *t.NEUTRAL, F.col("rsi2_meanrev").isNotNull().alias("signal")), "features")
     known = f.filter(F.col("label").isNotNull() & (F.col("bar_date") < "2000-01-01")).withColumn("label", F.col("label").cast("double"))
     stages = [VectorAssembler(inputCols=list(t.NEUTRAL), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features"), LogisticRegression(maxIter=20)]
     path = f"{_shared(spark)}/{uuid.uuid4().hex}"
     Pipeline(stages=stages).fit(known).write().overwrite().save(path)
-    signals = ps.signals(spark, sf, "rsi2_meanrev").select("symbol", "bar_date")
-    scored = PipelineModel.load(path).transform(f.join(signals, ["symbol", "bar_date"], "left_semi"))
+    scored = PipelineModel.load(path).transform(f.filter("signal"))
     return scored.select("symbol", "bar_date", F.round(vector_to_array("probability")[1], 6).alias("p_win"))
 
 
