@@ -216,3 +216,27 @@ def test_rare_shingles_weigh_by_their_own_frequency(spark):
     for t, n in ((texts[0], 1), (texts[-1], 2)):
         s = nd.Shingles([t])
         assert np.allclose(nd.weights_of(docs).of(s.hash, s.times), np.log1p(len(texts) / n))
+
+
+def test_frequencies_are_moved_as_pieces_of_shards(monkeypatch):
+    """A piece for each shard (more of large shards), not a row for each shingle; a shingle's counts over all pieces are its documents."""
+    monkeypatch.setattr(nd, "TOGETHER", 20_000)
+    monkeypatch.setattr(nd, "PIECE", 500)
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(200)) for _ in range(400)] + ["", None]
+    batches = [pa.RecordBatch.from_pydict({"text": texts[a : a + 50]}) for a in range(0, len(texts), 50)]
+    monkeypatch.setattr(nd.grams, "_CHUNK", 10_000)  # so that several stretches are counted
+    rows = [x for b in nd._all_frequencies(3)(iter(batches)) for x in b.to_pylist()]
+    counts, moved = {}, 0
+    for x in rows:
+        keys, n = np.frombuffer(x["keys"], np.int64), np.frombuffer(x["counts"], np.int32)
+        assert len(keys) == len(n) <= 500 and (np.diff(keys) > 0).all() and (keys >> np.int64(61) == x["shard"]).all()
+        moved += len(keys)
+        for k, c in zip(keys.tolist(), n.tolist()):
+            counts[k] = counts.get(k, 0) + c
+    want = {}
+    for t in texts:
+        for h in set(nd.Shingles([t or ""]).hash.tolist()):
+            want[h] = want.get(h, 0) + 1
+    assert counts == {int(np.int64(h) << np.int64(12)): n for h, n in want.items()} and max(want.values()) > 1
+    assert sum(x["documents"] for x in rows) == 400 and len(rows) < moved / 50

@@ -3,8 +3,8 @@
 1. Documents of equal words are one node, whatever their number: equal are those whose words have one
    128-bit hash (XXH3 over the characters, word for word).
 2. Document frequencies of all shingles are counted over all documents. A shingle weighs
-   ln(1 + documents / frequency), times how often the text has it. The frequencies are kept as sorted arrays
-   (see arrays.py), which the tasks map; a node's shingles carry theirs. Without `full_idf`, a shingle weighs
+   ln(1 + documents / frequency), times how often the text has it. They are moved as sorted pieces of
+   shingles, not as a row for each, and kept as sorted arrays (see arrays.py), which the tasks map; a node's shingles carry theirs. Without `full_idf`, a shingle weighs
    ln(1 + RARE) at most: only shingles in more than 1/RARE of the documents then need their frequency; they are
    at most RARE times the mean number of shingles of a document, which no growth of the corpus raises, and go
    to every task.
@@ -43,8 +43,8 @@ RARE = 512
 LEAST_DOCUMENTS, LEAST_BYTES = 2048, 16 << 20
 #: Documents after which such a task forgets the shingles that can't be frequent.
 STRETCH = 8192
-#: Shingles that a task of the full frequencies counts together, and rows of a batch that it hands on.
-TOGETHER, ROWS_OUT = 4_000_000, 65_536
+#: Shingles that a task of the full frequencies counts together, and those of a piece that it hands on at most: 1,024 pieces, some 50 MB, are a batch.
+TOGETHER, PIECE = 4_000_000, 4096
 #: Comparisons that one copy of a leader's shingles serves, about.
 PER_COPY = 1000
 #: Shingles and rows of a block of step 5 at most, about; rows and columns of its matrices.
@@ -125,36 +125,82 @@ class FullWeights:
         return self.idf(self.codes(hashes)) * times
 
 
-def _all_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles and in how many of some STRETCH documents they are; the number of documents with words (hash -1)."""
-    parts, n = [], 0
+def _all_frequencies(bits: int):
+    """The shingles of some TOGETHER and in how many documents each is, as sorted pieces of one shard (see arrays.py): keys of 8
+    bytes, counts of 4. documents: how many of these documents have words, in the first piece."""
 
-    def flush():
-        h, c = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]), return_counts=True)
-        parts.clear()
-        h, c = np.append(h, -1), np.append(c, n)
-        for at in range(0, len(h), ROWS_OUT):
-            yield pa.RecordBatch.from_pydict({"hash": pa.array(h[at : at + ROWS_OUT]), "n": pa.array(c[at : at + ROWS_OUT])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+
+        def flush():
+            keys, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *parts]) << np.int64(64 - _HASH), return_counts=True)
+            parts.clear()
+            shards, counts = keys >> np.int64(64 - bits), counts.astype(np.int32)
+            starts = np.union1d(np.arange(0, len(keys), PIECE), np.flatnonzero(np.diff(shards)) + 1).astype(np.int64)
+            ends = np.append(starts[1:], len(keys))
+            for at in range(0, len(starts), common.BATCH_ROWS):
+                cut = list(zip(starts[at : at + common.BATCH_ROWS].tolist(), ends[at : at + common.BATCH_ROWS].tolist()))
+                columns = {
+                    "shard": pa.array(shards[starts[at : at + common.BATCH_ROWS]], pa.int64()),
+                    "keys": pa.array([keys[a:b].tobytes() for a, b in cut], pa.binary()),
+                    "counts": pa.array([counts[a:b].tobytes() for a, b in cut], pa.binary()),
+                    "documents": pa.array([0 if at or k else n for k in range(len(cut))], pa.int64()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+        for batch in batches:
+            for _, texts in grams.chunks(common.texts_of(batch)):
+                s = Shingles(texts)
+                parts.append(s.hash)
+                n += sum(k is not None for k in s.key)
+                if sum(map(len, parts)) >= TOGETHER:
+                    yield from flush()
+                    n = 0
+        if parts:
+            yield from flush()
+
+    return run
 
-    for batch in batches:
-        for _, texts in grams.chunks(common.texts_of(batch)):
-            s = Shingles(texts)
-            parts.append(s.hash)
-            n += sum(k is not None for k in s.key)
-            if n >= STRETCH or sum(map(len, parts)) >= TOGETHER:
-                yield from flush()
-                n = 0
-    yield from flush()
+
+def _summed(found: arrays.Arrays):
+    """Writes the shingles of more than one document; pieces come sorted by shard, and a task holds those of one shard. Returns sums of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now, held, documents = arrays.Writer(found), None, [], 0
+
+        def flush():
+            keys, counts = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            held.clear()
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[0]))
+            n = np.add.reduceat(counts.astype(np.int64), first)
+            keys, n = keys[first][n > 1], n[n > 1]
+            out.add({"shard": np.full(len(keys), now), "key": keys, "n": n})
+
+        for batch in batches:
+            documents += sum(batch.column("documents").to_pylist())
+            for shard, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "keys", "counts"))):
+                if held and shard != now:
+                    flush()
+                now = shard
+                held.append((np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int32)))
+        if held:
+            flush()
+        out.end()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([documents], pa.int64())})
+
+    return run
 
 
 def weights_of(documents: DataFrame) -> FullWeights:
-    """IDF weights over all documents by the frequencies of all shingles: a shuffle of each task's distinct shingles."""
-    texts = _few_tasks(documents.select("text"))
-    found = texts.mapInArrow(_all_frequencies, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1 or hash = -1")
-    found = common.materialize(found, "frequencies")
-    total = (found.filter("hash = -1").first() or {"n": 0})["n"] or 0
-    rows = found.filter("hash >= 0").select(F.shiftleft("hash", 64 - _HASH).alias("key"), "n")
-    return FullWeights(arrays.written(rows, "frequencies", (("n", "i8"),)), total)
+    """IDF weights over all documents by the frequencies of all shingles: a shuffle of each task's distinct shingles, as sorted pieces."""
+    spark = documents.sparkSession
+    found = arrays.Arrays(arrays.mounted(spark, "frequencies"), arrays.sharded(spark), (("n", "i8"),))
+    pieces = _few_tasks(documents.select("text")).mapInArrow(_all_frequencies(found.bits), "shard long, keys binary, counts binary, documents long")
+    dealt = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard")
+    total = dealt.mapInArrow(_summed(found), "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    return FullWeights(found, total)
 
 
 def _few_tasks(texts: DataFrame) -> DataFrame:
