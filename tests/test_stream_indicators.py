@@ -98,3 +98,22 @@ def test_records_of_a_symbol_fire_each_alert_once(spark, tmp_path):
     met = lambda d, c, t: c >= t if d == "above" else c <= t
     want = [(i, *min((ts, c) for y, ts, c in ticks if y == s and met(d, c, t))) for i, s, t, d in items if any(y == s and met(d, c, t) for y, _, c in ticks)]
     assert got == sorted(want) and 0 < len(want) < len(items)
+
+
+def test_bars_of_a_trigger_are_taken_once_and_symbols_by_buckets(spark, monkeypatch):
+    taken, add = [], si.State.add
+    monkeypatch.setattr(si.State, "add", lambda self, bars: taken.append(len(bars)) or add(self, bars))
+    bars, symbol = made(400, 5), si.Symbol()
+    same(symbol.add(bars), bars)
+    assert sum(taken) == 400
+    frame = spark.createDataFrame([("A", *b) for b in bars[:2]], "symbol string, bar_date date, high double, low double, close double")
+    plan = si.indicators(frame)._jdf.queryExecution().logical().toString()
+    assert "bucket" in plan
+
+
+def test_late_bars_that_come_together_equal_the_whole_history():
+    bars, symbol, rows = made(300, 8), si.Symbol(), {}
+    late = [250, 255, 269]
+    rows |= {r[0]: r for r in symbol.add([b for i, b in enumerate(bars[:270]) if i not in late])}
+    rows |= {r[0]: r for r in symbol.add([bars[i] for i in late] + bars[270:])}
+    same([rows[d] for d in sorted(rows)], bars)

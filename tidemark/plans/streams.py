@@ -81,6 +81,7 @@ def stream_indicators(spark, sf):
     """Indicators of bars that land year by year, from states of one size."""
     folder = _shared(spark)
     bars = _landed(_bars(spark, sf), folder).withColumn("bar_date", F.col("bar_ts").cast("date"))
+    read = ("rsi14", "atr14", "adx14", "macd", "macd_signal", "sma50", "high20")
     with si.rocks(spark):
-        out = st.merged_to_end(si.indicators(bars), ["symbol", "bar_date"], f"{folder}/state", f"{folder}/out")
+        out = st.merged_to_end(si.indicators(bars).select("symbol", "bar_date", *read), ["symbol", "bar_date"], f"{folder}/state", f"{folder}/out")
     return out.select("symbol", "bar_date", *[F.round(c, 6).alias(c) for c in ("rsi14", "atr14", "adx14", "macd", "macd_signal")], "sma50", "high20")

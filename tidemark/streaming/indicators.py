@@ -7,19 +7,22 @@ until they are complete, sums over a ring of closes, and monotone queues for hig
 from __future__ import annotations
 
 import pickle
-from collections import deque
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import date
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 NAN = float("nan")
 #: Bars that may come late: the state keeps them, and what it was before them.
 TAIL = 32
+#: Buckets of symbols by their hash; fixed while a stream's checkpoint lives.
+BUCKETS = 512
 COLUMNS = ("ema12", "ema26", "macd", "macd_signal", "rsi14", "atr14", "adx14", "sma50", "high20", "low20")
 OUT = "symbol string, bar_date date, " + ", ".join(f"{c} double" for c in COLUMNS)
 
@@ -31,14 +34,17 @@ class Mean:
         com = (1 - alpha) / alpha
         self.alpha, self.n, self.seen, self.value = 1.0 / (1.0 + com), n, 0, NAN
 
-    def add(self, x: float) -> float:
-        self.seen += 1
-        if self.seen == 1:
-            self.value = x
-        elif self.value != x:
-            old = 1.0 - self.alpha
-            self.value = (old * self.value + self.alpha * x) / (old + self.alpha)
-        return self.value if self.seen >= self.n else NAN
+    def add(self, xs: list[float]) -> list[float]:
+        value, alpha, old, out = self.value, self.alpha, 1.0 - self.alpha, []
+        if xs and not self.seen:
+            value = xs[0]
+        for x in xs:
+            if value != x:
+                value = (old * value + alpha * x) / (old + alpha)
+            out.append(value)
+        hidden = max(0, min(self.n - 1 - self.seen, len(xs)))
+        self.value, self.seen = value, self.seen + len(xs)
+        return [NAN] * hidden + out[hidden:]
 
 
 class Wilder:
@@ -47,30 +53,32 @@ class Wilder:
     def __init__(self, n: int):
         self.n, self.seed, self.mean = n, [], None
 
-    def add(self, x: float) -> float:
+    def add(self, xs: list[float]) -> list[float]:
+        out = []
         if self.mean is None:
-            self.seed.append(x)
+            xs, taken = xs[self.n - len(self.seed) :], xs[: self.n - len(self.seed)]
+            self.seed, out = self.seed + taken, [NAN] * len(taken)
             if len(self.seed) < self.n:
-                return NAN
+                return out
             self.mean = Mean(1 / self.n, 1)
-            x, self.seed = float(np.nanmean(self.seed)), []
-        return self.mean.add(x)
+            out[-1:] = self.mean.add([float(np.nanmean(self.seed))])
+            self.seed = []
+        return out + self.mean.add(xs)
 
 
 class Best:
-    """The greatest of the last n values (of their negatives: the least), as a queue that falls."""
+    """The greatest of the last n values; the last n - 1 are kept."""
 
     def __init__(self, n: int):
-        self.n, self.at, self.queue = n, 0, deque()
+        self.n, self.last = n, np.zeros(0)
 
-    def add(self, x: float) -> float:
-        while self.queue and self.queue[-1][1] <= x:
-            self.queue.pop()
-        self.queue.append((self.at, x))
-        if self.queue[0][0] <= self.at - self.n:
-            self.queue.popleft()
-        self.at += 1
-        return self.queue[0][1] if self.at >= self.n else NAN
+    def add(self, x: np.ndarray) -> np.ndarray:
+        known = np.concatenate([self.last, x])
+        out = np.full(len(x), NAN)
+        if len(known) >= self.n:
+            out[self.n - 1 - len(self.last) :] = sliding_window_view(known, self.n).max(1)
+        self.last = known[1 - self.n :].copy()
+        return out
 
 
 class State:
@@ -78,34 +86,44 @@ class State:
 
     def __init__(self):
         self.day: date | None = None
-        self.bar: tuple | None = None
+        self.bar = (NAN, NAN, NAN)
         self.fast, self.slow, self.signal = Mean(2 / 13, 12), Mean(2 / 27, 26), Mean(2 / 10, 9)
         self.gain, self.loss, self.range, self.plus, self.minus, self.dx = (Wilder(14) for _ in range(6))
-        self.closes, self.sum = deque(), 0.0
+        self.closes, self.sum = [], 0.0
         self.high, self.low = Best(20), Best(20)
 
-    def add(self, day: date, high: float, low: float, close: float) -> tuple:
-        ph, pl, pc = self.bar or (NAN, NAN, NAN)
-        self.day, self.bar = day, (high, low, close)
-        fast, slow = self.fast.add(close), self.slow.add(close)
+    def add(self, bars: list[tuple]) -> np.ndarray:
+        """Takes bars (day, high, low, close), at least one, in the order of their days; a row of COLUMNS for each."""
+        high, low, close = (np.array(x) for x in list(zip(*bars))[1:])
+        ph, pl, pc = (np.concatenate([[was], x[:-1]]) for was, x in zip(self.bar, (high, low, close)))
+        self.day, self.bar = bars[-1][0], bars[-1][1:]
+        closes = close.tolist()
+        fast, slow = np.array(self.fast.add(closes)), np.array(self.slow.add(closes))
         macd = fast - slow
-        signal = self.signal.add(macd) if macd == macd else NAN
+        known = macd == macd
+        signal = np.full(len(bars), NAN)
+        signal[known] = self.signal.add(macd[known].tolist())
         step = close - pc
-        gain, loss = self.gain.add(max(step, 0.0) if step == step else NAN), self.loss.add(max(-step, 0.0) if step == step else NAN)
-        rsi = NAN if gain != gain else 100.0 if not loss > 0 else 100 - 100 / (1 + gain / loss) if gain > 0 else 0.0
-        tr = high - low if pc != pc else max(high - low, abs(high - pc), abs(low - pc))
+        gain, loss = np.array(self.gain.add(np.maximum(step, 0.0).tolist())), np.array(self.loss.add(np.maximum(-step, 0.0).tolist()))
+        tr = np.fmax(high - low, np.fmax(np.abs(high - pc), np.abs(low - pc)))
         up, down = high - ph, -(low - pl)
-        atr, plus, minus = self.range.add(tr), self.plus.add(up if up > down and up > 0 else 0.0), self.minus.add(down if down > up and down > 0 else 0.0)
+        atr, plus, minus = (np.array(w.add(x.tolist())) for w, x in ((self.range, tr), (self.plus, np.where((up > down) & (up > 0), up, 0.0)), (self.minus, np.where((down > up) & (down > 0), down, 0.0))))
         with np.errstate(divide="ignore", invalid="ignore"):
-            dp, dm = np.float64(100) * plus / np.float64(atr), np.float64(100) * minus / np.float64(atr)
-            dx = float(100 * np.abs(dp - dm) / (dp + dm))
-        adx = self.dx.add(dx if np.isfinite(dx) else 0.0)
-        self.closes.append(close)
-        self.sum += close
-        if len(self.closes) > 50:
-            self.sum -= self.closes.popleft()
-        sma = self.sum / 50 if len(self.closes) == 50 else NAN
-        return fast, slow, macd, signal, rsi, atr, adx, sma, self.high.add(high), -self.low.add(-low)
+            rsi = np.where(gain != gain, NAN, np.where(loss > 0, np.where(gain > 0, 100 - 100 / (1 + gain / loss), 0.0), 100.0))
+            dp, dm = 100 * plus / atr, 100 * minus / atr
+            dx = 100 * np.abs(dp - dm) / (dp + dm)
+        adx = self.dx.add(np.where(np.isfinite(dx), dx, 0.0).tolist())
+        return np.column_stack([fast, slow, macd, signal, rsi, atr, adx, self._means(closes), self.high.add(high), -self.low.add(-low)])
+
+    def _means(self, closes: list[float]) -> list[float]:
+        known, start, total, out = self.closes + closes, len(self.closes), self.sum, []
+        for i in range(start, len(known)):
+            total += known[i]
+            if i >= 50:
+                total -= known[i - 50]
+            out.append(total / 50 if i >= 49 else NAN)
+        self.closes, self.sum = known[-50:], total
+        return out
 
 
 class Symbol:
@@ -118,39 +136,68 @@ class Symbol:
         """Takes bars (day, high, low, close) in the order of their days; returns rows (day, *COLUMNS) that are new or have changed.
 
         A bar of a day that is in the tail, or falls between its days, takes its place there, and all bars from it on are
-        made again; a bar from before the tail is too late and changes nothing.
+        made again; a bar from before the tail is too late and changes nothing. Of several bars of a day the last counts.
         """
-        out: dict[date, tuple] = {}
-        for bar in bars:
-            if self.now.day is None or bar[0] > self.now.day:
-                self.tail.append(bar)
-                out[bar[0]] = self.now.add(*bar)
-                if len(self.tail) > TAIL:
-                    self.before.add(*self.tail.pop(0))
-            elif self.before.day is None or bar[0] > self.before.day:
-                self.tail = sorted([b for b in self.tail if b[0] != bar[0]] + [bar])
-                self.now = pickle.loads(pickle.dumps(self.before))
-                for b in self.tail:
-                    row = self.now.add(*b)
-                    if b[0] >= bar[0]:
-                        out[b[0]] = row
-                while len(self.tail) > TAIL:
-                    self.before.add(*self.tail.pop(0))
-        return [(d, *row) for d, row in sorted(out.items())]
+        days, rows = self.changed(bars)
+        return [(d, *row) for d, row in zip(days, rows.tolist())]
+
+    def changed(self, bars: list[tuple]) -> tuple[list[date], np.ndarray]:
+        """add(), as days and their rows. A bar that comes in order is taken once, and once more only if fewer than TAIL come with it."""
+        last, least = self.now.day, self.before.day
+        new = list({b[0]: b for b in bars if last is None or b[0] > last}.values())
+        late = {b[0]: b for b in bars if last is not None and b[0] <= last and (least is None or b[0] > least)}
+        days, rows = [], [np.zeros((0, len(COLUMNS)))]
+        if late:
+            first = min(late)
+            self.tail = sorted(({b[0]: b for b in self.tail} | late).values())
+            self.now = pickle.loads(pickle.dumps(self.before))
+            made, at = self.now.add(self.tail), [i for i, b in enumerate(self.tail) if b[0] >= first]
+            days += [self.tail[i][0] for i in at]
+            rows.append(made[at])
+            self._shift()
+        if len(new) > TAIL:
+            # The state that the new tail needs is met on the way.
+            rows.append(self.now.add(new[:-TAIL]))
+            self.before, self.tail = pickle.loads(pickle.dumps(self.now)), []
+            rows.append(self.now.add(new[-TAIL:]))
+            self.tail = new[-TAIL:]
+        elif new:
+            rows.append(self.now.add(new))
+            self.tail = self.tail + new
+            self._shift()
+        return days + [b[0] for b in new], np.concatenate(rows)
+
+    def _shift(self) -> None:
+        out = len(self.tail) - TAIL
+        if out > 0:
+            self.before.add(self.tail[:out])
+            self.tail = self.tail[out:]
 
 
 class Processor(StatefulProcessor):
+    """The states of a bucket's symbols are read, written and handed on together: a call costs more than a symbol's bars."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("symbol", "packed binary")
+        self.state = handle.getValueState("bucket", "packed binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        symbol = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else Symbol()
-        came = pd.concat(list(rows)).drop_duplicates(["bar_date", "high", "low", "close"]).sort_values(["bar_date", "high", "low", "close"])
-        made = symbol.add([(r.bar_date, float(r.high), float(r.low), float(r.close)) for r in came.itertuples()])
-        self.state.update((pickle.dumps(symbol),))
-        out = pd.DataFrame(made, columns=["bar_date", *COLUMNS])
-        out.insert(0, "symbol", key[0])
-        yield out.astype(object).where(out.notna(), None)
+        was = self.state.get()
+        symbols = pickle.loads(bytes(was[0])) if was else {}
+        came: dict[str, set] = {}
+        for part in rows:
+            for symbol, *bar in zip(part["symbol"].tolist(), part["bar_date"].tolist(), *(part[c].astype(float).tolist() for c in ("high", "low", "close"))):
+                came.setdefault(symbol, set()).add(tuple(bar))
+        names, days, made = [], [], []
+        for symbol, bars in came.items():
+            own, values = symbols.setdefault(symbol, Symbol()).changed(sorted(bars))
+            names += [symbol] * len(own)
+            days += own
+            made.append(values)
+        self.state.update((pickle.dumps(symbols, -1),))
+        out = pd.DataFrame(np.concatenate(made), columns=list(COLUMNS))  # NaN becomes null on its way to Spark
+        out.insert(0, "bar_date", pd.Series(days, dtype=object))
+        out.insert(0, "symbol", pd.Series(names, dtype=object))
+        yield out
 
     def close(self) -> None:
         pass
@@ -170,9 +217,10 @@ def rocks(spark: SparkSession):
 
 def indicators(bars: DataFrame) -> DataFrame:
     """A stream of bars (symbol, bar_date, high, low, close; none null) as rows of indicators: one for each bar, and new ones
-    for the bars that a late one changes, so the last row of a day counts. A symbol's state holds some hundred numbers.
+    for the bars that a late one changes, so the last row of a day counts. A symbol's state holds some hundred numbers; those of
+    a bucket lie together, so a trigger writes the states of the buckets in which a bar came.
 
     Of several bars of one day in a trigger, the greatest in high, low and close counts. To be started within rocks().
     """
-    rows = bars.select("symbol", "bar_date", "high", "low", "close").groupBy("symbol")
+    rows = bars.select("symbol", "bar_date", "high", "low", "close").withColumn("bucket", F.pmod(F.xxhash64("symbol"), F.lit(BUCKETS))).groupBy("bucket")
     return rows.transformWithStateInPandas(Processor(), OUT, "Update", "None")
