@@ -240,3 +240,50 @@ def test_frequencies_are_moved_as_pieces_of_shards(monkeypatch):
             want[h] = want.get(h, 0) + 1
     assert counts == {int(np.int64(h) << np.int64(12)): n for h, n in want.items()} and max(want.values()) > 1
     assert sum(x["documents"] for x in rows) == 400 and len(rows) < moved / 50
+
+
+def test_near_copies_in_a_large_group_are_found(spark):
+    """Copies make what they share frequent; the few edited words of each must not outweigh it."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(300):
+        words = list(base)
+        for k in (20, 90, 160):
+            words[k + r.randrange(20)] = f"edit{i}x{k}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"o{i}x{k}" for k in range(20)) for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    w = nd.weights_of(docs)
+    a, b = (nd.Shingles([t]) for t in texts[:2])
+    assert nd.similarity(a.hash, w.idf(w.codes(a.hash)), b.hash, w.idf(w.codes(b.hash))) < 0.75 and nd.similarity(a.hash, w.of(a.hash, a.times), b.hash, w.of(b.hash, b.times)) > 0.8
+    sizes = {row.doc_id: row.class_size for row in nd.classes(docs).collect()}
+    assert all(n == (301 if i < 301 else 1) for i, n in sizes.items())
+
+
+def test_blocks_link_by_the_exact_similarity(spark):
+    """Shingles that weigh differently in two texts: the products of roots are only a bound."""
+    r = np.random.default_rng(4)
+    hashes = [np.sort(r.choice(40, 30, replace=False)).astype(np.int64) for _ in range(120)]
+    times = [r.integers(1, 4, 30).astype(np.int32) for _ in hashes]
+    codes = [r.integers(1, 60, 30).astype(np.int32) for _ in hashes]
+
+    class Sent:
+        value = nd.FullWeights(None, 100)
+
+    n, raw = len(hashes), lambda parts: [x.tobytes() for x in parts]
+    # Other texts' frequencies differ here, so that weights do.
+    codes = [np.where(h < 30, 50 - h, c).astype(np.int32) for h, c in zip(hashes, codes)]
+    group = pa.table({"i": [0] * n, "j": [0] * n, "block": [0] * n, "node": list(range(n)), "component": list(range(n)), "hashes": raw(hashes), "times": raw(times), "codes": raw(codes)})
+    weights = [Sent.value.own(c) * t for c, t in zip(codes, times)]
+    like = {(a, b) for a, b in combinations(range(n), 2) if nd.similarity(hashes[a], weights[a], hashes[b], weights[b]) >= 0.55}
+    links = nd._compared(Sent, 0.55)(group)
+    got = set(zip(links["a"].to_pylist(), links["b"].to_pylist()))
+
+    def parts(pairs):
+        top = list(range(n))
+        for a, b in sorted(pairs) * n:
+            top[a] = top[b] = min(top[a], top[b])
+        return top
+
+    assert got and {(min(p), max(p)) for p in got} <= like and parts(got) == parts(like)

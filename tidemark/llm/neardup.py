@@ -3,7 +3,9 @@
 1. Documents of equal words are one node, whatever their number: equal are those whose words have one
    128-bit hash (XXH3 over the characters, word for word).
 2. Document frequencies of all shingles are counted over all documents. A shingle weighs
-   ln(1 + documents / frequency), times how often the text has it. They are moved as sorted pieces of
+   ln(1 + documents / frequency), times how often the text has it. Copies of a text raise the frequencies of all that
+   they share, so that a few edited words would outweigh it, the more the larger the group: the rarer quarter of a text's
+   shingles weighs as the shingle at that quarter does (texts of similarity 0.8 share more than three quarters). Frequencies are moved as sorted pieces of
    shingles, not as a row for each, and kept as sorted arrays (see arrays.py), which the tasks map; a node's shingles carry theirs. Without `full_idf`, a shingle weighs
    ln(1 + RARE) at most: only shingles in more than 1/RARE of the documents then need their frequency; they are
    at most RARE times the mean number of shingles of a document, which no growth of the corpus raises, and go
@@ -103,12 +105,17 @@ class Weights:
     def idf(self, codes: np.ndarray) -> np.ndarray:
         return self.by_code[codes]
 
-    def of(self, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
-        return self.idf(self.codes(hashes)) * times
+    def own(self, codes: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+        """What one occurrence of each shingle weighs."""
+        return self.idf(codes)
+
+    def of(self, hashes: np.ndarray, times: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+        return self.own(self.codes(hashes), text) * times
 
 
 class FullWeights:
-    """TF-IDF weights: ln(1 + documents / frequency); the documents of each shingle that more than one has are looked up."""
+    """TF-IDF weights: ln(1 + documents / frequency), of the rarer quarter of a text's shingles by the frequency at that quarter; the
+    documents of each shingle that more than one has are looked up."""
 
     def __init__(self, frequencies: arrays.Arrays, documents: int):
         self.frequencies, self.documents = frequencies, documents
@@ -121,8 +128,18 @@ class FullWeights:
     def idf(self, codes: np.ndarray) -> np.ndarray:
         return np.log1p(self.documents / codes)
 
-    def of(self, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
-        return self.idf(self.codes(hashes)) * times
+    def own(self, codes: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+        """What one occurrence of each shingle weighs in its text; text: sorted numbers, or none for the shingles of one text."""
+        starts = [0] if text is None else np.flatnonzero(np.diff(text, prepend=-1))
+        floored = codes.copy()
+        for a, b in zip(starts, [*starts[1:], len(codes)]):
+            at = (b - a) // 4
+            if at:
+                np.maximum(codes[a:b], np.partition(codes[a:b], at)[at], out=floored[a:b])
+        return self.idf(floored)
+
+    def of(self, hashes: np.ndarray, times: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+        return self.own(self.codes(hashes), text) * times
 
 
 def _all_frequencies(bits: int):
@@ -329,7 +346,7 @@ def _signed(weights):
             for _, part in grams.chunks(texts):
                 s = Shingles(part)
                 keys += s.key
-                rows.append(bands(s, weights.value.of(s.hash, s.times)))
+                rows.append(bands(s, weights.value.of(s.hash, s.times, s.text)))
             flat = np.concatenate(rows).ravel()
             signature = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pick"), pa.array(keys, pa.binary()), signature], names=["doc_id", "pick", "key", "bands"])
@@ -361,7 +378,7 @@ def _vectors(weights):
 
 def _verified(weights, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = lambda r, s: (np.frombuffer(r[f"{s}_hashes"], np.int64), weights.value.idf(np.frombuffer(r[f"{s}_codes"], np.int32)) * np.frombuffer(r[f"{s}_times"], np.int32))
+        side = lambda r, s: (np.frombuffer(r[f"{s}_hashes"], np.int64), weights.value.own(np.frombuffer(r[f"{s}_codes"], np.int32)) * np.frombuffer(r[f"{s}_times"], np.int32))
         for batch in batches:
             left, right = [], []
             known: tuple = (None, None, None)
@@ -511,21 +528,26 @@ def _block_links(shared: DataFrame, joined: DataFrame, vectors: DataFrame, weigh
     return dealt.join(vectors, "node").groupBy("band", "value", "i", "j").applyInArrow(_compared(weights, similar), "a long, b long").distinct()
 
 
-def _expanded(table: pa.Table, weights: Weights | FullWeights) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, token, weight) of all shingles, one for each time that a text has them, and the rows' total weights."""
-    rows, tokens, values, totals = [], [], [], []
+def _expanded(table: pa.Table, weights: Weights | FullWeights) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(row, token, value) of all shingles, one for each time that a text has them, and the rows' shingles and weights.
+
+    The products of two rows' roots of values add up to what the rows share, or to more where a shingle weighs differently in them.
+    """
+    rows, tokens, values, texts = [], [], [], []
     codes = table.column("codes").to_pylist() if "codes" in table.column_names else [None] * len(table)
     for k, (h, t, c) in enumerate(zip(table.column("hashes").to_pylist(), table.column("times").to_pylist(), codes)):
         h, t = np.frombuffer(h, np.int64), np.frombuffer(t, np.int32)
-        w = weights.idf(weights.codes(h) if c is None else np.frombuffer(c, np.int32))
-        totals.append(float((w * t).sum()))
+        c = weights.codes(h) if c is None else np.frombuffer(c, np.int32)
+        own = weights.own(c)
+        texts.append((h, own * t))
+        w = np.where(t > 1, weights.idf(c), own)
         while len(h):
             tokens.append(h), values.append(w), rows.append(np.full(len(h), k))
             more = t > 1
             # The n-th time of a shingle is a token of its own, so that products of zeros and ones count the lesser number.
             h, w, t = h[more] + (1 << 53), w[more], t[more] - 1
     join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    return join(rows, np.int64), join(tokens, np.int64), join(values, np.float64), np.array(totals)
+    return join(rows, np.int64), join(tokens, np.int64), join(values, np.float64), texts
 
 
 def _compared(weights, similar: float):
@@ -535,7 +557,8 @@ def _compared(weights, similar: float):
         nodes, labels, block = (np.asarray(group.column(c)).copy() for c in ("node", "component", "block"))
         n, first = len(nodes), int(np.searchsorted(block, block[0], "right"))
         within = group.column("i")[0] == group.column("j")[0]
-        rows, tokens, values, totals = _expanded(group, weights.value)
+        rows, tokens, values, texts = _expanded(group, weights.value)
+        totals = np.array([w.sum() for _, w in texts])
         _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
         common_ = times[column] > 1  # what only one text has adds nothing to a product
         rows, values = rows[common_], values[common_]
@@ -561,10 +584,10 @@ def _compared(weights, similar: float):
             alike = shared >= (similar - 1e-12) * (totals[top:end, None] + totals[None, low:] - shared)
             for r in np.flatnonzero((alike & (labels[top:end, None] != labels[None, low:])).any(axis=1)):
                 near = np.flatnonzero(alike[r]) + low
-                joined, at = np.unique(labels[near], return_index=True)
-                other = joined != labels[top + r]
-                out += [(int(nodes[top + r]), int(nodes[near[i]])) for i in at[other]]
-                labels[np.isin(labels, joined[other])] = labels[top + r]
+                for i in near[labels[near] != labels[top + r]]:
+                    if labels[i] != labels[top + r] and similarity(*texts[top + r], *texts[i]) >= similar:
+                        out.append((int(nodes[top + r]), int(nodes[i])))
+                        labels[labels == labels[i]] = labels[top + r]
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
