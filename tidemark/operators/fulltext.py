@@ -7,13 +7,17 @@ files: a search reads the files of its own stems' buckets, and in them the row g
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from tidemark.operators.stems import STOP, stem
@@ -23,6 +27,8 @@ from tidemark.operators.text import tokens
 BUCKETS, SPREAD = 64, 8
 #: Fixed values of the rank: a word's weight, the reach of two words, and the sum of 1 / i^2.
 WEIGHT, REACH, LIMIT = 0.1, 100, 1.64493406685
+#: Words as operators.text.tokens finds them in a lower-case text, and the characters of texts whose words a task holds at once, but for a longer text.
+WORD, TOGETHER = re.compile(r"[a-z0-9à-ÿ]+"), 500_000
 #: Fixed values of a headline: fragments, and their words at most and at least.
 FRAGMENTS, MOST, LEAST = 2, 15, 5
 
@@ -56,38 +62,69 @@ class Index:
         return rows.select(*self.ids, "stem", "n_words", at.alias("positions"))
 
 
-def _words(text: Column) -> Column:
-    """Words with their positions, without stop words: these count as places, too."""
-    numbered = F.transform(tokens(text), lambda w, i: F.struct(w.alias("w"), (i + 1).cast("int").alias("p")))
-    return F.filter(numbered, lambda x: ~x["w"].isin(*sorted(STOP)))
+def _postings(schema: pa.Schema):
+    """Rows of the schema (the id columns, n_words, stem, __at) from rows of the id columns and a lower-case text, some TOGETHER characters of texts at a time.
+
+    Words without stop words: these count as places, too.
+    """
+
+    def made(batch: pa.RecordBatch, first: int, texts: list[str]) -> pa.RecordBatch:
+        words = [WORD.findall(t) for t in texts]
+        kept = [[(w, p) for p, w in enumerate(ws, 1) if w not in STOP] for ws in words]
+        found = places.func(pd.Series([[w for w, _ in k] for k in kept]), pd.Series([[p for _, p in k] for k in kept]))
+        each = [x for xs in found for x in xs]
+        own = pa.array(np.repeat(np.arange(first, first + len(texts)), [len(xs) for xs in found]), pa.int64())
+        n_words = np.repeat([len(ws) for ws in words], [len(xs) for xs in found])
+        ends = np.cumsum([0, *[len(x["at"]) for x in each]])
+        at = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([p for x in each for p in x["at"]], pa.int32()))
+        ids = [batch.column(c).take(own) for c in schema.names[:-3]]
+        return pa.RecordBatch.from_arrays([*ids, pa.array(n_words, pa.int32()), pa.array([x["stem"] for x in each], pa.string()), at], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, texts, size = 0, [], 0
+            for i, t in enumerate(batch.column("__text")):
+                t = t.as_py() or ""
+                if texts and size + len(t) > TOGETHER:
+                    yield made(batch, first, texts)
+                    first, texts, size = i, [], 0
+                texts.append(t)
+                size += len(t)
+            if texts:
+                yield made(batch, first, texts)
+
+    return run
 
 
 def build(docs: DataFrame, ids: list[str], text: Column, path: str) -> Index:
     """Writes the index of docs, whose rows the columns `ids` tell apart. Rows of one id are one document; null texts have no words.
 
-    Stems are made and a document's places of each are put together where the texts are read; one shuffle deals them out by
-    bucket and document, and one sort by stem brings rows of one id together and is the order of the files.
+    Stems are made and a document's places of each are put together where the texts are read, a bounded piece of texts at a time; one
+    shuffle deals them out by bucket and document, and one sort by stem is the order of the files. Only where ids are repeated, a window brings their rows together.
     """
-    own = docs.select(*ids, _words(text).alias("__w"), F.size(tokens(text)).alias("n_words"))
-    each = own.select(*ids, "n_words", F.explode(places(F.col("__w.w"), F.col("__w.p"))).alias("x"))
-    bucket = (F.crc32(F.col("x.stem").cast("binary")) % BUCKETS).cast("int")
+    repeated = docs.groupBy(*ids).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
+    lowered = docs.select(*ids, F.lower(text).alias("__text"))
+    schema = StructType([lowered.schema[c] for c in ids]).add("n_words", IntegerType()).add("stem", StringType()).add("__at", ArrayType(IntegerType()))
+    each = lowered.mapInArrow(_postings(to_arrow_schema(schema)), schema)
+    bucket = (F.crc32(F.col("stem").cast("binary")) % BUCKETS).cast("int")
     own_file = F.pmod(F.xxhash64(*ids), F.lit(SPREAD)).alias("__file")
-    dealt = each.select(bucket.alias("bucket"), "x.stem", *ids, own_file, "n_words", F.col("x.at").alias("__at")).repartition("bucket", "__file")
-    same = Window.partitionBy("bucket", "stem", *ids, "__file").orderBy("n_words")
-    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = dealt.select("*", F.row_number().over(same).alias("__k"), F.max("n_words").over(whole).alias("__n"), F.collect_list("__at").over(whole).alias("__all")).filter("__k = 1")
-    rows = rows.withColumn("__at", F.when(F.size("__all") == 1, F.col("__at")).otherwise(F.array_sort(F.flatten("__all"))))
+    rows = each.select(bucket.alias("bucket"), "stem", *ids, own_file, "n_words", "__at").repartition("bucket", "__file")
+    if repeated:
+        same = Window.partitionBy("bucket", "stem", *ids, "__file").orderBy("n_words")
+        whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.select("*", F.row_number().over(same).alias("__k"), F.max("n_words").over(whole).alias("__n"), F.collect_list("__at").over(whole).alias("__all")).filter("__k = 1")
+        rows = rows.withColumns({"__at": F.array_sort(F.flatten("__all")), "n_words": F.col("__n")})
+    else:
+        rows = rows.sortWithinPartitions("bucket", "stem", *ids)
     steps = F.transform("__at", lambda p, i: p - F.when(i > 0, F.get(F.col("__at"), i - 1)).otherwise(0))
-    sorted_rows = rows.select("bucket", "stem", *ids, F.col("__n").alias("n_words"), steps.alias("steps"))
+    sorted_rows = rows.select("bucket", "stem", *ids, "n_words", steps.alias("steps"))
     sorted_rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
     return Index(path, tuple(ids))
 
 
 def asked(query: str) -> list[str]:
     """The stems of a query's words, without stop words."""
-    import re
-
-    return sorted({stem(w) for w in re.findall(r"[a-z0-9à-ÿ]+", query.lower()) if w not in STOP})
+    return sorted({stem(w) for w in WORD.findall(query.lower()) if w not in STOP})
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> float:
