@@ -266,3 +266,26 @@ def test_bars_are_made_again_of_changed_files(spark, tmp_path):
         lines(q).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
         for _ in range(2):
             assert [r.volume for r in driver.bars(spark, str(tmp_path)).collect()] == [1000 * int(q)]
+
+
+def test_passes_start_from_the_scores_after_the_tree_before(spark, monkeypatch):
+    """A pass follows no tree: before, that of each level followed all trees since the scores were last kept."""
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100)
+    monkeypatch.setattr(boosting, "WRITE_EVERY", 3)
+    r = random.Random(8)
+    rows = spark.createDataFrame([(a := float(r.randrange(20)), float(r.randrange(20)), int(r.random() < a / 20)) for _ in range(400)], "a double, b double, label int")
+    seen, whole = [], boosting._histograms
+
+    def spied(data, *args):
+        seen.append((len(args[0]), data.collect()))
+        return whole(data, *args)
+
+    monkeypatch.setattr(boosting, "_histograms", spied)
+    model = boosting.fit(rows, ["a", "b"], boosting.Params(7, 2, 0.3, 1.0, 1.0, 10))
+    done = -1
+    for tree, chunks in seen:
+        done += tree == 0
+        assert sum(len(c[1]) for c in chunks) == 400
+        for columns, _, margin in chunks:
+            assert (margin == boosting.margins(model.trees[:done], columns.T)).all()
+    assert done == 6 and len(seen) == 14
